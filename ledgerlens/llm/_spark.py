@@ -24,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
 def remainder(column: str, n: int):
     """crc32 of an id written as text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of df as a schema text."""
+    return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema.fields)

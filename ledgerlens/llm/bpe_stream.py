@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ledgerlens.llm._spark import ddl
+
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pretokens and token pairs that are remembered, and characters read at a time.
@@ -247,7 +249,7 @@ class Codec:
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """All columns of docs and `out`: array<int>, the token ids of `text`, in place of a column of that name."""
     docs = docs.drop(out)
-    schema = f"{_ddl(docs)}, `{out}` array<int>" if docs.columns else f"`{out}` array<int>"
+    schema = f"{ddl(docs)}, `{out}` array<int>" if docs.columns else f"`{out}` array<int>"
 
     def run(batches):
         codec = Codec(path)
@@ -267,7 +269,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
     """All columns and `out`: the text of `ids` (null: empty), in place of a column of that name."""
     tokens = tokens.drop(out)
-    schema = f"{_ddl(tokens)}, `{out}` string"
+    schema = f"{ddl(tokens)}, `{out}` string"
 
     def run(batches):
         codec = Codec(path)
@@ -282,7 +284,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "tex
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256 of an encoding and its decoding, held only in part."""
     docs = docs.select(key, text)
-    schema = f"{_ddl(docs.select(key))}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"{ddl(docs.select(key))}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
         codec = Codec(path)
@@ -310,6 +312,3 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     return docs.mapInArrow(run, schema)
 
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream
+from ledgerlens.llm import bpe_stream, decontaminate
 from ledgerlens.llm._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    listed = F.array_join(F.array_sort("item_ids"), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
