@@ -96,11 +96,11 @@ def _scan(column: pa.Array, windows: WindowSet, marks: np.ndarray) -> tuple[np.n
 
 def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str]) -> DataFrame:
     docs = docs.select(*keep, text) if text not in keep else docs.select(*keep)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    shared = docs.sparkSession.sparkContext.broadcast((windows.hashes, windows.texts, windows.items, windows.marks))
     at = docs.columns.index(text)
 
     def run(batches):
-        windows = shared.value
+        windows = WindowSet(*shared.value)
         marks = np.unpackbits(windows.marks).view(bool)
         for batch in batches:
             counts, spans, items = _scan(batch.column(at), windows, marks)
