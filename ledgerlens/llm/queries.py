@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream, decontaminate, html_text, language, license_scan, toxicity, url_filter
+from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, simhash_dedup, toxicity, url_filter
 from ledgerlens.llm._spark import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+@query
+def op2_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_search.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.find(table(spark, sf_dir, "documents"))
