@@ -29,3 +29,19 @@ def remainder(column: str, n: int):
 def ddl(df: DataFrame) -> str:
     """The columns of df as a schema text."""
     return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema.fields)
+
+
+def in_chunks(keyed: DataFrame, member: str, most: int) -> DataFrame:
+    """keyed (with a bigint `key`) with groups of over `most` rows cut into chunks.
+
+    Every two chunks of a group meet under a key of their own, so that any two rows of a group still
+    meet, and no new group has over about twice `most` rows. Rows are dealt to chunks by `member`.
+    """
+    large = keyed.groupBy("key").count().where(F.col("count") > most)
+    large = cut(large.select(F.col("key").alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("_chunks")))
+    if large.isEmpty():
+        return keyed
+    columns = [c for c in keyed.columns if c != "key"]
+    keyed = keyed.join(large, F.col("key") == F.col("_key"), "left").withColumn("_chunk", F.pmod(F.xxhash64(member, F.lit("chunk")), F.coalesce("_chunks", F.lit(1))))
+    meets = F.transform(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1), lambda i: F.xxhash64("key", F.least(i.cast("bigint"), "_chunk"), F.greatest(i.cast("bigint"), "_chunk")))
+    return keyed.select(*columns, F.explode(F.when(F.col("_chunks").isNull(), F.array("key")).otherwise(meets)).alias("key"))

@@ -88,13 +88,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which `span_hash` takes the hash of any span of the odd numbers given."""
+    if len(_cache["powers"][0]) <= len(values):
+        _cache["powers"] = _powers(max(len(values), PIECE + (1 << 16)))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _cache["powers"][0][: len(values)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
 def prefix_hash(low: np.ndarray) -> np.ndarray:
     """Sums from which `span_hash` takes the hash of any byte span."""
-    if len(_cache["powers"][0]) <= len(low):
-        _cache["powers"] = _powers(max(len(low), PIECE + (1 << 16)))
-    sums = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTE[low] * _cache["powers"][0][: len(low)], dtype=np.uint64, out=sums[1:])
-    return sums
+    return prefix_sums(_BYTE[low])
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

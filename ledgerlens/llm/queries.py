@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, simhash_dedup, toxicity, url_filter
+from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, simhash_dedup, toxicity, url_filter
 from ledgerlens.llm._spark import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op2_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.find(table(spark, sf_dir, "documents"))

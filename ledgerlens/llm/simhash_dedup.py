@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._graph import components
-from ledgerlens.llm._spark import cut, ddl
+from ledgerlens.llm._spark import cut, ddl, in_chunks
 
 #: Words of a shingle, seed of its hash, differing bits of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -133,11 +133,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(n, distance)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
     keyed = distinct.select("fp", F.explode(keys).alias("key"))
-    large = cut(keyed.groupBy("key").count().where(F.col("count") > BUCKET).select(F.col("key").alias("_key"), F.ceil(F.col("count") / BUCKET).cast("int").alias("_chunks")))
-    if not large.isEmpty():
-        keyed = keyed.join(large, F.col("key") == F.col("_key"), "left").withColumn("_chunk", F.pmod(F.xxhash64("fp", F.lit("chunk")), F.coalesce("_chunks", F.lit(1))))
-        meets = F.transform(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1), lambda i: F.xxhash64("key", F.least(i.cast("bigint"), "_chunk"), F.greatest(i.cast("bigint"), "_chunk")))
-        keyed = keyed.select("fp", F.explode(F.when(F.col("_chunks").isNull(), F.array("key")).otherwise(meets)).alias("key"))
+    keyed = in_chunks(keyed, "fp", BUCKET)
     keyed = keyed.repartition("key").sortWithinPartitions("key")
 
     def run(batches):
@@ -164,15 +160,28 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
 
 
 def group(rows: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """rows (with fp) and component_id: the smallest key that its links reach, its own included."""
+    """rows (with fp), root (a fingerprint for each component) and component_id: the smallest key that its links reach, its own included."""
     distinct = cut(rows.groupBy("fp").agg(F.min(key).alias("_least")))
     linked = components(links(distinct.select("fp"), distinct.count(), distance))
     rooted = distinct.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.select("fp", "root").join(named, "root"), "fp")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id of each row."""
     rows = cut(fingerprints(docs.select(key, text), text, size=size))
     return group(rows, key, distance).select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: that of its smallest key (null keys last), the first such row.
+
+    Rows are told apart by their place, so docs must be read alike each time, as tables are.
+    """
+    columns = docs.columns
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(fingerprints(docs.select(F.col(key).alias("_key"), "_row", F.col(text).alias("_text")), "_text", size=size))
+    first = F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).alias("_first")
+    kept = group(rows, "_key", distance).groupBy("root").agg(first).select(F.col("_first._row").alias("_row"))
+    return docs.join(kept, "_row", "left_semi").select(*columns)
