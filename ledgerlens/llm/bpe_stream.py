@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.llm._spark import ddl
 
@@ -281,34 +282,43 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "tex
     return tokens.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of an encoding and its decoding, held only in part."""
-    docs = docs.select(key, text)
-    schema = f"{ddl(docs.select(key))}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids_column: str | None = None) -> DataFrame:
+    """The columns `keep` (all but the text, by default), n_tokens, ids_sha256 and decoded_sha256.
+
+    The digests are of an encoding and of its decoding, which are held only in part. With
+    `ids_column`, the token ids are returned too, as array<int> of that name.
+    """
+    keep = [c for c in docs.columns if c != text] if keep is None else list(keep)
+    docs = docs.select(*keep, F.col(text).alias("_text"))
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *([ids_column] if ids_column else [])]
+    schema = ", ".join(filter(None, [ddl(docs.select(*keep)), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", f"`{ids_column}` array<int>" if ids_column else ""]))
 
     def run(batches):
         codec = Codec(path)
         for batch in batches:
-            rows = []
-            for x in batch.column(1).to_pylist():
-                of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
-
-                def ids(x=x, of_ids=of_ids):
-                    for part in codec.encode(x or ""):
-                        of_ids.update(part)
-                        yield np.frombuffer(part, "<u4")
-
-                def counted(parts):
-                    nonlocal n
-                    for part in parts:
-                        n += len(part)
-                        yield part
-
-                for part in codec.decode(counted(ids())):
-                    of_text.update(part.encode())
-                rows.append((n, of_ids.hexdigest(), of_text.hexdigest()))
-            counts, first, second = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows, ends, kept_ids = [], [0], []
+                for x in part.column(len(keep)):
+                    of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
+
+                    def ids(x=x, of_ids=of_ids):
+                        nonlocal n
+                        for some in codec.encode(x.as_py() or ""):
+                            of_ids.update(some)
+                            n += len(some) // 4
+                            if ids_column:
+                                kept_ids.append(some)
+                            yield np.frombuffer(some, "<u4")
+
+                    for some in codec.decode(ids()):
+                        of_text.update(some.encode())
+                    rows.append((n, of_ids.hexdigest(), of_text.hexdigest()))
+                    ends.append(ends[-1] + n)
+                counts, first, second = zip(*rows)
+                arrays = [pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+                if ids_column:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(kept_ids), "<i4"))))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *arrays], names=names)
 
     return docs.mapInArrow(run, schema)
-

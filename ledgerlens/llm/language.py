@@ -202,3 +202,17 @@ def _mostly_odd(column: pa.Array) -> np.ndarray:
     plain = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
     odd = np.concatenate(([0], np.cumsum(data >= 128)))
     return (plain[offsets[1:]] == plain[offsets[:-1]]) & (odd[offsets[1:]] > odd[offsets[:-1]])
+
+
+def identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without the rows whose language can't be told: null texts and texts without a letter.
+
+    The languages are learned from docs itself; without labelled rows only letters are asked for.
+    """
+    model = fit(docs, text, lang)
+    if not model.languages:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    columns = docs.columns
+    named = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    found = predict(named, model, f"_{columns.index(text)}").where(F.col("lang_pred") != "und")
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])

@@ -27,7 +27,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_stream.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe_stream.digests(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
 @query
