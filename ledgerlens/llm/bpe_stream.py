@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 import json
 import struct
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from ledgerlens.llm._spark import ddl
 
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pretokens and token pairs that are remembered, and characters read at a time.
-REMEMBERED, WINDOW = 300_000, 1 << 16
+#: Texts and token pairs that are remembered, and characters read at a time.
+REMEMBERED, PAIRS, WINDOW = 250_000, 600_000, 1 << 16
 #: The rank of what no merge joins.
 NEVER = 1 << 40
 
@@ -90,15 +93,21 @@ class Transducer:
         self.vocabulary = vocabulary
         self.lookahead = sufficient_lookahead(vocabulary)
         self.right, self.left = vocabulary.edges()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self.reach = {}
+        for token, i in vocabulary.by_bytes.items():
+            for n in range(1, len(token)):
+                self.reach.setdefault(token[:n], -1)
+            self.reach[token] = i
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens as they are, side by side."""
-        known = self._fits.get((left, right))
+        pair = left << 20 | right
+        known = self._fits.get(pair)
         if known is None:
-            if len(self._fits) >= REMEMBERED:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            known = self._fits[left, right] = self._stay_apart(self.right[left], self.left[right])
+            known = self._fits[pair] = self._stay_apart(self.right[left], self.left[right])
         return known
 
     def _stay_apart(self, right: list, left: list) -> bool:
@@ -127,28 +136,39 @@ class Transducer:
 
     def whole(self, text: bytes) -> list[int]:
         """The tokens of a text within the lookahead: longest tokens first, back where none fits."""
-        get, fits = self.vocabulary.by_bytes.get, self.fits
         path: list[int] = []
-        came: list[tuple[int, int, int]] = []
+        open_ends: list[list[tuple[int, int]]] = []
         dead: set[tuple[int, int]] = set()
-        at, before, end = 0, -1, len(text)
+        at, before = 0, -1
+        ends = self._tokens_at(text, 0)
         while at < len(text):
-            while end > at:
-                token = get(text[at:end])
-                if token is not None and (before < 0 or fits(before, token)) and (end, token) not in dead:
+            while ends:
+                end, token = ends.pop()
+                if (before < 0 or self.fits(before, token)) and (end, token) not in dead:
+                    open_ends.append(ends)
+                    path.append(token)
+                    at, before, ends = end, token, self._tokens_at(text, end)
                     break
-                end -= 1
-            if end > at:
-                path.append(token)
-                came.append((at, end, before))
-                at, before, end = end, token, len(text)
             else:
                 dead.add((at, before))
-                at, end, before = came.pop()
-                end -= 1
                 path.pop()
+                ends = open_ends.pop()
+                at -= len(self.vocabulary.bytes[before])
+                before = path[-1] if path else -1
         return path
 
+    def _tokens_at(self, text: bytes, at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens with which text[at:] begins, shortest first."""
+        found = []
+        get = self.reach.get
+        for end in range(at + 1, len(text) + 1):
+            token = get(text[at:end])
+            if token is None:
+                break
+            if token >= 0:
+                found.append((end, token))
+        return found
+
     def stream(self, blocks: Iterator[bytes]) -> Iterator[list[int]]:
         kept, last, size = b"", [-1], [0]
         for block in blocks:
@@ -186,24 +206,30 @@ class Transducer:
 
 
 class _Known(dict):
-    """Ids of a pretoken as little-endian 32-bit integers; forgets when it is full."""
+    """Remembers what `work` made of a text; of the REMEMBERED texts or more, those asked for of late."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, work: Callable[[str], bytes]):
         super().__init__()
-        self.transducer = transducer
+        self.work, self.before = work, {}
 
-    def __missing__(self, pretoken: str) -> bytes:
-        text = pretoken.encode()
-        if len(text) <= self.transducer.lookahead:
-            ids = struct.pack(f"<{len(path := self.transducer.whole(text))}I", *path)
-        else:
-            blocks = (text[i : i + WINDOW] for i in range(0, len(text), WINDOW))
-            ids = b"".join(np.array(part, "<u4").tobytes() for part in self.transducer.stream(blocks))
-        if len(pretoken) <= 64:
+    def __missing__(self, text: str) -> bytes:
+        found = self.before.get(text)
+        if found is None:
+            found = self.work(text)
+        if len(text) <= 64:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
-            self[pretoken] = ids
-        return ids
+            self[text] = found
+        return found
+
+
+def codec_of(path: str) -> Codec:
+    """A codec that outlives the task, if Spark uses the worker again."""
+    kept = sys.modules.setdefault("_bpe_codecs", types.ModuleType("_bpe_codecs")).__dict__
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 class Codec:
@@ -211,12 +237,26 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known = _Known(Transducer(self.vocabulary))
+        self.transducer = Transducer(self.vocabulary)
+        self.pretokens = _Known(self._pretoken)
+        self.chunks = _Known(self._chunk)
         self.split = regex.compile(SPLIT)
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.safe = regex.compile(r"(?<=[^\s]) (?=[^\s])")
 
+    def _pretoken(self, pretoken: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        text = pretoken.encode()
+        if len(text) <= self.transducer.lookahead:
+            path = self.transducer.whole(text)
+            return struct.pack(f"<{len(path)}I", *path)
+        blocks = (text[i : i + WINDOW] for i in range(0, len(text), WINDOW))
+        return b"".join(np.array(part, "<u4").tobytes() for part in self.transducer.stream(blocks))
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pretokens.__getitem__, self.split.findall(chunk)))
+
     def windows(self, text: str) -> Iterator[str]:
         """Parts between which no pretoken lies: cuts are single spaces between other characters."""
         at = 0
@@ -228,6 +268,15 @@ class Codec:
             at = cut.start()
         yield text[at:]
 
+    def chunks_of(self, window: str) -> list[str]:
+        """The window cut at the single spaces between other characters; other spaces stay inside a chunk."""
+        single = not any(x in window for x in ("  ", " \n", "\n "))
+        if single and sum(map(len, window.split())) + window.count(" ") + window.count("\n") == len(window):
+            first, *rest = window.split(" ")
+            return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
+        cuts = [0, *(m.start() for m in self.safe.finditer(window)), len(window)]
+        return [window[a:b] for a, b in itertools.pairwise(cuts)]
+
     def encode(self, text: str) -> Iterator[bytes]:
         """Token ids, as little-endian 32-bit integers, window by window."""
         for part in self.added.split(text) if self.added else [text]:
@@ -235,7 +284,7 @@ class Codec:
                 yield np.array([self.vocabulary.added[part]], "<u4").tobytes()
             elif part:
                 for window in self.windows(part):
-                    yield b"".join(map(self.known.__getitem__, self.split.findall(window)))
+                    yield b"".join(map(self.chunks.__getitem__, self.chunks_of(window)))
 
     def decode(self, ids: Iterator[np.ndarray]) -> Iterator[str]:
         """The text of a stream of ids; bytes that end inside a character wait for the next ids."""
@@ -253,7 +302,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
     schema = f"{ddl(docs)}, `{out}` array<int>" if docs.columns else f"`{out}` array<int>"
 
     def run(batches):
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo in range(0, len(column), 256):
@@ -273,7 +322,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "tex
     schema = f"{ddl(tokens)}, `{out}` string"
 
     def run(batches):
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             texts = ["".join(codec.decode([np.array(x or [], np.int64)])) for x in column.to_pylist()]
@@ -294,7 +343,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     schema = ", ".join(filter(None, [ddl(docs.select(*keep)), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", f"`{ids_column}` array<int>" if ids_column else ""]))
 
     def run(batches):
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
