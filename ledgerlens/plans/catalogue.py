@@ -1,10 +1,326 @@
-"""Registry of the engine's named queries and their reference SQL."""
+"""Registry of the engine's named queries and their reference SQL.
+
+The queries read documents rendered from the order tables (`sources.render`); the SQL tells from
+the order columns what they must find, without reading a text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import amounts, dates, names, tax_id
+from ledgerlens.operators import anchors, jobs, metrics, records, templates
+from ledgerlens.sources import files
+from ledgerlens.sources.render import documents, table, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The year of dates without one: fixed, so that results are.
+YEAR = 2024
+
+# What is known of each document: k key, st order status, tot total, sub subtotal, d date, region, the id's digits and check digits.
+KNOWN = """
+WITH base AS (
+  SELECT o_orderkey k, o_custkey c, o_orderstatus st, CAST(floor(o_totalprice) AS BIGINT) tot, CAST(floor(o_totalprice / 2) AS BIGINT) sub, CAST(o_orderdate AS DATE) d, r_name region, CAST(10000000 + o_custkey AS VARCHAR) body,
+    11 - list_sum(list_transform(range(8), lambda i: ((10000000 + o_custkey) // CAST(pow(10, i) AS BIGINT)) % 10 * (2 + i % 6))) % 11 rest
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+known AS (
+  SELECT *, substr(body, 1, 2) || '.' || substr(body, 3, 3) || '.' || substr(body, 6, 3) dotted, CASE rest WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE CAST(rest AS VARCHAR) END dv,
+    CASE st WHEN 'F' THEN 'factura_electronica' WHEN 'O' THEN 'boleta_electronica' ELSE 'nota_credito' END doc_type,
+    'Comercial ' || CASE region WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE substr(region, 1, 1) || lower(substr(region, 2)) END || ' Limitada' supplier,
+    'doc_' || k || CASE WHEN k % 3 = 0 THEN '.jpg' ELSE '.pdf' END archivo
+  FROM base),
+found AS (
+  SELECT *, CASE WHEN k % 10 = 0 THEN NULL WHEN k % 11 = 0 THEN substr(dotted, 1, 6) ELSE dotted || '-' || dv END rut_emisor, CASE WHEN k % 10 <> 3 THEN k + 100000 END folio, CASE WHEN k % 10 <> 4 THEN supplier END razon_social,
+    CASE WHEN k % 10 <> 1 THEN d END fecha_emision, CASE WHEN k % 13 = 0 THEN sub WHEN k % 10 <> 2 THEN tot END total
+  FROM known),
+listed AS (
+  SELECT *, list_filter([CASE WHEN folio IS NULL THEN 'folio' END, CASE WHEN rut_emisor IS NULL THEN 'rut_emisor' END, CASE WHEN razon_social IS NULL THEN 'razon_social' END, CASE WHEN fecha_emision IS NULL THEN 'fecha_emision' END,
+      CASE WHEN st = 'F' THEN 'neto' END, CASE WHEN st = 'F' THEN 'iva' END, CASE WHEN total IS NULL THEN 'total' END], lambda x: x IS NOT NULL) missing, CASE WHEN st = 'F' THEN 7 ELSE 5 END needed
+  FROM found),
+recs AS (
+  SELECT *, (needed - len(missing)) / CAST(needed AS DOUBLE) completeness, CASE WHEN len(missing) = 0 THEN 'OK' ELSE 'QUARANTINE' END estado FROM listed)
+"""
+
+
+def query(sql: str | None = None, known: bool = True):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = (KNOWN if known else "") + sql
+        return f
+
+    return register
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.assess(records.parse(documents(spark, sf_dir), this_year=F.lit(YEAR)))
+
+
+# --- tax ids ---
+
+
+@query("SELECT c_custkey, body || '-' || dv AS canonical_input, substr(body, 1, 2) || '.' || substr(body, 3, 3) || '.' || substr(body, 6, 3) || '-' || dv AS canonical, body || dv AS cleaned, dv, CAST(NULL AS VARCHAR) AS wrong FROM (SELECT c_custkey, body, CASE rest WHEN 11 THEN '0' WHEN 10 THEN 'K' ELSE CAST(rest AS VARCHAR) END dv FROM (SELECT c_custkey, CAST(10000000 + c_custkey AS VARCHAR) body, 11 - list_sum(list_transform(range(8), lambda i: ((10000000 + c_custkey) // CAST(pow(10, i) AS BIGINT)) % 10 * (2 + i % 6))) % 11 rest FROM customer))", known=False)
+def rut_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") + 10_000_000).cast("string").alias("body"))
+    rows = rows.withColumn("dv", tax_id.check_digit(F.col("body"))).withColumn("canonical_input", F.concat_ws("-", "body", "dv"))
+    wrong = F.concat("body", F.lit("-"), F.when(F.col("dv") == "5", "6").otherwise("5"))
+    return rows.select("c_custkey", "canonical_input", tax_id.validate(F.col("canonical_input")).alias("canonical"), tax_id.clean(F.col("canonical_input")).alias("cleaned"), "dv", tax_id.validate(wrong).alias("wrong"))
+
+
+@query("SELECT k AS doc_id, rut_emisor AS rut FROM found")
+def rut_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", tax_id.extract(F.col("text")).alias("rut"))
+
+
+@query("SELECT k AS doc_id, CAST(CASE WHEN k % 10 = 0 OR k % 11 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_ruts FROM known")
+def rut_all_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = F.concat_ws("\n", "text", "text")
+    return documents(spark, sf_dir).select("doc_id", F.size(tax_id.extract_all(twice)).alias("n_ruts"))
+
+
+# --- dates, amounts, numbers ---
+
+
+@query("SELECT k AS doc_id, fecha_emision AS fecha FROM found")
+def date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", dates.extract(F.col("text"), F.lit(YEAR)).alias("fecha"))
+
+
+@query("SELECT k AS doc_id, d AS glued, d AS short_year FROM known")
+def date_glued_and_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    glued = F.concat(F.lit("99/99/1999 x "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("09:29:50"))
+    short = F.concat(F.lit("dia "), F.date_format("o_orderdate", "d.M.yy"))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), dates.extract(glued).alias("glued"), dates.extract(short).alias("short_year"))
+
+
+@query("SELECT strftime(fecha_emision, '%Y-%m') AS mes, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM found WHERE fecha_emision IS NOT NULL GROUP BY 1")
+def month_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(dates.extract(F.col("text"), F.lit(YEAR)).alias("fecha"), amounts.extract_total(F.col("text")).alias("total"))
+    return rows.where("fecha is not null").groupBy(dates.month_of(F.col("fecha").cast("string")).alias("mes")).agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
+@query("SELECT k AS doc_id, total FROM found")
+def total_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", amounts.extract_total(F.col("text")).alias("total"))
+
+
+@query("SELECT k AS doc_id, tot AS main, tot AS cents, CAST(tot // 1000 AS BIGINT) AS anchored_comma, tot AS anchored_dot FROM known")
+def money_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("t"))
+    dotted = F.translate(F.format_number("t", 0), ",", ".")
+    comma = F.format_string("%d,%03d", F.floor(F.col("t") / 1000), F.col("t") % 1000)
+    return rows.select("doc_id", amounts.money(dotted).alias("main"), amounts.money(F.concat(dotted, F.lit(",50"))).alias("cents"), amounts.anchored_money(comma).alias("anchored_comma"), amounts.anchored_money(F.concat(dotted, F.lit(",00"))).alias("anchored_dot"))
+
+
+@query("SELECT k AS doc_id, folio FROM found")
+def folio_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", amounts.extract_folio(F.col("text")).alias("folio"))
+
+
+# --- types and names ---
+
+
+@query("SELECT k AS doc_id, doc_type FROM known")
+def classify_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", names.document_type(F.col("text")).alias("doc_type"))
+
+
+@query("SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN 'factura_electronica' WHEN 1 THEN 'dte_generico' WHEN 2 THEN 'invoice_extranjera' ELSE 'desconocido' END AS doc_type FROM known")
+def classify_ties_and_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, "nota de credito\nref. factura electronica").when(key % 4 == 1, "rut y folio").when(key % 4 == 2, "Your receipt").otherwise("hola")
+    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), names.document_type(text).alias("doc_type"))
+
+
+@query("SELECT k AS doc_id, razon_social AS proveedor FROM found")
+def supplier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", names.extract_supplier(text, tax_id.extract(text)).alias("proveedor"))
+
+
+@query("SELECT c_custkey, 'Cliente de ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' ltda' AS name FROM customer", known=False)
+def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("  CLIENTE  DE\t"), F.col("c_mktsegment"), F.lit(" LTDA "))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.normalize_name(raw).alias("name"))
+
+
+# --- records ---
+
+
+@query("SELECT k AS doc_id, archivo, strftime(fecha_emision, '%Y-%m') AS mes, fecha_emision, folio, razon_social, rut_emisor, total, doc_type, CASE WHEN fecha_emision IS NOT NULL AND rut_emisor IS NOT NULL AND total IS NOT NULL THEN 'OK' ELSE 'QUARANTINE' END AS estado FROM found")
+def records_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.native_records(documents(spark, sf_dir), this_year=F.lit(YEAR))
+    return rows.select("doc_id", "archivo", "mes", "fecha_emision", "folio", "razon_social", "rut_emisor", "total", "doc_type", "estado")
+
+
+@query("SELECT k AS doc_id, doc_type, array_to_string(missing, ',') AS missing, completeness, estado, CASE WHEN estado = 'QUARANTINE' THEN 'Faltan: ' || array_to_string(missing, ', ') || ' | Completitud: ' || CAST(CAST(round(completeness * 100) AS INTEGER) AS VARCHAR) || '%' END AS motivo FROM recs")
+def records_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir).select("doc_id", "doc_type", F.array_join("missing", ",").alias("missing"), "completeness", "estado", "motivo")
+
+
+@query("SELECT k AS doc_id, CASE WHEN k % 10 <> 0 AND k % 11 <> 0 THEN body || dv END AS rut, CASE WHEN k % 10 <> 3 THEN CAST(100000000 + k AS VARCHAR) END AS numero_documento, '05 MAR 1990' AS fecha_nacimiento, (CAST(k % 10 <> 0 AND k % 11 <> 0 AS INTEGER) + CAST(k % 10 <> 3 AS INTEGER)) / 4.0::DOUBLE AS completeness, CASE WHEN k % 10 NOT IN (0, 3) AND k % 11 <> 0 THEN 'OK' ELSE 'QUARANTINE' END AS estado FROM known")
+def records_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.when(F.col("doc_id") % 10 != 3, F.concat(F.lit("Numero de documento: "), F.translate(F.format_number(F.col("doc_id") + 100_000_000, 0), ",", ".")))
+    text = F.concat_ws("\n", F.lit("REPUBLICA DE CHILE"), F.regexp_extract("text", r"RUT: (\S+)", 1), number, F.lit("Fecha de nacimiento\n05 Mar 1990"))
+    return records.cards(documents(spark, sf_dir).select("doc_id", text.alias("text"))).drop("text")
+
+
+@query("SELECT k AS doc_id, CAST(CASE WHEN k % 10 <> 0 THEN 5 ELSE 0 END + CASE WHEN k % 10 <> 1 THEN 3 ELSE 0 END + CASE WHEN total IS NOT NULL THEN 4 ELSE 0 END + 1 AS INTEGER) AS quality FROM found")
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", records.text_quality(F.concat("text", F.lit("\n" + "·" * 60)), F.lit(YEAR)).alias("quality"))
+
+
+@query("SELECT k AS doc_id, 'dual_' || CASE WHEN k % 2 = 0 THEN 'tess' ELSE 'paddle' END || '_priority' AS engine, 0.75::DOUBLE AS score FROM known")
+def reader_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    whole = F.concat_ws("\n", "text", F.lit("RUT: 11.111.111-1 Total 5.000 01/02/2020"))
+    reading = lambda worse, score: docs.select("doc_id", F.when(worse, F.lit("nada")).otherwise(whole).alias("text"), F.lit(score).alias("score"))
+    merged = records.merge_readers(reading(F.col("doc_id") % 2 == 0, 0.5), reading(F.col("doc_id") % 2 == 1, 1.0), "doc_id", F.lit(YEAR))
+    return merged.select("doc_id", "engine", "score")
+
+
+# --- anchors and templates ---
+
+
+@query("SELECT k AS doc_id, CASE WHEN k % 10 = 0 THEN NULL ELSE dotted || '-' || CASE WHEN k % 11 = 0 THEN substr('0123456789K', strpos('0123456789K', dv) % 11 + 1, 1) ELSE dv END END AS rut, CASE WHEN k % 10 <> 2 THEN tot END AS total, folio, CASE WHEN k % 5 < 3 THEN fecha_emision END AS fecha, CASE k % 10 WHEN 0 THEN NULL WHEN 4 THEN 'EMISION:' ELSE 'COMERCIAL' END AS proveedor FROM found")
+def anchor_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = anchors.fields(tokens(documents(spark, sf_dir)), this_year=F.lit(YEAR))
+    return rows.select("doc_id", *[F.col(f"anchor_{c}").alias(c) for c in ("rut", "total", "folio", "fecha", "proveedor")])
+
+
+#: Templates of two suppliers; a text that holds both keywords is of the first.
+SUPPLIERS = [
+    templates.Template("Comercial Asia", ["comercial asia"], "76.000.000-1", {"total": r"regex: TOTAL \$\s*([\d\.]+)", "fecha": r"regex: EMISION:\s*(\S+)"}),
+    templates.Template("Comercial Europa", ["COMERCIAL EUROPE"]),
+    templates.Template("Cualquiera", ["limitada"], "77.000.000-2"),
+]
+
+
+@query("SELECT k AS doc_id, CASE WHEN k % 10 = 4 THEN NULL WHEN region = 'ASIA' THEN 'Comercial Asia' WHEN region = 'EUROPE' THEN 'Comercial Europa' ELSE 'Cualquiera' END AS template, CASE WHEN k % 10 = 4 THEN NULL WHEN region = 'ASIA' THEN '76.000.000-1' WHEN region = 'EUROPE' THEN 'EXTRANJERO' ELSE '77.000.000-2' END AS template_rut, CASE WHEN k % 10 <> 4 AND region = 'ASIA' THEN CASE WHEN k % 13 = 0 THEN sub WHEN k % 10 <> 2 THEN tot END END AS template_total, CASE WHEN k % 10 NOT IN (1, 4) AND region = 'ASIA' AND k % 5 < 3 THEN d END AS template_fecha FROM known")
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.apply(documents(spark, sf_dir), SUPPLIERS, this_year=F.lit(YEAR)).select("doc_id", "template", "template_rut", "template_total", "template_fecha")
+
+
+# --- figures ---
+
+
+@query("SELECT estado, count(*) AS n FROM recs GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.status_counts(_records(spark, sf_dir))
+
+
+@query("SELECT estado, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM recs GROUP BY ROLLUP (estado)")
+def status_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.status_sums(_records(spark, sf_dir))
+
+
+@query("SELECT field, count(*) AS n FROM (SELECT unnest(missing) AS field FROM recs WHERE estado = 'QUARANTINE') GROUP BY 1")
+def missing_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.missing_frequency(_records(spark, sf_dir))
+
+
+@query("SELECT doc_type, count(*) FILTER (estado = 'OK') AS ok, count(*) FILTER (estado = 'QUARANTINE') AS quarantine, count(*) FILTER (estado = 'REJECTED') AS rejected, count(*) AS n, round(avg(completeness), 9) AS completeness FROM recs GROUP BY 1")
+def doc_type_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.by_type(_records(spark, sf_dir)).withColumn("completeness", F.round("completeness", 9))
+
+
+@query("SELECT CASE WHEN k % 3 = 0 THEN '.jpg' ELSE '.pdf' END AS extension, count(*) AS n FROM known GROUP BY 1")
+def extension_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.by_extension(documents(spark, sf_dir))
+
+
+@query("SELECT n, pct_ok, pct_usable, CASE WHEN pct_ok >= 95 THEN 'go' WHEN pct_ok >= 90 THEN 'watch' ELSE 'stop' END AS verdict FROM (SELECT count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (estado = 'OK') / count(*), 2) AS pct_ok, 100.0::DOUBLE AS pct_usable FROM recs)")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.readiness(_records(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(2 AS INTEGER) AS mode, greatest(CAST(o_orderkey % 7 AS DOUBLE), 3.0::DOUBLE) AS score, CASE WHEN o_orderkey % 7 > 3 THEN 'c' ELSE 'b' END AS text FROM orders WHERE false UNION ALL SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 7 > 3 THEN 3 ELSE 1 END AS INTEGER), greatest(CAST(o_orderkey % 7 AS DOUBLE), 3.0::DOUBLE), CASE WHEN o_orderkey % 7 > 3 THEN 'c' ELSE 'a' END FROM orders", known=False)
+def best_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    modes = [(1, F.lit(3.0), "a"), (2, F.lit(3.0), "b"), (3, (F.col("doc_id") % 7).cast("double"), "c")]
+    readings = orders.select("doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("score"), F.lit(t).alias("text")) for m, s, t in modes])).alias("r")).select("doc_id", "r.*")
+    return metrics.best_reading(readings).select("doc_id", "mode", "score", "text")
+
+
+@query("SELECT o_orderkey AS doc_id, array_to_string(list_transform(kept, lambda x: 'l' || x), chr(10)) AS kept_text, CASE WHEN len(kept) = 0 THEN 0.0::DOUBLE ELSE list_sum(kept) / 10.0::DOUBLE / len(kept) END AS kept_score FROM (SELECT o_orderkey, list_filter(range(o_orderkey % 10), lambda x: x >= 3) AS kept FROM orders)", known=False)
+def confident_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    lines = F.transform(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i < F.col("doc_id") % 10), lambda i: F.struct(F.concat(F.lit("l"), i.cast("string")).alias("text"), (i / 10).alias("score")))
+    found = orders.withColumn("lines", lines).withColumns(metrics.confident()).drop("lines")
+    return found.withColumn("kept_score", F.round("kept_score", 9))
+
+
+ORACLES["confident_lines"] = ORACLES["confident_lines"].replace("CASE WHEN len(kept)", "round(CASE WHEN len(kept)").replace("/ len(kept) END", "/ len(kept) END, 9)")
+
+
+# --- views and sheets ---
+
+
+@query("SELECT k AS doc_id, archivo, estado FROM recs WHERE estado = 'QUARANTINE' AND (contains(lower(archivo), '12') OR contains(lower(coalesce(rut_emisor, '')), '12') OR contains(lower(coalesce(razon_social, '')), '12') OR contains(CAST(coalesce(folio, 0) AS VARCHAR), '12'))")
+def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.lit(False)
+    for c in ("archivo", "rut_emisor", "razon_social", "folio"):
+        wanted = wanted | F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains("12")
+    return _records(spark, sf_dir).where((F.coalesce("estado", F.lit("QUARANTINE")) == "QUARANTINE") & wanted).select("doc_id", "archivo", "estado")
+
+
+@query("SELECT archivo AS \"Archivo\", CAST(folio AS VARCHAR) AS \"Nro Boleta Factura\", razon_social AS \"PROVEEDOR\", rut_emisor AS \"RUT\", CAST(total AS VARCHAR) AS \"Total\", '' AS \"Observaciones\" FROM recs WHERE estado = 'OK'")
+def sheet_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.sheet(_records(spark, sf_dir), ["Archivo", "Nro Boleta Factura", "PROVEEDOR", "RUT", "Total", "Observaciones"])
+
+
+@query("SELECT estado, coalesce(CASE WHEN estado = 'QUARANTINE' THEN 'Faltan: ' || array_to_string(missing, ', ') || ' | Completitud: ' || CAST(CAST(round(completeness * 100) AS INTEGER) AS VARCHAR) || '%' END, '') AS motivo_revision, archivo AS \"Archivo\", coalesce(CAST(total AS VARCHAR), '') AS \"Total\" FROM recs")
+def sheet_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.sheet(_records(spark, sf_dir), ["Archivo", "Total"], review=True)
+
+
+@query("SELECT k AS doc_id, CASE k % 5 WHEN 0 THEN 'pdf' WHEN 4 THEN 'unknown' ELSE 'image' END AS file_type, CASE WHEN k % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN 'pdf_native' ELSE 'pdf_image' END WHEN k % 5 = 4 THEN 'unknown' ELSE 'image' END AS route, k % 3 <> 2 AS supported FROM known")
+def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    head = F.when(key % 5 == 0, "255044462D312E34").when(key % 5 == 1, "FFD8FFE0").when(key % 5 == 2, "89504E470D0A1A0A00").when(key % 5 == 3, "524946460000000057454250").otherwise("00")
+    path = F.concat(F.lit("/in/a.b/f"), F.when(key % 3 == 0, ".PDF").when(key % 3 == 1, ".tiff").otherwise(".txt"))
+    pages = F.array(F.lit(""), F.when(key % 2 == 0, F.lit("x" * 50)).otherwise(F.lit(" " * 60 + "y")))
+    rows = table(spark, sf_dir, "orders").select(key.alias("doc_id"), files.file_type(F.unhex(head)).alias("file_type"), files.has_text(pages).alias("t"), files.supported(path).alias("supported"))
+    return rows.select("doc_id", "file_type", files.route(F.col("file_type"), F.col("t")).alias("route"), "supported")
+
+
+# --- jobs ---
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+@query("SELECT o_custkey AS id, o_orderkey AS version, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1", known=False)
+def jobs_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.latest(_states(spark, sf_dir).drop("created_at"))
+
+
+@query("SELECT id, version FROM (SELECT o_custkey AS id, o_orderkey AS version, o_orderdate AS created_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) ORDER BY created_at DESC, id LIMIT 50", known=False)
+def jobs_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.newest(jobs.latest(_states(spark, sf_dir))).select("id", "version")
+
+
+@query("SELECT c_custkey AS id, CAST(count(o_orderkey) AS INTEGER) AS n_records, coalesce(string_agg(o_orderstatus, '' ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 12, '0')), '') AS statuses FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", known=False)
+def job_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("archivo"), F.col("o_orderstatus").alias("estado"))
+    found = jobs.detail(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), kept)
+    return found.select("id", F.size("records").alias("n_records"), F.array_join(F.transform("records", lambda r: r["estado"]), "").alias("statuses"))
+
+
+@query("SELECT c_custkey AS id, 'old' AS status FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, min(o_orderstatus) FROM orders WHERE o_custkey % 2 = 1 GROUP BY 1", known=False)
+def job_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("old").alias("status"))
+    return jobs.insert_new(known, _states(spark, sf_dir).select("id", "status"))
+
+
+@query("SELECT c % 97 AS job_id, count(*) FILTER (estado IN ('OK', 'QUARANTINE')) AS processed, count(*) FILTER (estado NOT IN ('OK', 'QUARANTINE')) AS failed FROM recs GROUP BY 1")
+def job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 97).alias("job_id"))
+    return jobs.counters(_records(spark, sf_dir).select("doc_id", "estado").join(people, "doc_id"))
