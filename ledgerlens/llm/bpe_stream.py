@@ -19,8 +19,6 @@ import hashlib
 import itertools
 import json
 import struct
-import sys
-import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +32,7 @@ from ledgerlens.llm._spark import ddl
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts and token pairs that are remembered, and characters read at a time.
-REMEMBERED, PAIRS, WINDOW = 250_000, 600_000, 1 << 16
+REMEMBERED, PAIRS, WINDOW = 120_000, 300_000, 1 << 16
 #: The rank of what no merge joins.
 NEVER = 1 << 40
 
@@ -169,6 +167,15 @@ class Transducer:
                 found.append((end, token))
         return found
 
+    def pretoken(self, pretoken: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        text = pretoken.encode()
+        if len(text) <= self.lookahead:
+            path = self.whole(text)
+            return struct.pack(f"<{len(path)}I", *path)
+        blocks = (text[i : i + WINDOW] for i in range(0, len(text), WINDOW))
+        return b"".join(np.array(part, "<u4").tobytes() for part in self.stream(blocks))
+
     def stream(self, blocks: Iterator[bytes]) -> Iterator[list[int]]:
         kept, last, size = b"", [-1], [0]
         for block in blocks:
@@ -224,39 +231,19 @@ class _Known(dict):
         return found
 
 
-def codec_of(path: str) -> Codec:
-    """A codec that outlives the task, if Spark uses the worker again."""
-    kept = sys.modules.setdefault("_bpe_codecs", types.ModuleType("_bpe_codecs")).__dict__
-    if path not in kept:
-        kept[path] = Codec(path)
-    return kept[path]
-
-
 class Codec:
     """Encodes and decodes whole texts in windows."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.transducer = Transducer(self.vocabulary)
-        self.pretokens = _Known(self._pretoken)
-        self.chunks = _Known(self._chunk)
-        self.split = regex.compile(SPLIT)
+        # nothing refers back to the codec: its memory is free as soon as its task ends
+        pretokens, split = _Known(self.transducer.pretoken), regex.compile(SPLIT)
+        self.chunks = _Known(lambda chunk: b"".join(map(pretokens.__getitem__, split.findall(chunk))))
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.safe = regex.compile(r"(?<=[^\s]) (?=[^\s])")
 
-    def _pretoken(self, pretoken: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        text = pretoken.encode()
-        if len(text) <= self.transducer.lookahead:
-            path = self.transducer.whole(text)
-            return struct.pack(f"<{len(path)}I", *path)
-        blocks = (text[i : i + WINDOW] for i in range(0, len(text), WINDOW))
-        return b"".join(np.array(part, "<u4").tobytes() for part in self.transducer.stream(blocks))
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pretokens.__getitem__, self.split.findall(chunk)))
-
     def windows(self, text: str) -> Iterator[str]:
         """Parts between which no pretoken lies: cuts are single spaces between other characters."""
         at = 0
@@ -302,7 +289,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
     schema = f"{ddl(docs)}, `{out}` array<int>" if docs.columns else f"`{out}` array<int>"
 
     def run(batches):
-        codec = codec_of(path)
+        codec = Codec(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo in range(0, len(column), 256):
@@ -322,7 +309,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "tex
     schema = f"{ddl(tokens)}, `{out}` string"
 
     def run(batches):
-        codec = codec_of(path)
+        codec = Codec(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             texts = ["".join(codec.decode([np.array(x or [], np.int64)])) for x in column.to_pylist()]
@@ -343,7 +330,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     schema = ", ".join(filter(None, [ddl(docs.select(*keep)), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", f"`{ids_column}` array<int>" if ids_column else ""]))
 
     def run(batches):
-        codec = codec_of(path)
+        codec = Codec(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
