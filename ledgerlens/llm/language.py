@@ -198,10 +198,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
 def _mostly_odd(column: pa.Array) -> np.ndarray:
     """Rows without an ASCII letter but with other bytes over 127."""
-    data, offsets = _text.utf8(column)
-    plain = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
-    odd = np.concatenate(([0], np.cumsum(data >= 128)))
-    return (plain[offsets[1:]] == plain[offsets[:-1]]) & (odd[offsets[1:]] > odd[offsets[:-1]])
+    found = np.zeros(len(column), bool)
+    for lo, hi, data, offsets in _text.pieces(column):
+        odd = np.concatenate(([0], np.cumsum(data >= 128)))
+        letter = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))))
+        found[lo:hi] = (letter[offsets[1:]] == letter[offsets[:-1]]) & (odd[offsets[1:]] > odd[offsets[:-1]])
+    return found
 
 
 def identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
