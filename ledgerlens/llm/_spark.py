@@ -21,6 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch of texts: both sides of a Python worker hold whole batches.
+TEXT_ROWS = 2_000
+
+
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow for tables with texts; from then on the session's batches have TEXT_ROWS rows at most."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def remainder(column: str, n: int):
     """crc32 of an id written as text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._spark import ddl
+from ledgerlens.llm._spark import ddl, map_texts
 
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=[*part.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
@@ -315,7 +315,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "tex
             texts = ["".join(codec.decode([np.array(x or [], np.int64)])) for x in column.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return tokens.mapInArrow(run, schema)
+    return map_texts(tokens, run, schema)
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids_column: str | None = None) -> DataFrame:
@@ -357,4 +357,4 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(kept_ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *arrays], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)

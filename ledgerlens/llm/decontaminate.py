@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl
+from ledgerlens.llm._spark import ddl, map_texts
 
 N, SHARE, BLOCK_WORDS = 13, 20, 4_000_000
 
@@ -108,7 +108,7 @@ def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str])
             found = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=[*keep, "n_words", "spans", "item_ids"])
 
-    return docs.mapInArrow(run, f"{ddl(docs.select(*keep))}, {FOUND}")
+    return map_texts(docs, run, f"{ddl(docs.select(*keep))}, {FOUND}")
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple[object, str]]]:
@@ -181,4 +181,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return found.mapInArrow(run, schema)
+    return map_texts(found, run, schema)

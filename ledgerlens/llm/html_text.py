@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerlens.llm._spark import ddl
+from ledgerlens.llm._spark import ddl, map_texts
 
 # Elements by how they are shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -254,4 +254,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
                 texts = [None if x is None else html_to_text(x) for x in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, out])
 
-    return pages.mapInArrow(run, f"{ddl(pages.select(*kept))}, `{out}` string" if kept else f"`{out}` string")
+    return map_texts(pages, run, f"{ddl(pages.select(*kept))}, `{out}` string" if kept else f"`{out}` string")

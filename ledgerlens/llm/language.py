@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl
+from ledgerlens.llm._spark import ddl, map_texts
 
 #: n-gram length, hash buckets, EM steps, penalty per language, labelled rows and languages learned from.
 ORDER, BUCKETS, STEPS, PENALTY, SAMPLE, LANGUAGES = 3, 1 << 16, 12, 1.0, 20_000, 256
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     languages = sorted(r[0] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    counts = labelled.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = map_texts(labelled, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages), BUCKETS), 0.5)
     place = {x: i for i, x in enumerate(languages)}
     table[[place[x] for x in counts.column(0).to_pylist()], counts.column(1).to_numpy()] += counts.column(2).to_numpy()
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             arrays = [pa.array([names[i] for i in which], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(listed, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + arrays, names=[*keep, "lang_pred", "score", "shares"])
 
-    return docs.mapInArrow(run, f"{ddl(docs.select(*keep))}, lang_pred string, score double, shares map<string,double>")
+    return map_texts(docs, run, f"{ddl(docs.select(*keep))}, lang_pred string, score double, shares map<string,double>")
 
 
 def _mostly_odd(column: pa.Array) -> np.ndarray:

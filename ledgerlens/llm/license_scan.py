@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl
+from ledgerlens.llm._spark import ddl, map_texts
 
 #: Words of a gram, diagonals that may lie apart within a span, share of a template that must be covered.
 K, GAP, SHARE = 3, 8, 0.75
@@ -90,7 +90,7 @@ def _phrases(docs: DataFrame, text: str, base: dict[str, str]) -> DataFrame:
             arrays = [pa.array(counts), pa.array(places), pa.array(least, mask=none), pa.array(most, mask=none), pa.array([sorted(labels.get(i, ())) for i in range(n)], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + arrays, names=[*kept, "n_words", "n_base", "first_word", "last_word", "base_list"])
 
-    return docs.mapInArrow(run, f"{ddl(docs.select(*kept))}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_list array<string>")
+    return map_texts(docs, run, f"{ddl(docs.select(*kept))}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_list array<string>")
 
 
 def _grams(docs: DataFrame, text: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _grams(docs: DataFrame, text: str) -> DataFrame:
                 grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(h))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in kept), grams], names=[*kept, "grams"])
 
-    return docs.mapInArrow(run, f"{ddl(docs.select(*kept))}, grams array<bigint>")
+    return map_texts(docs, run, f"{ddl(docs.select(*kept))}, grams array<bigint>")
 
 
 def _template_grams(spark, templates: list[tuple[str, str]]) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import cut, in_chunks
+from ledgerlens.llm._spark import cut, in_chunks, map_texts
 
 #: Characters of a line that takes part at least, and edits between near copies at most.
 LEAST, EDITS = 20, 2
@@ -166,7 +166,7 @@ def _keyed(docs: DataFrame, edits: int, least: int) -> DataFrame:
                 tagged = np.concatenate([h[i] & ~np.uint64(1) | np.uint64(indexed) for i, _, indexed in found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tagged)], names=["key", "tagged"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, tagged bigint")
+    return map_texts(docs.select("text"), run, "key bigint, tagged bigint")
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:

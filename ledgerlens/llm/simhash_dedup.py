@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm._graph import components
-from ledgerlens.llm._spark import cut, ddl, in_chunks
+from ledgerlens.llm._spark import cut, ddl, in_chunks, map_texts
 
 #: Words of a shingle, seed of its hash, differing bits of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int
             found = np.array([fingerprint(x.as_py(), size) for x in batch.column(len(kept))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found.view(np.int64))], names=[*kept, out])
 
-    return docs.mapInArrow(run, f"{ddl(docs.select(*kept))}, `{out}` bigint")
+    return map_texts(docs, run, f"{ddl(docs.select(*kept))}, `{out}` bigint")
 
 
 def block_masks(n: int, distance: int = DISTANCE, room: int = 64) -> list[int]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl
+from ledgerlens.llm._spark import ddl, map_texts
 from ledgerlens.llm.language import LETTERS
 
 #: Hash bits of features, length of their vectors, labelled rows and features of these that are learned from.
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 listed = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.string()), batch.column(1).slice(lo, hi - lo), listed], names=["key", "y", "features"])
 
-    table = rows.mapInArrow(run, "key string, y int, features array<int>").toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
+    table = map_texts(rows, run, "key string, y int, features array<int>").toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
     found = [np.asarray(x.values) for x in table.column("features")]
     total = np.cumsum([len(x) for x in found])
     n = int(np.searchsorted(total, FEATURES, "right"))
@@ -157,4 +157,4 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str]
             arrays = [pa.array(out), pa.array((out >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + arrays, names=[*keep, "score", "predicted"])
 
-    return docs.mapInArrow(run, f"{ddl(docs.select(*keep))}, score double, predicted int")
+    return map_texts(docs, run, f"{ddl(docs.select(*keep))}, score double, predicted int")
