@@ -32,7 +32,7 @@ from ledgerlens.llm._spark import ddl, map_texts
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts and token pairs that are remembered, and characters read at a time.
-REMEMBERED, PAIRS, WINDOW = 120_000, 300_000, 1 << 16
+REMEMBERED, PAIRS, WINDOW = 160_000, 400_000, 1 << 16
 #: The rank of what no merge joins.
 NEVER = 1 << 40
 
@@ -63,20 +63,22 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        self.made: dict[int, tuple[int, int, int]] = {}
+        for (a, b), (rank, i) in self.ranks.items():
+            self.made.setdefault(i, (a, b, rank))
         self.by_bytes = {self.bytes[i]: i for i in self.byte_ids.values()}
         self.by_bytes |= {self.bytes[i]: i for _, i in self.ranks.values()}
 
-    def edges(self) -> tuple[dict[int, list], dict[int, list]]:
-        """For each token, the pieces at its right and at its left end, as the merges build it up.
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The pieces at a token's left (0) or right (1) end, as the merges build it up.
 
         A piece comes with the rank of the merge that takes it in; the token itself has none.
         """
-        right = {i: [(i, NEVER)] for i in self.byte_ids.values()}
-        left = {i: [(i, NEVER)] for i in self.byte_ids.values()}
-        for (a, b), (rank, made) in self.ranks.items():  # in the order of the ranks
-            right[made] = [*right[b][:-1], (b, rank), (made, NEVER)]
-            left[made] = [*left[a][:-1], (a, rank), (made, NEVER)]
-        return right, left
+        pieces = [(token, NEVER)]
+        while (made := self.made.get(token)) is not None:
+            token = made[side]
+            pieces.append((token, made[2]))
+        return pieces[::-1]
 
 
 def sufficient_lookahead(vocabulary: Vocabulary) -> int:
@@ -90,7 +92,7 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.lookahead = sufficient_lookahead(vocabulary)
-        self.right, self.left = vocabulary.edges()
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._fits: dict[int, bool] = {}
         self.reach = {}
         for token, i in vocabulary.by_bytes.items():
@@ -105,7 +107,13 @@ class Transducer:
         if known is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            known = self._fits[pair] = self._stay_apart(self.right[left], self.left[right])
+            known = self._fits[pair] = self._stay_apart(self._edge(left, 1), self._edge(right, 0))
+        return known
+
+    def _edge(self, token: int, side: int) -> list:
+        known = self.edges[side].get(token)
+        if known is None:
+            known = self.edges[side][token] = self.vocabulary.edge(token, side)
         return known
 
     def _stay_apart(self, right: list, left: list) -> bool:
