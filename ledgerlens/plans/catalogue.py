@@ -6,6 +6,7 @@ the order columns what they must find, without reading a text.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,11 @@ def query(sql: str | None = None, known: bool = True):
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.assess(records.parse(documents(spark, sf_dir), this_year=F.lit(YEAR)))
+    """Assessed records, checkpointed: filters on them would otherwise repeat the whole reading of the text."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return records.assess(records.parse(documents(spark, sf_dir), this_year=F.lit(YEAR))).checkpoint()
 
 
 # --- tax ids ---
