@@ -170,7 +170,10 @@ def _keyed(docs: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:
-    """key, half: the keys that index a line and that another line has, with all their lines (hashes without the last bit)."""
+    """key, half: the keys that index a line and that another line has, with all their lines (hashes without the last bit).
+
+    The lines of a key with over HELD of them may come more than once.
+    """
     keyed = keyed.repartition("key").sortWithinPartitions("key")
 
     def run(batches):
@@ -209,7 +212,7 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 
 def _nearest(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """h, h2 and near: the earliest place of the earlier lines within the distance of a line that has any."""
-    met = cut(_candidates(_keyed(docs, edits, least)))
+    met = cut(_candidates(_keyed(docs, edits, least)).distinct())
     wanted = cut(met.select("half").distinct())
     few = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     lines = _lines(docs, least).withColumn("half", F.shiftright("h", 1)).join(few, "half")
@@ -258,7 +261,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     places = _lines(docs, least).drop("line")
     firsts = places.groupBy("h", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     marked = firsts.join(near, ["h", "h2"], "left").where("n > 1 or near is not null")
-    gone = places.join(marked, ["h", "h2"]).where((_place() != F.col("first")) | F.col("near").isNotNull())
+    gone = places.join(marked, ["h", "h2"]).where((_place() != F.col("first")) | (F.col("near") < F.col("first")))
     partner = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))["doc"]
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("dropped"), F.array_sort(F.collect_set(partner)).alias("partners"))
 

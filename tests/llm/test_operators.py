@@ -225,6 +225,24 @@ def test_line_dedup(spark, empty):
     assert left[40] is None and left[41] == "" and line_dedup.find(empty).count() == 0
 
 
+def test_line_dedup_of_a_key_with_more_lines_than_are_held(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", 3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "4")
+    try:
+        deal = random.Random(8)
+        lines = ["shared segment" + "".join(deal.choice("abcdefgh") for _ in range(26)) for _ in range(40)]
+        lines += [lines[0], lines[7], lines[3][:-1] + "Z", lines[9][:20] + "Q" + lines[9][20:]]
+        rows = spark.createDataFrame([*enumerate(lines)], "doc_id bigint, text string")
+        want = [i for i, x in enumerate(lines) if any(edit_distance(x, y) <= 2 for y in lines[:i])]
+        assert want == [40, 41, 42, 43]
+        assert sorted(r["doc_id"] for r in line_dedup.find(rows).collect() if r["dropped"]) == want
+        assert line_dedup.dedup(rows).count() == 40
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_pipeline_stages_equal_their_operators_by_brute_force(spark):
     names = {}
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
