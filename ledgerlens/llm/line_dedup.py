@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least `LEAST` characters take part. A line is dropped where it repeats an earlier line
-or, at its first place, if an earlier line is within edit distance `EDITS` of it. Earlier means a
-smaller document id (null ids first), then row, then line number.
+Lines of at least `LEAST` characters take part in the edit join. A line is dropped where it repeats
+an earlier line or, at its first place, if an earlier line is within edit distance `EDITS` of it.
+Repeats need no segments: with `repeats` they are dropped from that many characters on, of lines
+that aren't blank. Earlier means a smaller document id (null ids first), then row, then line number.
 
 Of two lines within the distance, one of the `EDITS + 1` segments into which the one is split
 stands unchanged in the other, near its own place. So each line is indexed by its segments and
@@ -255,10 +256,11 @@ def _nearest(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return found.groupBy("h", "h2").agg(F.min("near").alias("near"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, repeats: int | None = None) -> DataFrame:
     """row, dropped (line numbers, from 0) and partners (ids that have the earlier lines) of docs with row, doc and text."""
     near = cut(_nearest(docs, edits, least))
-    places = _lines(docs, least).drop("line")
+    repeats = least if repeats is None else repeats
+    places = _lines(docs, min(repeats, least)).where((F.length("line") >= least) | F.col("line").rlike(r"\S")).drop("line")
     firsts = places.groupBy("h", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     marked = firsts.join(near, ["h", "h2"], "left").where("n > 1 or near is not null")
     gone = places.join(marked, ["h", "h2"]).where((_place() != F.col("first")) | (F.col("near") < F.col("first")))
@@ -266,21 +268,21 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("dropped"), F.array_sort(F.collect_set(partner)).alias("partners"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, repeats: int | None = None) -> DataFrame:
     """key, n_lines, n_dropped, dropped and partners of each row."""
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    gone = dropped_lines(docs, edits, least)
+    gone = dropped_lines(docs, edits, least, repeats)
     count = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     rows = docs.select("row", F.col("doc").alias(key), F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines")).join(gone, "row", "left")
     none = F.array()
     return rows.select(key, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none.cast("array<int>")).alias("dropped"), F.coalesce("partners", none.cast(gone.schema["partners"].dataType)).alias("partners"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, repeats: int | None = None) -> DataFrame:
     """docs without their dropped lines, and without the documents of which nothing but space is left then."""
     columns = docs.columns
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = dropped_lines(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col("_row").alias("row")), edits, least)
+    gone = dropped_lines(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col("_row").alias("row")), edits, least, repeats)
     docs = docs.join(gone.select(F.col("row").alias("_row"), F.col("dropped").alias("_dropped")), "_row", "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_dropped", i)), "\n")
     docs = docs.withColumn("_left", F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(left))

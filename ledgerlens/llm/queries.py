@@ -80,4 +80,4 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.find(table(spark, sf_dir, "documents"))
+    return line_dedup.find(table(spark, sf_dir, "documents"), repeats=1)

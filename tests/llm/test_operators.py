@@ -243,6 +243,15 @@ def test_line_dedup_of_a_key_with_more_lines_than_are_held(spark, monkeypatch):
         spark.conf.set(batch, before)
 
 
+def test_line_dedup_of_short_repeats(spark, tmp_path):
+    texts = ["Home\n\nMenu\n x", "Home\n\nMenus\n  \nx", "Menu\n  \nnew", "a line of over twenty characters\nHome", None]
+    spark.createDataFrame([(i, t, "l1", "s", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["dropped"] for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {0: [], 1: [0], 2: [0], 3: [1], 4: []}
+    left = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {0: texts[0], 1: "\nMenus\n  \nx", 2: "  \nnew", 3: "a line of over twenty characters", 4: None}
+
+
 def test_pipeline_stages_equal_their_operators_by_brute_force(spark):
     names = {}
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
