@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream, decontaminate, language, line_dedup, simhash_dedup
+from ledgerlens.llm import bpe_stream, decontaminate, language, line_dedup, near_dedup
 from ledgerlens.llm._spark import cut, table
 from ledgerlens.llm.queries import tokenizer_path
 
@@ -22,8 +22,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,6 +252,40 @@ def test_line_dedup_of_short_repeats(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in left} == {0: texts[0], 1: "\nMenus\n  \nx", 2: "  \nnew", 3: "a line of over twenty characters", 4: None}
 
 
+def test_pipeline_near_duplicates_by_jaccard(spark, monkeypatch):
+    from ledgerlens.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+    deal = random.Random(3)
+    texts = [None, "", "one two", "One  two", "one two three"]
+    for size in (8, 30, 30, 90, 200, 400):
+        base = [f"w{deal.randrange(5000)}" for _ in range(size)]
+        for edits in (0, 0, 1, 1, 1, 1, 2, 3, 5, 8, *[1] * 14):
+            words = list(base)
+            for _ in range(edits):
+                words[deal.randrange(size)] = f"v{deal.randrange(5000)}"
+            texts.append(" ".join(words))
+    common = " ".join(f"c{i}" for i in range(30))
+    texts += [f"{common} " + " ".join(f"u{deal.randrange(5000)}" for _ in range(40)) for _ in range(20)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows.collect(), rows.schema), DATA)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root(i) for i in range(len(texts))})
+    assert corpus_pipeline.drop_near_duplicates(spark, rows.where("doc_id < 0"), DATA).count() == 0
+
+
 def test_pipeline_stages_equal_their_operators_by_brute_force(spark):
     names = {}
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
