@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import _text
 from ledgerlens.llm._spark import ddl, map_texts
 
-#: n-gram length, hash buckets, EM steps, penalty per language, labelled rows and languages learned from.
+#: n-gram length, hash buckets, EM steps, penalty per language, texts and languages learned from.
 ORDER, BUCKETS, STEPS, PENALTY, SAMPLE, LANGUAGES = 3, 1 << 16, 12, 1.0, 20_000, 256
 #: A language with a smaller share of the words of a document isn't taken into its set.
 LEAST = 0.02
@@ -69,12 +69,30 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (h * np.uint32(0x85EBCA77)) >> np.uint32(16), begin, first
 
 
+def quota(sizes: list[int], sample: int) -> int:
+    """How many texts of each language may be read, at least one, for about `sample` in all."""
+    left = sample
+    for i, n in enumerate(sorted(sizes)):
+        most = max(1, left // (len(sizes) - i))
+        if n > most:
+            return most
+        left -= n
+    return max(sizes, default=1)
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from about `sample` rows with text and language, chosen by a hash of the text."""
-    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    total = labelled.count()
-    if total > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * sample / total))
+    """Learns all languages of the rows with text and language, each from its different texts: all, or those chosen by a hash so that about `sample` texts are read."""
+    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("lang is not null and text is not null")
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h")).limit(LANGUAGES + 1).collect()}
+    languages = sorted(sizes)
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    most = quota(list(sizes.values()), sample)
+    shares = [(x, int((1 << 40) * most / n)) for x, n in sizes.items() if n > most]
+    if shares:
+        chosen = F.create_map(*[F.lit(x) for pair in shares for x in pair])[F.col("lang")]
+        labelled = labelled.where(F.pmod("h", F.lit(1 << 40)) < F.coalesce(chosen, F.lit(1 << 40)))
+    labelled = labelled.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -90,9 +108,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
             full = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(counts[full], pa.int64())], names=["lang", "bucket", "n"])
 
-    languages = sorted(r[0] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     counts = map_texts(labelled, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages), BUCKETS), 0.5)
     place = {x: i for i, x in enumerate(languages)}

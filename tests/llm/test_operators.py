@@ -52,6 +52,18 @@ def test_language_mixture(spark):
     assert set(shares[0]["shares"]) == {"en", "de"} and shares[1]["lang_pred"] == "en"
 
 
+def test_language_sample_keeps_rare_languages_and_no_copies(spark):
+    rows = [(f"the cat number {i} sat on that mat", "en") for i in range(3000)] + [(f"der hund {i} lief über die straße", "de") for i in range(5)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    assert model.languages == ["de", "en"]
+    everything = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    copied = language.fit(spark.createDataFrame(rows + rows[:1] * 1500, "text string, lang string"))
+    assert np.array_equal(everything.logp, copied.logp)
+    sampled = language.fit(spark.createDataFrame(rows + rows[:1] * 1500, "text string, lang string"), sample=20)
+    assert np.array_equal(model.logp[0], everything.logp[0]) and np.array_equal(model.logp, sampled.logp)
+    assert language.quota([5, 3000], 20) == 15 and language.quota([5, 7], 20) == 7 and language.quota([9, 9, 9], 2) == 1
+
+
 def test_hash_search(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(120, 16)).astype(np.float32).tolist()
