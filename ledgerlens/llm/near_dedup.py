@@ -30,7 +30,9 @@ SHINGLE, UP, DOWN = 5, 4, 9
 #: Bins of a set's counts, sets of a chunk, sets of a meeting whose pairs are compared at once.
 BINS, CHUNK, SMALL = 64, 2_048, 16
 #: Documents and buckets of the table of frequent shingles.
-SAMPLE, BUCKETS = 20_000, 1 << 20
+SAMPLE, BUCKETS = 5_000, 1 << 20
+#: Bins of the counts that are compared before whole texts are, and sets whose places may be broadcast.
+FINE, FEW = 1_024, 1_000_000
 
 
 def _words() -> np.ndarray:
@@ -67,7 +69,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
     counts = map_texts(docs.select("text"), run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(BUCKETS, np.int64)
     seen[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-    return np.log2(np.maximum(seen // 16, 1)).astype(np.uint8)
+    return np.log2(np.maximum(seen // 4, 1)).astype(np.uint8)
 
 
 def _sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
@@ -91,8 +93,8 @@ def _sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
 
 
 def _meeting(keyed: DataFrame) -> DataFrame:
-    """The rows (key, set) whose key another row has too."""
-    keyed = keyed.repartition("key").sortWithinPartitions("key")
+    """The different rows (key, set) whose key another set has too."""
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "set")
 
     def run(batches):
         held = np.zeros((2, 0), np.int64)
@@ -101,6 +103,7 @@ def _meeting(keyed: DataFrame) -> DataFrame:
             rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
             if not rows.shape[1]:
                 continue
+            rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]
             same = rows[0, 1:] == rows[0, :-1]
             before, after = np.concatenate(([met], same)), np.concatenate((same, [False]))
             keep = (before | after)[:-1]
@@ -173,19 +176,38 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs of similarity 4/5 or more, by the shingles of their whole texts."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    texts = docs.join(rows.join(wanted, "set"), "row").select("set", "text")
+    """The pairs (a checkpoint) of similarity 4/5 or more, by the shingles of their whole texts."""
 
-    def run(batches):
-        for batch in batches:
-            for i, h in enumerate(shingles(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["set", "h"])
+    def hashed(pairs: DataFrame, fine: bool) -> tuple[DataFrame, DataFrame]:
+        """set and h of the sets of pairs: counts in fine bins, or all hashes."""
+        wanted = cut(rows.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set"))
+        texts = docs.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "row").select("set", "text")
+
+        def run(batches):
+            for batch in batches:
+                for i, h in enumerate(shingles(batch.column(1))):
+                    found = np.bincount((h >> np.uint64(32)).astype(np.int64) % FINE, minlength=FINE).astype(np.int32) if fine else h
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found.tobytes()], pa.binary())], names=["set", "h"])
 
-    found = cut(map_texts(texts, run, "set bigint, h array<bigint>"))
-    both = pairs.join(found.select(F.col("set").alias("a"), F.col("h").alias("x")), "a").join(found.select(F.col("set").alias("b"), F.col("h").alias("y")), "b")
-    return cut(both.where(F.size(F.array_intersect("x", "y")) * DOWN >= UP * (F.size("x") + F.size("y"))).select("a", "b"))
+        found = map_texts(texts, run, "set bigint, h binary")
+        return found.select(F.col("set").alias("a"), F.col("h").alias("x")), found.select(F.col("set").alias("b"), F.col("h").alias("y"))
+
+    def compare(batches, fine):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.int32 if fine else np.uint64) for v in (x, y))
+                if fine:
+                    keep.append(int(np.abs(x - y).sum()) * DOWN <= (DOWN - 2 * UP) * int(x.sum() + y.sum()))
+                else:
+                    keep.append(len(np.intersect1d(x, y, assume_unique=True)) * DOWN >= UP * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for fine in (True, False):
+        x, y = hashed(pairs, fine)
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        pairs = cut(both.mapInArrow(lambda batches, fine=fine: compare(batches, fine), "a bigint, b bigint"))
+    return pairs
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,13 +219,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     texts = docs.select(F.col("_row").alias("row"), F.col(text).alias("text"))
     found = cut(_sets(texts, frequent(texts)))
-    sets = cut(found.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")))
-    met = cut(in_chunks(cut(_meeting(sets.select(F.explode("prefix").alias("key"), "set").select("key", "set"))), "set", CHUNK))
+    met = cut(in_chunks(cut(_meeting(found.select(F.explode("prefix").alias("key"), "set").select("key", "set"))), "set", CHUNK))
+    several = met.select("set").distinct()
+    sets = cut(found.select("row", "set", "n", "bins").join(several, "set").groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bins").alias("bins")))
     members, rows = met.join(sets.select("set", "n", "bins"), "set"), sets.select("set", "row")
-    links = _verified(_pairs(members.withColumn("root", F.col("set")), False), texts, rows)
+    tried = cut(_pairs(members.withColumn("root", F.col("set")), False))
+    links = _verified(tried, texts, rows)
     roots = components(links).select(F.col("node").alias("set"), "root")
     members = members.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    links = links.unionByName(_verified(_pairs(members, True), texts, rows))
+    links = links.unionByName(_verified(cut(_pairs(members, True).join(tried, ["a", "b"], "left_anti")), texts, rows))
     roots = components(links).select(F.col("node").alias("set"), "root")
     named = docs.select("_row", F.col(key).alias("_key")).join(found.select(F.col("row").alias("_row"), "set"), "_row").join(roots, "set", "left")
     first = F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).alias("_first")
