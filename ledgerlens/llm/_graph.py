@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._spark import cut
+from ledgerlens.llm._spark import HOT_ROWS, cut, join_dealt
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +53,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         state = now
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # the centre of a star has as many rows as the star
+        centred = join_dealt(both.where("v > u"), least, ["u"], ["v"]) if now[0] > HOT_ROWS else both.where("v > u").join(least, "u")
+        large = centred.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = cut(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())

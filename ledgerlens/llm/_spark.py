@@ -16,11 +16,53 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the folder that all executors share; recomputed by nobody, lost with no executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))  # one process, as in tests
     return df.checkpoint(eager=True)
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named _0, _1 and so on, which no result has, and their own names."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))), df.columns
+
+
+def renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of `positional`, with their own names again."""
+    return df.select(*(f"_{i}" for i in range(len(names)))).toDF(*names)
+
+
+def without(columns: list[str], results: list[str]) -> list[str]:
+    """The columns but those that a result replaces: names don't tell case apart."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def quoted(*columns: str) -> list[str]:
+    return ["`{}`".format(c.replace("`", "``")) for c in columns]
+
+
+#: Rows that one key may bring to a task before its rows are dealt to several, and such keys at most: they are broadcast.
+HOT_ROWS, HOT_KEYS = 1_000, 50_000
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """rows.join(table, on), where table has a row for each key, and in column `n` how many of rows have it.
+
+    Rows of keys with many of them are dealt to several tasks by a hash of the columns `spread`.
+    The keys with more rows than a HOT_KEYS-th of all are HOT_KEYS at most.
+    """
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS + 1)
+    if (most or 0) <= bound:
+        return rows.join(table, on, how)
+    hot = F.broadcast(table.where(F.col(n) > bound).select(*on, F.ceil(F.col(n) / bound).cast("int").alias("_parts")))
+    rows = rows.join(hot, on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"))).drop("_parts")
+    parts = F.when(F.col(n) > bound, F.ceil(F.col(n) / bound).cast("int")).otherwise(1)
+    return rows.join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [*on, "_part"], how).drop("_part")
+
+
 #: Rows of an Arrow batch of texts: both sides of a Python worker hold whole batches.
 TEXT_ROWS = 2_000
 
@@ -40,7 +82,7 @@ def remainder(column: str, n: int):
 
 def ddl(df: DataFrame) -> str:
     """The columns of df as a schema text."""
-    return ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in df.schema.fields)
+    return ", ".join(f"{quoted(f.name)[0]} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def in_chunks(keyed: DataFrame, member: str, most: int) -> DataFrame:

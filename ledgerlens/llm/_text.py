@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at a time; a longer document is a piece of its own.
+#: Bytes of text worked on at a time; a longer document is a piece of its own, or comes in windows.
 PIECE = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -37,6 +37,47 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
+def windows(column: pa.Array, table: np.ndarray, again: int = 0, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Like `pieces`, but a row of over two sizes comes in several windows: (first row, end row, bytes, offsets, words again).
+
+    Windows end before a separator of the table. Those after a row's first one begin with the last
+    `again` words of the one before; the last entry tells how many.
+    """
+    for lo, hi, data, offsets in pieces(column, size):
+        if len(data) <= 2 * size:
+            yield lo, hi, data, offsets, 0
+            continue
+        begin = end = known = 0
+        while end < len(data):
+            end = _separator(data, end + size, table)
+            yield lo, hi, data[begin:end], np.array([0, end - begin]), known
+            begin, known = _last_words(data, begin, end, again, table)
+
+
+def _separator(data: np.ndarray, at: int, table: np.ndarray) -> int:
+    while at < len(data):
+        found = np.flatnonzero(table[data[at : at + 65_536]] == 0)
+        if len(found):
+            return at + int(found[0])
+        at += 65_536
+    return len(data)
+
+
+def _last_words(data: np.ndarray, begin: int, end: int, n: int, table: np.ndarray) -> tuple[int, int]:
+    """Where the last n words of data[begin:end] begin, and how many there are of them."""
+    tail = 4_096
+    while n:
+        at = max(begin, end - tail)
+        inside = table[data[at:end]] != 0
+        starts = at + np.flatnonzero(inside & ~np.concatenate(([at > begin], inside[:-1])))  # a word that the tail cuts doesn't count
+        if len(starts) >= n:
+            return int(starts[-n]), n
+        if at == begin:
+            return (int(starts[0]) if len(starts) else end), len(starts)
+        tail *= 4
+    return end, 0
+
+
 def _table(word: np.ndarray) -> np.ndarray:
     """Byte table: 0 for separators, else the byte with A-Z lower-cased."""
     table = np.arange(256, dtype=np.uint8)
@@ -91,7 +132,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Sums from which `span_hash` takes the hash of any span of the odd numbers given."""
     if len(_cache["powers"][0]) <= len(values):
-        _cache["powers"] = _powers(max(len(values), PIECE + (1 << 16)))
+        _cache["powers"] = _powers(max(len(values), 2 * PIECE + (1 << 16)))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _cache["powers"][0][: len(values)], dtype=np.uint64, out=sums[1:])
     return sums

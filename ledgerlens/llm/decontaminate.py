@@ -6,13 +6,18 @@ Each task scans the word windows of its documents against the set, verifies each
 and marks the words inside it. A document is contaminated if it has a hit and at least one word
 in `1 / share` is hit.
 
-The set is broadcast only up to `block_words` benchmark words; a larger benchmark is scanned in
-blocks of items of that size, whose spans are joined by document. Null texts have no words; null
-item ids count for hits, not as items; copies of an item are one item if they share the id.
+The set is broadcast only up to `block_words` benchmark words. A larger benchmark is dealt by item
+into blocks of about that size: one block is read, scanned and checkpointed before the next one, and
+the hits are joined by row, so the result is that of a single block.
+
+Null texts have no words; null item ids count for hits, not as items; copies of an item are one item
+if they share the id. Rows are judged one by one, also those that repeat an id. Texts are read in
+windows of about a megabyte. Result columns take the place of columns of the same name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,20 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl, map_texts
+from ledgerlens.llm._spark import cut, ddl, map_texts, positional, quoted, renamed, without
 
-N, SHARE, BLOCK_WORDS = 13, 20, 4_000_000
+N, SHARE, BLOCK_WORDS = 13, 20, 2_000_000
 
+RESULTS = ["n_words", "spans", "item_ids", "n_hit", "contaminated"]
 FOUND = "n_words bigint, spans array<struct<first:int,last:int>>, item_ids array<string>"
 
 
 @dataclass
 class WindowSet:
-    """Windows by length: sorted hashes, and for each hash its words and the items that have it."""
+    """Windows of items by their size: sorted hashes with the item and the place in `words` of each, and marks of the hashes."""
 
-    hashes: dict[int, np.ndarray]
-    texts: dict[int, list[bytes]]
-    items: dict[int, list[set[str]]]
+    entries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    words: bytes
+    ids: list[str | None]
     marks: np.ndarray
 
 
@@ -43,100 +49,111 @@ def _marks(h: np.ndarray) -> np.ndarray:
 
 
 def window_set(items: list[tuple[object, str]], n: int = N) -> WindowSet:
-    found: dict[int, dict[int, tuple[bytes, set[str]]]] = {}
+    ids = list(dict.fromkeys(None if i is None else str(i) for i, _ in items))
+    number = {x: i for i, x in enumerate(ids)}
+    spelled, length, parts = [], 0, {}
     for item_id, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         low, starts, ends, _ = _text.words(data, np.array([0, len(data)]))
         if not len(starts):
             continue
         size = min(n, len(starts))
-        hashes = _text.gram_hash(_text.word_hash(low, starts, ends), size)
-        spelled = [low[a:b].tobytes() for a, b in zip(starts, ends)]
-        for i, h in enumerate(hashes.tolist()):
-            entry = found.setdefault(size, {}).setdefault(h, (b" ".join(spelled[i : i + size]), set()))
-            if item_id is not None:
-                entry[1].add(str(item_id))
+        last = length + np.cumsum(ends - starts + 1) - 1  # where each word ends in `words`
+        first = last - (ends - starts)
+        h = _text.gram_hash(_text.word_hash(low, starts, ends), size)
+        parts.setdefault(size, []).append((h, np.full(len(h), number[None if item_id is None else str(item_id)]), first[: len(h)], last[size - 1 :]))
+        spelled += [low[a:b].tobytes() for a, b in zip(starts, ends)]
+        length = int(last[-1]) + 1
     marks = np.zeros(1 << 22, bool)
-    ordered = {size: sorted(by) for size, by in found.items()}
-    hashes = {size: np.array(keys, np.uint64) for size, keys in ordered.items()}
-    for h in hashes.values():
+    entries = {}
+    for size, some in parts.items():
+        h, item, first, last = (np.concatenate(x) for x in zip(*some))
+        order = np.lexsort((item, h))
+        entries[size] = tuple(x[order] for x in (h, item, first, last))
         marks[_marks(h)] = True
-    return WindowSet(hashes, {s: [found[s][k][0] for k in keys] for s, keys in ordered.items()}, {s: [found[s][k][1] for k in keys] for s, keys in ordered.items()}, np.packbits(marks))
+    return WindowSet(entries, b" ".join(spelled), ids, np.packbits(marks))
 
 
-def _scan(column: pa.Array, windows: WindowSet, marks: np.ndarray) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+def _scan(column: pa.Array, windows: WindowSet, marks: np.ndarray, n: int) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
     counts = np.zeros(len(column), np.int64)
-    spans: list[list[dict]] = [[] for _ in range(len(column))]
-    items: list[list[str]] = [[] for _ in range(len(column))]
-    for lo, _, data, offsets in _text.pieces(column):
+    hits: dict[int, list[tuple[int, int]]] = {}
+    items: dict[int, set[str]] = {}
+    for lo, _, data, offsets, again in _text.windows(column, _text.ALNUM, n - 1):
         low, starts, ends, first = _text.words(data, offsets)
-        counts[lo : lo + len(offsets) - 1] = np.diff(first)
+        before = int(counts[lo]) - again  # words of the row before this window of it
+        counts[lo : lo + len(offsets) - 1] += np.diff(first) - again
         if not len(starts):
             continue
         h = _text.word_hash(low, starts, ends)
-        hit: dict[int, tuple[np.ndarray, set[str]]] = {}
-        for size, known in windows.hashes.items():
+        for size, (known, item, begin, end) in windows.entries.items():
             grams = _text.gram_hash(h, size)
             near = np.flatnonzero(marks[_marks(grams)] & _text.grams_within_rows(first, size))
-            place = np.minimum(np.searchsorted(known, grams[near]), len(known) - 1)
-            same = known[place] == grams[near]
-            for at, k in zip(near[same].tolist(), place[same].tolist()):
-                if b" ".join(low[a:b].tobytes() for a, b in zip(starts[at : at + size], ends[at : at + size])) != windows.texts[size][k]:
-                    continue
-                row = int(np.searchsorted(first, at, "right")) - 1
-                inside, ids = hit.setdefault(row, (np.zeros(int(first[row + 1] - first[row]), bool), set()))
-                inside[at - first[row] : at - first[row] + size] = True
-                ids |= windows.items[size][k]
-        for row, (inside, ids) in hit.items():
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-            spans[lo + row] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
-            items[lo + row] = sorted(ids)
-    return counts, spans, items
-
-
-def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str]) -> DataFrame:
-    docs = docs.select(*keep, text) if text not in keep else docs.select(*keep)
-    shared = docs.sparkSession.sparkContext.broadcast((windows.hashes, windows.texts, windows.items, windows.marks))
-    at = docs.columns.index(text)
+            left, right = np.searchsorted(known, grams[near]), np.searchsorted(known, grams[near], "right")
+            for at, a, b in zip(near[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist()):
+                said = b" ".join(low[x:y].tobytes() for x, y in zip(starts[at : at + size], ends[at : at + size]))
+                same = [k for k in range(a, b) if windows.words[begin[k] : end[k]] == said]
+                if same:
+                    row = int(np.searchsorted(first, at, "right")) - 1
+                    place = at - int(first[row]) + (before if row == 0 else 0)
+                    hits.setdefault(lo + row, []).append((place, place + size - 1))
+                    items.setdefault(lo + row, set()).update(windows.ids[i] for i in {int(item[k]) for k in same} if windows.ids[i] is not None)
+    spans: list[list[dict]] = [[] for _ in range(len(column))]
+    for row, found in hits.items():
+        for a, b in sorted(found):
+            if spans[row] and a <= spans[row][-1]["last"] + 1:
+                spans[row][-1]["last"] = max(b, spans[row][-1]["last"])
+            else:
+                spans[row].append({"first": a, "last": b})
+    return counts, spans, [sorted(items.get(i, ())) for i in range(len(column))]
+
+
+def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str], n: int, hit_only: bool = False) -> DataFrame:
+    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast((windows.entries, windows.words, windows.ids, windows.marks))
 
     def run(batches):
         windows = WindowSet(*shared.value)
         marks = np.unpackbits(windows.marks).view(bool)
         for batch in batches:
-            counts, spans, items = _scan(batch.column(at), windows, marks)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            counts, spans, items = _scan(batch.column(len(keep)), windows, marks, n)
             found = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*kept, *found], names=[*keep, "n_words", "spans", "item_ids"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], names=[*keep, "n_words", "spans", "item_ids"])
+            yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if hit_only else out
 
-    return map_texts(docs, run, f"{ddl(docs.select(*keep))}, {FOUND}")
+    kept = ddl(docs.drop("_text"))
+    return map_texts(docs, run, f"{kept}, {FOUND}" if kept else FOUND)
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple[object, str]]]:
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
     """The benchmark in blocks of about block_words words at most, read one block at a time."""
-    sized = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    sized = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
     size = sized.agg(F.sum(F.size(F.split("text", " ")) + F.length("text") / 8)).first()[0] or 0
     n = max(1, int(2 * size / block_words) + 1) if size > block_words else 1
     for i in range(n):
-        part = sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else sized
+        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else sized
         yield [(r[0], r[1]) for r in part.collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns `keep` of docs (all, by default) with n_words, spans of hit words, item_ids, n_hit and contaminated.
-
-    With a benchmark of more than one block, rows of docs are told apart by the columns kept.
-    """
-    keep = list(docs.columns if keep is None else keep)
-    clash = {"n_words", "spans", "item_ids", "n_hit", "contaminated"} & {c.lower() for c in keep}
-    if clash:
-        raise ValueError(f"docs has result columns already: {sorted(clash)}")
-    parts = [_scan_with(docs, text, window_set(items, n), keep) for items in blocks_of(benchmark, item_id, item_text, block_words)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), (F.count("*") / len(parts)).cast("int").alias("_times"))
-        found = found.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_one", "_times").withColumn("spans", merged_spans("spans"))
+    """The columns `keep` of docs (all, by default) with n_words, spans of hit words, item_ids, n_hit and contaminated."""
+    keep = without(docs.columns if keep is None else keep, RESULTS)
+    blocks = blocks_of(benchmark, item_id, item_text, block_words)
+    held, following = next(blocks), next(blocks, None)
+    if following is None:
+        found = _scan_with(docs, text, window_set(held, n), keep, n)
+    else:
+        docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+        docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+        rows = cut(_scan_with(docs, "_text", window_set(held, n), [*keep, "_row"], n))
+        more = []
+        while following is not None:
+            more.append(cut(_scan_with(docs, "_text", window_set(following, n), ["_row"], n, hit_only=True)))
+            following = next(blocks, None)
+        hits = rows.select("_row", "n_words", "spans", "item_ids")
+        for part in more:
+            hits = hits.unionByName(part)
+        hits = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+        found = rows.select(*quoted(*keep), "_row").join(hits, "_row").drop("_row").withColumn("spans", merged_spans("spans"))
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0))
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
@@ -156,14 +173,14 @@ def merged_spans(spans: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text: str = "text", **how) -> DataFrame:
     """docs without contaminated documents, or (mode="span") with the hit words of contaminated documents cut out."""
-    columns = docs.columns
-    found = find(docs, benchmark, text=text, **how)
-    if mode == "document":
-        return found.where(~F.col("contaminated")).select(*columns)
-    if mode != "span":
+    if mode not in ("document", "span"):
         raise ValueError(mode)
-    schema = found.select(*columns).schema
-    at = columns.index(text)
+    at = docs.columns.index(text)
+    docs, names = positional(docs)
+    found = find(docs, benchmark, text=f"_{at}", **how)
+    if mode == "document":
+        return renamed(found.where(~F.col("contaminated")), names)
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
@@ -181,4 +198,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return map_texts(found, run, schema)
+    return renamed(map_texts(found, run, docs.schema), names)

@@ -6,14 +6,21 @@ proportions that EM estimates. The set is grown from the best single language, o
 time, as long as the log-likelihood less `penalty * log(words)` per further language rises.
 
 The predicted language has the largest proportion (ties: the first by name); the score is that
-proportion times the posterior probability of the best single language. Texts that are null or
-hold no letter are `und` with score 0, as is everything if there are no labelled rows. Rows are
-judged one by one, so ties, repeated rows and rows without an id need no care.
+proportion times the posterior probability of the best single language. `evidence` is by how much
+the mixture's log-likelihood, less its penalties, exceeds that of noise: n-grams of which each is as
+likely as any other. Texts that are null or hold no letter are `und` with score 0 and no evidence,
+as is everything if there are no labelled rows. Rows are judged one by one, so ties, repeated rows
+and rows without an id need no care. Result columns take the place of columns of the same name.
+
+A model has 256 KiB for each language. Texts are read in windows of about a megabyte; what is kept
+of a longer text is a row of likelihoods for each of its different words.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl, map_texts
+from ledgerlens.llm._spark import ddl, map_texts, positional, quoted, renamed, without
 
-#: n-gram length, hash buckets, EM steps, penalty per language, texts and languages learned from.
-ORDER, BUCKETS, STEPS, PENALTY, SAMPLE, LANGUAGES = 3, 1 << 16, 12, 1.0, 20_000, 256
+#: n-gram length, hash buckets, EM steps, penalty per language, texts learned from.
+ORDER, BUCKETS, STEPS, PENALTY, SAMPLE = 3, 1 << 16, 12, 1.0, 20_000
 #: A language with a smaller share of the words of a document isn't taken into its set.
 LEAST = 0.02
+#: By how much noise must explain a text better for `identified` to reject it: a factor of e to this power.
+DOUBT = 10.0
+RESULTS = ["lang_pred", "score", "evidence", "shares"]
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -83,15 +93,14 @@ def quota(sizes: list[int], sample: int) -> int:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns all languages of the rows with text and language, each from its different texts: all, or those chosen by a hash so that about `sample` texts are read."""
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h")).limit(LANGUAGES + 1).collect()}
+    draw = F.pmod("h", F.lit(1 << 40))
+    sizes = {r[0]: (r[1], r[2]) for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h"), F.min(draw)).collect()}
     languages = sorted(sizes)
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    most = quota(list(sizes.values()), sample)
-    shares = [(x, int((1 << 40) * most / n)) for x, n in sizes.items() if n > most]
+    most = quota([n for n, _ in sizes.values()], sample)
+    shares = [(x, max(int((1 << 40) * most / n), least + 1)) for x, (n, least) in sizes.items() if n > most]  # one text at least
     if shares:
-        chosen = F.create_map(*[F.lit(x) for pair in shares for x in pair])[F.col("lang")]
-        labelled = labelled.where(F.pmod("h", F.lit(1 << 40)) < F.coalesce(chosen, F.lit(1 << 40)))
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _most bigint"))
+        labelled = labelled.join(chosen, "lang", "left").where(F.col("_most").isNull() | (draw < F.col("_most")))
     labelled = labelled.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches):
@@ -115,80 +124,104 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums over each row's words, which are the last axis."""
+def _sums(values: np.ndarray, first: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+    """Sums over each row's words, which are the last axis, each as often as its weight says."""
     out = np.zeros(values.shape[:-1] + (len(first) - 1,))
     full = np.flatnonzero(first[1:] > first[:-1])
     if len(full):
-        out[..., full] = np.add.reduceat(values, first[full], axis=-1)
+        out[..., full] = np.add.reduceat(values if weight is None else values * weight, first[full], axis=-1)
     return out
 
 
-def _em(likely: np.ndarray, first: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares (languages x rows) and each row's log-likelihood, from p(word | language) scaled by each word's largest."""
+def _em(likely: np.ndarray, first: np.ndarray, weight: np.ndarray | None, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (languages x rows) and each row's log-likelihood, from p(word | language) scaled by each word's largest; n words each."""
     words = np.diff(first)
     for _ in range(STEPS):
         joint = likely * np.repeat(share, words, axis=1)
         joint /= joint.sum(axis=0)
-        share = _sums(joint, first) / words
-    return share, _sums(np.log(np.maximum((likely * np.repeat(share, words, axis=1)).sum(axis=0), 1e-300)), first)
+        share = _sums(joint, first, weight) / n
+    return share, _sums(np.log(np.maximum((likely * np.repeat(share, words, axis=1)).sum(axis=0), 1e-300)), first, weight)
+
+
+def _mixtures(logs: np.ndarray, first: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares (languages x rows), the posterior of the best single language, and the log-likelihood less its penalties, from log p(word | language)."""
+    k, rows_ = len(logs), len(first) - 1
+    words = np.diff(first)
+    total = words.astype(float) if weight is None else _sums(np.ones(logs.shape[1]), first, weight)
+    most = logs.max(axis=0)
+    alone = _sums(logs.astype(np.float64), first, weight)
+    likely = np.exp(logs - most, dtype=np.float64)
+    np.maximum(likely, 1e-250, out=likely)
+    best = alone.argmax(axis=0)
+    share = np.zeros((k, rows_))
+    share[best, np.arange(rows_)] = 1
+    base = _sums(most.astype(np.float64), first, weight)
+    reached = alone.max(axis=0) - base
+    several = total > 1
+    rows, kept = np.flatnonzero(several), np.repeat(several, words)
+    part, heavy = likely[:, kept], None if weight is None else weight[kept]
+    while len(rows) and k > 1:
+        n, size = total[rows], words[rows]
+        at = np.concatenate(([0], np.cumsum(size)))
+        ratio = part / (part * np.repeat(share[:, rows], size, axis=1)).sum(axis=0)
+        has = share[:, rows] > 0
+        gain = np.where(has, -np.inf, _sums(ratio, at, heavy) - n)  # the log-likelihood is concave in the shares: nothing gains more than this
+        extra = gain.argmax(axis=0)
+        worth = gain.max(axis=0) > PENALTY * np.log(n)
+        kept = np.repeat(worth, size)
+        rows, extra, has, part, heavy = rows[worth], extra[worth], has[:, worth], part[:, kept], None if heavy is None else heavy[kept]
+        if not len(rows):
+            break
+        n, size = total[rows], words[rows]
+        sizes = has.sum(axis=0) + 1
+        start = share[:, rows] * (1 - 1 / sizes)
+        start[extra, np.arange(len(rows))] = 1 / sizes
+        new, value = _em(part, np.concatenate(([0], np.cumsum(size))), heavy, n, start)
+        value -= PENALTY * np.log(n) * (sizes - 1)
+        better = (value > reached[rows]) & (new[extra, np.arange(len(rows))] >= LEAST)
+        kept = np.repeat(better, size)
+        rows, part, heavy = rows[better], part[:, kept], None if heavy is None else heavy[kept]
+        share[:, rows], reached[rows] = new[:, better], value[better]
+    return share, 1 / np.exp(np.maximum(alone - alone.max(axis=0), -600)).sum(axis=0), base + reached
+
+
+def _distinct(hashes: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, one, at = np.unique(hashes, return_index=True, return_inverse=True)
+    return hashes, logs[:, one], np.bincount(at, counts, len(hashes))
 
 
 def _infer(column: pa.Array, model: Model) -> np.ndarray:
-    """Share of each language in each row; a last column has the posterior of the best single one."""
+    """Share of each language in each row; last columns have the posterior of the best single one, and the evidence."""
     k = len(model.languages)
-    found = np.zeros((len(column), k + 1))
+    found = np.zeros((len(column), k + 2))
     if not k:
         return found
-    for lo, hi, data, offsets in _text.pieces(column, _text.PIECE * 4 // max(4, k)):
-        grams, begin, first = _grams(data, offsets)
-        words = np.diff(first)
-        if not len(grams):
+    noise = np.log(BUCKETS)
+    for lo, windows in groupby(_text.windows(column, LETTERS, 0, _text.PIECE * 4 // max(4, k)), itemgetter(0)):
+        hashes, weight, logs, grams = np.zeros(0, np.uint64), None, np.zeros((k, 0), np.float32), np.zeros(1)
+        for several, (_, hi, data, offsets, _) in enumerate(windows):
+            some, begin, first = _grams(data, offsets)
+            now = np.stack([np.add.reduceat(of[some], begin[:-1]) for of in model.logp]) if len(some) else logs[:, :0]
+            if len(offsets) > 2:
+                logs, grams = now, np.diff(begin[first])
+            else:  # a row alone: of a long one, its different words are kept
+                low, starts, ends, _ = _text.words(data, offsets, LETTERS)
+                weight = np.zeros(0) if weight is None else weight
+                hashes, logs, weight = _distinct(np.concatenate((hashes, _text.word_hash(low, starts, ends))), np.concatenate((logs, now), axis=1), np.concatenate((weight, np.ones(len(starts)))))
+                grams, first = grams + len(some) if several else np.array([float(len(some))]), np.array([0, len(hashes)])
+        if not logs.shape[1]:
             continue
-        logs = np.stack([np.add.reduceat(of[grams], begin[:-1]) for of in model.logp])
-        most = logs.max(axis=0)
-        alone = _sums(logs.astype(np.float64), first)
-        likely = np.exp(logs - most, dtype=np.float64)
-        np.maximum(likely, 1e-250, out=likely)
-        best = alone.argmax(axis=0)
-        share = np.zeros((k, hi - lo))
-        share[best, np.arange(hi - lo)] = 1
-        reached = alone.max(axis=0) - _sums(most.astype(np.float64), first)
-        rows, part, at = np.flatnonzero(words > 1), likely[:, np.repeat(words > 1, words)], None
-        while len(rows) and k > 1:
-            n = words[rows]
-            at = np.concatenate(([0], np.cumsum(n)))
-            ratio = part / (part * np.repeat(share[:, rows], n, axis=1)).sum(axis=0)
-            has = share[:, rows] > 0
-            gain = np.where(has, -np.inf, _sums(ratio, at) - n)  # the log-likelihood is concave in the shares: nothing gains more than this
-            extra = gain.argmax(axis=0)
-            worth = gain.max(axis=0) > PENALTY * np.log(n)
-            rows, extra, has, part = rows[worth], extra[worth], has[:, worth], part[:, np.repeat(worth, n)]
-            if not len(rows):
-                break
-            n = words[rows]
-            sizes = has.sum(axis=0) + 1
-            start = share[:, rows] * (1 - 1 / sizes)
-            start[extra, np.arange(len(rows))] = 1 / sizes
-            new, value = _em(part, np.concatenate(([0], np.cumsum(n))), start)
-            value -= PENALTY * np.log(n) * (sizes - 1)
-            better = (value > reached[rows]) & (new[extra, np.arange(len(rows))] >= LEAST)
-            rows, part = rows[better], part[:, np.repeat(better, n)]
-            share[:, rows], reached[rows] = new[:, better], value[better]
-        found[lo:hi, :k] = share.T
-        found[lo:hi, k] = 1 / np.exp(np.maximum(alone - alone.max(axis=0), -600)).sum(axis=0)
-        found[lo:hi][words == 0] = 0
+        share, posterior, reached = _mixtures(logs, first, weight)
+        found[lo:hi, :k], found[lo:hi, k], found[lo:hi, k + 1] = share.T, posterior, reached + grams * noise
+        found[lo:hi][np.diff(first) == 0] = 0
     return found
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all, by default), lang_pred, score, and shares: map of language to proportion."""
-    keep = list(docs.columns if keep is None else keep)
-    clash = {"lang_pred", "score", "shares"} & {c.lower() for c in keep}
-    if clash:
-        raise ValueError(f"docs has result columns already: {sorted(clash)}")
-    docs = docs.select(*keep) if text in keep else docs.select(*keep, text)
-    at = docs.columns.index(text)
+    """The columns `keep` of docs (all, by default), lang_pred, score, evidence, and shares: map of language to proportion."""
+    keep = without(docs.columns if keep is None else keep, RESULTS)
+    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    at = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp))
 
     def run(batches):
@@ -197,18 +230,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         for batch in batches:
             column = batch.column(at)
             found = _infer(column, model)
-            shares = found[:, :-1]
+            shares = found[:, :-2]
             for i in np.flatnonzero(_mostly_odd(column)):
                 if not LETTER.search(column[i].as_py()):
                     shares[i] = 0
             known = shares.any(axis=1)
             which = np.where(known, shares.argmax(axis=1) if model.languages else 0, len(model.languages))
-            score = shares.max(axis=1, initial=0) * found[:, -1]
+            score = shares.max(axis=1, initial=0) * found[:, -2]
             listed = [[(names[j], float(row[j])) for j in np.flatnonzero(row)] for row in shares]
-            arrays = [pa.array([names[i] for i in which], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(listed, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + arrays, names=[*keep, "lang_pred", "score", "shares"])
+            arrays = [pa.array([names[i] for i in which], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(found[:, -1], pa.float64(), mask=~known), pa.array(listed, pa.map_(pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *arrays], names=[*keep, *RESULTS])
 
-    return map_texts(docs, run, f"{ddl(docs.select(*keep))}, lang_pred string, score double, shares map<string,double>")
+    kept = ddl(docs.drop("_text"))
+    return map_texts(docs, run, f"{kept}{', ' if kept else ''}lang_pred string, score double, evidence double, shares map<string,double>")
 
 
 def _mostly_odd(column: pa.Array) -> np.ndarray:
@@ -221,15 +255,16 @@ def _mostly_odd(column: pa.Array) -> np.ndarray:
     return found
 
 
-def identified(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rows whose language can't be told: null texts and texts without a letter.
+def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doubt: float = DOUBT) -> DataFrame:
+    """docs without the rows whose language can't be told.
 
-    The languages are learned from docs itself; without labelled rows only letters are asked for.
+    These are null texts, texts without a letter, and texts whose words noise explains better than
+    any mixture of the languages does, by over `doubt` in log-likelihood. The languages are learned
+    from docs itself; without labelled rows only letters are asked for.
     """
     model = fit(docs, text, lang)
+    at = docs.columns.index(text)
+    docs, names = positional(docs)
     if not model.languages:
-        return docs.where(F.col(text).rlike(r"\p{L}"))
-    columns = docs.columns
-    named = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    found = predict(named, model, f"_{columns.index(text)}").where(F.col("lang_pred") != "und")
-    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
+        return renamed(docs.where(F.col(f"_{at}").rlike(r"\p{L}")), names)
+    return renamed(predict(docs, model, f"_{at}").where((F.col("lang_pred") != "und") & (F.col("evidence") >= -doubt)), names)

@@ -1,29 +1,35 @@
 """License scan by diagonal voting.
 
 All rolling word k-grams of all texts are joined to the places of the same k-grams in license
-templates. Where a text follows a template, its matches share the diagonal `text place - template
-place`; matches are gathered by diagonal, neighbouring diagonals (an inserted or a missing word
-shifts the diagonal) are merged into spans, and a span counts if the template words that its
-matches cover are at least `share` of the template.
+templates: by hash, and word by word, as each gram brings its words. Where a text follows a
+template, its matches share the diagonal `text place - template place`; matches are gathered by
+diagonal, and neighbouring diagonals (an inserted or a missing word shifts the diagonal) are merged
+into spans. A span is verified if the template words that stand in it in the template's order, in
+grams that match, are at least `share` of the template.
 
 Besides, phrases of the `BASE` list are found wherever their words stand consecutively. Words are
 runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null texts are empty. Rows that
 repeat an id and its text have the same result; the same id with another text is another document.
+Texts are read in windows of about a megabyte. Only the id and the text of docs are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl, map_texts
+from ledgerlens.llm._spark import ddl, map_texts, quoted
 
 #: Words of a gram, diagonals that may lie apart within a span, share of a template that must be covered.
 K, GAP, SHARE = 3, 8, 0.75
-#: Most words of all templates together: their grams are broadcast.
+#: Template words whose grams are broadcast; those of more are joined by a shuffle.
 TEMPLATE_WORDS = 200_000
 
 # Phrases and the labels that they give.
@@ -46,6 +52,18 @@ TEMPLATES = [
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
 ]
 
 
@@ -59,6 +77,7 @@ def _phrases(docs: DataFrame, text: str, base: dict[str, str]) -> DataFrame:
     """docs without its text, with n_words, n_base, first_word, last_word and base_list."""
     kept = [c for c in docs.columns if c != text]
     at = docs.columns.index(text)
+    longest = max((len(_words_of(p)[0]) for p in base), default=1)
 
     def run(batches):
         known = []
@@ -70,9 +89,10 @@ def _phrases(docs: DataFrame, text: str, base: dict[str, str]) -> DataFrame:
             counts, places = np.zeros(n, np.int64), np.zeros(n, np.int64)
             least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
             labels: dict[int, set[str]] = {}
-            for lo, hi, data, offsets in _text.pieces(batch.column(at)):
+            for lo, hi, data, offsets, again in _text.windows(batch.column(at), _text.ALNUM, longest - 1):
                 low, starts, ends, first = _text.words(data, offsets)
-                counts[lo:hi] = np.diff(first)
+                before = int(counts[lo]) - again  # words of the row before this window of it
+                counts[lo:hi] += np.diff(first) - again
                 h = _text.word_hash(low, starts, ends)
                 for spelled, wanted, label in known:
                     size = len(spelled)
@@ -81,7 +101,9 @@ def _phrases(docs: DataFrame, text: str, base: dict[str, str]) -> DataFrame:
                         if [low[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size])] != spelled:
                             continue
                         row = int(np.searchsorted(first, i, "right")) - 1
-                        place, row = i - int(first[row]), lo + row
+                        if row == 0 and i + size <= again:
+                            continue  # wholly among the words that the window before had
+                        place, row = i - int(first[row]) + (before if row == 0 else 0), lo + row
                         places[row] += 1
                         least[row] = place if least[row] < 0 else min(least[row], place)
                         most[row] = max(most[row], place)
@@ -93,72 +115,100 @@ def _phrases(docs: DataFrame, text: str, base: dict[str, str]) -> DataFrame:
     return map_texts(docs, run, f"{ddl(docs.select(*kept))}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_list array<string>")
 
 
+WORDS = [f"word{j}" for j in range(K)]
+
+
 def _grams(docs: DataFrame, text: str) -> DataFrame:
-    """docs without its text, with grams: the hashes of all its word k-grams, in order."""
+    """docs without its text, with grams: at, hash and words of word k-grams in order; a row for each window of a text."""
     kept = [c for c in docs.columns if c != text]
     at = docs.columns.index(text)
+    kind = pa.struct([("at", pa.int32()), ("gram", pa.int64()), *((w, pa.string()) for w in WORDS)])
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in _text.pieces(batch.column(at)):
-                low, starts, ends, first = _text.words(data, offsets)
-                h = _text.gram_hash(_text.word_hash(low, starts, ends), K).view(np.int64)
-                size = np.maximum(np.diff(first) - (K - 1), 0)
-                h = h[_text.grams_within_rows(first, K)]
-                grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(h))
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in kept), grams], names=[*kept, "grams"])
-
-    return map_texts(docs, run, f"{ddl(docs.select(*kept))}, grams array<bigint>")
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            for _, windows in groupby(_text.windows(batch.column(at), _text.ALNUM, K - 1), itemgetter(0)):
+                before = 0
+                for lo, hi, data, offsets, again in windows:
+                    low, starts, ends, first = _text.words(data, offsets)
+                    ok = np.flatnonzero(_text.grams_within_rows(first, K))
+                    h = _text.gram_hash(_text.word_hash(low, starts, ends), K).view(np.int64)[ok]
+                    size = np.maximum(np.diff(first) - (K - 1), 0)
+                    place = ok - np.repeat(first[:-1], size) + (before - again)
+                    before += len(starts) - again
+                    letters = pa.py_buffer(low[low != 0].tobytes())
+                    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+                    every = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds.tobytes()), letters)
+                    parts = [every.take(pa.array(ok + j)) for j in range(K)]
+                    grams = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(h), *parts], fields=list(kind))
+                    listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), grams)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), listed], names=[*kept, "grams"])
+
+    words = ",".join(f"{w}:string" for w in WORDS)
+    return map_texts(docs, run, f"{ddl(docs.select(*quoted(*kept)))}, grams array<struct<at:int,gram:bigint,{words}>>")
 
 
 def _template_grams(spark, templates: list[tuple[str, str]]) -> DataFrame:
     rows = []
     for t, (label, text) in enumerate(templates):
         spelled, h = _words_of(text)
-        rows += [(int(g), t, i, len(spelled), label) for i, g in enumerate(_text.gram_hash(h, K).view(np.int64).tolist())]
-    if len(rows) > TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {TEMPLATE_WORDS} words")
-    return spark.createDataFrame(rows, "gram bigint, template int, place int, size int, label string")
+        rows += [(int(g), *(spelled[i + j].decode() for j in range(K)), t, i, len(spelled), label) for i, g in enumerate(_text.gram_hash(h, K).view(np.int64).tolist())]
+    words = ", ".join(f"{w} string" for w in WORDS)
+    found = spark.createDataFrame(rows, f"gram bigint, {words}, template int, place int, size int, label string")
+    return F.broadcast(found) if len(rows) <= TEMPLATE_WORDS else found
 
 
-def merged(matches: list[tuple[int, int, int, list[int]]], size: int, gap: int = GAP) -> list[tuple[int, int, set[int]]]:
-    """Spans (first word, last word, template places) of the (diagonal, first, last, places) of one text and template.
+def merged(matches: list[tuple[int, int, int, list[tuple[int, int]]]], size: int, gap: int = GAP) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Spans (first word, last word, matches) of the (diagonal, first, last, matches (text place, template place)) of one text and template.
 
     No span grows beyond twice the template's size.
     """
-    spans: list[tuple[int, int, int, set[int]]] = []
-    for diagonal, first, last, places in sorted(matches, key=lambda m: (m[1], m[0])):
+    spans: list[list] = []
+    for diagonal, first, last, pairs in sorted(matches, key=lambda m: (m[1], m[0])):
         if spans and abs(diagonal - spans[-1][0]) <= gap and first <= spans[-1][2] + gap and last + K - spans[-1][1] <= 2 * size:
-            _, begin, end, seen = spans[-1]
-            spans[-1] = (diagonal, begin, max(end, last), seen | set(places))
+            spans[-1][0] = diagonal
+            spans[-1][2] = max(last, spans[-1][2])
+            spans[-1][3] += pairs
         else:
-            spans.append((diagonal, first, last, set(places)))
-    return [(a, b + K - 1, seen) for _, a, b, seen in spans]
+            spans.append([diagonal, first, last, list(pairs)])
+    return [(a, b + K - 1, pairs) for _, a, b, pairs in spans]
+
+
+def covered(pairs: list[tuple[int, int]]) -> int:
+    """How many template words stand in order: those of the longest run of matches that rises in text and in template."""
+    words = sorted({(at + j, place + j) for at, place in pairs for j in range(K)}, key=lambda w: (w[0], -w[1]))
+    ends: list[int] = []
+    for _, place in words:
+        i = bisect_right(ends, place - 1)
+        ends[i : i + 1] = [place]
+    return len(ends)
 
 
 def spans(docs: DataFrame, key: list[str], text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """key, label, first, last and coverage of each verified span; places are words, from 0."""
-    grams = _grams(docs.select(*key, text), text).select(*key, F.posexplode("grams").alias("at", "gram"))
-    votes = grams.join(F.broadcast(_template_grams(docs.sparkSession, templates or TEMPLATES)), "gram")
-    votes = votes.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*key, "template", "label", "size", "diagonal")
-    votes = votes.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
-    votes = votes.groupBy(*key, "template", "label", "size").agg(F.collect_list(F.struct("diagonal", "first", "last", "places")).alias("matches"))
+    grams = _grams(docs.select(*quoted(*key, text)), text).select(*quoted(*key), F.inline("grams"))
+    votes = grams.join(_template_grams(docs.sparkSession, templates or TEMPLATES), ["gram", *WORDS])
+    votes = votes.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*quoted(*key), "template", "label", "size", "diagonal")
+    votes = votes.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set(F.struct("at", "place")).alias("pairs"))
+    votes = votes.groupBy(*quoted(*key), "template", "label", "size").agg(F.collect_list(F.struct("diagonal", "first", "last", "pairs")).alias("matches"))
 
     def run(batches):
         for batch in batches:
             rows, out = [], ([], [], [], [])
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "size", "matches")]
             for i, (label, size, matches) in enumerate(zip(*columns)):
-                for first, last, places in merged([(m["diagonal"], m["first"], m["last"], m["places"]) for m in matches], size):
-                    covered = len({p + j for p in places for j in range(K)}) / size
-                    if covered >= SHARE:
+                for first, last, pairs in merged([(m["diagonal"], m["first"], m["last"], [(p["at"], p["place"]) for p in m["pairs"]]) for m in matches], size):
+                    if len({p + j for _, p in pairs for j in range(K)}) < SHARE * size:
+                        continue
+                    share = covered(pairs) / size
+                    if share >= SHARE:
                         rows.append(i)
-                        for column, value in zip(out, (label, first, last, covered)):
+                        for column, value in zip(out, (label, first, last, share)):
                             column.append(value)
-            arrays = [batch.column(batch.schema.get_field_index(c)).take(pa.array(rows, pa.int32())) for c in key]
+            arrays = [batch.column(i).take(pa.array(rows, pa.int32())) for i in range(len(key))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=[*key, "label", "first", "last", "coverage"])
 
-    return votes.mapInArrow(run, f"{ddl(docs.select(*key))}, label string, first bigint, last bigint, coverage double")
+    return votes.mapInArrow(run, f"{ddl(docs.select(*quoted(*key)))}, label string, first bigint, last bigint, coverage double")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, base: dict[str, str] | None = None) -> DataFrame:
@@ -166,11 +216,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: li
 
     The score is 1 with a base phrase, else the largest coverage of a span, else 0.
     """
-    docs = docs.select(F.col(key), F.xxhash64(text).alias("_text_hash"), F.col(text))
-    found = spans(docs, [key, "_text_hash"], text, templates)
-    found = found.groupBy(F.col(key).alias("_key"), F.col("_text_hash").alias("_hash")).agg(F.collect_set("label").alias("_labels"), F.max("coverage").alias("_coverage"))
-    rows = _phrases(docs, text, BASE if base is None else base)
-    rows = rows.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    docs = docs.select(F.col(quoted(key)[0]).alias("_key"), F.xxhash64(quoted(text)[0]).alias("_text_hash"), F.col(quoted(text)[0]).alias("_text"))
+    found = spans(docs, ["_key", "_text_hash"], "_text", templates)
+    found = found.groupBy(F.col("_key").alias("_id"), F.col("_text_hash").alias("_hash")).agg(F.collect_set("label").alias("_labels"), F.max("coverage").alias("_coverage"))
+    rows = _phrases(docs, "_text", BASE if base is None else base)
+    rows = rows.join(found, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     every = F.array_sort(F.array_union("base_list", F.coalesce("_labels", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.least(F.coalesce("_coverage", F.lit(0.0)), F.lit(1.0)))
-    return rows.select(key, "n_words", "n_base", "first_word", "last_word", F.array_join("base_list", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
+    return rows.select(F.col("_key").alias(key), "n_words", "n_base", "first_word", "last_word", F.array_join("base_list", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))

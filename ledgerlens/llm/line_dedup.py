@@ -1,9 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least `LEAST` characters take part in the edit join. A line is dropped where it repeats
-an earlier line or, at its first place, if an earlier line is within edit distance `EDITS` of it.
-Repeats need no segments: with `repeats` they are dropped from that many characters on, of lines
-that aren't blank. Earlier means a smaller document id (null ids first), then row, then line number.
+A line is dropped where it repeats an earlier line, at every length but blank, or, at its first
+place, if an earlier line is within edit distance `EDITS` of it. Lines of at least `LEAST` characters
+take part in the edit join; `repeats` is the least length at which repeats are dropped. Earlier means
+a smaller document id (null ids first), then row, then line number.
 
 Of two lines within the distance, one of the `EDITS + 1` segments into which the one is split
 stands unchanged in the other, near its own place. So each line is indexed by its segments and
@@ -13,8 +13,9 @@ letters discards most, and a banded bit-parallel edit distance verifies the rest
 
 Lines of a candidate key are compared in their order, so each finds its earliest partner; keys
 over `GROUP` lines are cut into chunks, every two of which meet in a task of their own. Only hashes
-of lines are shuffled, but for candidates. Null texts have no lines and stay as they are. Rows are
-told apart by their place: docs must be read alike each time, as tables are.
+of lines are shuffled, but for candidates, and the places of a line that very many documents have
+are dealt to several tasks. Null texts have no lines and stay as they are. Rows are told apart by
+their place: docs must be read alike each time, as tables are. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import cut, in_chunks, map_texts
+from ledgerlens.llm._spark import cut, in_chunks, join_dealt, map_texts, positional, quoted, renamed
 
 #: Characters of a line that takes part at least, and edits between near copies at most.
 LEAST, EDITS = 20, 2
@@ -256,35 +257,34 @@ def _nearest(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return found.groupBy("h", "h2").agg(F.min("near").alias("near"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, repeats: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, repeats: int = 1) -> DataFrame:
     """row, dropped (line numbers, from 0) and partners (ids that have the earlier lines) of docs with row, doc and text."""
     near = cut(_nearest(docs, edits, least))
-    repeats = least if repeats is None else repeats
     places = _lines(docs, min(repeats, least)).where((F.length("line") >= least) | F.col("line").rlike(r"\S")).drop("line")
     firsts = places.groupBy("h", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
-    marked = firsts.join(near, ["h", "h2"], "left").where("n > 1 or near is not null")
-    gone = places.join(marked, ["h", "h2"]).where((_place() != F.col("first")) | (F.col("near") < F.col("first")))
+    marked = cut(firsts.join(near, ["h", "h2"], "left").where("n > 1 or near is not null"))
+    gone = join_dealt(places, marked, ["h", "h2"], ["row", "at"]).where((_place() != F.col("first")) | (F.col("near") < F.col("first")))
     partner = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))["doc"]
     return gone.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("dropped"), F.array_sort(F.collect_set(partner)).alias("partners"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, repeats: int | None = None) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, repeats: int = 1) -> DataFrame:
     """key, n_lines, n_dropped, dropped and partners of each row."""
-    docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = docs.select(F.col(quoted(key)[0]).alias("doc"), F.col(quoted(text)[0]).alias("text")).withColumn("row", F.monotonically_increasing_id())
     gone = dropped_lines(docs, edits, least, repeats)
     count = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    rows = docs.select("row", F.col("doc").alias(key), F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines")).join(gone, "row", "left")
+    rows = docs.select("row", "doc", F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines")).join(gone, "row", "left")
     none = F.array()
-    return rows.select(key, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none.cast("array<int>")).alias("dropped"), F.coalesce("partners", none.cast(gone.schema["partners"].dataType)).alias("partners"))
+    return rows.select(F.col("doc").alias(key), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none.cast("array<int>")).alias("dropped"), F.coalesce("partners", none.cast(gone.schema["partners"].dataType)).alias("partners"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, repeats: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, repeats: int = 1) -> DataFrame:
     """docs without their dropped lines, and without the documents of which nothing but space is left then."""
-    columns = docs.columns
+    doc, at = (f"_{docs.columns.index(c)}" for c in (key, text))
+    docs, names = positional(docs)
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = dropped_lines(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col("_row").alias("row")), edits, least, repeats)
+    gone = dropped_lines(docs.select(F.col(doc).alias("doc"), F.col(at).alias("text"), F.col("_row").alias("row")), edits, least, repeats)
     docs = docs.join(gone.select(F.col("row").alias("_row"), F.col("dropped").alias("_dropped")), "_row", "left")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_dropped", i)), "\n")
-    docs = docs.withColumn("_left", F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(left))
-    docs = docs.where(F.col("_dropped").isNull() | F.col("_left").rlike(r"\S"))
-    return docs.select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in columns])
+    left = F.array_join(F.filter(F.split(at, "\n", -1), lambda line, i: ~F.array_contains("_dropped", i)), "\n")
+    docs = docs.withColumn(at, F.when(F.col("_dropped").isNull(), F.col(at)).otherwise(left))
+    return renamed(docs.where(F.col("_dropped").isNull() | F.col(at).rlike(r"\S")), names)

@@ -1,7 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, found exactly.
+"""Near-duplicates by SimHash and the Jaccard similarity of five-word shingles, found exactly.
 
 Documents whose shingle sets have a similarity of 4/5 or more are linked, and one of each component
-of these links is kept. Equal sets are one. Of two sets that may link, the first fifth (and one) of
+of these links is kept. Equal sets are one. SimHash finds most links: sets whose fingerprints differ
+in few bits meet through buckets and pivot distance tables, and those of similarity 4/5 or more, by
+their whole texts, are linked. At that similarity fingerprints may differ in ten bits and more, which
+buckets can't tell from chance; so what SimHash left in different components meets once more: of two
+sets that may link, the first fifth (and one) of
 the shingles in any order common to all has one in common (prefix filter), so sets meet under those
 shingles; the order puts shingles first that a sample of documents has seldom, which leaves less to
 compare and changes no result. Sets that meet are compared by size and by counts of shingles in
@@ -21,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import _text
+from ledgerlens.llm import _text, simhash_dedup
 from ledgerlens.llm._graph import components
-from ledgerlens.llm._spark import cut, in_chunks, map_texts
+from ledgerlens.llm._spark import cut, in_chunks, join_dealt, map_texts, positional, renamed
 
 #: Words of a shingle; sets link if their intersection is at least UP / DOWN of their sizes' sum (4/9: similarity 4/5).
 SHINGLE, UP, DOWN = 5, 4, 9
@@ -73,23 +77,24 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """row, set (a hash of the shingle set), n, prefix and bins of docs with row and text."""
+    """row, set (a hash of the shingle set), fp (its SimHash), n, prefix and bins of docs with row and text."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches):
         for batch in batches:
-            ids, sizes, prefixes, bins = [], [], [], []
+            ids, fps, sizes, prefixes, bins = [], [], [], [], []
             for h in shingles(batch.column(1)):
                 n = len(h)
                 order = np.lexsort((h, shared.value[(h % np.uint64(BUCKETS)).astype(np.int64)]))
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
+                fps.append(simhash_dedup.majority(simhash_dedup.ones(h), n))
                 sizes.append(n)
                 prefixes.append(h[order[: n - -(-4 * n // 5) + 1]].view(np.int64))  # a link shares 4/5 of either set
                 bins.append(np.bincount((h >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32).tobytes())
-            arrays = [batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "set", "n", "prefix", "bins"])
+            arrays = [batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "set", "fp", "n", "prefix", "bins"])
 
-    return map_texts(docs.select("row", "text"), run, "row bigint, set bigint, n bigint, prefix array<bigint>, bins binary")
+    return map_texts(docs.select("row", "text"), run, "row bigint, set bigint, fp bigint, n bigint, prefix array<bigint>, bins binary")
 
 
 def _meeting(keyed: DataFrame) -> DataFrame:
@@ -175,8 +180,8 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a checkpoint) of similarity 4/5 or more, by the shingles of their whole texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, steps: tuple[bool, ...] = (True, False)) -> DataFrame:
+    """The pairs (a checkpoint) of similarity 4/5 or more, by the shingles of their whole texts; a first step looks at fine bins."""
 
     def hashed(pairs: DataFrame, fine: bool) -> tuple[DataFrame, DataFrame]:
         """set and h of the sets of pairs: counts in fine bins, or all hashes."""
@@ -203,33 +208,48 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
                     keep.append(len(np.intersect1d(x, y, assume_unique=True)) * DOWN >= UP * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    for fine in (True, False):
+    for fine in steps:
         x, y = hashed(pairs, fine)
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         pairs = cut(both.mapInArrow(lambda batches, fine=fine: compare(batches, fine), "a bigint, b bigint"))
     return pairs
 
 
+def _by_simhash(ids: DataFrame) -> DataFrame:
+    """a < b: pairs of sets (set, fp), enough for all links of their fingerprints."""
+    fps = cut(ids.groupBy("fp").agg(F.min("set").alias("least"), F.count("*").alias("n")))
+    links = simhash_dedup.links(fps, fps.count())
+    links = links.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    same = join_dealt(ids.select("set", "fp"), fps, ["fp"], ["set"]).select(F.col("least").alias("x"), F.col("set").alias("y"))
+    return links.unionByName(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of its smallest key (null keys last), the first such row.
 
-    Rows are told apart by their place, so docs must be read alike each time, as tables are.
+    Rows are told apart by their place, so docs must be read alike each time, as tables are. Other
+    columns may have any names.
     """
-    columns = docs.columns
+    doc, at = (f"_{docs.columns.index(c)}" for c in (key, text))
+    docs, names = positional(docs)
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    texts = docs.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+    texts = docs.select(F.col("_row").alias("row"), F.col(at).alias("text"))
     found = cut(_sets(texts, frequent(texts)))
+    ids = cut(found.groupBy("set").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.count("*").alias("copies")))
+    rows = ids.select("set", "row")
+    hashed = _verified(cut(_by_simhash(ids)), texts, rows, (False,))
+    roots = components(hashed).select(F.col("node").alias("set"), "root")
     met = cut(in_chunks(cut(_meeting(found.select(F.explode("prefix").alias("key"), "set").select("key", "set"))), "set", CHUNK))
-    several = met.select("set").distinct()
-    sets = cut(found.select("row", "set", "n", "bins").join(several, "set").groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bins").alias("bins")))
-    members, rows = met.join(sets.select("set", "n", "bins"), "set"), sets.select("set", "row")
-    tried = cut(_pairs(members.withColumn("root", F.col("set")), False))
-    links = _verified(tried, texts, rows)
+    sets = cut(found.select("row", "n", "bins").join(ids.join(met.select("set").distinct(), "set").join(roots, "set", "left"), "row").select("set", "n", "bins", F.coalesce("root", "set").alias("root")))
+    members = met.join(sets, "set")
+    tried = cut(_pairs(members, False))
+    links = hashed.unionByName(_verified(tried, texts, rows))
     roots = components(links).select(F.col("node").alias("set"), "root")
-    members = members.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    members = members.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     links = links.unionByName(_verified(cut(_pairs(members, True).join(tried, ["a", "b"], "left_anti")), texts, rows))
     roots = components(links).select(F.col("node").alias("set"), "root")
-    named = docs.select("_row", F.col(key).alias("_key")).join(found.select(F.col("row").alias("_row"), "set"), "_row").join(roots, "set", "left")
+    named = ids.select("set", "copies").join(roots, "set", "left").select("set", F.coalesce("root", "set").alias("root"), "copies")
+    keyed = docs.select("_row", F.col(doc).alias("_key")).join(found.select(F.col("row").alias("_row"), "set"), "_row")
     first = F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).alias("_first")
-    kept = named.groupBy(F.coalesce("root", "set")).agg(first).select(F.col("_first._row").alias("_row"))
-    return docs.join(kept, "_row", "left_semi").select(*columns)
+    kept = join_dealt(keyed, cut(named), ["set"], ["_row"], n="copies").groupBy("root").agg(first).select(F.col("_first._row").alias("_row"))
+    return renamed(docs.join(kept, "_row", "left_semi"), names)

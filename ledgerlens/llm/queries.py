@@ -14,6 +14,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_ITEMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op6_decontaminate"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_ITEMS}, []) AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ITEMS} AS w FROM benchmark),
+known AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS said FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM known),
+said AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS said FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs CROSS JOIN sizes WHERE len(w) >= k)),
+hits AS (SELECT r, i, k, item_id FROM said JOIN known USING (k, said)),
+places AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + k)) AS place FROM hits) GROUP BY r),
+found AS (SELECT r, list_sort(list_distinct(list(item_id))) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)
+"""
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -80,4 +96,4 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.find(table(spark, sf_dir, "documents"), repeats=1)
+    return line_dedup.find(table(spark, sf_dir, "documents"))

@@ -1,22 +1,31 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its distinct terms: words (runs of letters, A-Z lower-cased) and their first
-bytes, which stand for a stem before endings. Each is hashed to a feature. Besides a weight for each feature the machine has a short vector for each; the inner
-product of two features' vectors is the weight of their meeting in one text, so that an insult
-next to a mention of a group can weigh more than the two alone.
-
-Only features whose frequency tells toxic rows from others are used: thousands of chance weights
-would drown one insult in a long text. It is fitted on the driver to a bounded sample of labelled rows; features are extracted from
-these rows, and all rows scored, on the executors. Null and empty texts have no features and get
-the score of the base rate; without labelled rows of both kinds, all texts get that score. Rows are
-scored one by one, so ties and repeated rows give equal scores. Labels that are null or of rows
-that aren't there are skipped; repeated labels weigh as often as they occur.
+bytes, which stand for a stem before endings. Each is hashed to a feature. Besides a weight for each
+feature the machine has a short vector for each; the inner product of two features' vectors is the
+weight of their meeting in one text, so that an insult next to a mention of a group can weigh more
+than the two alone.
+
+Features are used if their frequency tells toxic rows from others, or if that of their meeting with
+another one does, though neither does alone: thousands of chance weights would drown one insult in
+a long text. Meetings are told of the `PAIRED` commonest features that don't tell anything alone.
+
+The machine is fitted on the driver to a bounded sample of labelled rows: at most `SAMPLE`, the first
+by a hash of their key, and fewer if these have over `FEATURES` features, which is known before they
+come to the driver. It takes the same number of steps at every size. Features are extracted, and all
+rows scored, on the executors. Null and empty texts have no features and get the score of the base
+rate; without labelled rows of both kinds, all texts get that score. Rows are scored one by one, so
+ties and repeated rows give equal scores. Labels that are null or of rows that aren't there are
+skipped; repeated labels weigh as often as they occur. Long texts are read in windows of about a
+megabyte. Result columns take the place of columns of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl, map_texts
+from ledgerlens.llm._spark import cut, ddl, map_texts, quoted, without
 from ledgerlens.llm.language import LETTERS
 
 #: Hash bits of features, length of their vectors, labelled rows and features of these that are learned from.
 BITS, FACTORS, SAMPLE, FEATURES = 18, 4, 12_000, 16_000_000
 #: Lengths of the beginnings of words that are terms, in bytes.
 STEMS = (4, 5, 6)
-EPOCHS, UPDATES, RATE, BATCH, DECAY, LEAST, CHANCE = 10, 40_000, 0.2, 128, 1e-4, 3, 16.0
+STEPS, RATE, BATCH, DECAY, LEAST, CHANCE = 1_500, 0.2, 128, 1e-4, 3, 10.0
+#: Features of which meetings are told, and what a meeting must tell beyond chance: there are half a million of them.
+PAIRED, PAIR_CHANCE = 1_024, 45.0
 
 
 @dataclass
@@ -43,19 +54,19 @@ class Machine:
 
 def features(column: pa.Array, used: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, distinct features, first feature of each row) of runs of rows; of all features, or those used."""
-    for lo, hi, data, offsets in _text.pieces(column):
-        low, starts, ends, first = _text.words(data, offsets, LETTERS)
-        n = hi - lo
-        if not len(starts):
-            yield lo, hi, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-            continue
-        sums = _text.prefix_hash(low)
-        h = np.stack([_text.span_hash(sums, starts, ends), *(_text.mix(_text.span_hash(sums, starts, np.minimum(starts + k, ends)) + np.uint64(k)) for k in STEMS)])
-        h = (h >> np.uint64(64 - BITS)).astype(np.int64)
-        rows = np.broadcast_to(np.repeat(np.arange(n), np.diff(first)), h.shape)
-        keyed = h | (rows << BITS) if used is None else h[used[h]] | (rows[used[h]] << BITS)
-        keyed = np.unique(keyed)
-        yield lo, hi, keyed & ((1 << BITS) - 1), np.searchsorted(keyed, np.arange(n + 1) << BITS)
+    for lo, windows in groupby(_text.windows(column, LETTERS), itemgetter(0)):
+        keyed = np.zeros(0, np.int64)
+        for _, hi, data, offsets, _ in windows:  # several if the row is a long one, on its own
+            low, starts, ends, first = _text.words(data, offsets, LETTERS)
+            if not len(starts):
+                continue
+            sums = _text.prefix_hash(low)
+            h = np.stack([_text.span_hash(sums, starts, ends), *(_text.mix(_text.span_hash(sums, starts, np.minimum(starts + k, ends)) + np.uint64(k)) for k in STEMS)])
+            h = (h >> np.uint64(64 - BITS)).astype(np.int64)
+            rows = np.broadcast_to(np.repeat(np.arange(hi - lo), np.diff(first)), h.shape)
+            now = np.unique(h | (rows << BITS) if used is None else h[used[h]] | (rows[used[h]] << BITS))
+            keyed = np.union1d(keyed, now) if len(keyed) else now
+        yield lo, hi, keyed & ((1 << BITS) - 1), np.searchsorted(keyed, np.arange(hi - lo + 1) << BITS)
 
 
 def _energy(m: Machine, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +80,36 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def _apart(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How far beyond chance the shares of two groups of rows are apart: squared deviates."""
+    p = (toxic + other) / (n1 + n0)
+    return (toxic / n1 - other / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
+
+
 def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The features whose share among toxic rows differs from that among the others beyond chance."""
+    """The features whose share among toxic rows differs from that among the others beyond chance, alone or where two meet."""
     count = lambda of: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(of)]), minlength=1 << BITS)
     toxic, other = count(y > 0), count(y <= 0)
-    n1, n0 = (y > 0).sum(), (y <= 0).sum()
-    p = (toxic + other) / len(y)
-    z2 = (toxic / n1 - other / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
-    return np.flatnonzero((z2 >= CHANCE) & (toxic + other >= LEAST))
+    n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
+    alone = (_apart(toxic, other, n1, n0) >= CHANCE) & (toxic + other >= LEAST)
+    silent = np.where(alone | (toxic + other < LEAST) | (toxic + other > 0.9 * len(y)), 0, toxic + other)
+    paired = np.argsort(-silent, kind="stable")[:PAIRED]
+    paired = paired[silent[paired] > 0]
+    place = np.full(1 << BITS, -1)
+    place[paired] = np.arange(len(paired))
+    there = np.zeros((len(rows), len(paired)), np.float32)
+    for i, r in enumerate(rows):
+        at = place[r]
+        there[i, at[at >= 0]] = 1
+    both1 = there[y > 0].T @ there[y > 0]
+    both0 = there[y <= 0].T @ there[y <= 0]
+    pairs = (_apart(both1, both0, n1, n0) >= PAIR_CHANCE) & (both1 + both0 >= LEAST)
+    np.fill_diagonal(pairs, False)
+    return np.union1d(np.flatnonzero(alone), paired[pairs.any(axis=0)])
 
 
 def fit_arrays(rows: list[np.ndarray], y: np.ndarray) -> Machine:
-    """Log loss, by AdaGrad over mini-batches in an order that depends on the number of rows only."""
+    """Log loss, by STEPS steps of AdaGrad over mini-batches, in an order that depends on the number of rows only."""
     m = Machine(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
     m.bias = float(np.log(rate / (1 - rate)))
@@ -96,65 +125,66 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     n = len(ids)
     small = Machine(m.bias, np.zeros(n), rng.normal(0, 0.02, (n, FACTORS)))
     seen_w, seen_v = np.full(n, 1e-2), np.full((n, FACTORS), 1e-1)
-    for _ in range(EPOCHS + UPDATES // len(rows)):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
-            first = np.concatenate(([0], np.cumsum([len(rows[i]) for i in part])))
-            at = np.concatenate([rows[i] for i in part])
-            z, total = _energy(small, at, first)
-            miss = np.repeat(_sigmoid(z) - y[part], np.diff(first)) / len(part)
-            used = np.bincount(at, minlength=n) > 0
-            g = np.bincount(at, miss, n) + DECAY * small.weights * used
-            seen_w += g * g
-            small.weights -= RATE * g / np.sqrt(seen_w)
-            pull = miss[:, None] * (np.repeat(total, np.diff(first), axis=0) - small.vectors[at])
-            for f in range(FACTORS):
-                g = np.bincount(at, pull[:, f], n) + DECAY * small.vectors[:, f] * used
-                seen_v[:, f] += g * g
-                small.vectors[:, f] -= RATE * 0.25 * g / np.sqrt(seen_v[:, f])
-            small.bias -= 0.05 * float((_sigmoid(z) - y[part]).mean())
+    order = np.zeros(0, np.int64)
+    for _ in range(STEPS):
+        if not len(order):
+            order = rng.permutation(len(rows))
+        part, order = order[:BATCH], order[BATCH:]
+        first = np.concatenate(([0], np.cumsum([len(rows[i]) for i in part])))
+        at = np.concatenate([rows[i] for i in part])
+        z, total = _energy(small, at, first)
+        miss = np.repeat(_sigmoid(z) - y[part], np.diff(first)) / len(part)
+        used = np.bincount(at, minlength=n) > 0
+        g = np.bincount(at, miss, n) + DECAY * small.weights * used
+        seen_w += g * g
+        small.weights -= RATE * g / np.sqrt(seen_w)
+        pull = miss[:, None] * (np.repeat(total, np.diff(first), axis=0) - small.vectors[at])
+        for f in range(FACTORS):
+            g = np.bincount(at, pull[:, f], n) + DECAY * small.vectors[:, f] * used
+            seen_v[:, f] += g * g
+            small.vectors[:, f] -= RATE * 0.25 * g / np.sqrt(seen_v[:, f])
+        small.bias -= 0.05 * float((_sigmoid(z) - y[part]).mean())
     m.bias, m.weights[ids], m.vectors[ids] = small.bias, small.weights, small.vectors
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """Learns from at most `sample` labels, the first by a hash of their key, whose rows are in docs."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, most: int = FEATURES) -> Machine:
+    """Learns from labels whose rows are in docs, in the order of a hash of their key: at most `sample`, and as many as have `most` features in all."""
+    draw = F.xxhash64(F.col("_key").cast("string"))
     marked = labels.select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_y")).where("_key is not null and _y is not null")
-    marked = marked.orderBy(F.xxhash64(F.col("_key").cast("string")), "_key", "_y").limit(sample)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(marked), "_key").select("_key", "_y", "_text")
+    marked = marked.withColumn("_draw", draw).orderBy("_draw", "_key", "_y").limit(sample)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(marked), "_key").select("_draw", F.col("_key").cast("string").alias("_key"), "_y", "_text")
 
     def run(batches):
         for batch in batches:
-            for lo, hi, found, first in features(batch.column(2)):
+            for lo, hi, found, first in features(batch.column(3)):
                 listed = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.string()), batch.column(1).slice(lo, hi - lo), listed], names=["key", "y", "features"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), listed], names=["draw", "key", "y", "features"])
 
-    table = map_texts(rows, run, "key string, y int, features array<int>").toArrow().sort_by([("key", "ascending"), ("y", "ascending")])
-    found = [np.asarray(x.values) for x in table.column("features")]
-    total = np.cumsum([len(x) for x in found])
-    n = int(np.searchsorted(total, FEATURES, "right"))
-    return fit_arrays(found[:n], table.column("y").to_numpy()[:n].astype(float))
+    table = cut(map_texts(rows, run, "draw bigint, key string, y int, features array<int>"))
+    size = table.groupBy("draw").agg(F.sum(F.size("features")).alias("n")).orderBy("draw")
+    size = size.limit(sample).toArrow().to_pydict()
+    end = int(np.searchsorted(np.cumsum(size["n"]), most, "right"))
+    if end < len(size["n"]):
+        table = table.where(F.col("draw") < size["draw"][end])
+    known = table.toArrow().sort_by([("draw", "ascending"), ("key", "ascending"), ("y", "ascending")])
+    return fit_arrays([np.asarray(x.values) for x in known.column("features")], known.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, by default), score and predicted."""
-    keep = list(docs.columns if keep is None else keep)
-    clash = {"score", "predicted"} & {c.lower() for c in keep}
-    if clash:
-        raise ValueError(f"docs has result columns already: {sorted(clash)}")
-    docs = docs.select(*keep) if text in keep else docs.select(*keep, text)
-    at = docs.columns.index(text)
+    keep = without(docs.columns if keep is None else keep, ["score", "predicted"])
+    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
     def run(batches):
         machine = Machine(*shared.value)
-        used = machine.weights != 0
+        used = (machine.weights != 0) | machine.vectors.any(axis=1)
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for lo, hi, found, first in features(batch.column(at), used):
+            for lo, hi, found, first in features(batch.column(len(keep)), used):
                 out[lo:hi] = _sigmoid(_energy(machine, found, first)[0])
-            arrays = [pa.array(out), pa.array((out >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + arrays, names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return map_texts(docs, run, f"{ddl(docs.select(*keep))}, score double, predicted int")
+    kept = ddl(docs.drop("_text"))
+    return map_texts(docs, run, f"{kept}{', ' if kept else ''}score double, predicted int")

@@ -6,7 +6,8 @@ is built-in column functions and Spark's own boosted trees.
 
 Null urls and urls without `://` have an empty host and path; no rule fits them. Rows are judged
 one by one, so repeated rows have equal verdicts. If the labelled urls are all of one kind, all
-others get that verdict; without any they are allowed.
+others get that verdict; without any they are allowed. Urls of any length are features of a few
+numbers. Result columns take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._spark import cut
+from ledgerlens.llm._spark import cut, quoted, without
 
 # A host with its path, and what becomes of its pages.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Labelled urls that are learned from, host suffixes with a rate of their own, trees and their depth.
 SAMPLE, SUFFIXES, TREES, DEPTH = 20_000, 1_000, 12, 4
-#: Rules are a chain of conditions: more belong in a table.
+#: Rules that are a chain of conditions: more are joined as a table, which finds the same ones.
 MOST_RULES = 500
+RESULTS = ["host", "path", "rule", "verdict", "score"]
 FEATURES = ["_length", "_host_length", "_path_length", "_labels", "_depth", "_digits", "_hyphens", "_params", "_secure", "_entropy", "_rate1", "_rate2"]
 
 
@@ -38,8 +40,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
     """The longest rule whose host is the url's or above it, and with whose path the url's begins; else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     found = F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: (len(r), r)):
         name, slash, rest = rule.partition("/")
@@ -48,6 +48,21 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return found
 
 
+def with_rule(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """urls (host, path) with rule and ruled, its verdict."""
+    if len(rules) <= MOST_RULES:
+        verdicts = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]) if rules else None
+        urls = urls.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+        return urls.withColumn("ruled", F.lit(None).cast("string") if verdicts is None else verdicts[F.col("rule")])
+    split = [(name, slash + rest, rule, verdict) for rule, verdict in rules.items() for name, slash, rest in [rule.partition("/")]]
+    table = urls.sparkSession.createDataFrame(split, "_name string, _start string, rule string, ruled string")
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", -i))
+    places = urls.select("host", "path").distinct().withColumn("_name", F.explode(F.array_distinct(above)))
+    places = places.join(table, "_name").where(F.col("path").startswith(F.col("_start")))
+    longest = places.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "ruled")).alias("_best"))
+    return urls.join(longest.select("host", "path", "_best.rule", "_best.ruled"), ["host", "path"], "left")
+
+
 def _suffix(n: int) -> Column:
     return F.substring_index("host", ".", -n)
 
@@ -87,9 +102,8 @@ def fit(urls: DataFrame, url: str = "url", rules: dict[str, str] | None = None,
     """Learns from the urls that rules label: at most `sample`, the first by hash."""
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col(url))
-    urls = urls.select(F.col(url).alias("url")).withColumns({"host": host, "path": path}).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("rule")] if rules else F.lit(None).cast("string")
-    labelled = urls.where("rule is not null").withColumn("label", (verdict == "block").cast("double")).orderBy(F.xxhash64("url"), "url").limit(sample)
+    urls = urls.select(F.col(url).alias("url")).withColumns({"host": host, "path": path})
+    labelled = with_rule(urls, rules).where("rule is not null").withColumn("label", (F.col("ruled") == "block").cast("double")).orderBy(F.xxhash64("url"), "url").limit(sample)
     labelled = cut(labelled.select("url", "host", "path", "label"))
     kinds = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
     base = kinds.get(1.0, 0) / max(1, sum(kinds.values()))
@@ -107,18 +121,16 @@ def fit(urls: DataFrame, url: str = "url", rules: dict[str, str] | None = None,
 def judge(urls: DataFrame, model: UrlModel, url: str = "url", rules: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of urls (all, by default), host, path, rule, verdict and score, the trees' chance that it is blocked."""
     rules = RULES if rules is None else rules
-    keep = list(urls.columns if keep is None else keep)
-    clash = {"host", "path", "rule", "verdict", "score"} & {c.lower() for c in keep}
-    if clash:
-        raise ValueError(f"urls has result columns already: {sorted(clash)}")
+    keep = without(urls.columns if keep is None else keep, RESULTS)
     host, path = host_and_path(F.col("_url"))
-    rows = urls.select(*keep, F.col(url).alias("_url")).withColumns({"host": host, "path": path}).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+    # other names than the caller's: features and rules have columns of their own
+    rows = urls.select(*quoted(*keep), F.col(quoted(url)[0]).alias("_url")).toDF(*(f"_c{i}" for i in range(len(keep))), "_url")
+    rows = with_rule(rows.withColumns({"host": host, "path": path}), rules)
     if model.trees is not None:
         from pyspark.ml.functions import vector_to_array
 
         rows = model.trees.transform(_with_rates(_lexical(rows, "_url"), model)).withColumn("score", vector_to_array("probability")[1])
     else:
         rows = rows.withColumn("score", F.lit(model.base))
-    ruled = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("rule")] if rules else F.lit(None).cast("string")
-    verdict = F.coalesce(ruled, F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return rows.select(*keep, "host", "path", "rule", verdict.alias("verdict"), "score")
+    verdict = F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    return rows.select(*(f"_c{i}" for i in range(len(keep))), "host", "path", "rule", verdict.alias("verdict"), "score").toDF(*keep, *RESULTS)

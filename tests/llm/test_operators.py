@@ -41,8 +41,8 @@ def test_language(spark, docs, empty):
     nothing = language.fit(empty)
     assert nothing.languages == [] and language.predict(empty, nothing).count() == 0
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        language.predict(docs.withColumnRenamed("source", "score"), model)
+    clashing = language.predict(docs.withColumnRenamed("source", "Score"), model)
+    assert clashing.columns == ["doc_id", "text", "lang", "n_chars", "lang_pred", "score", "evidence", "shares"] and clashing.count() == len(found)
 
 
 def test_language_mixture(spark):
@@ -119,7 +119,9 @@ def test_simhash_buckets():
     fp = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
     fp = np.unique(np.concatenate([fp, fp[:20] ^ np.uint64(5), fp[:5] ^ np.uint64(1)]))
     for starts in (np.array([0, len(fp)]), np.array([0, 9, 20, len(fp)])):
-        a, b = simhash_dedup.bucket_links(fp, starts, 3)
+        table = np.bitwise_count(fp[None, :] ^ simhash_dedup.REFERENCES[:, None]).astype(np.int8)
+        order = np.concatenate([lo + np.argsort(table[0][lo:hi], kind="stable") for lo, hi in zip(starts[:-1], starts[1:])])
+        a, b = simhash_dedup.bucket_links(fp[order], table[:, order], starts, 3)
         assert all(int(x ^ y).bit_count() <= 64 for x, y in zip(a, b))
         from ledgerlens.llm._graph import forest
 
@@ -224,8 +226,8 @@ def test_line_dedup(spark, empty):
     first, dropped = {}, {}
     for d, text in enumerate(texts):
         for i, line in enumerate(text.split("\n")):
-            if len(line) >= 20:
-                if line in first or any(edit_distance(line, x) <= 2 for x in first):
+            if line.strip():
+                if line in first or len(line) >= 20 and any(len(x) >= 20 and edit_distance(line, x) <= 2 for x in first):
                     dropped.setdefault(d, []).append(i)
                 first.setdefault(line, (d, i))
     found = {r["doc_id"]: r["dropped"] for r in line_dedup.find(rows).collect()}
