@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.binding import let
+from ledgerlens.functions.binding import let, strip
 
 # How totals and document numbers are written, in order of precedence.
-TOTALS = [r"(?is)total\b[^\d]{0,15}?([\d\.\,]{3,})", r"\bTOTAL\s+([\d\.\,]+)", r"(?is)(?:monto|total)\s+a\s+pagar\b[^\d]{0,15}?([\d\.\,]{3,})", r"(?i)(?<![A-Za-z0-9])\$\s*([\d\.\,]{3,})"]
+TOTALS = [r"(?isU)total\b[^\d]{0,15}?([\d\.\,]{3,})", r"(?U)\bTOTAL\s+([\d\.\,]+)", r"(?isU)(?:monto|total)\s+a\s+pagar\b[^\d]{0,15}?([\d\.\,]{3,})", r"(?iU)(?<![A-Za-z0-9])\$\s*([\d\.\,]{3,})"]
 FOLIOS = [
-    r"\bN[°ºo\*\.]?\s*(\d{3,12})\b",
-    r"(?i)(?:factura|boleta)\s*n[°ºo\*\.]?\s*(\d{3,12})",
-    r"(?i)(?:factura|boleta)\s+(?:electr[oó]nica\s+)?n[°ºo\*\.]?\s*(\d{3,12})",
-    r"(?i)\bfolio\s*n[°ºo\*\.]?\s*(\d{1,10})",
-    r"(?i)(?:factura|boleta)\s+(\d{4,10})\b",
-    r"(?i)\bNRO\.?\s*[:N°ºo\.]*\s*(\d{2,12})\b",
+    r"(?U)\bN[°ºo\*\.]?\s*(\d{3,12})\b",
+    r"(?iU)(?:factura|boleta)\s*n[°ºo\*\.]?\s*(\d{3,12})",
+    r"(?iU)(?:factura|boleta)\s+(?:electr[oó]nica\s+)?n[°ºo\*\.]?\s*(\d{3,12})",
+    r"(?iU)\bfolio\s*n[°ºo\*\.]?\s*(\d{1,10})",
+    r"(?iU)(?:factura|boleta)\s+(\d{4,10})\b",
+    r"(?iU)\bNRO\.?\s*[:N°ºo\.]*\s*(\d{2,12})\b",
 ]
-CARD_NUMBER = r"NUMERO\s*DE\s*DOCUMENTO\s*[\n:]*\s*([\d\.]+)"
+CARD_NUMBER = r"(?U)NUMERO\s*DE\s*DOCUMENTO\s*[\n:]*\s*([\d\.]+)"
 CARD_BIRTH = r"(?U)FECHA\s*DE\s*NACIMIENTO\s*[\n:]*\s*(\d{2}[\s/.-]+\w+[\s/.-]+\d{4})"
 
 
@@ -27,13 +27,13 @@ def _group(text: Column, pattern: str) -> Column:
 
 def money(raw: Column) -> Column:
     """Whole pesos: one or two digits after a last point or comma are cents, all other points and commas separators."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\s", ""), r"[.,]\d{1,2}$", ""), "[.,]", "").try_cast("bigint")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s", ""), r"[.,]\d{1,2}$", ""), "[.,]", "").try_cast("bigint")
 
 
 def anchored_money(raw: Column) -> Column:
     """As money() reads, but a lone comma is a decimal comma: the rule for amounts beside a label."""
     plain = lambda x: F.replace(x, F.lit("."), F.lit(""))
-    number = let(F.trim(raw), lambda x: F.when(x.contains(","), F.translate(F.when(x.contains("."), plain(x)).otherwise(x), ",", ".")).otherwise(plain(x)))
+    number = let(strip(raw), lambda x: F.when(x.contains(","), F.translate(F.when(x.contains("."), plain(x)).otherwise(x), ",", ".")).otherwise(plain(x)))
     return number.try_cast("double").try_cast("bigint")
 
 
@@ -41,7 +41,8 @@ def extract_total(text: Column) -> Column:
     """The first pattern that occurs decides, even if its number can't be read."""
     found = F.lit(None).cast("bigint")
     for pattern in reversed(TOTALS):
-        found = F.when(text.rlike(pattern), money(F.regexp_extract(text, pattern, 1))).otherwise(found)
+        whole = F.regexp_extract(text, pattern, 1)  # no pattern's group can be empty
+        found = let(whole, lambda said, rest=found: F.when(said != "", money(said)).otherwise(rest))
     return found
 
 

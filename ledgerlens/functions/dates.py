@@ -18,10 +18,10 @@ MONTHS = {
 }
 _NAMES = "|".join(sorted(MONTHS, key=len, reverse=True))
 # The forms of dates, in order of precedence.
-NUMERIC = [r"\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{2,4})(?=[^\d]|$)", r"\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{4})\d{2}:\d{2}:\d{2}"]
-HYPHENED = rf"(?iu)\b(\d{{1,2}})[\-–—]({_NAMES})[\-–—](\d{{2,4}})\b"
-WORDED = rf"(?iu)\b(\d{{1,2}})\s*(?:de\s+)?({_NAMES})\b(?:\s*(?:de\s+)?(?:del?\s+)?(\d{{2,4}}))?"
-ENGLISH = rf"(?iu)\b({_NAMES})\b\s+(\d{{1,2}})(?:st|nd|rd|th)?[\,\s]+(\d{{2,4}})"
+NUMERIC = [r"(?U)\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{2,4})(?=[^\d]|$)", r"(?U)\b(\d{1,2})[\/\-\.](\d{1,2})[\/\-\.](\d{4})\d{2}:\d{2}:\d{2}"]
+HYPHENED = rf"(?iU)\b(\d{{1,2}})[\-–—]({_NAMES})[\-–—](\d{{2,4}})\b"
+WORDED = rf"(?iU)\b(\d{{1,2}})\s*(?:de\s+)?({_NAMES})\b(?:\s*(?:de\s+)?(?:del?\s+)?(\d{{2,4}}))?"
+ENGLISH = rf"(?iU)\b({_NAMES})\b\s+(\d{{1,2}})(?:st|nd|rd|th)?[\,\s]+(\d{{2,4}})"
 
 
 def _date(day: Column, month: Column, year: Column) -> Column:
@@ -35,9 +35,14 @@ def _numeric(pattern: str) -> Callable[[Column], Column]:
 
 
 def _named(text: Column, pattern: str, day: int, month: int, year: Column | None = None) -> Column:
-    number = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])[F.lower(F.regexp_extract(text, pattern, month))]
-    written = F.nullif(F.regexp_extract(text, pattern, 3), F.lit(""))
-    return F.when(text.rlike(pattern), _date(F.regexp_extract(text, pattern, day), number, written if year is None else F.coalesce(written, year)))
+    numbers = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+
+    def parts(said: Column) -> Column:  # the text is searched once: what was found is short
+        written = F.nullif(F.regexp_extract(said, pattern, 3), F.lit(""))
+        number = numbers[F.lower(F.regexp_extract(said, pattern, month))]
+        return F.when(said != "", _date(F.regexp_extract(said, pattern, day), number, written if year is None else F.coalesce(written, year)))
+
+    return let(F.regexp_extract(text, pattern, 0), parts)
 
 
 def extract(text: Column, this_year: Column | None = None) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.binding import let
+from ledgerlens.functions.binding import let, strip
 from ledgerlens.functions.tax_id import LABEL
 
 # Words kept in lower case, words that begin lines without a name, and words that no name has.
@@ -36,14 +39,30 @@ TYPOS = [
     (r"(?iu)\bF[AE]S?T?U[RN][AÁ]\b", "FACTURA"),
     (r"(?U)\s+", " "),
 ]
-#: Full-width forms and odd spaces, by rule: the compatibility characters that scanned names hold.
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "   　ªº"
-_PLAIN = "".join(map(chr, range(0x21, 0x7F))) + "    ao"
+# What Unicode's compatibility form (NFKC) makes of single characters, and the letters that it composes with their marks.
+_FORMS = {c: unicodedata.normalize("NFKC", c) for c in map(chr, [*range(0xA0, 0xD800), *range(0xF900, 0x10000)])}
+_PLAIN = {c: x for c, x in _FORMS.items() if x != c}
+_ALIKE = {c: x for c, x in _PLAIN.items() if len(x) == 1}
+_LONGER = {c: x for c, x in _PLAIN.items() if len(x) != 1}
+_COMPOSED = {unicodedata.normalize("NFD", c): c for c, x in _FORMS.items() if x == c and c < "\u2000" and len(unicodedata.normalize("NFD", c)) > 1}
+
+
+def plain(text: Column) -> Column:
+    """Compatibility characters as plain ones (ligatures, circled and full-width forms, odd spaces), letters joined with their marks."""
+    table = F.from_json(F.lit(json.dumps(_LONGER | _COMPOSED)), "map<string,string>")  # a constant
+    odd = "[\\p{M}" + "".join(_LONGER) + "]"
+
+    def longer(alike: Column) -> Column:
+        pieces = F.regexp_extract_all(alike, F.lit(r"(?s).\p{M}*"), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
+
+    alike = F.translate(text, "".join(_ALIKE), "".join(_ALIKE.values()))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(alike, lambda a: F.when(a.rlike(odd), longer(a)).otherwise(a))).otherwise(text)
 
 
 def normalize_name(raw: Column) -> Column:
     """Compatibility characters plain, spaces collapsed, each word capitalised but the small ones."""
-    text = F.trim(F.regexp_replace(F.translate(raw, _WIDE, _PLAIN), r"(?U)\s+", " "))
+    text = strip(F.regexp_replace(plain(raw), r"(?U)\s+", " "))
     words = F.transform(F.split(text, " "), lambda w: F.when(F.lower(w).isin(SMALL), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))))
     return F.nullif(F.array_join(words, " "), F.lit(""))
 
@@ -56,13 +75,14 @@ def looks_like_name(line: Column) -> Column:
 
 def extract_supplier(text: Column, rut: Column) -> Column:
     """The first name below the line of this tax id, else the first line in capitals that may be a name."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
     return normalize_name(let(lines, lambda found: let(rut, lambda r: _supplier(found, r))))
 
 
 def _supplier(lines: Column, rut: Column) -> Column:
-    start = F.concat(F.lit(f"(?i){LABEL}"), F.substring(F.regexp_replace(rut, "[.-]", ""), 1, 8))
-    place = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, start)), True)
+    body = F.upper(F.substring(F.translate(rut, ".-", ""), 1, 8))
+    # a line without the id's digits needs no search for its label, which is a pattern of its own for each id
+    place = F.array_position(F.transform(lines, lambda x: F.upper(x).contains(body) & F.regexp_like(x, F.concat(F.lit(f"(?iU){LABEL}"), body))), True)
     below = F.filter(F.slice(lines, (place + 1).cast("int"), F.lit(4)), lambda x: ~x.rlike(STOPPERS) & ~x.rlike(r"(?i)R\.?U\.?T\.?") & ~x.rlike(r"\d{4,}") & looks_like_name(x))
     first = F.when(rut.isNotNull() & (place > 0), F.get(below, F.lit(0)))
     other = F.get(F.filter(lines, lambda x: ~x.rlike(STOPPERS) & ~x.rlike(r"\d") & looks_like_name(x)), F.lit(0))

@@ -9,11 +9,11 @@ from ledgerlens.functions.binding import let
 
 # How a tax id is labelled and written.
 LABEL = r"R\.?U\.?T\.?\s*[:N°ºo\.]*\s*"
-LABELLED = rf"(?i){LABEL}(\d{{1,2}}\.?\d{{3}}\.?\d{{3}}[\-–—][0-9Kk])"
-BARE = r"(?i)\b(\d{1,2}\.?\d{3}\.?\d{3}[\-–—][0-9Kk])\b"
-NO_CHECK = rf"(?i){LABEL}(\d{{1,2}}(?:\.\d{{3}}){{1,2}})(?![-\dKk])"
-LOOSE = rf"(?i){LABEL}(\d[\d\.\-Kk]{{6,15}})"
-CARD = r"\b\d{1,2}\.\d{3}\.\d{3}-[\dkK]\b|\b\d{7,8}-[\dkK]\b"
+LABELLED = rf"(?iU){LABEL}(\d{{1,2}}\.?\d{{3}}\.?\d{{3}}[\-–—][0-9Kk])"
+BARE = r"(?iU)\b(\d{1,2}\.?\d{3}\.?\d{3}[\-–—][0-9Kk])\b"
+NO_CHECK = rf"(?iU){LABEL}(\d{{1,2}}(?:\.\d{{3}}){{1,2}})(?![-\dKk])"
+LOOSE = rf"(?iU){LABEL}(\d[\d\.\-Kk]{{6,15}})"
+CARD = r"(?U)\b\d{1,2}\.\d{3}\.\d{3}-[\dkK]\b|\b\d{7,8}-[\dkK]\b"
 
 
 def clean(raw: Column) -> Column:
@@ -40,6 +40,13 @@ def validate(raw: Column) -> Column:
     return let(clean(raw), lambda c: F.when(check_digit(body(c)) == F.right(c, F.lit(1)), dotted(c)))
 
 
+def validation(raw: Column) -> Column:
+    """input, canonical (null if not valid), valid, and the check digit that the body should have."""
+    said = let(clean(raw), lambda c: F.when(F.length(c) > 1, check_digit(F.substring(c, 1, F.length(c) - 1))))
+    right = validate(raw)
+    return F.struct(raw.alias("input"), right.alias("canonical"), right.isNotNull().alias("valid"), said.alias("dv"))
+
+
 def _valid(text: Column, pattern: str, group: int = 1) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), validate), lambda x: x.isNotNull())
 

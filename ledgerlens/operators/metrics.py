@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.records import key_flags, preview
+
 
 def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("estado").agg(F.count("*").alias("n"))
@@ -38,6 +40,76 @@ def readiness(records: DataFrame) -> DataFrame:
     return row.withColumn("verdict", F.when(F.col("pct_ok") >= 95, "go").when(F.col("pct_ok") >= 90, "watch").otherwise("stop"))
 
 
+def by_name(records: DataFrame) -> DataFrame:
+    """How many records are cards, or of files whose names say what they are."""
+    name = F.lower("archivo")
+    kind = F.when(F.col("kind") == "card", "cedula").when(name.contains("factura"), "factura").when(name.contains("boleta"), "boleta").otherwise("otro")
+    return records.groupBy(kind.alias("tipo")).agg(F.count("*").alias("n"))
+
+
+def by_route(records: DataFrame) -> DataFrame:
+    """Records of each route by state."""
+    states = {s: F.count_if(F.col("estado") == s).alias(s.lower()) for s in ("OK", "QUARANTINE", "REJECTED")}
+    return records.groupBy(F.coalesce("route", F.lit("?")).alias("ruta")).agg(*states.values())
+
+
+def ranked(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Counts as reports list them: the largest first, ties by key."""
+    return counts.orderBy(F.desc(n), key)
+
+
+# Errors that a level of readiness allows, and the exit codes of shares of OK records.
+LEVELS, EXIT_CODES = [(2, "listo"), (5, "fragil"), (8, "expuesto")], [(95, 0), (80, 1)]
+
+
+def diagnosis(records: DataFrame) -> DataFrame:
+    """errors (records not OK), level of readiness, and exit code."""
+    row = records.agg(F.count_if(F.col("estado") != "OK").alias("errors"), F.count("*").alias("n"), F.count_if(F.col("estado") == "OK").alias("ok"))
+    share = F.when(F.col("n") == 0, 0.0).otherwise(F.round(100.0 * F.col("ok") / F.col("n"), 2))
+    level, code = F.lit("reestructurar"), F.lit(2)
+    for most, name in reversed(LEVELS):
+        level = F.when(F.col("errors") <= most, name).otherwise(level)
+    for least, number in reversed(EXIT_CODES):
+        code = F.when(share >= least, number).otherwise(code)
+    return row.select("errors", level.alias("level"), code.alias("exit_code"))
+
+
+def file_sizes(files: DataFrame) -> DataFrame:
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percent of files done, 95 at most until a job ends."""
+    return F.least(F.lit(95.0), 100.0 * done / F.greatest(total, F.lit(1)))
+
+
+def detail(records: DataFrame) -> DataFrame:
+    """What a report says of each document."""
+    ending = F.lower(F.regexp_extract("archivo", r"(\.[^./]+)$", 1))
+    plain = ["estado", "doc_type", "fecha", "rut", "total", "proveedor", "nro_documento"]
+    return records.select("archivo", ending.alias("ext"), F.coalesce("route", F.lit("?")).alias("ruta"), *plain, F.col("motivo_revision").alias("motivo"), "ruta_extraccion", preview(F.col("raw_text")).alias("raw_text_preview"))
+
+
+def report(records: DataFrame, folder: str) -> DataFrame:
+    """A row with the figures of a batch: totals, and maps of what lacks and of records by route, type and extension."""
+    flags = key_flags("fecha", "rut", "total", "proveedor", "nro_documento")
+    quarantined = F.col("estado") == "QUARANTINE"
+    ending = F.coalesce(F.nullif(F.lower(F.regexp_extract("archivo", r"(\.[^./]+)$", 1)), F.lit("")), F.lit("(sin ext)"))
+    sides = {"por_ruta": F.coalesce("route", F.lit("?")), "por_doc_type": F.coalesce("doc_type", F.lit("?")), "por_extension": ending}
+    # one pass: counts by side, value and state, of which the figures are sums
+    side = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), v.alias("value")) for k, v in sides.items()])).alias("s")
+    counted = records.select(side, F.lower("estado").alias("estado")).groupBy("s.side", "s.value", "estado").agg(F.count("*").alias("n"))
+    by_value = counted.groupBy("side", "value").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("estado", "n")))).alias("states"))
+    by_side = by_value.groupBy("side").agg(F.map_from_entries(F.collect_list(F.struct("value", "states"))).alias("m"))
+    maps = by_side.groupBy().agg(*[F.max_by("m", F.when(F.col("side") == k, 1)).alias(k) for k in sides])
+    lacks = F.create_map(*[x for name, there in flags.items() for x in (F.lit(name.removeprefix("tiene_")), F.count_if(quarantined & ~there))])
+    n = {s: F.count_if(F.col("estado") == s).alias(s.lower()) for s in ("OK", "QUARANTINE", "REJECTED")}
+    totals = records.agg(F.count("*").alias("total"), *n.values(), F.map_filter(lacks, lambda k, v: v > 0).alias("faltantes_quarantine"))
+    share = lambda c: F.when(F.col("total") == 0, 0.0).otherwise(F.round(100.0 * c / F.col("total"), 2))
+    totals = totals.withColumns({"input_dir": F.lit(folder), "pct_ok": share(F.col("ok")), "pct_usable": share(F.col("ok") + F.col("quarantine"))})
+    return totals.join(maps, F.lit(True), "left")  # one row each
+
+
 def best_reading(readings: DataFrame, key: str = "doc_id", score: str = "score", order: str = "mode") -> DataFrame:
     """The reading of each document with the largest score; ties to the first mode."""
     rest = [c for c in readings.columns if c not in (key, score, order)]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import amounts, dates
 
-#: Templates are a chain of conditions, each with patterns of its own.
-MOST = 1_000
+#: Templates whose keywords are looked for by conditions in the plan; those of more are matched as a table.
+MOST = 200
 
 
 @dataclass
@@ -26,35 +30,48 @@ class Template:
         return "(?i)" + written.removeprefix("regex:").strip() if written.startswith("regex:") else None
 
 
+def _places(docs: DataFrame, templates: list[Template], t: Column) -> Column:
+    """The place of the first template of which the text holds a keyword."""
+    lower = F.lower(t)
+    if len(templates) <= MOST:
+        fits = [reduce(or_, [lower.contains(k.lower()) for k in x.keywords], F.lit(False)) for x in templates]
+        return F.coalesce(*[F.when(f, i) for i, f in enumerate(fits)], F.lit(None).cast("int"))
+    # a constant table, in order: the first match ends the search
+    table = F.from_json(F.lit(json.dumps([{"i": i, "k": k.lower()} for i, x in enumerate(templates) for k in x.keywords])), "array<struct<i:int,k:string>>")
+    return F.get(F.filter(table, lambda x: lower.contains(x["k"])), F.lit(0))["i"]
+
+
 def apply(docs: DataFrame, templates: list[Template], text: str = "text", this_year: Column | None = None) -> DataFrame:
     """docs with template, template_rut, template_total and template_fecha; null where no template fits."""
-    if len(templates) > MOST:
-        raise ValueError(f"more than {MOST} templates")
     t = F.col(text)
-    which = F.lit(None).cast("int")
-    for i, template in reversed(list(enumerate(templates))):
-        fits = F.lit(False)
-        for keyword in template.keywords:
-            fits = fits | F.lower(t).contains(keyword.lower())
-        which = F.when(fits, i).otherwise(which)
-    docs = docs.withColumn("_which", which)
-    chosen = lambda values, kind: _pick(F.col("_which"), values, kind)
-    read = lambda rule: [None if (p := x.pattern(rule)) is None else F.when(t.rlike(p), F.regexp_extract(t, p, 1)) for x in templates]
-    total = amounts.money(chosen(read("total"), "string"))
+    docs = docs.withColumn("_which", _places(docs, templates, t) if templates else F.lit(None).cast("int"))
+    rows = json.dumps([{"name": x.name, "rut": x.rut, "total": x.pattern("total"), "fecha": x.pattern("fecha")} for x in templates])
+    table = F.from_json(F.lit(rows), "array<struct<name:string,rut:string,total:string,fecha:string>>")
+    docs = docs.withColumn("_template", F.get(table, F.col("_which")))
+    # the pattern is the row's own: it is compiled where a template fits, and again only if the next one's differs
+    read = lambda rule: F.when(F.col(f"_template.{rule}").isNotNull(), F.nullif(F.call_function("regexp_extract", t, F.col(f"_template.{rule}"), F.lit(1)), F.lit("")))
+    total = amounts.money(read("total"))
     return docs.withColumns({
-        "template": chosen([F.lit(x.name) for x in templates], "string"),
-        "template_rut": chosen([F.lit(x.rut) for x in templates], "string"),
-        "template_total": F.nullif(total, F.lit(0)),
-        "template_fecha": dates.extract(chosen(read("fecha"), "string"), this_year),
-    }).drop("_which")
-
-
-def _pick(which: Column, values: list[Column | None], kind: str) -> Column:
-    found = F.lit(None).cast(kind)
-    for i, value in enumerate(values):
-        if value is not None:
-            found = F.when(which == i, value).otherwise(found)
-    return found
+        "template": F.col("_template.name"), "template_rut": F.col("_template.rut"),
+        "template_total": F.nullif(total, F.lit(0)), "template_fecha": dates.extract(read("fecha"), this_year),
+    }).drop("_which", "_template")
+
+
+def save(spark: SparkSession, templates: list[Template], path: str) -> None:
+    """The templates as a small table, in their order."""
+    rows = [(i, x.name, x.keywords, x.rut, x.rules) for i, x in enumerate(templates)]
+    spark.createDataFrame(rows, "place int, name string, keywords array<string>, rut string, rules map<string,string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> list[Template]:
+    """The saved templates, in order; none if there is no table."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return [Template(r["name"], list(r["keywords"]), r["rut"], dict(r["rules"])) for r in table.orderBy("place").collect()]
 
 
 def learn(templates: list[Template], supplier: str, text: str, total: int | None, rut: str | None = None) -> list[Template]:

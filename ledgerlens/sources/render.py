@@ -70,3 +70,41 @@ def tokens(docs: DataFrame) -> DataFrame:
         lambda line, i: F.transform(F.split(line, " "), lambda w, j: F.struct(w.alias("text"), (10 + 100 * j).alias("left"), (10 + 30 * i).alias("top"), F.lit(90).alias("width"), F.lit(20).alias("height"))),
     )
     return docs.withColumn("tokens", F.flatten(words))
+
+
+def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of one document for each customer, of twelve kinds by its key: blank pages, odd spaces, ids without dots and so on."""
+    key = F.col("c_custkey")
+    body = (key + 10_000_000).cast("string")
+    right = tax_id.check_digit(body)
+    dotted = tax_id.dotted(F.concat(body, right))
+    wrong = tax_id.dotted(F.concat(body, F.substring(F.lit("0123456789K"), F.instr(F.lit("0123456789K"), right) % 11 + 1, F.lit(1))))
+    texts = [
+        ["\n" * 60],
+        ["FACTURA ELECTRÓNICA\nRUT:\u00a0", dotted, "\nN°\u00a0", (key + 1_000).cast("string"), "\nCOMERCIAL ÑANDÚ LTDA\nFECHA EMISIÓN:\u00a005/03/2021\nTOTAL\u00a0$\u00a05.000"],
+        ["RUT: ", body, "-", right, "\nGIRO: VENTAS\nFERRETERÍA NUEVA SPA\nTotal 12.500\nFecha 1-1-2020"],
+        ["FACTURA ELECTRONICA\nRUT: ", dotted, "\nR.U.T.: 76.192.083-9\nFOLIO N° 77\nTOTAL 1.190"],
+        ["BOLETA ELECTRONICA\nTotal ...\nTOTAL 8.000"],
+        ["BOLETA ELECTRONICA\n", F.when(F.floor(key / 12) % 2 == 1, "TOTAL").otherwise("Total"), " 50"],
+        ["NOTA DE CREDITO\nNUEVA COMERCIAL LIMITADA\nCOMERCIAL ANDINA LIMITADA\nTOTAL $ 3.300\n01.02.2019"],
+        ["GUIA DE DESPACHO\nFECHA 1/1/202\nTOTAL 999"],
+        ["BOLETA ELECTRONICA\nTOTAL 000"],
+        ["S.I.I.\nRUT: ", wrong, "\nTOTAL $ 100\n3 de marzo de 2022"],
+        ["GUÍA DE DESPACHO\nN° 5555\nCOMERCIAL SUR S.A.\n15-ene-20"],
+        ["INVOICE\nGOOGLE PLAY\nMarch 3, 2021\nTotal $ 9,90"],
+    ]
+    text = F.lit(None).cast("string")
+    for i, parts in enumerate(texts):
+        text = F.when(key % len(texts) == i, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(text)
+    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text"))
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archivo, route and text of one identity card for each customer; some have a wrong id or no number."""
+    key = F.col("c_custkey")
+    body = (key + 10_000_000).cast("string")
+    right = tax_id.check_digit(body)
+    id_text = tax_id.dotted(F.concat(body, F.when(key % 11 == 0, F.when(right == "1", "2").otherwise("1")).otherwise(right)))
+    number = F.when(key % 10 != 3, F.concat(F.lit("Numero de documento: "), F.translate(F.format_number(key + 100_000_000, 0), ",", ".")))
+    text = F.concat_ws("\n", F.lit("CEDULA DE IDENTIDAD"), id_text, number, F.lit("Fecha de nacimiento\n05 Mar 1990"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("card_"), key.cast("string"), F.lit(".png")).alias("archivo"), F.lit("image").alias("route"), text.alias("text"))
