@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """rows over all cores, where the files of their source give fewer partitions: their texts are much more work than they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if source.rdd.getNumPartitions() < cores else rows
+
+
 def _written_date(day: Column, style: Column) -> Column:
     month = lambda names: F.get(F.array(*map(F.lit, names)), F.month(day) - 1)
     d, y = F.dayofmonth(day).cast("string"), F.year(day).cast("string")
@@ -38,7 +44,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
     regions = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(regions), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
+    rows = spread(orders.join(people, F.col("o_custkey") == F.col("c_custkey")), orders)
     key = F.col("o_orderkey")
     lacks = lambda n: key % 10 == n
     line = lambda there, *parts: F.when(there, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
@@ -96,7 +102,8 @@ def odd_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(None).cast("string")
     for i, parts in enumerate(texts):
         text = F.when(key % len(texts) == i, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(text)
-    return table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text"))
+    people = table(spark, sf_dir, "customer").select("c_custkey")
+    return spread(people, people).select(key.alias("doc_id"), text.alias("text"))
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,4 +114,5 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_text = tax_id.dotted(F.concat(body, F.when(key % 11 == 0, F.when(right == "1", "2").otherwise("1")).otherwise(right)))
     number = F.when(key % 10 != 3, F.concat(F.lit("Numero de documento: "), F.translate(F.format_number(key + 100_000_000, 0), ",", ".")))
     text = F.concat_ws("\n", F.lit("CEDULA DE IDENTIDAD"), id_text, number, F.lit("Fecha de nacimiento\n05 Mar 1990"))
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("card_"), key.cast("string"), F.lit(".png")).alias("archivo"), F.lit("image").alias("route"), text.alias("text"))
+    people = table(spark, sf_dir, "customer").select("c_custkey")
+    return spread(people, people).select(F.concat(F.lit("card_"), key.cast("string"), F.lit(".png")).alias("archivo"), F.lit("image").alias("route"), text.alias("text"))
