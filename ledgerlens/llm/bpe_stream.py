@@ -3,13 +3,18 @@
 A byte string has one valid token sequence, and a sequence is valid exactly if every two
 neighbours are: merging their joined bytes gives the two again. So the encoding of each prefix
 is the encoding of a shorter prefix and one last token, and the transducer needs to keep only
-that last token for each position. A longer prefix, however it goes on, has a token boundary
-among the last `lookahead` positions, where `lookahead` is the longest token that the merge list
-can make. Tokens on which the paths of all those positions agree can't change any more: they are
-emitted and forgotten. What is kept doesn't grow with the text.
+that last token for each position, which it works out where a path asks for it. A longer prefix,
+however it goes on, has a token boundary among the last `lookahead` positions, where `lookahead` is
+the longest token that the merge list can make. Tokens on which the paths of all those positions
+agree can't change any more: they are emitted and forgotten. What is kept doesn't grow with the text.
+
+Every pretoken goes through the transducer, but for those remembered of late. Texts are read in
+windows, cut where no pretoken lies across: before space that follows other characters, and between
+a letter and what is neither letter nor space; of what has no such place, a pretoken at a time.
 
 Null and empty texts have no tokens. Added tokens (such as `<|endoftext|>`) are cut out of the
-text first. Rows are independent: repeated rows and ids give repeated results.
+text first. Rows are independent: repeated rows and ids give repeated results. Result columns take
+the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import hashlib
 import itertools
 import json
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._spark import ddl, map_texts
+from ledgerlens.llm._spark import ddl, map_texts, quoted, without
 
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,6 +73,7 @@ class Vocabulary:
             self.made.setdefault(i, (a, b, rank))
         self.by_bytes = {self.bytes[i]: i for i in self.byte_ids.values()}
         self.by_bytes |= {self.bytes[i]: i for _, i in self.ranks.values()}
+        self.sizes = list(map(len, self.bytes))
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at a token's left (0) or right (1) end, as the merges build it up.
@@ -93,12 +99,8 @@ class Transducer:
         self.vocabulary = vocabulary
         self.lookahead = sufficient_lookahead(vocabulary)
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.across = {a << 20 | b: rank for (a, b), (rank, _) in vocabulary.ranks.items()}
         self._fits: dict[int, bool] = {}
-        self.reach = {}
-        for token, i in vocabulary.by_bytes.items():
-            for n in range(1, len(token)):
-                self.reach.setdefault(token[:n], -1)
-            self.reach[token] = i
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens as they are, side by side."""
@@ -118,105 +120,88 @@ class Transducer:
 
     def _stay_apart(self, right: list, left: list) -> bool:
         """Replays both tokens' merges by rank, looking for one that crosses the boundary first."""
+        rank_of = self.across.get
         i = j = 0
+        a, next_a = right[0]
+        b, next_b = left[0]
         while True:
-            (a, next_a), (b, next_b) = right[i], left[j]
-            across = self.vocabulary.ranks.get((a, b), (NEVER,))[0]
+            across = rank_of(a << 20 | b, NEVER)
             if across < next_a and across <= next_b and across < NEVER:
                 return False
             if next_a <= next_b:
                 if next_a == NEVER:
                     return True
                 i += 1
+                a, next_a = right[i]
             else:
                 j += 1
-
-    def _last(self, kept: bytes, i: int, last: list[int], length: list[int]) -> int:
-        """The last token of the encoding of kept[:i]."""
-        by_bytes, fits = self.vocabulary.by_bytes, self.fits
-        for n in range(min(i, self.lookahead), 0, -1):
-            token = by_bytes.get(kept[i - n : i])
-            if token is not None and (last[i - n] < 0 or fits(last[i - n], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def whole(self, text: bytes) -> list[int]:
-        """The tokens of a text within the lookahead: longest tokens first, back where none fits."""
-        path: list[int] = []
-        open_ends: list[list[tuple[int, int]]] = []
-        dead: set[tuple[int, int]] = set()
-        at, before = 0, -1
-        ends = self._tokens_at(text, 0)
-        while at < len(text):
-            while ends:
-                end, token = ends.pop()
-                if (before < 0 or self.fits(before, token)) and (end, token) not in dead:
-                    open_ends.append(ends)
-                    path.append(token)
-                    at, before, ends = end, token, self._tokens_at(text, end)
-                    break
+                b, next_b = left[j]
+
+    def _last(self, kept: bytes, i: int, last: list[int | None]) -> int:
+        """The last token of the encoding of kept[:i]; those of shorter prefixes are worked out as far as it asks for them."""
+        token = last[i]
+        if token is None:
+            get, fits = self.vocabulary.by_bytes.get, self._fits.get
+            for n in range(min(i, self.lookahead), 0, -1):
+                token = get(kept[i - n : i])
+                if token is not None:
+                    before = last[i - n]
+                    if before is None:
+                        before = self._last(kept, i - n, last)
+                    if before < 0:
+                        break
+                    fit = fits(before << 20 | token)
+                    if self.fits(before, token) if fit is None else fit:
+                        break
             else:
-                dead.add((at, before))
-                path.pop()
-                ends = open_ends.pop()
-                at -= len(self.vocabulary.bytes[before])
-                before = path[-1] if path else -1
-        return path
-
-    def _tokens_at(self, text: bytes, at: int) -> list[tuple[int, int]]:
-        """(end, token) of the tokens with which text[at:] begins, shortest first."""
-        found = []
-        get = self.reach.get
-        for end in range(at + 1, len(text) + 1):
-            token = get(text[at:end])
-            if token is None:
-                break
-            if token >= 0:
-                found.append((end, token))
-        return found
+                raise ValueError("the vocabulary lacks a byte")
+            last[i] = token
+        return token
 
     def pretoken(self, pretoken: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         text = pretoken.encode()
-        if len(text) <= self.lookahead:
-            path = self.whole(text)
+        token = self.vocabulary.by_bytes.get(text)
+        if token is not None:
+            return struct.pack("<I", token)
+        if len(text) <= 2 * self.lookahead:  # it ends before anything is emitted
+            path = self._path(text, [-1, *itertools.repeat(None, len(text))], len(text))
             return struct.pack(f"<{len(path)}I", *path)
         blocks = (text[i : i + WINDOW] for i in range(0, len(text), WINDOW))
-        return b"".join(np.array(part, "<u4").tobytes() for part in self.stream(blocks))
+        return b"".join(struct.pack(f"<{len(part)}I", *part) for part in self.stream(blocks))
 
-    def stream(self, blocks: Iterator[bytes]) -> Iterator[list[int]]:
-        kept, last, size = b"", [-1], [0]
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
+        """Tokens of the bytes that come in blocks: what is kept is less than three times the lookahead."""
+        kept, last = b"", [-1]
         for block in blocks:
             for at in range(0, len(block), self.lookahead):
-                kept += block[at : at + self.lookahead]
-                for i in range(len(last), len(kept) + 1):
-                    token = self._last(kept, i, last, size)
-                    last.append(token)
-                    size.append(len(self.vocabulary.bytes[token]))
+                more = block[at : at + self.lookahead]
+                kept += more
+                last += [None] * len(more)
                 if len(kept) > 2 * self.lookahead:
-                    stable = self._agreed(size)
+                    stable = self._agreed(kept, last)
                     if stable:
-                        yield self._path(last, size, stable)
-                        kept, first = kept[stable:], last[stable]
-                        last, size = [first, *last[stable + 1 :]], [0, *size[stable + 1 :]]
+                        yield self._path(kept, last, stable)
+                        kept, last = kept[stable:], last[stable:]
         if kept:
-            yield self._path(last, size, len(kept))
+            yield self._path(kept, last, len(kept))
 
-    def _agreed(self, size: list[int]) -> int:
+    def _agreed(self, kept: bytes, last: list[int | None]) -> int:
         """The farthest position through which the paths of all open positions go."""
-        open_ends = set(range(max(1, len(size) - self.lookahead), len(size)))
+        size = self.vocabulary.sizes
+        open_ends = set(range(len(kept) + 1 - self.lookahead, len(kept) + 1))
         while len(open_ends) > 1:
             top = max(open_ends)
             open_ends.remove(top)
-            open_ends.add(top - size[top])
+            open_ends.add(top - size[self._last(kept, top, last)] if top else 0)
         return open_ends.pop()
 
-    @staticmethod
-    def _path(last: list[int], size: list[int], end: int) -> list[int]:
-        back = []
+    def _path(self, kept: bytes, last: list[int | None], end: int) -> list[int]:
+        size, back = self.vocabulary.sizes, []
         while end > 0:
-            back.append(last[end])
-            end -= size[end]
+            token = self._last(kept, end, last)
+            back.append(token)
+            end -= size[token]
         return back[::-1]
 
 
@@ -247,17 +232,18 @@ class Codec:
         self.transducer = Transducer(self.vocabulary)
         # nothing refers back to the codec: its memory is free as soon as its task ends
         pretokens, split = _Known(self.transducer.pretoken), regex.compile(SPLIT)
-        self.chunks = _Known(lambda chunk: b"".join(map(pretokens.__getitem__, split.findall(chunk))))
+        self.chunks = _Known(lambda chunk: b"".join(pretokens[m[0]] for m in split.finditer(chunk)))
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.safe = regex.compile(r"(?<=[^\s]) (?=[^\s])")
+        self.border = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])")
 
     def windows(self, text: str) -> Iterator[str]:
-        """Parts between which no pretoken lies: cuts are single spaces between other characters."""
+        """Parts between which no pretoken lies, of about WINDOW characters but where there is no place to cut."""
         at = 0
         while len(text) - at > WINDOW:
-            cut = self.safe.search(text, at + WINDOW)
-            if not cut:
+            cut = self.border.search(text, at + WINDOW, min(len(text), at + 2 * WINDOW))
+            if not cut and not (cut := self.border.search(text, at + WINDOW)):
                 break
             yield text[at : cut.start()]
             at = cut.start()
@@ -332,10 +318,11 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     The digests are of an encoding and of its decoding, which are held only in part. With
     `ids_column`, the token ids are returned too, as array<int> of that name.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else list(keep)
-    docs = docs.select(*keep, F.col(text).alias("_text"))
-    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *([ids_column] if ids_column else [])]
-    schema = ", ".join(filter(None, [ddl(docs.select(*keep)), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", f"`{ids_column}` array<int>" if ids_column else ""]))
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *([ids_column] if ids_column else [])]
+    keep = without([c for c in docs.columns if c != text] if keep is None else keep, results)
+    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    names = [*keep, *results]
+    schema = ", ".join(filter(None, [ddl(docs.drop("_text")), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", f"`{ids_column}` array<int>" if ids_column else ""]))
 
     def run(batches):
         codec = Codec(path)
