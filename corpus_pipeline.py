@@ -11,18 +11,18 @@ from ledgerlens.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told: a mixture of the languages of the table explains them better than noise."""
     return language.identified(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat, exactly or nearly, an earlier one; n_chars follows the text."""
-    kept = line_dedup.dedup(docs, repeats=1)
+    kept = line_dedup.dedup(docs)
     return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash links, and all others of a Jaccard similarity of 0.8 or more over five-word shingles."""
     return near_dedup.keep_one(docs)
 
 
@@ -32,8 +32,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of them and of the text that they decode to."""
-    return bpe_stream.digests(docs, tokenizer_path(), keep=["doc_id", "lang", "source"], ids_column="token_ids")
+    """Token ids of each document in place of its text, with digests of them and of the text that they decode to."""
+    return bpe_stream.digests(docs, tokenizer_path(), ids_column="token_ids")
 
 
 STAGES = [
