@@ -43,6 +43,15 @@ def quoted(*columns: str) -> list[str]:
     return ["`{}`".format(c.replace("`", "``")) for c in columns]
 
 
+def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
+    """The columns `keep` of docs and last its text, under a name that none of them has; and `keep` as a schema text with a comma after it."""
+    name = "_text"
+    while name in {c.lower() for c in keep}:
+        name += "_"
+    kept = ddl(docs.select(*quoted(*keep)))
+    return docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias(name)), kept + ", " if kept else ""
+
+
 #: Rows that one key may bring to a task before its rows are dealt to several, and such keys at most: they are broadcast.
 HOT_ROWS, HOT_KEYS = 1_000, 50_000
 
@@ -72,7 +81,8 @@ def map_texts(df: DataFrame, run, schema) -> DataFrame:
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(name, "10000")) <= TEXT_ROWS:
         conf.set(name, str(TEXT_ROWS))
-    return df.mapInArrow(run, schema)
+    named, names = positional(df)  # mapInArrow can't tell columns whose names have dots
+    return named.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
 
 
 def remainder(column: str, n: int):

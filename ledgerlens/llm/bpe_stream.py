@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._spark import ddl, map_texts, quoted, without
+from ledgerlens.llm._spark import ddl, map_texts, with_text, without
 
 #: Fixed value: how byte-level tokenizers split a text before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -320,9 +320,9 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     """
     results = ["n_tokens", "ids_sha256", "decoded_sha256", *([ids_column] if ids_column else [])]
     keep = without([c for c in docs.columns if c != text] if keep is None else keep, results)
-    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    docs, kept = with_text(docs, keep, text)
     names = [*keep, *results]
-    schema = ", ".join(filter(None, [ddl(docs.drop("_text")), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", f"`{ids_column}` array<int>" if ids_column else ""]))
+    schema = f"{kept}n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (f", `{ids_column}` array<int>" if ids_column else "")
 
     def run(batches):
         codec = Codec(path)

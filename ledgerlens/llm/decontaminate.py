@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import cut, ddl, map_texts, positional, quoted, renamed, without
+from ledgerlens.llm._spark import cut, map_texts, positional, quoted, renamed, with_text, without
 
 N, SHARE, BLOCK_WORDS = 13, 20, 2_000_000
 
@@ -108,7 +108,7 @@ def _scan(column: pa.Array, windows: WindowSet, marks: np.ndarray, n: int) -> tu
 
 
 def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str], n: int, hit_only: bool = False) -> DataFrame:
-    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    docs, kept = with_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast((windows.entries, windows.words, windows.ids, windows.marks))
 
     def run(batches):
@@ -120,8 +120,7 @@ def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str],
             out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], names=[*keep, "n_words", "spans", "item_ids"])
             yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if hit_only else out
 
-    kept = ddl(docs.drop("_text"))
-    return map_texts(docs, run, f"{kept}, {FOUND}" if kept else FOUND)
+    return map_texts(docs, run, kept + FOUND)
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
@@ -137,14 +136,15 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns `keep` of docs (all, by default) with n_words, spans of hit words, item_ids, n_hit and contaminated."""
     keep = without(docs.columns if keep is None else keep, RESULTS)
+    names = [f"_{i}" for i in range(len(keep))]  # which no column of ours has
+    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0])).toDF(*names, "_text")
     blocks = blocks_of(benchmark, item_id, item_text, block_words)
     held, following = next(blocks), next(blocks, None)
     if following is None:
-        found = _scan_with(docs, text, window_set(held, n), keep, n)
+        found = _scan_with(docs, "_text", window_set(held, n), names, n)
     else:
-        docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
         docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-        rows = cut(_scan_with(docs, "_text", window_set(held, n), [*keep, "_row"], n))
+        rows = cut(_scan_with(docs, "_text", window_set(held, n), [*names, "_row"], n))
         more = []
         while following is not None:
             more.append(cut(_scan_with(docs, "_text", window_set(following, n), ["_row"], n, hit_only=True)))
@@ -153,9 +153,10 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
         for part in more:
             hits = hits.unionByName(part)
         hits = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-        found = rows.select(*quoted(*keep), "_row").join(hits, "_row").drop("_row").withColumn("spans", merged_spans("spans"))
+        found = rows.select(*names, "_row").join(hits, "_row").drop("_row").withColumn("spans", merged_spans("spans"))
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0))
-    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    found = found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    return found.select(*names, *RESULTS).toDF(*keep, *RESULTS)
 
 
 def merged_spans(spans: str):

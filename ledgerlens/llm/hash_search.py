@@ -1,24 +1,30 @@
 """Nearest neighbours by multi-index hashing: learned binary codes, pigeonhole probing, exact rerank.
 
-A rotation learned from a bounded sample turns vectors into binary codes. Codes within Hamming
-distance r of a query agree with it up to `r // m` bits in at least one of m substrings, so probing
-an index of each substring with all values that near retrieves every such code. What it retrieves
-is reranked by the inner product of the original vectors, in double precision. The radius is the
-one that holds nearly all true neighbours of the sample; a query that finds fewer than k vectors
-within it is searched again without a radius.
+Rotations learned from a bounded sample turn vectors into binary codes, of which substrings of
+`SUBSTRING` bits are indexed. Codes within Hamming distance r of a query agree with it up to `r // m`
+bits in at least one of m substrings, so probing the index of each substring with all values that
+near retrieves every such code. What it retrieves is reranked by the inner product of the original
+vectors, in double precision.
+
+The radius is each query's own. First all are searched within a narrow radius, `FLIPS` bits to a
+substring. A query is done if its k-th score is one that vectors beyond that radius don't reach, which
+the sample tells; so it is for vectors that have near ones. The others are searched within the
+radius that holds nearly all of the sample's neighbours of such queries, and those few that find
+fewer than k vectors there, without a radius. Where probing would visit more codes than a block has,
+as at wide radii, the codes are compared directly: the same ones are found.
 
 Equal vectors are indexed once, with the smallest of their ids. Queries and vectors are dealt into
-blocks, and each task has one block of queries and one of vectors. Where probing would visit more
-codes than the block has, the codes are compared directly: the same ones are found.
+blocks, and each task has one block of queries and one of vectors.
 
 Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part, nor do rows with a null id. A row that repeats an id and its vector counts
-once. Ties go to the smaller id. With fewer than k candidates all are returned.
+once; an id with several vectors is as near as the nearest of them, and asks with each. Ties go to
+the smaller id. With fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,34 +34,35 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm._spark import cut
 
-#: Bits of codes, bits of a substring, vectors that the rotation is learned from and turns of learning it.
-BITS, SUBSTRING, SAMPLE, TURNS = 64, 8, 8_192, 20
-#: Share of the sample's true neighbours that the radius holds, and the sample's queries.
-HELD, SAMPLE_QUERIES = 0.985, 512
+#: Bits of codes, bits of a substring, vectors that the rotations are learned from and turns of learning each.
+BITS, SUBSTRING, SAMPLE, TURNS = 256, 16, 8_192, 12
+#: Share of the sample's true neighbours that the wide radius holds, the sample's queries, and bits of a substring that may differ at first.
+HELD, SAMPLE_QUERIES, FLIPS = 0.985, 512, 1
 #: Vectors and queries of a block at most, and bytes of the sample.
 BLOCK, QUERIES, SAMPLE_BYTES = 32_768, 4_096, 64 << 20
 
 
 @dataclass
 class Code:
+    """Rotations side by side, the narrow and the wide radius, and the score (over the query's norm) that vectors beyond the narrow one don't reach."""
+
     mean: np.ndarray
     rotation: np.ndarray
-    radius: int
+    narrow: int
+    wide: int
+    reach: float
 
     @property
     def bits(self) -> int:
         return self.rotation.shape[1]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of bytes: a byte for each substring."""
-        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1)
-
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+        """Codes as rows of substrings."""
+        return np.packbits((x - self.mean) @ self.rotation > 0, axis=1).view(np.uint16)
 
 
 def _wide(codes: np.ndarray) -> np.ndarray:
-    padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    padded = np.zeros((len(codes), -(-codes.shape[1] // 4) * 4), np.uint16)
     padded[:, : codes.shape[1]] = codes
     return padded.view(np.uint64)
 
@@ -65,60 +72,70 @@ def hamming(codes: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def learn(x: np.ndarray, k: int, bits: int = BITS) -> Code:
-    """Principal axes turned by iterative quantisation, and the radius that holds the sample's neighbours."""
+    """Principal axes turned by iterative quantisation, from as many starts as give the bits, and radii that hold the sample's neighbours."""
+    bits = max(SUBSTRING, bits // SUBSTRING * SUBSTRING)
+    narrow = bits // SUBSTRING * (FLIPS + 1) - 1
     if not len(x):
-        return Code(np.zeros(1), np.zeros((1, SUBSTRING)), SUBSTRING)
+        return Code(np.zeros(1), np.zeros((1, bits)), narrow, bits, np.inf)
     mean = x.mean(axis=0)
-    bits = max(SUBSTRING, min(bits, x.shape[1]) // SUBSTRING * SUBSTRING)
     centred = x - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
-    axes = axes[:, ::-1][:, :bits]
-    if axes.shape[1] < bits:
-        axes = np.concatenate((axes, np.zeros((x.shape[1], bits - axes.shape[1]))), axis=1)
-    turn = np.linalg.qr(np.random.default_rng(5).normal(size=(bits, bits)))[0]
     v = centred @ axes
-    for _ in range(TURNS):
-        left, _, right = np.linalg.svd(v.T @ np.where(v @ turn > 0, 1.0, -1.0))
-        turn = left @ right
-    code = Code(mean, axes @ turn, bits)
-    wide = _wide(code.encode(x))
-    away = []
+    rng, turns, d = np.random.default_rng(5), [], x.shape[1]
+    while sum(t.shape[1] for t in turns) < bits:
+        turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        for _ in range(TURNS):
+            left, _, right = np.linalg.svd(v.T @ np.where(v @ turn > 0, 1.0, -1.0))
+            turn = left @ right
+        turns.append(axes @ turn)
+    code = Code(mean, np.concatenate(turns, axis=1)[:, :bits], narrow, bits, np.inf)
+    packed = _wide(code.encode(x))
+    beyond, away, least = [], [], []
     for i in range(min(len(x), SAMPLE_QUERIES)):
         near = x @ x[i]
         near[i] = -np.inf
+        far = hamming(packed, packed[i])
         best = np.argsort(-near, kind="stable")[: min(k, len(x) - 1)]
-        away.append(hamming(wide[best], wide[i]))
-    if away and len(away[0]):
-        code.radius = int(np.quantile(np.concatenate(away), HELD, method="higher"))
+        norm = np.linalg.norm(x[i])
+        beyond.append(near[far > narrow].max(initial=-np.inf) / norm)
+        away.append(far[best])
+        least.append(near[best].min(initial=np.inf) / norm)
+    code.reach = float(np.quantile(beyond, HELD, method="higher"))
+    rest = [a for a, s in zip(away, least) if s <= code.reach and len(a)]
+    if rest:
+        code.wide = int(np.quantile(np.concatenate(rest), HELD, method="higher"))
     return code
 
 
+def flips(most: int) -> np.ndarray:
+    """What to change of a substring's value for all values up to so many bits away."""
+    return np.array([sum(1 << b for b in bits) for n in range(most + 1) for bits in itertools.combinations(range(SUBSTRING), n)], np.uint16)
+
+
 class Index:
     """For each substring, the rows of a block ordered by its value."""
 
     def __init__(self, code: Code, x: np.ndarray):
         self.code, self.x = code, x
-        self.bytes = code.encode(x)
-        self.wide = _wide(self.bytes)
-        self.order = [np.argsort(self.bytes[:, j], kind="stable") for j in range(self.bytes.shape[1])]
-        self.count = np.stack([np.bincount(self.bytes[:, j], minlength=256) for j in range(self.bytes.shape[1])])
-        self.start = np.concatenate((np.zeros((len(self.count), 1), np.int64), np.cumsum(self.count, axis=1)), axis=1)
+        self.codes = code.encode(x)
+        self.packed = _wide(self.codes)
+        self.order = np.argsort(self.codes, axis=0, kind="stable").T
+        self.values = np.take_along_axis(self.codes.T, self.order, axis=1)
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within the radius of the query's, by pigeonhole probing."""
-        if not len(self.x):
-            return np.zeros(0, np.int64)
         code = self.code.encode(query[None])
-        m = code.shape[1]
-        most, extra = divmod(radius, m)  # one substring of the first `extra + 1` has at most `most` bits, or another one fewer
-        values = np.arange(256, dtype=np.uint8)
-        probes = [values[_ONES[values ^ code[0, j]] <= (most if j <= extra else most - 1)] for j in range(m)]
-        visits = sum(int(self.count[j, p].sum()) for j, p in enumerate(probes))
-        if visits < len(self.x) // 4:
-            rows = [self.order[j][self.start[j, v] : self.start[j, v + 1]] for j, p in enumerate(probes) for v in p.astype(int)]
-            rows = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
-            return rows[hamming(self.wide[rows], _wide(code)[0]) <= radius]
-        return np.flatnonzero(hamming(self.wide, _wide(code)[0]) <= radius)
+        if radius // code.shape[1] <= FLIPS and len(self.x):
+            change = flips(radius // code.shape[1])
+            parts, visits = [], 0
+            for values, order, part in zip(self.values, self.order, code[0]):
+                lo, hi = np.searchsorted(values, change ^ part), np.searchsorted(values, change ^ part, "right")
+                visits += int((hi - lo).sum())
+                parts += [order[a:b] for a, b in zip(lo[lo < hi], hi[lo < hi])]
+            if visits < len(self.x):
+                rows = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+                return rows[hamming(self.packed[rows], _wide(code)[0]) <= radius]
+        return np.flatnonzero(hamming(self.packed, _wide(code)[0]) <= radius)
 
 
 def top(index: Index, ids: list[list[int]], query: np.ndarray, own: int, radius: int, k: int) -> tuple[list[int], list[float]]:
@@ -128,7 +145,12 @@ def top(index: Index, ids: list[list[int]], query: np.ndarray, own: int, radius:
     if len(rows) > k + 1:  # the own vector may be among them
         least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
         rows, scores = rows[scores >= least], scores[scores >= least]
-    pairs = sorted((-s, i) for s, r in zip(scores.tolist(), rows.tolist()) for i in ids[r] if i != own)[:k]
+    best: dict[int, float] = {}
+    for s, r in zip(scores.tolist(), rows.tolist()):
+        for i in ids[r]:
+            if i != own and best.get(i, -np.inf) < s:
+                best[i] = s
+    pairs = sorted((-s, i) for i, s in best.items())[:k]
     return [i for _, i in pairs], [-s for s, _ in pairs]
 
 
@@ -170,7 +192,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 def _search(vectors: DataFrame, queries: DataFrame, code: Code, radius: int, k: int, n_blocks: int, n_packs: int) -> DataFrame:
     """The k best of each query within each block, as one row for each query and block."""
-    shared = vectors.sparkSession.sparkContext.broadcast((code.mean, code.rotation, code.radius))
+    shared = vectors.sparkSession.sparkContext.broadcast((code.mean, code.rotation, code.narrow, code.wide, code.reach))
     left = vectors.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(n_blocks)).cast("int")).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))))
     right = queries.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(n_packs)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
@@ -193,7 +215,10 @@ def _search(vectors: DataFrame, queries: DataFrame, code: Code, radius: int, k:
 def _best(found: DataFrame, k: int) -> DataFrame:
     """query_id and hits: its k best over all blocks."""
     hits = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("away"), x["ids"].alias("vec_id")))
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k)
+    every = F.array_sort(F.flatten(F.collect_list("hits")))
+    none = F.array().cast("array<struct<away:double,vec_id:bigint>>")
+    # an id with several vectors is there once, with the nearest of them
+    merged = F.aggregate(every, none, lambda kept, x: F.when((F.size(kept) >= k) | F.exists(kept, lambda y: y["vec_id"] == x["vec_id"]), kept).otherwise(F.concat(kept, F.array(x))))
     return found.select("query_id", hits.alias("hits")).groupBy("query_id").agg(merged.alias("hits"))
 
 
@@ -211,13 +236,26 @@ def search(rows: DataFrame, queries: DataFrame, id_column: str = "vec_id", vecto
     code = learn(_matrix(few.column(0).combine_chunks()) if len(few) else np.zeros((0, d)), k, bits)
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     n_blocks = max(1, -(-n // BLOCK), min(wanted, -(-n // 1024)))
-    n_packs = max(1, -(-n_asked // QUERIES))
-    best = cut(_best(_search(vectors, asked, code, code.radius, k, n_blocks, n_packs), k))
-    # a query may find fewer than k within the radius: these few are searched without one
-    short = asked.join(best.where(F.size("hits") >= k).select("query_id"), F.col("id") == F.col("query_id"), "left_anti")
-    if total > 1 and not short.isEmpty():
-        n_short = short.count()
-        again = _best(_search(vectors, short, code, code.bits, k, n_blocks, max(1, -(-n_short // QUERIES))), k)
-        best = best.where(F.size("hits") >= k).unionByName(again)
+
+    def found(queries: DataFrame, radius: int) -> DataFrame:
+        """query_id and hits, and last: the k-th score over the query's norm (null with fewer hits)."""
+        n_packs = max(1, -(-queries.count() // QUERIES))
+        norm = queries.groupBy("id").agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c))).alias("norm"))
+        best = _best(_search(vectors, queries, code, radius, k, n_blocks, n_packs), k).join(norm, F.col("query_id") == F.col("id")).drop("id")
+        return cut(best.withColumn("last", F.when(F.size("hits") >= k, -F.element_at("hits", -1)["away"] / F.col("norm"))).drop("norm"))
+
+    def but(queries: DataFrame, done: DataFrame) -> DataFrame:
+        return cut(queries.join(done.select("query_id"), F.col("id") == F.col("query_id"), "left_anti"))
+
+    if total <= 1 or not n_asked:
+        best = found(asked, code.bits)
+    else:
+        near = found(asked, code.narrow).where(F.col("last") >= code.reach)
+        asked = but(asked, near)
+        far = found(asked, code.wide).where("last is not null")
+        asked = but(asked, far)
+        best = near.unionByName(far)
+        if not asked.isEmpty():
+            best = best.unionByName(found(asked, code.bits))
     hit = F.posexplode("hits").alias("rank", "hit")
     return best.select("query_id", hit).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.away")).alias("score"))

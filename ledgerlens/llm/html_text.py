@@ -24,9 +24,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ledgerlens.llm._spark import ddl, map_texts, quoted
+from ledgerlens.llm._spark import map_texts, with_text
 
 # Elements by how they are shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -109,6 +108,8 @@ class Tree(HTMLParser):
             self.open[-1].children.append(node)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in DOWN_TO and (tag in BLOCK or tag in SPACED):
+            self._end_open({"p"}, {"button", "object", "caption", "table"})
         if tag in DOWN_TO:
             at = self._table()
             if not at:
@@ -117,12 +118,12 @@ class Tree(HTMLParser):
                 self.open.pop()
             if tag in CELLS and self.open[-1].tag != "tr":
                 self.handle_starttag("tr", [])
+        elif tag == "table" and self.open[-1].tag in INSIDE:
+            del self.open[self._table() :]  # a table that isn't in a cell ends the one before
         elif tag == "form" and self.open[-1].tag in INSIDE:
             return  # a form around cells doesn't keep them from their row
         elif tag in ENDS:
             self._end_open(*ENDS[tag])
-        if tag not in DOWN_TO and (tag in BLOCK or tag in SPACED):
-            self._end_open({"p"}, {"button", "object", "caption", "table"})
         if tag in ("html", "body") and any(x.tag == tag for x in self.open):
             return
         node = Node(tag, dict(attrs))
@@ -333,7 +334,7 @@ def html_to_text(html: str) -> str:
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """All columns of pages but `html`, and `out`, in place of a column of that name."""
     kept = [c for c in pages.columns if c != html and c.lower() != out.lower()]
-    pages = pages.select(*quoted(*kept), F.col(quoted(html)[0]).alias("_html"))
+    pages, schema = with_text(pages, kept, html)
 
     def run(batches):
         for batch in batches:
@@ -342,4 +343,4 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
                 texts = [None if x is None else html_to_text(x) for x in part.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, out])
 
-    return map_texts(pages, run, f"{ddl(pages.drop('_html'))}, `{out}` string" if kept else f"`{out}` string")
+    return map_texts(pages, run, f"{schema}`{out}` string")

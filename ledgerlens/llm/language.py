@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import ddl, map_texts, positional, quoted, renamed, without
+from ledgerlens.llm._spark import map_texts, positional, renamed, with_text, without
 
 #: n-gram length, hash buckets, EM steps, penalty per language, texts learned from.
 ORDER, BUCKETS, STEPS, PENALTY, SAMPLE = 3, 1 << 16, 12, 1.0, 20_000
@@ -220,7 +220,7 @@ def _infer(column: pa.Array, model: Model) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, by default), lang_pred, score, evidence, and shares: map of language to proportion."""
     keep = without(docs.columns if keep is None else keep, RESULTS)
-    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    docs, kept = with_text(docs, keep, text)
     at = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp))
 
@@ -241,8 +241,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             arrays = [pa.array([names[i] for i in which], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(found[:, -1], pa.float64(), mask=~known), pa.array(listed, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *arrays], names=[*keep, *RESULTS])
 
-    kept = ddl(docs.drop("_text"))
-    return map_texts(docs, run, f"{kept}{', ' if kept else ''}lang_pred string, score double, evidence double, shares map<string,double>")
+    return map_texts(docs, run, f"{kept}lang_pred string, score double, evidence double, shares map<string,double>")
 
 
 def _mostly_odd(column: pa.Array) -> np.ndarray:

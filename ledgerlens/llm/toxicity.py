@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import cut, ddl, map_texts, quoted, without
+from ledgerlens.llm._spark import cut, map_texts, with_text, without
 from ledgerlens.llm.language import LETTERS
 
 #: Hash bits of features, length of their vectors, labelled rows and features of these that are learned from.
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, by default), score and predicted."""
     keep = without(docs.columns if keep is None else keep, ["score", "predicted"])
-    docs = docs.select(*quoted(*keep), F.col(quoted(text)[0]).alias("_text"))
+    docs, kept = with_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.vectors))
 
     def run(batches):
@@ -186,5 +186,4 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str]
                 out[lo:hi] = _sigmoid(_energy(machine, found, first)[0])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    kept = ddl(docs.drop("_text"))
-    return map_texts(docs, run, f"{kept}{', ' if kept else ''}score double, predicted int")
+    return map_texts(docs, run, f"{kept}score double, predicted int")

@@ -56,7 +56,7 @@ def with_rule(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
         return urls.withColumn("ruled", F.lit(None).cast("string") if verdicts is None else verdicts[F.col("rule")])
     split = [(name, slash + rest, rule, verdict) for rule, verdict in rules.items() for name, slash, rest in [rule.partition("/")]]
     table = urls.sparkSession.createDataFrame(split, "_name string, _start string, rule string, ruled string")
-    above = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", -i))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     places = urls.select("host", "path").distinct().withColumn("_name", F.explode(F.array_distinct(above)))
     places = places.join(table, "_name").where(F.col("path").startswith(F.col("_start")))
     longest = places.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "ruled")).alias("_best"))

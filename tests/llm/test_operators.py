@@ -4,11 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, simhash_dedup, toxicity, url_filter
+from ledgerlens.llm import _text, bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, simhash_dedup, toxicity, url_filter
 from ledgerlens.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -81,9 +83,33 @@ def test_hash_search(spark):
         assert all(abs(s - float((x[i] * x[q]).sum())) < 1e-12 for i, s in got)
     assert hits >= 0.9 * 35
     assert hash_search.search(table.where("vec_id < 3"), table.where("vec_id = 1"), k=5).count() == 2
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.9, 0.1]), (3, [0.7, 0.0])], "vec_id bigint, embedding array<double>")
+    assert [(r[1], r[2]) for r in hash_search.search(twice, twice.where("vec_id = 1"), k=3).orderBy("rank").collect()] == [(1, 2), (2, 3)]
     assert hash_search.search(table.where("vec_id = -1"), table.where("vec_id = -1")).count() == 0
 
 
+def test_hash_search_probes_for_near_ones_and_searches_wide_for_the_rest():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x[:300] = x[0] + 0.03 * rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = hash_search.learn(x, 20)
+    index = hash_search.Index(code, x)
+    for radius in (code.narrow, code.wide, 15, 0):
+        for i in (0, 5, 700):
+            want = np.flatnonzero(hash_search.hamming(index.packed, index.packed[i]) <= radius)
+            assert np.array_equal(np.sort(index.within(x[i], radius)), want)
+    assert len(index.within(x[3], code.narrow)) >= 250 and code.narrow < code.wide < code.bits
+    ids, hits = [[i] for i in range(len(x))], 0
+    for i in range(300, 340):
+        best = x @ x[i]
+        best[i] = -9
+        hits += len(set(hash_search.top(index, ids, x[i], i, code.wide, 20)[0]) & set(np.argsort(-best)[:20].tolist()))
+    assert hits >= 0.9 * 800
+    near = hash_search.top(index, ids, x[3], 3, code.narrow, 20)
+    assert near[1][-1] >= code.reach
+
+
 def brute_fingerprint(text):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -187,6 +213,197 @@ def test_toxicity(spark, docs, empty):
     assert len({r["score"] for r in toxicity.score(docs, base, keep=["doc_id"]).collect()}) == 1 and toxicity.score(empty, base).count() == 0
 
 
+def test_toxicity_of_pairs_that_no_term_tells_alone():
+    deal = random.Random(3)
+    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+
+    def row():
+        a, b = deal.random() < 0.5, deal.random() < 0.5
+        words = deal.choices(filler, k=25) + ["insult"] * a + ["group"] * b
+        deal.shuffle(words)
+        return " ".join(words), float(a != b)
+
+    def known(rows):
+        found = []
+        for _, _, ids, first in toxicity.features(pa.array([t for t, _ in rows], pa.string())):
+            found += [ids[a:b] for a, b in zip(first[:-1], first[1:])]
+        return found
+
+    learned, held = [row() for _ in range(1200)], [row() for _ in range(300)]
+    ids, y = known(held), np.array([v for _, v in held])
+    first = np.concatenate(([0], np.cumsum([len(r) for r in ids])))
+    machine = toxicity.fit_arrays(known(learned), np.array([v for _, v in learned]))
+    accuracy = lambda m: ((toxicity._energy(m, np.concatenate(ids), first)[0] > 0) == (y > 0)).mean()
+    additive = toxicity.Machine(machine.bias, machine.weights, np.zeros_like(machine.vectors))
+    assert accuracy(machine) > 0.95 and accuracy(additive) < 0.8
+
+
+def test_windows_of_long_texts_change_nothing(monkeypatch):
+    deal = random.Random(6)
+    said = [f"w{i}" for i in range(400)] + ["mit", "license", "ünï", "Insult"]
+    texts = [" ".join(deal.choices(said, k=n)) for n in (3000, 5, 900)] + ["", None, "x" * 5000, PROSE[3] + " " + PROSE[3]]
+    column = pa.array(texts, pa.string())
+    bench = decontaminate.window_set([(1, PROSE[3]), (2, "w1 w2"), (3, " ".join(texts[0].split()[700:760]))])
+    model = language.Model(["a", "b"], np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 2)).astype(np.float32))
+
+    def results():
+        toxic = [(lo, f.tolist(), first.tolist()) for lo, _, f, first in toxicity.features(column)]
+        per_row = [f[a:b] for lo, f, first in toxic for a, b in zip(first[:-1], first[1:])]
+        counts, spans, items = decontaminate._scan(column, bench, np.unpackbits(bench.marks).view(bool), 13)
+        return per_row, counts.tolist(), spans, items, np.round(language._infer(column, model), 9).tolist()
+
+    whole = results()
+    original = _text.windows
+    for size in (2000, 300):
+        monkeypatch.setattr(_text, "windows", lambda c, t, again=0, s=0, size=size: original(c, t, again, size))
+        assert results() == whole
+    assert whole[1][:3] == [3000, 5, 900] and whole[2][0] and "3" in whole[3][0]
+
+
+def test_phrases_and_grams_across_windows(spark, monkeypatch):
+    deal = random.Random(7)
+    said = ["filler"] * 30 + ["mit", "license", "gnu general public license"]
+    text = " ".join(deal.choices(said, k=2500)) + " " + license_scan.TEMPLATES[8][1]
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    whole = license_scan.scan(rows).collect()
+    words = text.lower().split()
+    places = [i for i in range(len(words)) if words[i : i + 2] == ["mit", "license"] or words[i : i + 4] == ["gnu", "general", "public", "license"]]
+    assert (whole[0]["n_base"], whole[0]["first_word"]) == (len(places), places[0]) and "mit" in whole[0]["labels"]
+    monkeypatch.setattr(_text.windows, "__defaults__", (0, 400))
+    assert license_scan.scan(rows).collect() == whole
+
+
+def brute_license(text, templates):
+    """Labels whose template's words stand in the text in order, by the longest common subsequence of some stretch twice as long."""
+    words = [w for w in "".join(c.lower() if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text).split()]
+    found = set()
+    for label, said in templates:
+        wanted = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in said).split()
+        for at in range(max(1, len(words) - len(wanted) + 1)):
+            part, row = words[at : at + len(wanted)], [0] * (len(wanted) + 1)
+            for w in part:
+                new = [0]
+                for j, v in enumerate(wanted):
+                    new.append(max(row[j] + (v == w), row[j + 1], new[-1]))
+                row = new
+            if row[-1] >= 0.9 * len(wanted):
+                found.add(label)
+    return found
+
+
+def test_license_scan_against_common_subsequences(spark):
+    deal = random.Random(9)
+    templates = [license_scan.TEMPLATES[i] for i in (0, 1, 3, 7, 11, 13)]
+    rows, want = [], []
+    for i in range(60):
+        label, said = deal.choice(templates)
+        words = said.split()
+        if i % 3 == 1:
+            words[len(words) // 2] = "changed"
+        if i % 3 == 2:
+            deal.shuffle(words)
+        text = " ".join(deal.choices(WORDS, k=9) + words + deal.choices(WORDS, k=9))
+        rows.append((i, text))
+        want.append(brute_license(text, templates))
+    found = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=templates, base={"no such phrase": "none"}).collect()}
+    for (i, text), labels in zip(rows, want):
+        if i % 3 != 1:
+            assert set(filter(None, found[i].split(","))) >= labels, text
+        if i % 3 == 2:
+            assert not found[i] or labels, text
+
+
+def test_decontamination_by_blocks_tells_rows_apart(spark):
+    bench = spark.createDataFrame([(i, PROSE[i]) for i in range(6)], "item_id bigint, text string")
+    rows = spark.createDataFrame([(7, PROSE[0]), (7, PROSE[2] + " some more"), (None, PROSE[4]), (7, PROSE[0]), (8, None)], "n_words bigint, text string")
+    one = decontaminate.find(rows, bench, keep=["text"])
+    several = decontaminate.find(rows, bench, keep=["text"], block_words=60)
+    key = lambda r: str(r)
+    assert sorted(map(key, one.select("n_words", "n_hit", "item_ids", "text").collect())) == sorted(map(key, several.select("n_words", "n_hit", "item_ids", "text").collect()))
+    kept = decontaminate.decontaminate(rows, bench)
+    assert kept.columns == ["n_words", "text"] and [r["n_words"] for r in kept.collect()] == [8]
+    assert decontaminate.find(rows, bench.where("item_id < 0"), keep=["text"]).where("contaminated").count() == 0
+
+
+CLASHING = ["_row", "_left", "_dropped", "_text", "_key", "_0", "score", "n_words", "lang_pred", "N_Tokens", "row", "text.x"]
+
+
+def test_columns_of_any_name_come_through(spark, docs):
+    extra = docs.toDF("doc_id", "text", "lang", "source", "n_chars")
+    for i, name in enumerate(CLASHING):
+        extra = extra.withColumn(name, F.lit(f"own {i}"))
+    extra = spark.createDataFrame(extra.collect(), extra.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, extra, DATA)
+        assert kept.columns == extra.columns, name
+        assert all(r[c] == f"own {i}" for r in kept.collect() for i, c in enumerate(CLASHING)), name
+        assert stage(spark, extra.where("doc_id < 0"), DATA).count() == 0
+    tokens = corpus_pipeline.tokenize(spark, extra, DATA)
+    assert "n_tokens" in tokens.columns and "N_Tokens" not in tokens.columns and tokens.where("`text.x` = 'own 11'").count() == extra.count()
+    assert simhash_dedup.keep_one(extra).columns == extra.columns
+    pages = spark.createDataFrame([(1, "http://a.net/x", None, "mine"), (2, None, "", "mine"), (2, "x", "<b>t", "mine")], "page_id bigint, url string, html string, host string")
+    judged = url_filter.judge(pages, url_filter.fit(pages))
+    assert judged.columns == ["page_id", "url", "html", *url_filter.RESULTS] and judged.count() == 3
+    assert [r["host"] for r in judged.where("page_id = 1").collect()] == ["a.net"]
+    assert html_text.extract(pages.withColumn("text", F.lit("mine"))).where("text = 't' or text is null or text = ''").count() == 3
+
+
+def test_rules_as_a_table_find_the_same(spark, monkeypatch):
+    rules = {f"{h}/{p}": v for h, v in (("net", "block"), ("a.net", "allow"), ("b.a.net", "block")) for p in ("", "x/", "x/y")}
+    urls = [f"http://{h}/{p}" for h in ("net", "a.net", "c.b.a.net", "org", "xa.net") for p in ("", "x/", "x/yz?q", "z")] + [None, "nothing"]
+    rows = spark.createDataFrame([*enumerate(urls)], "page_id bigint, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    rows = rows.withColumns({"host": host, "path": path})
+    by_conditions = url_filter.with_rule(rows, rules).orderBy("page_id").collect()
+    monkeypatch.setattr(url_filter, "MOST_RULES", 2)
+    by_table = url_filter.with_rule(rows, rules).select(*rows.columns, "rule", "ruled").orderBy("page_id").collect()
+    assert [(r["rule"], r["ruled"]) for r in by_table] == [(r["rule"], r["ruled"]) for r in by_conditions]
+    for r in by_table:
+        fits = [x for x in rules if r["host"] and ("." + r["host"]).endswith("." + x.split("/", 1)[0]) and r["path"].startswith("/" + x.split("/", 1)[1])]
+        assert r["rule"] == (max(fits, key=len) if fits else None)
+
+
+def test_html_shows_all_visible_words():
+    cases = {
+        "<table><tr>STRAY<td>a</table>": "STRAY\n\na",
+        "<table><tr><td>a</td><span>INROW</span><td>b</table>": "INROW\n\na | b",
+        "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>": "yes",
+        "<table><td>a<td>b<tr><td>c<td>d</table>": "a | b\nc | d",
+        "<table><tr><td rowspan=2>R<td>1<tr><td>2</table>": "R | 1\n  | 2",
+        "<table><tr><td>o<td><table><tr><td>1<td>2<tr><td>3<td>4</table></table>": "o | 1 | 2\n  | 3 | 4",
+        "<table><tr><td>l1<br>l2<td>z</table>": "l1 | z\nl2",
+        "<ol><li value=5>five<li>six</ol>": "5. five\n6. six",
+        "<pre>\na\n\n\nb</pre>": "a\n\n\nb",
+        "<dialog>no</dialog><details><summary>s</summary>no</details>": "s",
+        "<table><tr><form><td>Name</td></form></tr></table>": "Name",
+        "<select><option>one<option>two</select><svg><text>t</text></svg>": "one\ntwo\nt",
+    }
+    for page, want in cases.items():
+        assert html_text.html_to_text(page) == want, page
+    deal = random.Random(2)
+    tags = ["<p>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</tr>", "</table>", "<tbody>", "<span>", "</span>", "<form>", "</p>", "<th colspan=2>", "<td rowspan=2>", "<h2>", "<br>"]
+    for _ in range(300):
+        words = [f"word{i}" for i in range(12)]
+        page = "".join(x for w in words for x in (*deal.choices(tags, k=deal.randrange(4)), f" {w} "))
+        said = html_text.html_to_text(page).split()
+        assert sorted(w for w in said if w.startswith("word")) == sorted(words), page
+    assert html_text.html_to_text("<table><tr><td>x" * 900 + "end").endswith("end")
+
+
+def test_bpe_streams_what_has_no_spaces():
+    codec = bpe_stream.Codec(tokenizer_path())
+    deal = random.Random(4)
+    for text in ("ab" * 3000, "".join(deal.choice("abcdefé日") for _ in range(4000)), "1234567890" * 500):
+        data = text.encode()
+        want = codec.transducer._path(data[:200], [-1] + [None] * 200, 200)
+        assert b"".join(codec.vocabulary.bytes[i] for i in want) == data[:200]
+        for size in (7, 100, 5000):
+            parts = list(codec.transducer.stream(data[i : i + size] for i in range(0, len(data), size)))
+            ids = [i for part in parts for i in part]
+            assert b"".join(map(codec.vocabulary.bytes.__getitem__, ids)) == data and all(codec.transducer.fits(a, b) for a, b in zip(ids, ids[1:]))
+            assert len(parts) > 1  # tokens come before the end
+
+
 def test_bpe_is_exact(spark, docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_path()
@@ -316,5 +533,13 @@ def test_pipeline_stages_equal_their_operators_by_brute_force(spark):
     assert corpus_pipeline.run(spark, DATA).count() == names["decontamination"]
 
 
+def test_language_rejects_noise(spark):
+    deal = random.Random(5)
+    english, german = "the cat sat on that mat with this hat and that was that ", "der hund lief ueber die strasse und bellte laut wie nie "
+    noise = " ".join("".join(deal.choice("qxzjkvwy") for _ in range(7)) for _ in range(40))
+    rows = spark.createDataFrame([(1, english * 50, "en"), (2, german * 50, "de"), (3, noise, None), (4, english, None), (5, None, "en"), (6, "12 34", None), (7, "ok", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.identified(rows).collect()) == [1, 2, 4, 7]
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
