@@ -50,14 +50,14 @@ _COMPOSED = {unicodedata.normalize("NFD", c): c for c, x in _FORMS.items() if x
 def plain(text: Column) -> Column:
     """Compatibility characters as plain ones (ligatures, circled and full-width forms, odd spaces), letters joined with their marks."""
     table = F.from_json(F.lit(json.dumps(_LONGER | _COMPOSED)), "map<string,string>")  # a constant
-    odd = "[\\p{M}" + "".join(_LONGER) + "]"
+    odd = lambda a: a.rlike(r"\p{M}") | (F.length(F.translate(a, "".join(_LONGER), "")) < F.length(a))
 
     def longer(alike: Column) -> Column:
         pieces = F.regexp_extract_all(alike, F.lit(r"(?s).\p{M}*"), F.lit(0))
         return F.array_join(F.transform(pieces, lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")
 
     alike = F.translate(text, "".join(_ALIKE), "".join(_ALIKE.values()))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), let(alike, lambda a: F.when(a.rlike(odd), longer(a)).otherwise(a))).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), let(alike, lambda a: F.when(odd(a), longer(a)).otherwise(a))).otherwise(text)
 
 
 def normalize_name(raw: Column) -> Column:
