@@ -13,14 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder that all executors share; recomputed by nobody, lost with no executor."""
+    """Materialise in the folder that all executors share; recomputed by nobody, lost with no executor.
+
+    What was shuffled for it isn't needed any more: Spark removes the files once the driver's garbage
+    collector has found that, which is asked to look.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))  # one process, as in tests
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return done
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:

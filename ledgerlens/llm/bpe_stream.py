@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerlens.llm._spark import ddl, map_texts, with_text, without
 

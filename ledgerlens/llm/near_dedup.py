@@ -90,7 +90,7 @@ def _sets(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 fps.append(simhash_dedup.majority(simhash_dedup.ones(h), n))
                 sizes.append(n)
                 prefixes.append(h[order[: n - -(-4 * n // 5) + 1]].view(np.int64))  # a link shares 4/5 of either set
-                bins.append(np.bincount((h >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32).tobytes())
+                bins.append(np.bincount((h >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS).clip(max=65_535).astype(np.uint16).tobytes())  # counts cut off are nearer, so no pair is lost
             arrays = [batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "set", "fp", "n", "prefix", "bins"])
 
@@ -160,7 +160,7 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
 
         def out(table):
             key, ids, root, n = (table.column(c).to_numpy() for c in ("key", "set", "root", "n"))
-            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.int32).reshape(-1, BINS)
+            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
             a, b = pairs_of(root, n, bins, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))), every)
             a, b = ids[a], ids[b]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])

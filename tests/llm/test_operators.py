@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -517,20 +518,84 @@ def test_pipeline_near_duplicates_by_jaccard(spark, monkeypatch):
     assert corpus_pipeline.drop_near_duplicates(spark, rows.where("doc_id < 0"), DATA).count() == 0
 
 
-def test_pipeline_stages_equal_their_operators_by_brute_force(spark):
-    names = {}
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+def brute_lines(rows):
+    """(doc_id, text) without repeated and nearly repeated lines, and without documents of which only space is left."""
+    seen, kept = [], []
+    for d, text in rows:
+        lines, out = text.split("\n"), []
+        for line in lines:
+            near = line in seen or len(line) >= 20 and any(len(x) >= 20 and line_dedup.within(line, x, 2) for x in seen)
+            if line.strip():
+                if line not in seen:
+                    seen.append(line)
+                if near:
+                    continue
+            out.append(line)
+        if out == lines or "".join(out).strip():
+            kept.append((d, "\n".join(out)))
+    return kept
+
+
+def brute_near(rows):
+    sets = []
+    for _, text in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [r for i, r in enumerate(rows) if root(i) == i]
+
+
+def brute_contaminated(text, items):
+    words = lambda t: regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    said, hit = words(text), set()
+    for item in items:
+        w = words(item)
+        k = min(13, len(w))
+        known = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+        for i in range(len(said) - k + 1):
+            if tuple(said[i : i + k]) in known:
+                hit |= set(range(i, i + k))
+    return bool(hit) and 20 * len(hit) >= len(said)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").coalesce(1).orderBy("doc_id")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] and len(r["text"]) < 3000]
+    docs = spark.createDataFrame(docs.where(F.length("text") < 3000).collect(), docs.schema).coalesce(1)
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    want = {
+        "language": lambda rows: [r for r in rows if regex.search(r"\p{L}", r[1])],  # these data hold no noise
+        "lines": brute_lines,
+        "near_duplicates": brute_near,
+        "decontamination": lambda rows: [r for r in rows if not brute_contaminated(r[1], items)],
+    }
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, DATA)
         assert kept.columns == docs.columns
-        names[name] = kept.count()
-        before = docs.count()
-        assert names[name] <= before
-        docs = spark.createDataFrame(kept.collect(), kept.schema)
-    rows = docs.collect()
-    fingerprints = [brute_fingerprint(r["text"]) for r in rows]
-    assert all((a ^ b).bit_count() > 3 for i, a in enumerate(fingerprints) for b in fingerprints[:i])
-    assert corpus_pipeline.run(spark, DATA).count() == names["decontamination"]
+        rows = want[name](rows)
+        found = kept.orderBy("doc_id").collect()
+        assert [(r["doc_id"], r["text"]) for r in found] == rows, name
+        docs = spark.createDataFrame(found, kept.schema).coalesce(1)
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    found = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()}
+    for d, text in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert found[d]["token_ids"] == ids and found[d]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert 0 < len(rows) == len(found)
+
+
+def test_pipeline_runs_over_the_table(spark):
+    found = corpus_pipeline.run(spark, DATA)
+    assert {"doc_id", "token_ids", "n_tokens"} <= set(found.columns) and found.count() > 100
 
 
 def test_language_rejects_noise(spark):
