@@ -4,7 +4,7 @@ Documents whose shingle sets have a similarity of 4/5 or more are linked, and on
 of these links is kept. Equal sets are one. SimHash finds most links: sets whose fingerprints differ
 in few bits meet through buckets and pivot distance tables, and those of similarity 4/5 or more, by
 their whole texts, are linked. At that similarity fingerprints may differ in ten bits and more, which
-buckets can't tell from chance; so what SimHash left in different components meets once more: of two
+buckets can't tell from chance; so sets meet in another way too, by which no link is missed: of two
 sets that may link, the first fifth (and one) of
 the shingles in any order common to all has one in common (prefix filter), so sets meet under those
 shingles; the order puts shingles first that a sample of documents has seldom, which leaves less to
@@ -180,7 +180,7 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, steps: tuple[bool, ...] = (True, False)) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a checkpoint) of similarity 4/5 or more, by the shingles of their whole texts; a first step looks at fine bins."""
 
     def hashed(pairs: DataFrame, fine: bool) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, steps: tuple[b
                     keep.append(len(np.intersect1d(x, y, assume_unique=True)) * DOWN >= UP * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    for fine in steps:
+    for fine in (True, False):
         x, y = hashed(pairs, fine)
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         pairs = cut(both.mapInArrow(lambda batches, fine=fine: compare(batches, fine), "a bigint, b bigint"))
@@ -237,13 +237,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = cut(_sets(texts, frequent(texts)))
     ids = cut(found.groupBy("set").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.count("*").alias("copies")))
     rows = ids.select("set", "row")
-    hashed = _verified(cut(_by_simhash(ids)), texts, rows, (False,))
-    roots = components(hashed).select(F.col("node").alias("set"), "root")
     met = cut(in_chunks(cut(_meeting(found.select(F.explode("prefix").alias("key"), "set").select("key", "set"))), "set", CHUNK))
-    sets = cut(found.select("row", "n", "bins").join(ids.join(met.select("set").distinct(), "set").join(roots, "set", "left"), "row").select("set", "n", "bins", F.coalesce("root", "set").alias("root")))
+    sets = cut(found.select("row", "n", "bins").join(ids.join(met.select("set").distinct(), "set"), "row").select("set", "n", "bins", F.col("set").alias("root")))
     members = met.join(sets, "set")
-    tried = cut(_pairs(members, False))
-    links = hashed.unionByName(_verified(tried, texts, rows))
+    tried = cut(_by_simhash(ids).unionByName(_pairs(members, False)).distinct())
+    links = _verified(tried, texts, rows)
     roots = components(links).select(F.col("node").alias("set"), "root")
     members = members.drop("root").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
     links = links.unionByName(_verified(cut(_pairs(members, True).join(tried, ["a", "b"], "left_anti")), texts, rows))
