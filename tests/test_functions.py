@@ -9,6 +9,9 @@ from ledgerlens.sources import files
 from ledgerlens.streaming import inbox
 
 
+# Fixed values throughout: texts, and what must be read of them.
+
+
 def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first()[0]
 
