@@ -119,7 +119,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-_cache = {"powers": _powers(1)}
+class Powers:
+    """Powers of the odd factor and of its inverse, made where they are used: a pickled one is empty."""
+
+    def __init__(self):
+        self.up, self.down = _powers(1)
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def cover(self, n: int) -> None:
+        if len(self.up) <= n:
+            self.up, self.down = _powers(max(n, 2 * PIECE + (1 << 16)))
+
+
+_powers_made = Powers()
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -131,10 +145,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Sums from which `span_hash` takes the hash of any span of the odd numbers given."""
-    if len(_cache["powers"][0]) <= len(values):
-        _cache["powers"] = _powers(max(len(values), 2 * PIECE + (1 << 16)))
+    _powers_made.cover(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _cache["powers"][0][: len(values)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(values * _powers_made.up[: len(values)], dtype=np.uint64, out=sums[1:])
     return sums
 
 
@@ -145,7 +158,7 @@ def prefix_hash(low: np.ndarray) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal spans have equal hashes wherever they stand."""
-    h = (sums[ends] - sums[starts]) * _cache["powers"][1][starts]
+    h = (sums[ends] - sums[starts]) * _powers_made.down[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _MIX2)
 
 

@@ -1,7 +1,8 @@
 """Multilingual mixture inference: each document's language proportions by expectation-maximisation.
 
 Training counts byte n-grams of words per language; a word's likelihood under a language is the
-product over its n-grams. A document is a mixture: each word comes from one language of a set, in
+product over its n-grams. Shares of n-grams are interpolated with the uniform distribution at a fixed
+weight, so what an unknown n-gram costs doesn't depend on how much was learned from. A document is a mixture: each word comes from one language of a set, in
 proportions that EM estimates. The set is grown from the best single language, one language at a
 time, as long as the log-likelihood less `penalty * log(words)` per further language rises.
 
@@ -33,6 +34,8 @@ from ledgerlens.llm._spark import map_texts, positional, renamed, with_text, wit
 
 #: n-gram length, hash buckets, EM steps, penalty per language, texts learned from.
 ORDER, BUCKETS, STEPS, PENALTY, SAMPLE = 3, 1 << 16, 12, 1.0, 20_000
+#: Weight of the uniform distribution of n-grams.
+UNKNOWN = 0.05
 #: A language with a smaller share of the words of a document isn't taken into its set.
 LEAST = 0.02
 #: By how much noise must explain a text better for `identified` to reject it: a factor of e to this power.
@@ -118,10 +121,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(counts[full], pa.int64())], names=["lang", "bucket", "n"])
 
     counts = map_texts(labelled, run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((len(languages), BUCKETS), 0.5)
+    table = np.zeros((len(languages), BUCKETS))
     place = {x: i for i, x in enumerate(languages)}
     table[[place[x] for x in counts.column(0).to_pylist()], counts.column(1).to_numpy()] += counts.column(2).to_numpy()
-    return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    return Model(languages, smoothed(table).astype(np.float32))
+
+
+def smoothed(table: np.ndarray) -> np.ndarray:
+    """log p(bucket) of rows of counts."""
+    return np.log((1 - UNKNOWN) * table / table.sum(axis=1, keepdims=True).clip(1) + UNKNOWN / table.shape[1])
 
 
 def _sums(values: np.ndarray, first: np.ndarray, weight: np.ndarray | None) -> np.ndarray:

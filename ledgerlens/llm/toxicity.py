@@ -8,7 +8,8 @@ than the two alone.
 
 Features are used if their frequency tells toxic rows from others, or if that of their meeting with
 another one does, though neither does alone: thousands of chance weights would drown one insult in
-a long text. Meetings are told of the `PAIRED` commonest features that don't tell anything alone.
+a long text. Meetings of all features that don't tell anything alone are counted, in blocks of these
+on the executors, and told by a likelihood ratio, which isn't misled by meetings in a few rows.
 
 The machine is fitted on the driver to a bounded sample of labelled rows: at most `SAMPLE`, the first
 by a hash of their key, and fewer if these have over `FEATURES` features, which is known before they
@@ -29,7 +30,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
@@ -41,8 +42,8 @@ BITS, FACTORS, SAMPLE, FEATURES = 18, 4, 12_000, 16_000_000
 #: Lengths of the beginnings of words that are terms, in bytes.
 STEMS = (4, 5, 6)
 STEPS, RATE, BATCH, DECAY, LEAST, CHANCE = 1_500, 0.2, 128, 1e-4, 3, 10.0
-#: Features of which meetings are told, and what a meeting must tell beyond chance: there are half a million of them.
-PAIRED, PAIR_CHANCE = 1_024, 45.0
+#: What a meeting must tell beyond chance (twice a log-likelihood ratio: there may be a thousand million of them), and features of a block.
+PAIR_CHANCE, PAIR_BLOCK = 45.0, 512
 
 
 @dataclass
@@ -86,29 +87,98 @@ def _apart(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray
     return (toxic / n1 - other / n0) ** 2 / np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The features whose share among toxic rows differs from that among the others beyond chance, alone or where two meet."""
+def _ratio(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of two shares against a common one."""
+    p = (toxic + other) / (n1 + n0)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0)
+
+    return 2 * (part(toxic, n1 * p) + part(other, n0 * p) + part(n1 - toxic, n1 * (1 - p)) + part(n0 - other, n0 * (1 - p)))
+
+
+@dataclass
+class Silent:
+    """Features that tell nothing alone, in groups of those that stand in the same rows; the groups of each row, and the rows' labels."""
+
+    ids: np.ndarray
+    group: np.ndarray
+    first: np.ndarray
+    found: np.ndarray
+    toxic: np.ndarray
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.groups // PAIR_BLOCK)
+
+    @property
+    def groups(self) -> int:
+        return int(self.group.max(initial=-1)) + 1
+
+    def meeting(self, block: int) -> np.ndarray:
+        """The features of a block whose meeting with another one tells something, and these others."""
+        n1, n0 = int(self.toxic.sum()), int((~self.toxic).sum())
+        n = self.groups
+        lo, hi = block * PAIR_BLOCK, min((block + 1) * PAIR_BLOCK, n)
+        row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        mine = np.flatnonzero((self.found >= lo) & (self.found < hi))
+        mine = mine[np.argsort(self.found[mine], kind="stable")]
+        begin = np.searchsorted(self.found[mine], np.arange(lo, hi + 1))
+        kept = np.zeros(n, bool)
+        for f in range(hi - lo):
+            rows = row[mine[begin[f] : begin[f + 1]]]
+            both = []
+            for of in (rows[self.toxic[rows]], rows[~self.toxic[rows]]):
+                there = [self.found[self.first[r] : self.first[r + 1]] for r in of]
+                both.append(np.bincount(np.concatenate(there), minlength=n) if there else np.zeros(n, np.int64))
+            both[0][lo + f] = both[1][lo + f] = 0
+            often = np.flatnonzero(both[0] + both[1] >= LEAST)
+            telling = often[_ratio(both[0][often], both[1][often], n1, n0) >= PAIR_CHANCE]
+            if len(telling):
+                kept[telling] = kept[lo + f] = True
+        return self.ids[kept[self.group]]
+
+
+def alone(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, Silent]:
+    """The features whose share among toxic rows differs from that among the others beyond chance, and the rest."""
     count = lambda of: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(of)]), minlength=1 << BITS)
     toxic, other = count(y > 0), count(y <= 0)
-    n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
-    alone = (_apart(toxic, other, n1, n0) >= CHANCE) & (toxic + other >= LEAST)
-    silent = np.where(alone | (toxic + other < LEAST) | (toxic + other > 0.9 * len(y)), 0, toxic + other)
-    paired = np.argsort(-silent, kind="stable")[:PAIRED]
-    paired = paired[silent[paired] > 0]
-    place = np.full(1 << BITS, -1)
-    place[paired] = np.arange(len(paired))
-    there = np.zeros((len(rows), len(paired)), np.float32)
-    for i, r in enumerate(rows):
-        at = place[r]
-        there[i, at[at >= 0]] = 1
-    both1 = there[y > 0].T @ there[y > 0]
-    both0 = there[y <= 0].T @ there[y <= 0]
-    pairs = (_apart(both1, both0, n1, n0) >= PAIR_CHANCE) & (both1 + both0 >= LEAST)
-    np.fill_diagonal(pairs, False)
-    return np.union1d(np.flatnonzero(alone), paired[pairs.any(axis=0)])
-
-
-def fit_arrays(rows: list[np.ndarray], y: np.ndarray) -> Machine:
+    often = toxic + other >= LEAST
+    telling = often & (_apart(toxic, other, int((y > 0).sum()), int((y <= 0).sum())) >= CHANCE)
+    silent = often & ~telling & (toxic + other <= 0.9 * len(y))
+    ids = np.flatnonzero(silent)
+    draw = np.random.default_rng(3).integers(0, 1 << 63, len(rows), dtype=np.uint64)
+    where = np.zeros(1 << BITS, np.uint64)
+    for r, x in zip(rows, draw):
+        where[r] += x  # the features of a row are distinct
+    _, first, group = np.unique(where[ids], return_index=True, return_inverse=True)
+    compact = np.full(1 << BITS, -1, np.int32)
+    compact[ids[first]] = np.arange(len(first))
+    found = [compact[r][compact[r] >= 0] for r in rows]
+    return np.flatnonzero(telling), Silent(ids, group, np.concatenate(([0], np.cumsum([len(r) for r in found]))), np.concatenate(found), y > 0)
+
+
+def telling(rows: list[np.ndarray], y: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """The features whose share among toxic rows differs from that among the others beyond chance, alone or where two meet; meetings are counted on the executors, or here without a session."""
+    known, silent = alone(rows, y)
+    if spark is None:
+        met = [silent.meeting(b) for b in range(silent.blocks)]
+    else:
+        shared = spark.sparkContext.broadcast((silent.ids, silent.group, silent.first, silent.found, silent.toxic))
+
+        def run(batches):
+            silent = Silent(*shared.value)
+            for batch in batches:
+                for b in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(silent.meeting(b), pa.int64())], names=["id"])
+
+        blocks = spark.range(0, silent.blocks, numPartitions=max(1, silent.blocks)).mapInArrow(run, "id bigint")
+        met = [blocks.distinct().toArrow().column(0).to_numpy()]
+        shared.unpersist()
+    return np.unique(np.concatenate([known, *met]).astype(np.int64))
+
+
+def fit_arrays(rows: list[np.ndarray], y: np.ndarray, spark: SparkSession | None = None) -> Machine:
     """Log loss, by STEPS steps of AdaGrad over mini-batches, in an order that depends on the number of rows only."""
     m = Machine(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
@@ -116,7 +186,7 @@ def fit_arrays(rows: list[np.ndarray], y: np.ndarray) -> Machine:
     if not len(y) or y.min() == y.max():
         return m
     rng = np.random.default_rng(7)
-    ids = telling(rows, y)
+    ids = telling(rows, y, spark)
     often = np.zeros(1 << BITS, bool)
     often[ids] = True
     compact = np.full(1 << BITS, -1)
@@ -168,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if end < len(size["n"]):
         table = table.where(F.col("draw") < size["draw"][end])
     known = table.toArrow().sort_by([("draw", "ascending"), ("key", "ascending"), ("y", "ascending")])
-    return fit_arrays([np.asarray(x.values) for x in known.column("features")], known.column("y").to_numpy().astype(float))
+    return fit_arrays([np.asarray(x.values) for x in known.column("features")], known.column("y").to_numpy().astype(float), docs.sparkSession)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 import regex
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -214,13 +215,15 @@ def test_toxicity(spark, docs, empty):
     assert len({r["score"] for r in toxicity.score(docs, base, keep=["doc_id"]).collect()}) == 1 and toxicity.score(empty, base).count() == 0
 
 
-def test_toxicity_of_pairs_that_no_term_tells_alone():
+@pytest.mark.parametrize("fillers, each", [(300, 25), (1100, 770)])
+def test_toxicity_of_pairs_that_no_term_tells_alone(fillers, each):
+    """Also where more than a thousand other words are commoner: with 770 of 1,100 fillers in a text, each is in 70 % of them."""
     deal = random.Random(3)
-    filler = [f"filler{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    filler = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}filler" for i in range(fillers)]
 
     def row():
         a, b = deal.random() < 0.5, deal.random() < 0.5
-        words = deal.choices(filler, k=25) + ["insult"] * a + ["group"] * b
+        words = (deal.choices(filler, k=each) if each < 100 else deal.sample(filler, each)) + ["insult"] * a + ["group"] * b
         deal.shuffle(words)
         return " ".join(words), float(a != b)
 
@@ -598,14 +601,26 @@ def test_pipeline_runs_over_the_table(spark):
     assert {"doc_id", "token_ids", "n_tokens"} <= set(found.columns) and found.count() > 100
 
 
-@pytest.mark.xfail(reason="open: fails on this tiny training table, cause not yet found", strict=False)
-def test_language_rejects_noise(spark):
+@pytest.mark.parametrize("copies", [12, 120, 12_000])
+def test_language_rejects_noise(spark, copies):
+    """Training n-grams: about 3,000, 30,000 and 3 million."""
     deal = random.Random(5)
     english, german = "the cat sat on that mat with this hat and that was that ", "der hund lief ueber die strasse und bellte laut wie nie "
     noise = " ".join("".join(deal.choice("qxzjkvwy") for _ in range(7)) for _ in range(40))
-    rows = spark.createDataFrame([(1, english * 50, "en"), (2, german * 50, "de"), (3, noise, None), (4, english, None), (5, None, "en"), (6, "12 34", None), (7, "ok", None)], "doc_id bigint, text string, lang string")
+    rows = [(1, english * copies * 2, "en"), (2, german * copies * 2, "de"), (3, noise, None), (4, english, None), (5, None, "en"), (6, "12 34", None), (7, "ok", None)]
+    rows = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert sorted(r["doc_id"] for r in language.identified(rows).collect()) == [1, 2, 4, 7]
 
 
+def test_functions_for_executors_stay_small():
+    """What the driver has hashed isn't shipped with each function."""
+    _text.word_hash(np.arange(100, dtype=np.uint8), np.array([0]), np.array([9]))
+    decontaminate.window_set([(1, PROSE[3])])
+    assert len(_text._powers_made.up) > 1 << 20
+    for module in (language, toxicity, license_scan, decontaminate, line_dedup, simhash_dedup):
+        functions = [f for f in vars(module).values() if callable(f) and getattr(f, "__module__", "") == module.__name__]
+        assert len(cloudpickle.dumps(functions)) < 100_000, module
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
