@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, simhash_dedup, toxicity, url_filter
+from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, merkle_manifest, simhash_dedup, toxicity, url_filter
 from ledgerlens.llm._spark import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)
 """
 
+_EVEN = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce(list_concat([xor(c, x)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) % 2 = 1"""
+_SAID = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS g, sha256({_SAID} || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256({_SAID} || coalesce(strlen(said) || ':' || said, '-')) AS tampered
+  FROM (SELECT *, CASE WHEN doc_id IS NULL OR {_EVEN} THEN replace(text, chr(10), '') ELSE text END AS said FROM documents)),
+leaves AS (SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+tree AS (SELECT 0 AS level, g, pos, leaf AS digest, n FROM leaves
+  UNION ALL SELECT level + 1, g, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY level, g, pos // 3, n),
+subroots AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS level, pos, subroot AS digest, n FROM subroots
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM crown WHERE n > 1 GROUP BY level, pos // 3, n),
+nodes AS (SELECT 0 AS part, * FROM tree UNION ALL SELECT 1, level, '', pos, digest, n FROM crown),
+runs AS (SELECT part, level, g, pos, n,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY part, level, g, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY part, level, g, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM nodes),
+folds AS (SELECT r, 0 AS part, 0 AS level, l.g, l.pos, l.n, tampered AS digest, '' AS proof FROM leaves l
+  UNION ALL SELECT r, CASE WHEN f.n = 1 THEN 1 ELSE f.part END, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.n = 1 THEN '' ELSE f.g END, CASE WHEN f.n = 1 THEN s.pos ELSE f.pos // 3 END,
+    CASE WHEN f.n = 1 THEN s.n ELSE (f.n + 2) // 3 END, CASE WHEN f.n = 1 THEN f.digest ELSE sha256(t.before || f.digest || t.after) END, CASE WHEN f.n = 1 THEN proof ELSE proof || t.before || t.after END
+  FROM folds f LEFT JOIN runs t ON t.part = f.part AND t.level = f.level AND t.g = f.g AND t.pos = f.pos LEFT JOIN subroots s ON s.g = f.g WHERE f.part = 0 OR f.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM leaves JOIN subroots USING (g) CROSS JOIN (SELECT digest AS root FROM crown WHERE n = 1) JOIN folds f USING (r) WHERE f.part = 1 AND f.n = 1
+"""
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -97,3 +122,14 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    tampered = merkle_manifest.leaf([text if c == "text" else F.col(c) for c in merkle_manifest.FIELDS])
+    found = merkle_manifest.manifest(docs, keep={"doc_id": F.col("doc_id"), "tampered": tampered})
+    folded = merkle_manifest.fold(F.col("tampered"), F.col("proof"))
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
