@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, merkle_manifest, simhash_dedup, toxicity, url_filter
+from ledgerlens.llm import bpe_stream, decontaminate, hard_negatives, hash_search, html_text, language, license_scan, line_dedup, merkle_manifest, simhash_dedup, toxicity, url_filter
 from ledgerlens.llm._spark import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,16 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f.digest AS f
 FROM leaves JOIN subroots USING (g) CROSS JOIN (SELECT digest AS root FROM crown WHERE n = 1) JOIN folds f USING (r) WHERE f.part = 1 AND f.n = 1
 """
 
+ORACLES["op12_hard_negatives"] = """
+WITH known AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM known a JOIN known b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT n.anchor_id, n.id AS positive_id, CAST(row_number() OVER (PARTITION BY n.anchor_id, n.id ORDER BY f.score DESC, f.id) AS INTEGER) AS rank, f.id AS negative_id, n.score AS positive_score, f.score AS negative_score
+FROM near n JOIN scored f ON f.anchor_id = n.anchor_id AND NOT f.same AND 80 * n.score <= 100 * f.score AND 100 * f.score <= 100 * n.score QUALIFY rank <= 5
+"""
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -133,3 +143,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle_manifest.fold(F.col("tampered"), F.col("proof"))
     found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
