@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe_stream, decontaminate, hard_negatives, hash_search, html_text, language, license_scan, line_dedup, merkle_manifest, simhash_dedup, toxicity, url_filter
+from ledgerlens.llm import bpe_stream, decontaminate, hard_negatives, hash_search, html_text, language, license_scan, line_dedup, merkle_manifest, simhash_dedup, suffix_dedup, toxicity, url_filter
 from ledgerlens.llm._spark import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,18 @@ SELECT n.anchor_id, n.id AS positive_id, CAST(row_number() OVER (PARTITION BY n.
 FROM near n JOIN scored f ON f.anchor_id = n.anchor_id AND NOT f.same AND 80 * n.score <= 100 * f.score AND 100 * f.score <= 100 * n.score QUALIFY rank <= 5
 """
 
+ORACLES["op13_suffix_dedup"] = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS x FROM documents),
+strings AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS said FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM docs)),
+repeated AS (SELECT r, i FROM strings QUALIFY count(*) OVER (PARTITION BY said) > 1),
+spans AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span
+  FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM repeated)) GROUP BY r, span),
+gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM spans),
+kept AS (SELECT r, sum(hi - lo) AS n, count(*) AS k, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS y FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -150,3 +162,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
