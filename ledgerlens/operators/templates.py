@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import amounts, dates
+from ledgerlens.operators import template_index
+from ledgerlens.operators.template_index import java_pattern
 
 #: Templates whose keywords are looked for by conditions in the plan; those of more are matched as a table.
 MOST = 200
@@ -26,25 +28,35 @@ class Template:
     rules: dict[str, str] = field(default_factory=dict)
 
     def pattern(self, rule: str) -> str | None:
+        """What a rule looks for; none if it isn't usable, which `problems` tells."""
         written = self.rules.get(rule, "")
-        return "(?i)" + written.removeprefix("regex:").strip() if written.startswith("regex:") else None
+        found = java_pattern(written.removeprefix("regex:").strip())[0] if written.startswith("regex:") else None
+        return found and "(?i)" + found
 
+    def problems(self) -> dict[str, str]:
+        """Why rules aren't used, by field."""
+        written = {k: v.removeprefix("regex:").strip() for k, v in self.rules.items() if v.startswith("regex:")}
+        return {k: why for k, v in written.items() if (why := java_pattern(v)[1])}
 
-def _places(docs: DataFrame, templates: list[Template], t: Column) -> Column:
+
+def _places(templates: list[Template], t: Column) -> Column:
     """The place of the first template of which the text holds a keyword."""
     lower = F.lower(t)
-    if len(templates) <= MOST:
-        fits = [reduce(or_, [lower.contains(k.lower()) for k in x.keywords], F.lit(False)) for x in templates]
-        return F.coalesce(*[F.when(f, i) for i, f in enumerate(fits)], F.lit(None).cast("int"))
-    # a constant table, in order: the first match ends the search
-    table = F.from_json(F.lit(json.dumps([{"i": i, "k": k.lower()} for i, x in enumerate(templates) for k in x.keywords])), "array<struct<i:int,k:string>>")
-    return F.get(F.filter(table, lambda x: lower.contains(x["k"])), F.lit(0))["i"]
+    fits = [reduce(or_, [lower.contains(k.lower()) for k in x.keywords], F.lit(False)) for x in templates]
+    return F.coalesce(*[F.when(f, i) for i, f in enumerate(fits)], F.lit(None).cast("int"))
+
+
+def as_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
+    rows = [(i, x.name, x.keywords, x.rut, x.rules) for i, x in enumerate(templates)]
+    return spark.createDataFrame(rows, "place int, name string, keywords array<string>, rut string, rules map<string,string>")
 
 
 def apply(docs: DataFrame, templates: list[Template], text: str = "text", this_year: Column | None = None) -> DataFrame:
     """docs with template, template_rut, template_total and template_fecha; null where no template fits."""
+    if len(templates) > MOST:
+        return template_index.apply(docs, as_table(docs.sparkSession, templates), text, this_year)
     t = F.col(text)
-    docs = docs.withColumn("_which", _places(docs, templates, t) if templates else F.lit(None).cast("int"))
+    docs = docs.withColumn("_which", _places(templates, t) if templates else F.lit(None).cast("int"))
     rows = json.dumps([{"name": x.name, "rut": x.rut, "total": x.pattern("total"), "fecha": x.pattern("fecha")} for x in templates])
     table = F.from_json(F.lit(rows), "array<struct<name:string,rut:string,total:string,fecha:string>>")
     docs = docs.withColumn("_template", F.get(table, F.col("_which")))
@@ -59,8 +71,7 @@ def apply(docs: DataFrame, templates: list[Template], text: str = "text", this_y
 
 def save(spark: SparkSession, templates: list[Template], path: str) -> None:
     """The templates as a small table, in their order."""
-    rows = [(i, x.name, x.keywords, x.rut, x.rules) for i, x in enumerate(templates)]
-    spark.createDataFrame(rows, "place int, name string, keywords array<string>, rut string, rules map<string,string>").coalesce(1).write.mode("overwrite").parquet(path)
+    as_table(spark, templates).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> list[Template]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import template_index
 from ledgerlens.plans.catalogue import query
 from ledgerlens.sources import keyed, shared
-from ledgerlens.sources.render import table
+from ledgerlens.sources.render import documents, table
 from ledgerlens.streaming import lifecycle
 
 # --- the life of jobs ---
@@ -81,3 +82,68 @@ def job_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in (1, 0, 1):  # the later one first, and once again
         keyed.upsert(spark, path, changes.where(F.col("version") % 2 == batch))
     return keyed.read(spark, path)
+
+
+# --- templates as a table ---
+
+
+def _suppliers_and_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template for each supplier and each part, by its name and number."""
+    supplier = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("place"), F.col("s_name").alias("name"))
+    part = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 1).alias("place"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
+    none = F.create_map().cast("map<string,string>").alias("rules")
+    return supplier.unionByName(part).select("place", "name", F.array(F.upper("name")).alias("keywords"), F.lit("EXTRANJERO").alias("rut"), none)
+
+
+@query("""
+WITH items AS (SELECT l_orderkey AS k, string_agg('item ' || p_name || ' ' || p_partkey || CASE WHEN l_orderkey % 5 = 0 THEN ' of ' || s_name ELSE '' END, chr(10) ORDER BY l_linenumber, p_partkey, s_suppkey) AS text FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey % 3 <> 0 OR l_linenumber < 3 GROUP BY 1),
+words AS (SELECT s_suppkey * 2 AS place, s_name AS name FROM supplier UNION ALL SELECT p_partkey * 2 + 1, p_name || ' ' || p_partkey FROM part),
+met AS (SELECT k, min(place) AS place FROM items JOIN words ON contains(lower(text), lower(name)) GROUP BY k)
+SELECT k AS doc_id, CAST(place AS BIGINT) AS place FROM items LEFT JOIN met USING (k)""", known=False)
+def template_index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0 or l_linenumber < 3")
+    lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    said = F.concat(F.lit("item "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit(" of "), "s_name")).otherwise(""))
+    docs = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", said.alias("said")))), lambda x: x["said"]), "\n").alias("text"))
+    found = template_index.first_places(docs, _suppliers_and_parts(spark, sf_dir))
+    return found.select("doc_id", F.col("_place").alias("place"))
+
+
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people said of each rendered document with a total: its supplier, total and tax id."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("total"))
+    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    known = orders.join(people.select("c_custkey", "r_name", "r_regionkey"), F.col("c_custkey") == F.col("o_custkey"))
+    name = F.concat(F.lit("COMERCIAL "), "r_name", F.lit(" LIMITADA"))
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.lower(name)).otherwise(name)
+    said = known.select(F.col("o_orderkey").alias("doc_id"), name.alias("supplier"), "total", F.concat(F.lit("76.000.00"), F.col("r_regionkey").cast("string"), F.lit("-1")).alias("rut"))
+    return said.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of templates after what all corrections teach; one supplier's was there before, with an old rule and another word."""
+    old = spark.createDataFrame([("comercial asia limitada", "COMERCIAL ASIA LIMITADA", ["comercial asia"], "76.000.009-9", {"total": "regex: Total:(\\d+"})], "key string, name string, keywords array<string>, rut string, rules map<string,string>")
+    rules = lambda rows: rows.withColumn("rules", F.to_json("rules"))  # noqa: E731  maps have no order, as versions of equal age need
+    path = shared.folder(spark, "templates")
+    keyed.create(rules(old), path, ["key"], buckets=4)
+    taught = template_index.learned(_corrections(spark, sf_dir))
+    # what a correction doesn't teach stays: the words and the tax id of a supplier that is known
+    there = keyed.read(spark, path).select("key", F.lit(True).alias("there"))
+    taught = rules(taught.withColumn("key", F.lower("name"))).join(there, "key", "left")
+    first = lambda c: F.when(F.col("there").isNull(), F.col(c)).alias(c)
+    keyed.upsert(spark, path, taught.select("key", first("name"), first("keywords"), first("rut"), "rules", F.lit(1).alias("version")))
+    return template_index.ordered(keyed.read(spark, path).withColumn("rules", F.from_json("rules", "map<string,string>")))
+
+
+@query("""
+SELECT CASE WHEN r_name = 'ASIA' THEN 'COMERCIAL ASIA LIMITADA' ELSE 'COMERCIAL ' || r_name || ' LIMITADA' END AS name, CASE WHEN r_name = 'ASIA' THEN 'comercial asia' ELSE 'COMERCIAL ' || r_name || ' LIMITADA' END AS keyword,
+  CASE WHEN r_name = 'ASIA' THEN '76.000.009-9' ELSE '76.000.00' || r_regionkey || '-1' END AS rut, '(?i)(?m)^\\s*TOTAL\\s+\\$?\\s*([\\d\\.]+)' AS total, 0 AS problems FROM region""", known=False)
+def templates_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_index.checked(_learned(spark, sf_dir))
+    return found.select("name", F.get("keywords", F.lit(0)).alias("keyword"), "rut", F.try_element_at("patterns", F.lit("total")).alias("total"), F.size("problems").alias("problems"))
+
+
+@query("SELECT k AS doc_id, CASE WHEN k % 10 <> 4 THEN 'COMERCIAL ' || region || ' LIMITADA' END AS template, CASE WHEN k % 10 NOT IN (2, 4) THEN tot END AS template_total FROM known")
+def templates_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_index.apply(documents(spark, sf_dir), _learned(spark, sf_dir))
+    return found.select("doc_id", "template", "template_total")

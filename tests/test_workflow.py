@@ -3,8 +3,10 @@
 import datetime as dt
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import template_index, templates
 from ledgerlens.sources import keyed
 from ledgerlens.streaming import lifecycle
 
@@ -53,3 +55,52 @@ def test_keyed_table_writes_only_changed_buckets(spark, tmp_path):
     assert found == {r["id"]: tuple(r)[1:] for r in keyed.read(spark, b).collect()}
     one = keyed.lookup(spark, a, id="7")
     assert [tuple(r) for r in one.collect()] == [("7", "done", 7, "x")] and "PartitionFilters: [isnotnull(_bucket" in one._jdf.queryExecution().toString()
+
+
+def test_templates_are_found_by_rarest_grams(spark):
+    rng = [f"Proveedor {i * 7919 % 100_003:06d}" for i in range(100_000)]
+    rows = [(i, n, [n.upper(), "zz" if i == 50_000 else n], "1", {}) for i, n in enumerate(rng)]
+    table = spark.createDataFrame(rows, "place int, name string, keywords array<string>, rut string, rules map<string,string>")
+    texts = [None, "", "no one", "x ZZ y", f"a {rng[5].lower()} b {rng[3]}", f"{rng[77]}9", rng[99_999][:-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(9, texts[4])], "doc_id int, text string").withColumn("place", F.lit(1))
+    found = template_index.first_places(docs, table)
+    assert {r["doc_id"]: r["_place"] for r in found.collect()} == {0: None, 1: None, 2: None, 3: 50_000, 4: 3, 5: 77, 6: None, 9: 3}
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    every = spark.createDataFrame([(3, "e", [""], "1", {}), (1, "f", ["zz"], "2", {})], table.schema)
+    assert {r["doc_id"]: r["_place"] for r in template_index.first_places(docs, every).collect()} == {0: None, 1: None, 2: 3, 3: 1, 4: 3, 5: 3, 6: 3, 9: 3}
+    assert template_index.first_places(docs, table.where("place < 0")).where("_place is not null").count() == 0
+
+
+@pytest.mark.parametrize("pattern, text, said", [
+    (r"total (?P<the_total>\d+)", "Total 12", "12"), (r"(?P<a>x)(?P=a) (\d)", "xx 3", "x"), (r"[[&&]+(\d+)\Z", "&[5", "5"), (r"[]x](\d)", "]4", "4"), (r"[^]x](\d)", "y4", "4"), (r"\$\s*([\d\.]+)", "$ 1.2", "1.2"),
+])
+def test_rules_are_translated(spark, pattern, text, said):
+    found, why = template_index.java_pattern(pattern)
+    assert why is None and spark.range(1).select(F.regexp_extract(F.lit(text), "(?i)" + found, 1)).first()[0] == said
+
+
+def test_bad_rules_reject_themselves(spark):
+    bad = {"total": "regex: total (?P<x>\\d+", "fecha": "regex: emision:\\s*(\\S+)"}
+    kept = [templates.Template("a", ["alfa"], rules=bad), templates.Template("b", ["beta"], rules={"total": "regex: total \\d+"}), templates.Template("c", ["gama"], rules={"total": r"regex: total (?P<x>\d+)"})]
+    assert "missing )" in kept[0].problems()["total"] and kept[1].problems() == {"total": "no group to read"} and not kept[2].problems()
+    docs = spark.createDataFrame([(1, "alfa total 5 emision: 01/02/2020"), (2, "beta total 5"), (3, "gama total 5")], "doc_id int, text string")
+    few = {r["doc_id"]: (r["template"], r["template_total"], str(r["template_fecha"])) for r in templates.apply(docs, kept).collect()}
+    assert few == {1: ("a", None, "2020-02-01"), 2: ("b", None, "None"), 3: ("c", 5, "None")}
+    more = kept + [templates.Template(f"n{i}", [f"none{i}"]) for i in range(templates.MOST)]
+    assert {r["doc_id"]: (r["template"], r["template_total"], str(r["template_fecha"])) for r in templates.apply(docs, more).collect()} == few
+    judged = {r["name"]: r["problems"] for r in template_index.checked(templates.as_table(spark, kept)).collect()}
+    assert judged["c"] == {} and "missing )" in judged["a"]["total"]
+
+
+def test_learning_settles_conflicts_by_support(spark):
+    rows = [("Acme", "ACME\nDoc 17 Monto final:  $ 1.200\n", 1200, "2-7"), ("ACME", "ACME\nDoc 18 Monto final: $ 3400", 3400, "1-9"), ("Acme", "saldo 77", 77, None), ("Solo", "Total   a pagar $ 5.000 CLP", 5000, None), ("None", "no number", 5, None), (None, "Total 5", 5, None), ("Zero", "Total 0", 0, None), ("Zero", None, None, None)]
+    said = spark.createDataFrame(rows, "supplier string, text string, total bigint, rut string")
+    found = {r["name"]: (r["keywords"], r["rut"], r["rules"].get("total"), r["support"]) for r in template_index.learned(said).collect()}
+    assert found == {
+        "ACME": (["ACME"], "1-9", r"regex: (?<!\w)Monto\s+final:\s+\$?\s*([\d\.]+)", 2), "Solo": (["Solo"], "EXTRANJERO", r"regex: (?m)^\s*Total\s+a\s+pagar\s+\$?\s*([\d\.]+)", 1),
+        "None": (["None"], "EXTRANJERO", None, 0), "Zero": (["Zero"], "EXTRANJERO", None, 0),
+    }
+    read = template_index.apply(said.where("supplier is not null"), template_index.ordered(template_index.learned(said)))
+    totals = {r["text"]: r["template_total"] for r in read.collect()}
+    assert totals[rows[0][1]] == 1200 and totals[rows[1][1]] == 3400
