@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ledgerlens.operators.records import key_flags, preview
+from ledgerlens.operators.records import TAX_DOCUMENTS, key_flags, preview
+from ledgerlens.sources.files import SUFFIXES
 
 
 def status_counts(records: DataFrame) -> DataFrame:
@@ -122,3 +124,74 @@ def confident(lines: str = "lines", least: float = 0.3) -> dict:
     kept = F.filter(lines, lambda x: x["score"] >= least)
     mean = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["score"]) / F.size(kept)).otherwise(0.0)
     return {"kept_text": F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), "kept_score": mean}
+
+
+# --- figures observed while records are written ---
+
+STATES = ("OK", "QUARANTINE", "REJECTED")
+#: Values that reports tell apart; what is none of them counts as `other`.
+SIDES = {
+    "por_ruta": ["image", "pdf_image", "pdf_native", "unknown", "?"],
+    "por_doc_type": [*TAX_DOCUMENTS, "cedula", "desconocido", "?"],
+    "por_extension": [*(f".{s}" for s in SUFFIXES), "(sin ext)"],
+}
+
+
+def observed(records: DataFrame, more: dict[str, list[str]] | None = None) -> tuple[DataFrame, Observation | None]:
+    """records, and the figures of `report`, which are there once records were written; more: further values of a side.
+
+    Of a stream, each batch's figures go to a listener, as `BatchFigures` is one.
+    """
+    domain = {k: [*v, *(x for x in (more or {}).get(k, []) if x not in v)] for k, v in SIDES.items()}
+    ending = F.coalesce(F.nullif(F.lower(F.regexp_extract("archivo", r"(\.[^./]+)$", 1)), F.lit("")), F.lit("(sin ext)"))
+    sides = {"por_ruta": F.coalesce("route", F.lit("?")), "por_doc_type": F.coalesce("doc_type", F.lit("?")), "por_extension": ending}
+    counts = [F.count("*").alias("total"), *[F.count_if(F.col("estado") == s).alias(s.lower()) for s in STATES]]
+    for name, there in key_flags("fecha", "rut", "total", "proveedor", "nro_documento").items():
+        counts.append(F.count_if((F.col("estado") == "QUARANTINE") & ~there).alias(f"lacks {name.removeprefix('tiene_')}"))
+    for side, values in domain.items():
+        for state in STATES:
+            mine = F.col("estado") == state
+            counts += [F.count_if(mine & (sides[side] == v)).alias(f"{side} {state} {v}") for v in values]
+            counts.append(F.count_if(mine & ~sides[side].isin(values)).alias(f"{side} {state} other"))
+    if records.isStreaming:
+        return records.observe("figures", *counts), None
+    seen = Observation()
+    return records.observe(seen, *counts), seen
+
+
+def observed_report(figures: dict[str, int], folder: str) -> dict:
+    """The row of `report` from the figures of an observation; it waits for none, as a write that ended has told them."""
+    total = figures.get("total", 0)
+    share = lambda n: round(100.0 * n / total, 2) if total else 0.0
+    n = {s.lower(): figures.get(s.lower(), 0) for s in STATES}
+    maps: dict[str, dict[str, dict[str, int]]] = {side: {} for side in SIDES}
+    for key, count in figures.items():
+        side, _, rest = key.partition(" ")
+        if side in maps and count:
+            state, _, value = rest.partition(" ")
+            maps[side].setdefault(value, {})[state.lower()] = count
+    lacks = {k.removeprefix("lacks "): v for k, v in figures.items() if k.startswith("lacks ") and v}
+    return {"total": total, **n, "faltantes_quarantine": lacks, "input_dir": folder, "pct_ok": share(n["ok"]), "pct_usable": share(n["ok"] + n["quarantine"]), **maps}
+
+
+REPORT = "total bigint, ok bigint, quarantine bigint, rejected bigint, faltantes_quarantine map<string,bigint>, input_dir string, pct_ok double, pct_usable double, por_ruta map<string,map<string,bigint>>, por_doc_type map<string,map<string,bigint>>, por_extension map<string,map<string,bigint>>"
+
+
+class BatchFigures(StreamingQueryListener):
+    """The observed figures of each batch of the session's streams, by stream name and batch number."""
+
+    def __init__(self):
+        self.seen: dict[tuple[str, int], dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for row in event.progress.observedMetrics.values():
+            self.seen[event.progress.name, event.progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

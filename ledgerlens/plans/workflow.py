@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import template_index
-from ledgerlens.plans.catalogue import query
-from ledgerlens.sources import keyed, shared
+from ledgerlens.operators import metrics, template_index
+from ledgerlens.plans.catalogue import DISPATCHED, _dispatched, query
+from ledgerlens.sources import books, files, keyed, shared
 from ledgerlens.sources.render import documents, table
 from ledgerlens.streaming import lifecycle
 
@@ -147,3 +147,38 @@ def templates_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def templates_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = template_index.apply(documents(spark, sf_dir), _learned(spark, sf_dir))
     return found.select("doc_id", "template", "template_total")
+
+
+# --- sinks and reports ---
+
+
+@query(DISPATCHED + """
+SELECT CASE WHEN estado = 'OK' THEN 'Procesados' ELSE 'Revisión Manual' END AS sheet, CASE WHEN estado <> 'OK' THEN estado END AS estado, CASE WHEN estado <> 'OK' THEN motivo_revision END AS motivo, archivo, mes, fecha, CAST(nro_documento AS VARCHAR) AS numero, proveedor, rut, CAST(total AS VARCHAR) AS total FROM done
+UNION ALL SELECT 'Revisión', estado, motivo_revision, archivo, NULL, fecha, CAST(nro_documento AS VARCHAR), proveedor, rut, CAST(total AS VARCHAR) FROM done WHERE estado = 'QUARANTINE'""", known=False)
+def workbooks_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records through workbooks: the two sheets for review, and the quarantine book, written and read back."""
+    found = shared.stored(_dispatched(spark, sf_dir), "records")
+    path = shared.folder(spark, "books")
+    books.write(files.workbooks(found, period="2024-05", rows=2_000), path)
+    books.write(books.quarantine_books(found, rows=3_000), path)
+    cell = lambda *names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
+    return books.read(spark, path).select(
+        "sheet", cell("estado").alias("estado"), cell("motivo_revision").alias("motivo"), cell("Archivo", "archivo_origen").alias("archivo"), cell("Mes").alias("mes"), cell("Fecha", "fecha").alias("fecha"),
+        cell("Nro Boleta Factura", "nro_documento").alias("numero"), cell("PROVEEDOR", "proveedor").alias("proveedor"), cell("RUT", "rut").alias("rut"), cell("Total", "total").alias("total"),
+    )
+
+
+@query(DISPATCHED + """
+SELECT side, value, count(*) FILTER (estado = 'OK') AS ok, count(*) FILTER (estado = 'QUARANTINE') AS quarantine, count(*) FILTER (estado = 'REJECTED') AS rejected FROM (
+  SELECT 'total' AS side, '' AS value, estado FROM done UNION ALL SELECT 'por_ruta', CASE WHEN route = 'zip' THEN 'other' ELSE route END, estado FROM done UNION ALL SELECT 'por_doc_type', coalesce(doc_type, '?'), estado FROM done UNION ALL SELECT 'por_extension', substr(archivo, length(archivo) - 3), estado FROM done)
+GROUP BY ALL
+UNION ALL SELECT 'faltantes', field, 0, count(*), 0 FROM (SELECT unnest(list_filter([CASE WHEN fecha IS NULL THEN 'fecha' END, CASE WHEN rut IS NULL THEN 'rut' END, CASE WHEN total IS NULL THEN 'total' END, CASE WHEN proveedor IS NULL THEN 'proveedor' END, CASE WHEN nro_documento IS NULL THEN 'nro_documento' END], lambda x: x IS NOT NULL)) AS field FROM done WHERE estado = 'QUARANTINE') GROUP BY field""", known=False)
+def report_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's figures as rows, observed while the records were written."""
+    found, seen = metrics.observed(_dispatched(spark, sf_dir))
+    found.write.parquet(shared.folder(spark, "records"))
+    row = metrics.observed_report(seen.get, sf_dir)
+    states = [s.lower() for s in metrics.STATES]
+    told = [("total", "", *(row[s] for s in states)), *(("faltantes", k, 0, n, 0) for k, n in row["faltantes_quarantine"].items())]
+    told += [(side, value, *(by.get(s, 0) for s in states)) for side in metrics.SIDES for value, by in row[side].items()]
+    return spark.createDataFrame(told, "side string, value string, ok bigint, quarantine bigint, rejected bigint")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens import settings
 from ledgerlens.functions import amounts, names, tax_id
 from ledgerlens.operators import anchors, dispatch, jobs, metrics, records, templates
-from ledgerlens.sources import files
+from ledgerlens.sources import books, files
 from ledgerlens.streaming import inbox
 
 NBSP = " "
@@ -140,6 +140,23 @@ def test_a_folder_becomes_records(spark, tmp_path):
     reader = lambda f: f.select(F.regexp_extract("path", "[^/]+$", 0).alias("archivo"), F.when(F.col("file_type") == "pdf", "pdf_native").otherwise("image").alias("route"), F.when(F.col("file_type") == "pdf", F.decode("content", "ISO-8859-1")).alias("text"))
     found = {r["archivo"]: r["estado"] for r in dispatch.directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), reader).collect()}
     assert found == {"one.PDF": "OK", "two.png": "REJECTED"}
+    (tmp_path / "in" / "five.pdf").write_bytes(b"%PDF-1.4 RUT: 12.345.678-5 TOTAL 7.000")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    once = lambda f: reader(f).mapInArrow(counted, "archivo string, route string, text string")
+    written = dispatch.directory(spark, str(tmp_path / "in"), str(tmp_path / "out"), once)
+    assert read.value == 3 == written.count()
+    left = metrics.report(written, str(tmp_path / "in")).first().asDict(recursive=True)
+    right = files.read_report(spark, f"{tmp_path}/out/report/*.json", metrics.REPORT).first().asDict(recursive=True)
+    assert {k: v for k, v in right.items() if k != "path"} == left
+    booked = {(r["sheet"], r["cells"]["Archivo"], r["cells"].get("Total")) for r in books.read(spark, f"{tmp_path}/out/books").collect()}
+    assert booked == {("Procesados", "one.PDF", "5000"), ("Revisión Manual", "two.png", None), ("Revisión Manual", "five.pdf", "7000")}
+    assert [r["cells"]["archivo_origen"] for r in books.read(spark, f"{tmp_path}/out/quarantine/books").collect()] == ["five.pdf"]
     schema = "total long, ok long, por_extension map<string,map<string,long>>"
     assert files.read_report(spark, f"{tmp_path}/out/report/*.json", schema).first()["ok"] == 1
     (tmp_path / "old.json").write_bytes('{"total": 3, "ok": 1, "por_extension": {"ñ": {"ok": 1}}}'.encode("latin-1"))

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import glob
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import template_index, templates
-from ledgerlens.sources import keyed
+from ledgerlens.operators import metrics, template_index, templates
+from ledgerlens.sources import books, files, keyed
 from ledgerlens.streaming import lifecycle
 
 
@@ -104,3 +106,54 @@ def test_learning_settles_conflicts_by_support(spark):
     read = template_index.apply(said.where("supplier is not null"), template_index.ordered(template_index.learned(said)))
     totals = {r["text"]: r["template_total"] for r in read.collect()}
     assert totals[rows[0][1]] == 1200 and totals[rows[1][1]] == 3400
+
+
+def test_only_attempts_that_commit_leave_files(tmp_path):
+    batch = lambda *rows: pa.RecordBatch.from_pydict({"name": [n for n, _ in rows], "content": [c for _, c in rows]})
+    there = lambda: {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    writer = books.FilesWriter(str(tmp_path), False)
+
+    def fails():
+        yield batch(("a.xlsx", b"half"))
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        writer.write(fails())
+    twice = [writer.write(iter([batch(("a.xlsx", b"whole"))])) for _ in range(2)]
+    writer.commit([twice[1], writer.write(iter([])), None])
+    assert there() == {"a.xlsx": b"whole"}
+    other = books.FilesWriter(str(tmp_path), False)
+    other.write(iter([batch(("b.xlsx", b"x"))]))
+    other.abort([])
+    assert there() == {"a.xlsx": b"whole"}
+    new = books.FilesWriter(str(tmp_path), True)
+    new.commit([new.write(iter([batch(("c.xlsx", b"y"))]))])
+    assert there() == {"c.xlsx": b"y"}
+
+
+def test_books_are_written_and_read(spark, tmp_path):
+    content = files.workbook({"One & two": [["a", "b", "c"], [1, None, dt.date(2024, 2, 29)], ["x <y>", 2.5, "  z"]], "Empty": [["a"]]})
+    rows = spark.createDataFrame([("x.xlsx", bytearray(content)), ("y.xlsx", bytearray(content))], "name string, content binary").repartition(2)
+    books.write(rows, f"file://{tmp_path}/books")
+    found = sorted((r["book"], r["sheet"], r["row"], tuple(r["cells"].items())) for r in books.read(spark, f"{tmp_path}/books").collect())
+    sheet = [("One & two", 1, (("a", "1"), ("b", None), ("c", "2024-02-29"))), ("One & two", 2, (("a", "x <y>"), ("b", "2.5"), ("c", "  z")))]
+    assert found == [(f"{n}.xlsx", *r) for n in "xy" for r in sheet]
+    assert books.read(spark, f"{tmp_path}/none").count() == 0
+    books.write(rows.where("name = ''"), f"{tmp_path}/nothing")
+    assert books.read(spark, f"{tmp_path}/nothing").count() == 0
+
+
+def test_streams_tell_their_figures(spark, tmp_path):
+    schema = "archivo string, route string, doc_type string, estado string, fecha string, rut string, total bigint, proveedor string, nro_documento bigint"
+    spark.createDataFrame([("a.pdf", "image", "cedula", "OK", "x", "x", 1, "x", 1), ("b.JPG", None, None, "QUARANTINE", None, "x", None, "x", 1)], schema).write.parquet(f"{tmp_path}/in")
+    figures = metrics.BatchFigures()
+    spark.streams.addListener(figures)
+    found, _ = metrics.observed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    found.writeStream.queryName("told").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    until = time.time() + 30
+    while not figures.seen and time.time() < until:
+        time.sleep(0.2)
+    spark.streams.removeListener(figures)
+    report = metrics.observed_report(figures.seen["told", 0], "in")
+    assert report["pct_ok"] == 50.0 and report["por_extension"] == {".pdf": {"ok": 1}, ".jpg": {"quarantine": 1}} and report["por_ruta"] == {"image": {"ok": 1}, "?": {"quarantine": 1}}
+    assert report["faltantes_quarantine"] == {"fecha": 1, "total": 1}
