@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import metrics, template_index
-from ledgerlens.plans.catalogue import DISPATCHED, _dispatched, query
+from ledgerlens.operators import boxes, metrics, search_index, template_index
+from ledgerlens.plans.catalogue import DISPATCHED, KNOWN, _dispatched, _records, query
 from ledgerlens.sources import books, files, keyed, shared
-from ledgerlens.sources.render import documents, table
+from ledgerlens.sources.render import documents, table, tokens
 from ledgerlens.streaming import lifecycle
 
 # --- the life of jobs ---
@@ -182,3 +182,83 @@ def report_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = [("total", "", *(row[s] for s in states)), *(("faltantes", k, 0, n, 0) for k, n in row["faltantes_quarantine"].items())]
     told += [(side, value, *(by.get(s, 0) for s in states)) for side in metrics.SIDES for value, by in row[side].items()]
     return spark.createDataFrame(told, "side string, value string, ok bigint, quarantine bigint, rejected bigint")
+
+
+# --- search ---
+
+NEEDLES = ["123", "doc_1", "c_99", "ASIA", "ial am", "limitada", "10.00", "0.1", "1-k", "345", "001", "7.jpg", "777", "europe", "middle east", "555", "ia limi", "10012", "zzz", "2.5"]
+
+
+@query(f"""
+SELECT needle, k AS doc_id FROM recs JOIN (SELECT unnest({NEEDLES!r}) AS needle) ON contains(lower(archivo), lower(needle)) OR contains(lower(coalesce(rut_emisor, '')), lower(needle)) OR contains(lower(coalesce(razon_social, '')), lower(needle)) OR contains(CAST(coalesce(folio, 0) AS VARCHAR), lower(needle))
+WHERE estado = 'QUARANTINE'""")
+def search_index_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _records(spark, sf_dir, "doc_id", "archivo", "estado", "rut_emisor", "razon_social", "folio").where("estado = 'QUARANTINE'")
+    path = shared.folder(spark, "search")
+    search_index.build(found.withColumn("folio", F.coalesce("folio", F.lit(0))), path, "doc_id", ["archivo", "rut_emisor", "razon_social", "folio"], buckets=16)
+    return search_index.search(spark, path, NEEDLES).withColumnRenamed("key", "doc_id")
+
+
+# --- geometry ---
+
+# The lines of each rendered document, as its word boxes have them.
+LINES = """
+rendered AS (
+  SELECT k, list_filter([
+    CASE WHEN k % 7 = 0 THEN replace(kind, 'ELECTRONICA', 'ELECTRONCA') ELSE kind END,
+    CASE WHEN k % 10 <> 0 THEN 'RUT: ' || dotted || '-' || CASE WHEN k % 11 = 0 THEN substr('0123456789K', instr('0123456789K', dv) % 11 + 1, 1) ELSE dv END END,
+    CASE WHEN k % 10 <> 3 THEN 'N° ' || (k + 100000) END, CASE WHEN k % 10 <> 4 THEN 'COMERCIAL ' || region || ' LIMITADA' END,
+    CASE WHEN k % 10 <> 1 THEN 'FECHA EMISION: ' || CASE k % 5 WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN strftime(d, '%d-%m-%Y') WHEN 2 THEN strftime(d, '%d') || '-' || ['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sep', 'oct', 'nov', 'dic'][month(d)] || '-' || year(d)
+      WHEN 3 THEN day(d) || ' de ' || ['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'][month(d)] || ' de ' || year(d) ELSE ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][month(d)] || ' ' || day(d) || ', ' || year(d) END END,
+    CASE WHEN k % 13 = 0 THEN 'SUBTOTAL $' || replace(format('{:,}', sub), ',', '.') END, CASE WHEN k % 10 <> 2 THEN 'TOTAL $' || replace(format('{:,}', tot), ',', '.') END], lambda x: x IS NOT NULL) AS lines
+  FROM (SELECT *, CASE st WHEN 'F' THEN 'FACTURA ELECTRONICA' WHEN 'O' THEN 'BOLETA ELECTRONICA' ELSE 'NOTA DE CREDITO' END AS kind FROM known))
+"""
+
+
+@query(KNOWN.rstrip() + "," + LINES + """
+SELECT k AS doc_id, CAST(i AS BIGINT) AS line, lines[i] AS text, round(list_avg(list_transform(range(len(string_split(lines[i], ' '))), lambda j: CASE WHEN (k + i + j) % 11 = 0 THEN 0.5::DOUBLE ELSE ((k + i + j) % 11 - 1) / 10.0::DOUBLE END)), 6) AS score
+FROM (SELECT k, lines, unnest(range(1, len(lines) + 1)) AS i FROM rendered)""", known=False)
+def lines_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from the words of all documents, as loose rows in no order, each some pixels off its line."""
+    words = tokens(documents(spark, sf_dir)).select("doc_id", F.posexplode("tokens").alias("at", "t")).select("doc_id", "t.*")
+    key, i, j = F.col("doc_id"), F.floor(F.col("top") / 30) + 1, F.floor(F.col("left") / 100)
+    off = (key * 7 + i * 3 + j * 5) % 9 - 4
+    words = words.withColumns({"top": F.col("top") + off, "left": F.col("left") + off, "score": ((key + i + j) % 11 - 1) / 10})
+    return boxes.lines(words.repartition(8, "text")).withColumns({"line": F.col("line").cast("bigint"), "score": F.round("score", 6)})
+
+
+def red_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs of the pixel rows of a page for each order, with a red box of eight kinds by its key, and the pages' sizes."""
+    key = F.col("o_orderkey")
+    x, y, w, h = 20 + key % 50, 12 + key % 30, 60 + key % 40, 24 + key % 10
+    half = F.floor(w / 2)
+    rect = lambda *v, hue=F.when(key % 2 == 0, 5).otherwise(175): F.struct(*[F.lit(c).cast("int").alias(n) for c, n in zip((*v, hue), ("x", "y", "w", "h", "hue"))])
+    kinds = [
+        [rect(x, y, w, h)],
+        [rect(x, y, w, 3), rect(x, y + h - 3, w, 3), rect(x, y, 3, h), rect(x + w - 3, y, 3, h)],
+        [rect(x, y, half, h), rect(x + half + 4, y, w - half - 4, h)],
+        [rect(x, y, half, h), rect(x + half + 10, y, w - half - 10, h)],
+        [rect(x, y, w, h, hue=F.lit(60))],
+        [rect(x, y, w, h), rect(x, y + h + 3, w, h)],
+        [rect(x, y, w, h), rect(x + 150, y + 60, 100 + key % 20, 40)],
+        [rect(x, y, 20, 10)],
+    ]
+    drawn = F.array(rect(5, 2, 300, 3, hue=F.lit(100)))
+    for m, parts in enumerate(kinds):
+        drawn = F.when(key % 8 == m, F.array(*parts)).otherwise(drawn)
+    pages = table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.explode(F.concat(F.array(rect(5, 2, 300, 3, hue=F.lit(100))), drawn)).alias("r")).select("doc_id", "r.*")
+    runs = pages.select("doc_id", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("y"), F.col("x").alias("x0"), (F.col("x") + F.col("w") - 1).alias("x1"), "hue", F.lit(200).alias("saturation"), F.lit(200).alias("value"))
+    return runs, table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.lit(400).alias("width"), F.lit(300).alias("height"))
+
+
+@query("""
+WITH page AS (SELECT o_orderkey AS k, 20 + o_orderkey % 50 AS x, 12 + o_orderkey % 30 AS y, 60 + o_orderkey % 40 AS w, 24 + o_orderkey % 10 AS h FROM orders),
+seen AS (
+  SELECT k, x, y, w, h FROM page WHERE k % 8 IN (0, 1, 2, 6)
+  UNION ALL SELECT k, x, y, w // 2, h FROM page WHERE k % 8 = 3 UNION ALL SELECT k, x + w // 2 + 10, y, w - w // 2 - 10, h FROM page WHERE k % 8 = 3
+  UNION ALL SELECT k, x, y, w, 2 * h + 3 FROM page WHERE k % 8 = 5 UNION ALL SELECT k, x + 150, y + 60, 100 + k % 20, 40 FROM page WHERE k % 8 = 6 UNION ALL SELECT k, x, y, 20, 10 FROM page WHERE k % 8 = 7),
+fits AS (SELECT *, (w + 3) * (h + 3) AS area FROM seen WHERE (w + 3) * (h + 3) >= 1000 AND (w + 4) / CAST(h + 4 AS DOUBLE) BETWEEN 1.5 AND 3.5)
+SELECT k AS doc_id, CAST(x - 12 AS INTEGER) AS x, CAST(y - 12 AS INTEGER) AS y, CAST(w + 24 AS INTEGER) AS w, CAST(h + 24 AS INTEGER) AS h FROM fits QUALIFY row_number() OVER (PARTITION BY k ORDER BY area DESC, y, x) = 1""", known=False)
+def red_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs, sizes = red_pages(spark, sf_dir)
+    return boxes.red_boxes(runs, sizes, lambda rows: shared.stored(rows, "boxes"), least_area=1_000)

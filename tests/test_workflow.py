@@ -8,8 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import metrics, template_index, templates
-from ledgerlens.sources import books, files, keyed
+from ledgerlens.operators import boxes, metrics, search_index, template_index, templates
+from ledgerlens.sources import books, files, keyed, shared
 from ledgerlens.streaming import lifecycle
 
 
@@ -157,3 +157,40 @@ def test_streams_tell_their_figures(spark, tmp_path):
     report = metrics.observed_report(figures.seen["told", 0], "in")
     assert report["pct_ok"] == 50.0 and report["por_extension"] == {".pdf": {"ok": 1}, ".jpg": {"quarantine": 1}} and report["por_ruta"] == {"image": {"ok": 1}, "?": {"quarantine": 1}}
     assert report["faltantes_quarantine"] == {"fecha": 1, "total": 1}
+
+
+def test_search_reads_its_own_postings(spark, tmp_path):
+    rows = [(1, "Comercial ÑANDÚ", "aaaa"), (2, None, "aaab"), (3, "", "xaay"), (4, "ab", "baaaa b"), (5, "comer", "cial")]
+    path = f"{tmp_path}/index"
+    search_index.build(spark.createDataFrame(rows, "id int, name string, note string"), path, "id", ["name", "note"], buckets=8)
+    needles = ["ñandú", "aaa", "AAAA", "comercial", "aa b", "none", "aab"]
+    found = search_index.search(spark, path, needles)
+    wanted = {(n, r[0]) for n in needles for r in rows for c in r[1:] if n.lower() in (c or "").lower()}
+    assert {tuple(r) for r in found.collect()} == wanted and ("comercial", 5) not in wanted and ("aa b", 4) in wanted
+    plan = search_index.search(spark, path, ["comercial"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan and "PartitionFilters: [bucket" in plan
+    assert search_index.search(spark, path, ["zzz"]).count() == 0
+    with pytest.raises(ValueError):
+        search_index.search(spark, path, ["ab"])
+
+
+def test_lines_of_odd_boxes(spark):
+    words = [("a", "x", 50, 12, 9, 10, 0.5), ("a", "y", 10, 10, 9, 10, -1.0), ("a", "z", 90, 14, 9, 10, None), ("a", " ", 1, 10, 9, 10, 1.0), ("a", None, 1, 10, 9, 10, 1.0), ("a", "low", 1, 40, 9, 10, 0.9), ("a", "low", 1, 40, 9, 10, 0.9), (None, "alone", 0, 0, 1, 0, 0.2), ("a", "nowhere", None, 10, 9, 10, 1.0)]
+    tokens = spark.createDataFrame(words, "doc_id string, text string, left int, top int, width int, height int, score double")
+    found = boxes.lines(tokens.repartition(3))
+    assert sorted(((r["doc_id"] or "", r["line"], r["text"], round(r["score"], 6)) for r in found.collect())) == [("", 1, "alone", 0.2), ("a", 1, "y x z", 0.5), ("a", 2, "low low", 0.9)]
+    assert {r["doc_id"]: r["text"] for r in boxes.full_text(found).collect()} == {"a": "y x z\nlow low", None: "alone"}
+    assert boxes.lines(tokens.where("left = 7")).count() == 0
+
+
+def test_red_boxes(spark):
+    keep = lambda rows: shared.stored(rows, "boxes")
+    red = (0, 204, 200)  # of a page of 600 x 400 with a box of 300 x 150 in its middle
+    rows = [(1, y, 0, 599, 0, 0, 255) for y in range(400)] + [(1, y, 150, 449, *red) for y in range(120, 270)]
+    rows += [(2, y, 0, 599, 0, 0, 255) for y in range(300)]
+    rows += [(3, y, 100 + 2 * y, 100 + 2 * y + 119, *red) for y in range(100)]  # a slanted one: its rows hang together, each with other ends
+    rows += [(4, y, 0, 199, *red) for y in range(100)] + [(4, y, 300, 599, *red) for y in range(200, 300)]
+    runs = spark.createDataFrame(rows + rows[:50], "doc_id int, y int, x0 int, x1 int, hue int, saturation int, value int")
+    sizes = spark.createDataFrame([(i, 600, 400) for i in (1, 2, 3, 4)], "doc_id int, width int, height int")
+    found = {r["doc_id"]: tuple(r)[1:] for r in boxes.red_boxes(runs.repartition(3), sizes, keep).collect()}
+    assert found == {1: (138, 108, 324, 174), 3: (88, 0, 342, 112), 4: (288, 188, 312, 124)}
