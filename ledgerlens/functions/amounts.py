@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.binding import let, strip
+from ledgerlens.functions.binding import digits, let, strip
 
 # How totals and document numbers are written, in order of precedence.
 TOTALS = [r"(?isU)total\b[^\d]{0,15}?([\d\.\,]{3,})", r"(?U)\bTOTAL\s+([\d\.\,]+)", r"(?isU)(?:monto|total)\s+a\s+pagar\b[^\d]{0,15}?([\d\.\,]{3,})", r"(?iU)(?<![A-Za-z0-9])\$\s*([\d\.\,]{3,})"]
@@ -27,13 +27,13 @@ def _group(text: Column, pattern: str) -> Column:
 
 def money(raw: Column) -> Column:
     """Whole pesos: one or two digits after a last point or comma are cents, all other points and commas separators."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s", ""), r"[.,]\d{1,2}$", ""), "[.,]", "").try_cast("bigint")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(digits(raw), r"(?U)\s", ""), r"[.,]\d{1,2}$", ""), "[.,]", "").try_cast("bigint")
 
 
 def anchored_money(raw: Column) -> Column:
     """As money() reads, but a lone comma is a decimal comma: the rule for amounts beside a label."""
     plain = lambda x: F.replace(x, F.lit("."), F.lit(""))
-    number = let(strip(raw), lambda x: F.when(x.contains(","), F.translate(F.when(x.contains("."), plain(x)).otherwise(x), ",", ".")).otherwise(plain(x)))
+    number = let(strip(digits(raw)), lambda x: F.when(x.contains(","), F.translate(F.when(x.contains("."), plain(x)).otherwise(x), ",", ".")).otherwise(plain(x)))
     return number.try_cast("double").try_cast("bigint")
 
 
@@ -47,7 +47,7 @@ def extract_total(text: Column) -> Column:
 
 
 def extract_folio(text: Column) -> Column:
-    return F.coalesce(*[_group(text, p).try_cast("bigint") for p in FOLIOS])
+    return F.coalesce(*[digits(_group(text, p)).try_cast("bigint") for p in FOLIOS])
 
 
 def card_number(text: Column) -> Column:

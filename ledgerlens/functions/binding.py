@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +20,18 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(SPACE))
 
 
+@cache
+def _digits() -> tuple[str, str]:
+    """All decimal digits of other scripts, and what they are worth."""
+    found = [(chr(c), unicodedata.decimal(chr(c), None)) for c in range(128, sys.maxunicode + 1)]
+    return "".join(c for c, n in found if n is not None), "".join(str(n) for _, n in found if n is not None)
+
+
+def digits(text: Column) -> Column:
+    """text with decimal digits of any script as 0 to 9."""
+    return F.translate(text, *_digits())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value worked out once, however often body uses it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

@@ -373,18 +373,20 @@ def records_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "doc_type", "rut_emisor", "rut_receptor", "folio", F.col("fecha_emision").cast("string").alias("fecha"), "total", F.col("razon_social").alias("proveedor"), F.array_join("missing", ",").alias("missing"), "estado", files.has_text(F.array("text")).alias("has_text"), records.text_quality(F.col("text"), F.lit(YEAR)).alias("quality"))
 
 
-@query("SELECT c_custkey, 'Fina I VIII 1 Ñandú Ámbar No.' AS name FROM customer", known=False)
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Fina I VIII ' WHEN 1 THEN '1 Ñandú ' ELSE 'Ámbar No. ' END || lower(c_mktsegment) AS name FROM customer", known=False)
 def name_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", names.plain(F.lit("\ufb01na \u2160 \u2167 \u2460 N\u0303andu\u0301 A\u0301mbar \u2116.")).alias("raw")).select("c_custkey", F.concat(F.upper(F.substring("raw", 1, 1)), F.substring("raw", 2, 100)).alias("name"))
+    key = F.col("c_custkey") % 3
+    said = F.concat(F.when(key == 0, "\ufb01na \u2160 \u2167 ").when(key == 1, "\u2460 N\u0303andu\u0301 ").otherwise("A\u0301mbar \u2116. "), F.lower("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.plain(said).alias("raw")).select("c_custkey", F.concat(F.upper(F.substring("raw", 1, 1)), F.substring("raw", 2, 100)).alias("name"))
 
 
-@query("SELECT k AS doc_id, CASE WHEN k % 10 NOT IN (0) AND k % 11 <> 0 THEN dotted || '-' || dv END AS rut, CASE WHEN k % 10 <> 2 THEN tot END AS total, CASE WHEN k % 10 <> 3 THEN k + 100000 END AS folio, CASE WHEN k % 10 <> 1 AND k % 5 < 3 THEN d END AS fecha, CASE WHEN st = 'F' THEN CASE WHEN k % 2 = 0 THEN tot + 1 ELSE CASE WHEN k % 10 <> 2 THEN tot - 1900 END END END AS neto, CAST(CASE WHEN st = 'F' THEN 1900 END AS BIGINT) AS iva, CASE WHEN k % 10 <> 2 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS total_score, CASE WHEN k % 10 NOT IN (0) AND k % 11 <> 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS rut_emisor_score, CASE WHEN st <> 'F' THEN 0.0::DOUBLE WHEN k % 2 = 0 THEN 0.7::DOUBLE WHEN k % 10 <> 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS neto_score FROM (SELECT k, dotted, dv, CAST(tot AS BIGINT) AS tot, d, st FROM known WHERE tot > 5000)")
+@query("SELECT k AS doc_id, CASE WHEN k % 10 NOT IN (0) AND k % 11 <> 0 THEN dotted || '-' || dv END AS rut, CASE WHEN k % 10 <> 2 THEN tot END AS total, CASE WHEN k % 10 <> 3 THEN k + 100000 END AS folio, CASE WHEN k % 10 <> 1 AND k % 5 < 3 THEN d END AS fecha, CASE WHEN st = 'F' THEN CASE WHEN k % 2 = 0 THEN tot + 1 ELSE CASE WHEN k % 10 <> 2 AND tot > 1900 THEN tot - 1900 END END END AS neto, CAST(CASE WHEN st = 'F' THEN 1900 END AS BIGINT) AS iva, CASE WHEN k % 10 <> 2 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS total_score, CASE WHEN k % 10 NOT IN (0) AND k % 11 <> 0 THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS rut_emisor_score, CASE WHEN st <> 'F' THEN 0.0::DOUBLE WHEN k % 2 = 0 THEN 0.7::DOUBLE WHEN k % 10 <> 2 AND tot > 1900 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS neto_score FROM (SELECT k, dotted, dv, CAST(tot AS BIGINT) AS tot, d, st FROM known)")
 def records_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that only the words beside anchors tell: the text holds the document's type alone."""
     docs = documents(spark, sf_dir)
     total = F.regexp_replace(F.regexp_extract("text", r"(?m)^TOTAL \$ (\S+)$", 1), "[.]", "")
     extra = F.when(F.col("o_orderstatus") == "F", F.concat_ws("\n", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("NETO $ "), (F.floor("o_totalprice") + 1).cast("string"))), F.lit("IVA $ 1900")))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_totalprice").where(F.floor("o_totalprice") > 5_000)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_totalprice")
     plain = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.startswith("SUBTOTAL") & ~x.startswith("TOTAL")), "\n")
     docs = docs.join(orders, "doc_id").withColumn("text", F.concat_ws("\n", plain, F.when(total != "", F.concat(F.lit("TOTAL $ "), total)), extra))
     found = anchors.fields(tokens(docs), this_year=F.lit(YEAR)).withColumn("text", F.element_at(F.split("text", "\n"), 1))
@@ -404,10 +406,9 @@ def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(key.alias("doc_id"), anchors.token_score(F.when(key % 4 == 0, "87").when(key % 4 == 1, "-1").when(key % 4 == 2, "x")).alias("score"))
 
 
-@query("SELECT k AS doc_id, CASE WHEN k % 10 <> 0 THEN 'RUT: ' || dotted || '-' END AS sii_start, CASE WHEN k % 10 <> 1 AND k % 5 = 0 THEN strftime(d, '%d/%m/%Y') WHEN k % 10 <> 1 AND k % 5 = 1 THEN strftime(d, '%d-%m-%Y') END AS fecha_raw, CASE WHEN k % 10 <> 3 THEN 'N° ' || (k + 100000) END AS nro_raw, CAST(NULL AS VARCHAR) AS provider_raw FROM known")
+@query("SELECT k AS doc_id, CASE WHEN k % 10 <> 0 THEN 'RUT: ' || dotted || '-' || CASE WHEN k % 11 = 0 THEN substr('0123456789K', instr('0123456789K', dv) % 11 + 1, 1) ELSE dv END END AS sii_raw, CASE WHEN k % 13 = 0 THEN 'TOTAL $ ' || replace(format('{:,}', sub), ',', '.') WHEN k % 10 <> 2 THEN 'TOTAL $ ' || replace(format('{:,}', tot), ',', '.') END AS totals_raw, CASE WHEN k % 10 <> 1 AND k % 5 = 0 THEN strftime(d, '%d/%m/%Y') WHEN k % 10 <> 1 AND k % 5 = 1 THEN strftime(d, '%d-%m-%Y') END AS fecha_raw, CASE WHEN k % 10 <> 3 THEN 'N° ' || (k + 100000) END AS nro_raw, CAST(NULL AS VARCHAR) AS provider_raw FROM known")
 def raw_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents(spark, sf_dir).select("doc_id", *[v.alias(c) for c, v in files.raw_keys(F.col("text")).items()])
-    return found.select("doc_id", F.substring("sii_raw", 1, 16).alias("sii_start"), "fecha_raw", "nro_raw", "provider_raw")
+    return documents(spark, sf_dir).select("doc_id", *[v.alias(c) for c, v in files.raw_keys(F.col("text")).items()])
 
 
 @query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'caja' || chr(10) || 'uno' || chr(10) || 'dos' WHEN 1 THEN 'uno' ELSE '' END AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'caja' || chr(10) || 'un…' WHEN o_orderkey % 3 = 1 THEN 'uno' ELSE '—' END AS short, CASE o_orderkey % 3 WHEN 0 THEN 'caja' ELSE 'uno' END AS start FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderkey, '', '—', '' FROM orders WHERE o_orderkey % 3 = 2", known=False)
@@ -415,7 +416,7 @@ def text_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     pages = F.when(key % 3 == 0, F.array(F.lit("uno"), F.lit(""), F.lit("dos"))).when(key % 3 == 1, F.array(F.lit(""), F.lit("uno"))).otherwise(F.array(F.lit("")))
     rows = table(spark, sf_dir, "orders").select(key.alias("doc_id"), records.with_box(F.when(key % 3 == 0, "caja").otherwise(""), records.join_pages(pages)).alias("text"))
-    return rows.select("doc_id", "text", records.shortened(F.col("text"), 8).alias("short"), records.preview(F.col("text"), 4).alias("start")).withColumn("start", F.when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.col("start")))
+    return rows.select("doc_id", "text", records.shortened(F.col("text"), 8).alias("short"), records.preview(F.col("text"), 4).alias("start"))
 
 
 @query("SELECT l_orderkey AS doc_id, string_agg(l_linestatus || l_linenumber, chr(10) ORDER BY l_linenumber, l_linestatus) AS text FROM lineitem GROUP BY 1", known=False)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import boxes, metrics, search_index, template_index
-from ledgerlens.plans.catalogue import DISPATCHED, KNOWN, _dispatched, _records, query
+from ledgerlens.operators import boxes, dispatch, metrics, records, search_index, template_index
+from ledgerlens.plans.catalogue import DISPATCHED, KNOWN, SUPPLIERS, YEAR, _dispatched, _records, query
 from ledgerlens.sources import books, files, keyed, shared
 from ledgerlens.sources.render import documents, table, tokens
 from ledgerlens.streaming import lifecycle
@@ -262,3 +262,44 @@ SELECT k AS doc_id, CAST(x - 12 AS INTEGER) AS x, CAST(y - 12 AS INTEGER) AS y,
 def red_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, sizes = red_pages(spark, sf_dir)
     return boxes.red_boxes(runs, sizes, lambda rows: shared.stored(rows, "boxes"), least_area=1_000)
+
+
+# --- more of the dispatcher, readers and files ---
+
+
+# Beside the date's label of images without a supplier, the words' places tell one.
+BOXED = DISPATCHED.replace("THEN supplier END razon_social", "THEN supplier WHEN k % 7 IN (2, 3, 4) THEN 'Emision:' END razon_social")
+
+
+@query(BOXED + "SELECT doc_id, archivo, route, fecha, mes, total, rut, proveedor, nro_documento, estado, motivo_revision, ruta_extraccion, ocr_engine, completeness, doc_type FROM done", known=False)
+def dispatch_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `dispatch_records`, but the tax id of images is in a box that was read on its own, and their words have places."""
+    docs, m = tokens(documents(spark, sf_dir)), F.col("doc_id") % 7
+    route = F.when(m == 0, "pdf_native").when(m == 1, "pdf_image").when(m == 5, "zip").otherwise("image")
+    image = m.isin(2, 3, 4)
+    parted = F.split("text", "\n")
+    of = lambda inside: F.array_join(F.filter(parted, lambda x: x.startswith("RUT") == F.lit(inside)), "\n")
+    rescue = F.when(m == 3, F.create_map(F.lit("total_price"), F.lit("9.999"), F.lit("date"), F.lit("01/02/2020"), F.lit("other"), F.lit("x")))
+    given = docs.select("doc_id", "archivo", F.when(image, of(False)).otherwise(F.col("text")).alias("text"), F.when(image, of(True)).alias("box_text"), "tokens", route.alias("route"), rescue.alias("rescue"), F.when(m == 6, "Excepción: OSError: damaged").alias("error"))
+    return dispatch.process(given, SUPPLIERS[:1], F.lit(YEAR)).select("doc_id", "archivo", "route", "fecha", "mes", "total", "rut", "proveedor", "nro_documento", "estado", "motivo_revision", "ruta_extraccion", "ocr_engine", "completeness", "doc_type")
+
+
+@query(DISPATCHED + """SELECT doc_id, '{"archivo":"' || archivo || '","estado":"' || estado || '","total":' || coalesce(CAST(total AS VARCHAR), 'null') || ',"rut":' || coalesce('"' || rut || '"', 'null') || ',"timestamp_proceso":"2024-05-06T07:08:09"}' AS body FROM done""", known=False)
+def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _dispatched(spark, sf_dir).select("doc_id", "archivo", "estado", "total", "rut")
+    return found.select("doc_id", dispatch.to_json(found.drop("doc_id"), F.lit("2024-05-06 07:08:09").cast("timestamp")).alias("body"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey % 1000 + 12) AS BIGINT) AS bytes FROM orders", known=False)
+def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.file_sizes(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000 + 12).alias("length")))
+
+
+@query("""SELECT k AS doc_id, CASE WHEN k % 2 = 0 THEN 'TOTAL 5.000' || chr(10) || 'borroso' ELSE 'borroso' || chr(10) || 'otro' END AS text, (k % 10 / 10.0::DOUBLE + 0.5::DOUBLE) / 2 AS score, CASE WHEN k % 2 = 0 THEN 'dual_tess_priority' ELSE 'dual_paddle_priority' END AS engine, 'a' || k || ',b,c' || k AS lines FROM known""")
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(key.alias("doc_id"))
+    name = lambda c: F.concat(F.lit(c), F.col("doc_id").cast("string"))
+    first = orders.select("doc_id", F.lit("borroso").alias("text"), (F.col("doc_id") % 10 / 10).alias("score"), F.array(name("a"), F.lit("b")).alias("lines"))
+    second = orders.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "TOTAL 5.000").otherwise("otro").alias("text"), F.lit(0.5).alias("score"), F.array(name("c")).alias("lines"))
+    return records.merge_readers(first, second, "doc_id", F.lit(YEAR)).withColumn("lines", F.array_join("lines", ","))

@@ -63,6 +63,21 @@ def test_totals_against_the_patterns(spark):
     assert column(spark, texts, amounts.extract_total) == [total(t) for t in texts]
 
 
+def test_digits_of_other_scripts(spark):
+    texts = ["Total \u0661\u0662\u0663\u0664", "TOTAL $ \uff11.\uff12\uff13\uff14", "N\u00b0 \u0967\u0968\u0969\u096a", "Total \u00b2\u00b3"]
+    assert column(spark, texts, amounts.extract_total) == [1234, 1234, None, None]
+    assert column(spark, texts, amounts.extract_folio) == [None, None, 1234, None]
+    assert column(spark, ["$\u0661,\u0665"], lambda t: amounts.anchored_money(F.replace(t, F.lit("$")))) == [1]
+
+
+def test_listings_are_ordered(spark, tmp_path):
+    for name in ("b.pdf", "c.txt", "a.PNG", "sub/d.jpg"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    found = [(r["path"].rpartition("/")[2], r["length"]) for r in files.listing(spark, str(tmp_path)).collect()]
+    assert found == [("a.PNG", 5), ("b.pdf", 5), ("d.jpg", 5)]
+
+
 def test_amounts_in_pesos_and_validation(spark):
     assert column(spark, ["1234567", None], lambda t: amounts.pesos(t.cast("bigint"))) == ["$1.234.567", "—"]
     found = column(spark, ["12.345.678-5", "12.345.678-9", "x"], tax_id.validation)
@@ -201,8 +216,13 @@ def test_job_tables(spark):
 
 def test_settings(tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"input_dir": "a", "output_dir": "b", "unknown": 1}))
-    found = settings.load(str(tmp_path / "s.json"), {"CAPTURADOR_INPUT_DIR": "env", "CAPTURADOR_OUTPUT_DIR": ""})
-    assert (found.input_dir, found.output_dir, found.quarantine_dir) == ("env", "b", "quarantine")
+    with pytest.warns(UserWarning, match="unknown"):
+        found = settings.load(str(tmp_path / "s.json"), {"CAPTURADOR_INPUT_DIR": "env", "CAPTURADOR_OUTPUT_DIR": "", "REDIS_URL": "redis://x", "TESSERACT_CMD": "t", "TESSDATA_PREFIX": "p"})
+    assert (found.input_dir, found.output_dir, found.quarantine_dir, found.ignored) == ("env", "b", "quarantine", ["unknown"])
+    assert (found.redis_url, found.tesseract_cmd, found.tessdata_prefix) == ("redis://x", "t", "p")
+    assert settings.load(None, {"CAPTURADOR_INPUT_DIR": "old", "LEDGERLENS_INPUT_DIR": "new"}).input_dir == "new"
+    with pytest.raises(ValueError):
+        settings.Settings(reds=[[[200, 0, 0], [10, 255, 255]]])
     assert settings.load(None, {}) == settings.Settings()
     with pytest.raises(ValueError):
         settings.Settings(columns=["other"])
