@@ -29,8 +29,8 @@ from ledgerlens.llm._spark import map_texts, with_text
 
 # Elements by how they are shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-UNSEEN = {"head", "title", "script", "style", "template", "noscript", "datalist", "iframe", "canvas", "audio", "video"}
-BLOCK = {"address", "article", "aside", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+UNSEEN = {"head", "title", "script", "style", "template", "noscript", "datalist", "iframe", "canvas", "audio", "video", "rp"}
+BLOCK = {"address", "article", "aside", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "plaintext", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 SPACED = {"blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "p", "pre", "ul", "ol", "dl", "table"}
 SAID_BY_VALUE = {"", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset"}
 #: A start tag that ends open elements, up to the scopes that hold it.
@@ -130,6 +130,14 @@ class Tree(HTMLParser):
         self._add(node)
         if tag not in VOID and (len(self.open) < DEPTH or tag in INSIDE or tag in CELLS) and len(self.open) < 2 * DEPTH:
             self.open.append(node)
+        if tag == "plaintext":  # all that follows is text
+            self.set_cdata_mode(tag)
+
+    def close(self) -> None:
+        if self.cdata_elem == "plaintext" and self.rawdata:  # the parser gives no text of an element that is read as text and doesn't end
+            data, self.rawdata = self.rawdata, ""
+            self.handle_data(data)
+        super().close()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -293,6 +301,9 @@ def render(root: Node, hidden: bool = False) -> list[str]:
                     page.lines.append("")
             page.end(gap=True)
             return
+        if tag == "optgroup" and node.attrs.get("label") and not unseen:
+            page.text(node.attrs["label"])
+            page.end()
         outer, number = page.indent, 1
         if tag in ("ul", "ol", "menu", "dir"):
             page.indent += "   " if tag == "ol" else "  "
@@ -301,7 +312,7 @@ def render(root: Node, hidden: bool = False) -> list[str]:
         elif tag in ("blockquote", "dd"):
             page.indent += "  "
         closed = tag == "details" and "open" not in node.attrs
-        kept |= tag in ("pre", "textarea")
+        kept |= tag in ("pre", "textarea", "plaintext")
         for i, child in enumerate(node.children):
             if isinstance(child, str):
                 if not unseen and not closed:

@@ -81,16 +81,16 @@ def within(a: str, b: str, edits: int) -> bool:
         a, b = b, a
     if len(a) <= edits:
         return True
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
     # bit k of the band in column j is row j - edits + k of a; `up` and `down` are vertical differences of 1
     width, distance = 2 * edits + 1, edits
     every = (1 << width) - 1
     up, down = every & ~((1 << edits) - 1), 0
     for j, c in enumerate(b):
         low = j - edits
-        equal = (places.get(c, 0) >> low if low >= 0 else places.get(c, 0) << -low) & every
+        equal = 0
+        for k in range(max(0, -low), min(width, len(a) - low)):
+            if a[low + k] == c:
+                equal |= 1 << k
         same = ((((equal & up) + up) ^ up) | equal | down) & every
         rise = (down | ~(same | up)) & every
         fall = same & up

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -381,6 +382,9 @@ def test_html_shows_all_visible_words():
         "<dialog>no</dialog><details><summary>s</summary>no</details>": "s",
         "<table><tr><form><td>Name</td></form></tr></table>": "Name",
         "<select><option>one<option>two</select><svg><text>t</text></svg>": "one\ntwo\nt",
+        "<select><optgroup label='Few &amp; big'><option>one</optgroup><optgroup><option>two</select>": "Few & big\none\ntwo",
+        "<ruby>\u6f22<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>": "\u6f22kan",
+        "<p>a<plaintext>b <i>c</i> &amp;": "a\n\nb <i>c</i> &amp;",
     }
     for page, want in cases.items():
         assert html_text.html_to_text(page) == want, page
@@ -439,6 +443,16 @@ def test_banded_distance():
             assert line_dedup.within(a, b, edits) == (edit_distance(a, b) <= edits)
 
 
+def test_banded_distance_of_long_lines_takes_time_in_proportion():
+    deal, took = random.Random(3), []
+    for n in (50_000, 200_000):
+        a = "x" + "".join(deal.choices("abcdef ", k=n)) + "x"
+        began = time.process_time()
+        assert line_dedup.within(a, "y" + a[1:-1] + "z", 2) and not line_dedup.within(a, "y" + a[1:-3] + "zzz", 2)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_line_dedup(spark, empty):
     lines = ["".join(random.choice("abcdef ") for _ in range(random.randint(18, 40))) for _ in range(25)]
     near = [lines[0][:9] + "X" + lines[0][9:], lines[1][1:], lines[2][:-2] + "YZ", lines[3][:5] + lines[3][6:20] + "Q" + lines[3][20:]]
