@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import boxes, dispatch, metrics, records, search_index, template_index
+from ledgerlens.operators import boxes, dispatch, metrics, pixels, records, search_index, template_index
 from ledgerlens.plans.catalogue import DISPATCHED, KNOWN, SUPPLIERS, YEAR, _dispatched, _records, query
 from ledgerlens.sources import books, files, keyed, shared
 from ledgerlens.sources.render import documents, table, tokens
@@ -303,3 +303,41 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = orders.select("doc_id", F.lit("borroso").alias("text"), (F.col("doc_id") % 10 / 10).alias("score"), F.array(name("a"), F.lit("b")).alias("lines"))
     second = orders.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "TOTAL 5.000").otherwise("otro").alias("text"), F.lit(0.5).alias("score"), F.array(name("c")).alias("lines"))
     return records.merge_readers(first, second, "doc_id", F.lit(YEAR)).withColumn("lines", F.array_join("lines", ","))
+
+
+# --- pages ---
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(o_orderkey % 41 - 20 AS DOUBLE) / 2 AS angle FROM orders", known=False)
+def skew_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angles of pages with three lines of marks, drawn at half degrees from -10 to 10, one for each order."""
+    angle = F.radians((F.col("o_orderkey") % 41 - 20) / 2)
+    marks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), angle.alias("angle"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"))
+    x0 = 20 + 56 * (F.col("i") % 10)
+    y = 150 + 60 * F.floor(F.col("i") / 10) + F.round((x0 + 3) * F.tan("angle"))
+    return pixels.skew(marks.select("doc_id", y.cast("int").alias("y"), x0.cast("int").alias("x0"), (x0 + 6).cast("int").alias("x1")))
+
+
+@query("""
+WITH page AS (SELECT c_custkey AS k, x, y, (c_custkey * 7 + x * x * 3 + y * 11 + (x * y) % 13 * 17) % 256 AS v FROM customer, (SELECT unnest(range(30)) AS x), (SELECT unnest(range(20)) AS y)),
+across AS (SELECT *, sum(v) OVER w AS s, count(*) OVER w AS n FROM page WINDOW w AS (PARTITION BY k, y ORDER BY x RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+around AS (SELECT *, sum(s) OVER w AS ss, sum(n) OVER w AS nn FROM across WINDOW w AS (PARTITION BY k, x ORDER BY y RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING))
+SELECT k AS doc_id, CAST(sum(CASE WHEN v * nn > ss - 10 * nn THEN 1 ELSE 0 END) AS BIGINT) AS light, CAST(sum(CASE WHEN v * nn > ss - 10 * nn THEN x + 100 * y ELSE 0 END) AS BIGINT) AS places FROM around GROUP BY k""", known=False)
+def local_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pixels of a page for each customer are light, and where; pages are cut into four tiles at places of their own."""
+    key = F.col("c_custkey")
+    cut_x, cut_y = (5 + key % 20).cast("int"), (3 + key % 15).cast("int")
+    corner = lambda x, y, w, h: F.struct(x.cast("bigint").alias("x0"), y.cast("bigint").alias("y0"), w.cast("bigint").alias("width"), h.cast("bigint").alias("height"))
+    none = F.lit(0)
+    tiles = F.array(corner(none, none, cut_x, cut_y), corner(cut_x, none, 30 - cut_x, cut_y), corner(none, cut_y, cut_x, 20 - cut_y), corner(cut_x, cut_y, 30 - cut_x, 20 - cut_y))
+    rows = table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.explode(tiles).alias("t")).select("doc_id", "t.*")
+    at = F.sequence(F.lit(0).cast("bigint"), F.col("width") * F.col("height") - 1)
+
+    def value(i):
+        x, y = F.col("x0") + i % F.col("width"), F.col("y0") + F.floor(i / F.col("width"))
+        return F.lpad(F.hex((F.col("doc_id") * 7 + x * x * 3 + y * 11 + (x * y) % 13 * 17) % 256), 2, "0")
+
+    found = pixels.local_threshold(rows.withColumn("pixels", F.unhex(F.array_join(F.transform(at, value), ""))), window=9)
+    light = found.withColumn("on", F.hex("light")).select("doc_id", "x0", "y0", "width", F.posexplode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("width") * F.col("height") - 1), lambda i: F.substring("on", (i * 2 + 1).cast("int"), F.lit(2)) == "FF")).alias("i", "on"))
+    place = F.col("x0") + F.col("i") % F.col("width") + 100 * (F.col("y0") + F.floor(F.col("i") / F.col("width")))
+    return light.groupBy("doc_id").agg(F.count_if("on").alias("light"), F.sum(F.when(F.col("on"), place).otherwise(0)).alias("places"))

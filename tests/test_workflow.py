@@ -4,11 +4,12 @@ import datetime as dt
 import glob
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import boxes, metrics, search_index, template_index, templates
+from ledgerlens.operators import boxes, metrics, pixels, search_index, template_index, templates
 from ledgerlens.sources import books, files, keyed, shared
 from ledgerlens.streaming import lifecycle
 
@@ -194,3 +195,34 @@ def test_red_boxes(spark):
     sizes = spark.createDataFrame([(i, 600, 400) for i in (1, 2, 3, 4)], "doc_id int, width int, height int")
     found = {r["doc_id"]: tuple(r)[1:] for r in boxes.red_boxes(runs.repartition(3), sizes, keep).collect()}
     assert found == {1: (138, 108, 324, 174), 3: (88, 0, 342, 112), 4: (288, 188, 312, 124)}
+
+
+def test_skew_of_odd_pages(spark):
+    rows = [("flat", y, x, x + 9) for y in (10, 50, 90) for x in range(0, 600, 30)]
+    rows += [("steep", 100 + round(x * np.tan(np.radians(7.5))) + y, x, x + 3) for y in (0, 40, 80) for x in range(0, 600, 25)]
+    rows += [("little", 0, 0, 5), (None, 5, 0, 200)]
+    found = pixels.skew(spark.createDataFrame([(p, int(y), x0, x1) for p, y, x0, x1 in rows], "doc_id string, y int, x0 int, x1 int").repartition(3))
+    got = {r["doc_id"]: r["angle"] for r in found.collect()}
+    assert got["flat"] == 0.0 and got["steep"] == 7.5 and got["little"] == 0.0 and None in got
+    assert pixels.skew(spark.createDataFrame([], "doc_id string, y int, x0 int, x1 int")).count() == 0
+
+
+def test_thresholds_are_the_same_however_tiles_are_cut(spark):
+    page = np.random.default_rng(2).integers(0, 256, (40, 300)).astype(np.uint8)
+    reach = 4
+    want = np.zeros_like(page)
+    for y in range(40):
+        for x in range(300):
+            around = page[max(0, y - reach) : y + reach + 1, max(0, x - reach) : x + reach + 1].astype(int)
+            want[y, x] = 255 * (int(page[y, x]) * around.size > around.sum() - 10 * around.size)
+    tile = lambda doc, y0, y1, x0, x1: (doc, x0, y0, x1 - x0, y1 - y0, page[y0:y1, x0:x1].tobytes())
+    cuts = {"whole": [(0, 40, 0, 300)], "tiny": [(y, y + 10, x, x + 3) for y in range(0, 40, 10) for x in range(0, 300, 3)], "uneven": [(0, 1, 0, 300), (1, 40, 0, 257), (1, 40, 257, 300)]}
+    rows = [tile(doc, *c) for doc, parts in cuts.items() for c in parts] + [("none", 0, 0, 2, 2, None), ("short", 0, 0, 2, 2, b"x")]
+    tiles = spark.createDataFrame(rows, "doc_id string, x0 bigint, y0 bigint, width bigint, height bigint, pixels binary").repartition(3)
+    found = pixels.local_threshold(tiles, window=9).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r["doc_id"] in cuts:
+            assert bytes(r["light"]) == want[r["y0"] : r["y0"] + r["height"], r["x0"] : r["x0"] + r["width"]].tobytes()
+        else:
+            assert r["light"] is None
