@@ -8,13 +8,14 @@ vectors, in double precision.
 
 The radius is each query's own. First all are searched within a narrow radius, `FLIPS` bits to a
 substring. A query is done if its k-th score is one that vectors beyond that radius don't reach, which
-the sample tells; so it is for vectors that have near ones. The others are searched within the
-radius that holds nearly all of the sample's neighbours of such queries, and those few that find
-fewer than k vectors there, without a radius. Where probing would visit more codes than a block has,
+the sample tells; so it is for vectors that have near ones, and this round is left out if the sample
+has none. The others are searched within the radius that holds nearly all of the sample's neighbours
+of such queries, and those few that find fewer than k vectors there, without a radius. Where probing would visit more codes than a block has,
 as at wide radii, the codes are compared directly: the same ones are found.
 
-Equal vectors are indexed once, with the smallest of their ids. Queries and vectors are dealt into
-blocks, and each task has one block of queries and one of vectors.
+Equal vectors are indexed once, with the smallest of their ids. Vectors are dealt into blocks, each
+of which is sent out once a round for every `QUERIES` queries; a task indexes a block and has the
+queries streamed past it.
 
 Vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part, nor do rows with a null id. A row that repeats an id and its vector counts
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +41,19 @@ BITS, SUBSTRING, SAMPLE, TURNS = 256, 16, 8_192, 12
 #: Share of the sample's true neighbours that the wide radius holds, the sample's queries, and bits of a substring that may differ at first.
 HELD, SAMPLE_QUERIES, FLIPS = 0.985, 512, 1
 #: Vectors and queries of a block at most, and bytes of the sample.
-BLOCK, QUERIES, SAMPLE_BYTES = 32_768, 4_096, 64 << 20
+BLOCK, QUERIES, SAMPLE_BYTES = 32_768, 65_536, 64 << 20
 
 
 @dataclass
 class Code:
-    """Rotations side by side, the narrow and the wide radius, and the score (over the query's norm) that vectors beyond the narrow one don't reach."""
+    """Rotations side by side, the narrow and the wide radius, the score (over the query's norm) that vectors beyond the narrow one don't reach, and whether neighbours of the sample reach it."""
 
     mean: np.ndarray
     rotation: np.ndarray
     narrow: int
     wide: int
     reach: float
+    near: bool = True
 
     @property
     def bits(self) -> int:
@@ -102,6 +105,7 @@ def learn(x: np.ndarray, k: int, bits: int = BITS) -> Code:
         least.append(near[best].min(initial=np.inf) / norm)
     code.reach = float(np.quantile(beyond, HELD, method="higher"))
     rest = [a for a, s in zip(away, least) if s <= code.reach and len(a)]
+    code.near = len(rest) < len(least)
     if rest:
         code.wide = int(np.quantile(np.concatenate(rest), HELD, method="higher"))
     return code
@@ -192,24 +196,44 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 def _search(vectors: DataFrame, queries: DataFrame, code: Code, radius: int, k: int, n_blocks: int, n_packs: int) -> DataFrame:
     """The k best of each query within each block, as one row for each query and block."""
-    shared = vectors.sparkSession.sparkContext.broadcast((code.mean, code.rotation, code.narrow, code.wide, code.reach))
-    left = vectors.withColumn("block", F.pmod(F.xxhash64("vector"), F.lit(n_blocks)).cast("int")).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))))
-    right = queries.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(n_packs)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if len(left) and len(right):
-            index = Index(Code(*shared.value), _matrix(left.column("vector").combine_chunks()))
-            ids = left.column("ids").to_pylist()
-            for own, query in zip(right.column("id").to_pylist(), _matrix(right.column("vector").combine_chunks())):
-                found, scores = top(index, ids, query, own, radius, k)
-                if found:
-                    for column, value in zip(out, (own, found, scores)):
-                        column.append(value)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
-
-    keys = ["block", "pack"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, ids array<bigint>, scores array<double>")
+    spark = vectors.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    shared = spark.sparkContext.broadcast((code.mean, code.rotation, code.narrow, code.wide, code.reach))
+    none = F.lit(None)
+    left = vectors.select(F.pmod(F.xxhash64("vector"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_packs - 1))).alias("pack"), F.lit(0).alias("kind"), "vector", "ids", none.cast("bigint").alias("id"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n_packs)).cast("int").alias("pack"), F.lit(1).alias("kind"), "vector", none.cast("array<bigint>").alias("ids"), "id")
+    both = left.unionByName(right).repartition(wanted, "block", "pack").sortWithinPartitions("block", "pack", "kind")
+    names = both.columns
+
+    def run(batches):
+        at, held, index, ids = None, [], None, []
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).rename_columns(names)
+            key = np.stack([table.column(c).to_numpy() for c in ("block", "pack", "kind")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(table)]):
+                if lo == hi:
+                    continue
+                part, (block, pack, kind) = table.slice(lo, hi - lo), key[:, lo].tolist()
+                if (block, pack) != at:  # queries whose block has no vectors find none
+                    at, held, index = (block, pack), [], None
+                if not kind:
+                    held.append(part)
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    whole = pa.concat_tables(held).combine_chunks()
+                    index, ids, held = Index(Code(*shared.value), _matrix(whole.column("vector").combine_chunks())), whole.column("ids").to_pylist(), []
+                out: tuple[list, list, list] = ([], [], [])
+                for own, query in zip(part.column("id").to_pylist(), _matrix(part.combine_chunks().column("vector").combine_chunks())):
+                    found, scores = top(index, ids, query, own, radius, k)
+                    if found:
+                        for column, value in zip(out, (own, found, scores)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+
+    return both.mapInArrow(run, "query_id bigint, ids array<bigint>, scores array<double>")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -250,11 +274,13 @@ def search(rows: DataFrame, queries: DataFrame, id_column: str = "vec_id", vecto
     if total <= 1 or not n_asked:
         best = found(asked, code.bits)
     else:
-        near = found(asked, code.narrow).where(F.col("last") >= code.reach)
-        asked = but(asked, near)
-        far = found(asked, code.wide).where("last is not null")
-        asked = but(asked, far)
-        best = near.unionByName(far)
+        parts = []
+        if code.near:
+            parts.append(found(asked, code.narrow).where(F.col("last") >= code.reach))
+            asked = but(asked, parts[0])
+        parts.append(found(asked, code.wide).where("last is not null"))
+        asked = but(asked, parts[-1])
+        best = reduce(DataFrame.unionByName, parts)
         if not asked.isEmpty():
             best = best.unionByName(found(asked, code.bits))
     hit = F.posexplode("hits").alias("rank", "hit")
