@@ -76,6 +76,23 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BI
 FROM docs LEFT JOIN kept USING (r)
 """
 
+# What SQL can tell of the license scan and of the url filter: all but spans and trees.
+_PHRASE = "list_transform(list_filter(range(len(w)), lambda i: {0}), lambda i: {{'at': i, 'label': '{1}'}})"
+_PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
+_FOUND = "list_concat(" + ", ".join(_PHRASE.format(" AND ".join(f"w[i + {j}] = '{word}'" for j, word in enumerate(phrase.split(), 1)), label) for phrase, label in _PHRASES) + ")"
+ORACLES["license_phrases"] = f"""
+WITH docs AS (SELECT doc_id, coalesce({_ITEMS}, []) AS w FROM documents), found AS (SELECT doc_id, w, {_FOUND} AS f FROM docs)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(f) AS BIGINT) AS n_base, CAST(list_min(list_transform(f, lambda x: x.at)) AS BIGINT) AS first_word, CAST(list_max(list_transform(f, lambda x: x.at)) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(f, lambda x: x.label))), ','), '') AS base_labels FROM found
+"""
+ORACLES["url_rules"] = """
+WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS r(h, p, ruled))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || p, length(h || p)) AS rule, arg_max(ruled, length(h || p)) AS ruled
+FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+"""
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -168,3 +185,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+@query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
