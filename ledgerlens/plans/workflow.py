@@ -14,7 +14,7 @@ from ledgerlens.streaming import lifecycle
 # --- the life of jobs ---
 
 #: Days by which events may be late, for which results are kept, and of one delivery of events.
-LATE, KEEP, DELIVERY = 400, 600, 800
+LATE, KEEP, DELIVERY = 400, 600, 1_300
 EVENTS = """
 WITH files AS (SELECT o_custkey AS job, 'doc_' || o_orderkey AS archivo, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'QUARANTINE' ELSE 'REJECTED' END AS estado, date_diff('day', DATE '1994-12-31', CAST(o_orderdate AS DATE)) AS day,
   CASE WHEN o_orderkey % 70 = 0 THEN 900 WHEN o_orderkey % 50 = 0 THEN 200 ELSE 0 END AS lag, o_orderkey AS k FROM orders),
@@ -59,7 +59,7 @@ def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out, checkpoint = (shared.folder(spark, name) for name in ("inbox", "states", "stream"))
     for delivery in range(1 + (events.agg(F.max("delivery")).first()[0] or 0)):  # each restarts the stream from its checkpoint
         events.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(folder)
-        lifecycle.follow(spark, folder, out, checkpoint, f"{LATE} days 1 second", KEEP * 86_400).awaitTermination()
+        lifecycle.follow(spark, folder, out, checkpoint, f"{LATE} days 1 second", KEEP * 86_400, partitions=min(16, spark.sparkContext.defaultParallelism)).awaitTermination()
     return lifecycle.states(spark, out).select("job_id", "status", "total_files", "processed", "failed", "error")
 
 

@@ -88,10 +88,16 @@ def changes(events: DataFrame, late: str = "1 hour", keep_seconds: int = 3_600)
     return marked.transformWithStateInPandas(Lifecycle(keep_seconds * 1_000), CHANGES, "Update", "EventTime")
 
 
-def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, late: str = "1 hour", keep_seconds: int = 3_600, once: bool = True, seconds: int = 0):
-    """Starts the stream of parquet event files that arrive in a folder; changes go to out, each batch's under its number, so that a batch that runs again replaces itself."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    events = spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(folder)
+def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, late: str = "1 hour", keep_seconds: int = 3_600, once: bool = True, seconds: int = 0, partitions: int | None = None):
+    """Starts the stream of parquet event files that arrive in a folder; changes go to out, each batch's under its number, so that a batch that runs again replaces itself.
+
+    The state has as many partitions as the session shuffles to, or those asked for, for as long as
+    the checkpoint lives. The stream has a session of its own for its state store's settings.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
+    events = session.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
