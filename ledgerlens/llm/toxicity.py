@@ -145,7 +145,11 @@ def alone(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, Silent]:
     toxic, other = count(y > 0), count(y <= 0)
     often = toxic + other >= LEAST
     telling = often & (_apart(toxic, other, int((y > 0).sum()), int((y <= 0).sum())) >= CHANCE)
-    silent = often & ~telling & (toxic + other <= 0.9 * len(y))
+    n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
+    none = np.zeros_like(toxic)
+    # the ratio is convex, so no meeting tells more than the most that its rows could: all toxic ones, all others, or all
+    most = np.maximum.reduce([_ratio(toxic, none, n1, n0), _ratio(none, other, n1, n0), _ratio(toxic, other, n1, n0)])
+    silent = often & ~telling & (toxic + other <= 0.9 * len(y)) & (most >= PAIR_CHANCE)
     ids = np.flatnonzero(silent)
     draw = np.random.default_rng(3).integers(0, 1 << 63, len(rows), dtype=np.uint64)
     where = np.zeros(1 << BITS, np.uint64)
