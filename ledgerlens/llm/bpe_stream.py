@@ -37,6 +37,8 @@ from ledgerlens.llm._spark import ddl, map_texts, with_text, without
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts and token pairs that are remembered, and characters read at a time.
 REMEMBERED, PAIRS, WINDOW = 160_000, 400_000, 1 << 16
+#: Bytes of a beginning whose last token is remembered.
+BEGINNING = 7
 #: The rank of what no merge joins.
 NEVER = 1 << 40
 
@@ -49,10 +51,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Token bytes and merge ranks of a byte-level BPE file of the tokenizers library."""
+    """Token bytes and merge ranks of a byte-level BPE file of the tokenizers library, by its path; or as `vars` gave them."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
+    def __init__(self, source: str | dict):
+        if isinstance(source, dict):
+            self.__dict__.update(source)
+            return
+        with open(source, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
         ids = spec["model"]["vocab"]
@@ -73,6 +78,18 @@ class Vocabulary:
         self.by_bytes = {self.bytes[i]: i for i in self.byte_ids.values()}
         self.by_bytes |= {self.bytes[i]: i for _, i in self.ranks.values()}
         self.sizes = list(map(len, self.bytes))
+        # a trie of the tokens read from their ends: the child of a node by a byte, and each node's token
+        self.backwards: dict[int, int] = {}
+        self.ended: list[int | None] = [None]
+        for said, i in self.by_bytes.items():
+            node = 0
+            for byte in reversed(said):
+                step = node << 8 | byte
+                node = self.backwards.get(step, 0)
+                if not node:
+                    node = self.backwards[step] = len(self.ended)
+                    self.ended.append(None)
+            self.ended[node] = i
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at a token's left (0) or right (1) end, as the merges build it up.
@@ -97,6 +114,7 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.lookahead = sufficient_lookahead(vocabulary)
+        self.begun: dict[bytes, int] = {}  # the last tokens of short beginnings of pretokens
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self.across = {a << 20 | b: rank for (a, b), (rank, _) in vocabulary.ranks.items()}
         self._fits: dict[int, bool] = {}
@@ -140,21 +158,31 @@ class Transducer:
         """The last token of the encoding of kept[:i]; those of shorter prefixes are worked out as far as it asks for them."""
         token = last[i]
         if token is None:
-            get, fits = self.vocabulary.by_bytes.get, self._fits.get
-            for n in range(min(i, self.lookahead), 0, -1):
-                token = get(kept[i - n : i])
-                if token is not None:
-                    before = last[i - n]
-                    if before is None:
-                        before = self._last(kept, i - n, last)
-                    if before < 0:
-                        break
-                    fit = fits(before << 20 | token)
-                    if self.fits(before, token) if fit is None else fit:
-                        break
+            begins = i <= BEGINNING and last[0] == -1
+            if begins and (token := self.begun.get(kept[:i])) is not None:
+                last[i] = token
+                return token
+            step, ended, fits = self.vocabulary.backwards.get, self.vocabulary.ended, self._fits.get
+            node, at, found = step(kept[i - 1]), i, []
+            while node is not None:
+                at -= 1
+                if (token := ended[node]) is not None:
+                    found.append((at, token))
+                node = step(node << 8 | kept[at - 1]) if at else None
+            for start, token in reversed(found):  # the longest first
+                before = last[start]
+                if before is None:
+                    before = self._last(kept, start, last)
+                if before < 0:
+                    break
+                fit = fits(before << 20 | token)
+                if self.fits(before, token) if fit is None else fit:
+                    break
             else:
                 raise ValueError("the vocabulary lacks a byte")
             last[i] = token
+            if begins and len(self.begun) < REMEMBERED:
+                self.begun[kept[:i]] = token
         return token
 
     def pretoken(self, pretoken: str) -> bytes:
@@ -226,8 +254,8 @@ class _Known(dict):
 class Codec:
     """Encodes and decodes whole texts in windows."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, source: str | dict):
+        self.vocabulary = Vocabulary(source)
         self.transducer = Transducer(self.vocabulary)
         # nothing refers back to the codec: its memory is free as soon as its task ends
         pretokens, split = _Known(self.transducer.pretoken), regex.compile(SPLIT)
@@ -276,13 +304,20 @@ class Codec:
         yield state.decode(b"", True)
 
 
+def _shared(rows: DataFrame, path: str):
+    """The vocabulary for executors, which the driver alone reads; a worker keeps it from task to task."""
+    return rows.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """All columns of docs and `out`: array<int>, the token ids of `text`, in place of a column of that name."""
     docs = docs.drop(out)
     schema = f"{ddl(docs)}, `{out}` array<int>" if docs.columns else f"`{out}` array<int>"
 
+    shared = _shared(docs, path)
+
     def run(batches):
-        codec = Codec(path)
+        codec = Codec(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo in range(0, len(column), 256):
@@ -301,8 +336,10 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "tex
     tokens = tokens.drop(out)
     schema = f"{ddl(tokens)}, `{out}` string"
 
+    shared = _shared(tokens, path)
+
     def run(batches):
-        codec = Codec(path)
+        codec = Codec(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             texts = ["".join(codec.decode([np.array(x or [], np.int64)])) for x in column.to_pylist()]
@@ -323,8 +360,10 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
     names = [*keep, *results]
     schema = f"{kept}n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (f", `{ids_column}` array<int>" if ids_column else "")
 
+    shared = _shared(docs, path)
+
     def run(batches):
-        codec = Codec(path)
+        codec = Codec(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
