@@ -6,9 +6,11 @@ Each task scans the word windows of its documents against the set, verifies each
 and marks the words inside it. A document is contaminated if it has a hit and at least one word
 in `1 / share` is hit.
 
-The set is broadcast only up to `block_words` benchmark words. A larger benchmark is dealt by item
-into blocks of about that size: one block is read, scanned and checkpointed before the next one, and
-the hits are joined by row, so the result is that of a single block.
+The set is broadcast only up to `block_words` benchmark words. The windows of a larger benchmark stay
+a table: what is broadcast is a bit filter of their hashes, 128 MiB at most, made on the executors.
+One scan of the documents yields the places that pass the filter, with their words, and these are
+joined to the table, by hash and word by word. Windows that very many documents hold are dealt to
+several tasks. The result is that of the broadcast set.
 
 Null texts have no words; null item ids count for hits, not as items; copies of an item are one item
 if they share the id. Rows are judged one by one, also those that repeat an id. Texts are read in
@@ -17,18 +19,20 @@ windows of about a megabyte. Result columns take the place of columns of the sam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import _text
-from ledgerlens.llm._spark import cut, map_texts, positional, quoted, renamed, with_text, without
+from ledgerlens.llm._spark import HOT_KEYS, HOT_ROWS, cut, ddl, map_texts, positional, quoted, renamed, with_text, without
 
 N, SHARE, BLOCK_WORDS = 13, 20, 2_000_000
+#: The filter of a large benchmark has eight bits a window, as a power of two from 2**22 to 2**30, in blocks of 2**16.
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 22, 30, 16
 
 RESULTS = ["n_words", "spans", "item_ids", "n_hit", "contaminated"]
 FOUND = "n_words bigint, spans array<struct<first:int,last:int>>, item_ids array<string>"
@@ -97,17 +101,21 @@ def _scan(column: pa.Array, windows: WindowSet, marks: np.ndarray, n: int) -> tu
                     place = at - int(first[row]) + (before if row == 0 else 0)
                     hits.setdefault(lo + row, []).append((place, place + size - 1))
                     items.setdefault(lo + row, set()).update(windows.ids[i] for i in {int(item[k]) for k in same} if windows.ids[i] is not None)
-    spans: list[list[dict]] = [[] for _ in range(len(column))]
-    for row, found in hits.items():
-        for a, b in sorted(found):
-            if spans[row] and a <= spans[row][-1]["last"] + 1:
-                spans[row][-1]["last"] = max(b, spans[row][-1]["last"])
-            else:
-                spans[row].append({"first": a, "last": b})
-    return counts, spans, [sorted(items.get(i, ())) for i in range(len(column))]
+    return counts, [_joined(hits.get(i, [])) for i in range(len(column))], [sorted(items.get(i, ())) for i in range(len(column))]
 
 
-def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str], n: int, hit_only: bool = False) -> DataFrame:
+def _joined(places: list[tuple[int, int]]) -> list[dict]:
+    """Overlapping and touching places (first, last) joined to spans, in order."""
+    spans: list[dict] = []
+    for a, b in sorted(places):
+        if spans and a <= spans[-1]["last"] + 1:
+            spans[-1]["last"] = max(b, spans[-1]["last"])
+        else:
+            spans.append({"first": a, "last": b})
+    return spans
+
+
+def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str], n: int) -> DataFrame:
     docs, kept = with_text(docs, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast((windows.entries, windows.words, windows.ids, windows.marks))
 
@@ -117,20 +125,105 @@ def _scan_with(docs: DataFrame, text: str, windows: WindowSet, keep: list[str],
         for batch in batches:
             counts, spans, items = _scan(batch.column(len(keep)), windows, marks, n)
             found = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], names=[*keep, "n_words", "spans", "item_ids"])
-            yield out.filter(pa.array([bool(s) for s in spans], pa.bool_())) if hit_only else out
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], names=[*keep, "n_words", "spans", "item_ids"])
 
     return map_texts(docs, run, kept + FOUND)
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark in blocks of about block_words words at most, read one block at a time."""
-    sized = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    size = sized.agg(F.sum(F.size(F.split("text", " ")) + F.length("text") / 8)).first()[0] or 0
-    n = max(1, int(2 * size / block_words) + 1) if size > block_words else 1
-    for i in range(n):
-        part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else sized
-        yield [(r[0], r[1]) for r in part.collect()]
+KEY = ["gram", "said"]
+
+
+def _window_table(items: DataFrame, n: int) -> DataFrame:
+    """item_id, size, gram (the hash) and said (the words) of each window of the items (item_id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for _, _, data, offsets in _text.pieces(batch.column(1).slice(i, 1)):
+                    low, starts, ends, _ = _text.words(data, offsets)
+                    size = min(n, len(starts))
+                    if size:
+                        grams = _text.gram_hash(_text.word_hash(low, starts, ends), size)
+                        spelled = [low[a:b].tobytes() for a, b in zip(starts, ends)]
+                        said = [b" ".join(spelled[j : j + size]) for j in range(len(grams))]
+                        ids = batch.column(0).take(pa.array(np.full(len(grams), i)))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.view(np.int64)), pa.array(said, pa.binary())], names=["item_id", "size", *KEY])
+
+    return map_texts(items, run, "item_id string, size int, gram bigint, said binary")
+
+
+def _filter(windows: DataFrame, bits: int) -> np.ndarray:
+    """The bits, packed, of the first `bits` bits of the windows' hashes."""
+    bit = F.shiftrightunsigned("gram", 64 - bits)
+    placed = windows.select(F.shiftright(bit, BLOCK_BITS).alias("block"), bit.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("bit")).distinct()
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(1 << BLOCK_BITS, bool)
+        block[rows["bit"].to_numpy()] = True
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "packed": [np.packbits(block).tobytes()]})
+
+    packed = np.zeros((1 << (bits - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    for r in placed.groupBy("block").applyInPandas(pack, "block bigint, packed binary").toLocalIterator():
+        packed[r["block"]] = np.frombuffer(r["packed"], np.uint8)
+    return packed.reshape(-1)
+
+
+def _near(docs: DataFrame, text: str, keep: list[str], sizes: list[int], packed: np.ndarray, bits: int, n: int) -> DataFrame:
+    """The columns `keep` with n_words and the places whose hashes pass the filter: at, size, gram, said."""
+    docs, kept = with_text(docs, keep, text)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    kind = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("gram", pa.int64()), ("said", pa.binary())])
+
+    def run(batches):
+        packed = shared.value
+        for batch in batches:
+            counts = np.zeros(batch.num_rows, np.int64)
+            places: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
+            for lo, _, data, offsets, again in _text.windows(batch.column(len(keep)), _text.ALNUM, n - 1):
+                low, starts, ends, first = _text.words(data, offsets)
+                before = int(counts[lo]) - again  # words of the row before this window of it
+                counts[lo : lo + len(offsets) - 1] += np.diff(first) - again
+                h = _text.word_hash(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+                for size in sizes:
+                    grams = _text.gram_hash(h, size)
+                    bit = (grams >> np.uint64(64 - bits)).astype(np.int64)
+                    passed = (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+                    near = np.flatnonzero(passed & _text.grams_within_rows(first, size))
+                    rows = np.searchsorted(first, near, "right") - 1
+                    for at, row, gram in zip(near.tolist(), rows.tolist(), grams[near].view(np.int64).tolist()):
+                        said = b" ".join(low[x:y].tobytes() for x, y in zip(starts[at : at + size], ends[at : at + size]))
+                        places[lo + row].append((at - int(first[row]) + (before if row == 0 else 0), size, gram, said))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts), pa.array(places, pa.list_(kind))], names=[*keep, "n_words", "places"])
+
+    return map_texts(docs, run, kept + "n_words bigint, places array<struct<at:int,size:int,gram:bigint,said:binary>>")
+
+
+def _find_joined(docs: DataFrame, text: str, items: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """What `_scan_with` finds, for items (item_id, text) of any number."""
+    windows = cut(_window_table(items, n).distinct())
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * windows.count()).bit_length()))
+    rows = cut(_near(docs.withColumn("_row", F.monotonically_increasing_id()), text, [*keep, "_row"], sizes, _filter(windows, bits), bits, n))
+    near = rows.select("_row", F.inline("places"))
+    counts = cut(near.groupBy(*KEY).agg(F.count("*").alias("held")))
+    bound = max(HOT_ROWS, (counts.agg(F.sum("held")).first()[0] or 0) // HOT_KEYS + 1)  # HOT_KEYS windows at most are held by more places
+    parts = F.ceil(F.col("held") / bound).cast("int")
+    hot = F.broadcast(counts.where(F.col("held") > bound).select(*KEY, parts.alias("_parts")))
+    near = near.join(hot, KEY, "left").withColumn("_part", F.pmod(F.xxhash64("_row"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    table = windows.select(*KEY, "item_id").distinct().join(counts, KEY).select(*KEY, "item_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    hits = near.join(table, [*KEY, "_part"]).groupBy("_row")
+    hits = hits.agg(F.collect_set(F.struct("at", (F.col("at") + F.col("size") - 1).alias("last"))).alias("places"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = rows.drop("places").join(hits, "_row", "left").select(*keep, "n_words", "places", "item_ids")
+
+    def run(batches):
+        for batch in batches:
+            spans = [_joined([(p["at"], p["last"]) for p in places or []]) for places in batch.column(len(keep) + 1).to_pylist()]
+            items = [ids or [] for ids in batch.column(len(keep) + 2).to_pylist()]
+            found = [pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], *found], names=[*keep, "n_words", "spans", "item_ids"])
+
+    kept = ddl(found.select(*quoted(*keep)))
+    return map_texts(found, run, (kept + ", " if kept else "") + FOUND)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -138,40 +231,17 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, t
     keep = without(docs.columns if keep is None else keep, RESULTS)
     names = [f"_{i}" for i in range(len(keep))]  # which no column of ours has
     docs = docs.select(*quoted(*keep), F.col(quoted(text)[0])).toDF(*names, "_text")
-    blocks = blocks_of(benchmark, item_id, item_text, block_words)
-    held, following = next(blocks), next(blocks, None)
-    if following is None:
-        found = _scan_with(docs, "_text", window_set(held, n), names, n)
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    size = items.agg(F.sum(F.size(F.split("text", " ")) + F.length("text") / 8)).first()[0] or 0  # at least its words
+    if size <= block_words:
+        found = _scan_with(docs, "_text", window_set([(r[0], r[1]) for r in items.collect()], n), names, n)
     else:
-        docs = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-        rows = cut(_scan_with(docs, "_text", window_set(held, n), [*names, "_row"], n))
-        more = []
-        while following is not None:
-            more.append(cut(_scan_with(docs, "_text", window_set(following, n), ["_row"], n, hit_only=True)))
-            following = next(blocks, None)
-        hits = rows.select("_row", "n_words", "spans", "item_ids")
-        for part in more:
-            hits = hits.unionByName(part)
-        hits = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-        found = rows.select(*names, "_row").join(hits, "_row").drop("_row").withColumn("spans", merged_spans("spans"))
+        found = _find_joined(docs, "_text", items, names, n)
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0))
     found = found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
     return found.select(*names, *RESULTS).toDF(*keep, *RESULTS)
 
 
-def merged_spans(spans: str):
-    """Overlapping and touching spans of an array<struct<first,last>> joined, in order."""
-    kind = "array<struct<first:int,last:int>>"
-
-    def step(done, s):
-        end = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (s["first"] <= F.try_element_at(done, F.lit(-1))["last"] + 1)
-        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], s["last"]).alias("last"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text: str = "text", **how) -> DataFrame:
     """docs without contaminated documents, or (mode="span") with the hit words of contaminated documents cut out."""
     if mode not in ("document", "span"):
