@@ -3,8 +3,9 @@
 All rolling word k-grams of all texts are joined to the places of the same k-grams in license
 templates: by hash, and word by word, as each gram brings its words. Where a text follows a
 template, its matches share the diagonal `text place - template place`; matches are gathered by
-diagonal, and neighbouring diagonals (an inserted or a missing word shifts the diagonal) are merged
-into spans. A span is verified if the template words that stand in it in the template's order, in
+diagonal, a template's size of them at most, and neighbouring diagonals (an inserted or a missing
+word shifts the diagonal) are merged into spans as they come in the order of the text, so a task
+holds one span at a time, however often a text repeats a template. A span is verified if the template words that stand in it in the template's order, in
 grams that match, are at least `share` of the template.
 
 Besides, phrases of the `BASE` list are found wherever their words stand consecutively. Words are
@@ -16,7 +17,8 @@ Texts are read in windows of about a megabyte. Only the id and the text of docs
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import groupby
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 from operator import itemgetter
 
 import numpy as np
@@ -158,20 +160,33 @@ def _template_grams(spark, templates: list[tuple[str, str]]) -> DataFrame:
     return F.broadcast(found) if len(rows) <= TEMPLATE_WORDS else found
 
 
-def merged(matches: list[tuple[int, int, int, list[tuple[int, int]]]], size: int, gap: int = GAP) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Spans (first word, last word, matches) of the (diagonal, first, last, matches (text place, template place)) of one text and template.
+def merged(matches: Iterable[tuple[tuple, int, int, int, int, list[tuple[int, int]]]], gap: int = GAP) -> Iterator[tuple[tuple, int, int, int, list[tuple[int, int]]]]:
+    """Spans (who, size, first word, last word, matches) of rows (who, size, diagonal, first, last, matches (text place, template place)).
 
-    No span grows beyond twice the template's size.
+    Rows come by who (a text and a template), first and diagonal. No span grows beyond twice the template's size.
     """
-    spans: list[list] = []
-    for diagonal, first, last, pairs in sorted(matches, key=lambda m: (m[1], m[0])):
-        if spans and abs(diagonal - spans[-1][0]) <= gap and first <= spans[-1][2] + gap and last + K - spans[-1][1] <= 2 * size:
-            spans[-1][0] = diagonal
-            spans[-1][2] = max(last, spans[-1][2])
-            spans[-1][3] += pairs
-        else:
-            spans.append([diagonal, first, last, list(pairs)])
-    return [(a, b + K - 1, pairs) for _, a, b, pairs in spans]
+    held = None
+    for who, size, diagonal, first, last, pairs in matches:
+        if held and who == held[0] and abs(diagonal - held[2]) <= gap and first <= held[4] + gap and last + K - held[3] <= 2 * size:
+            held[2] = diagonal
+            held[4] = max(last, held[4])
+            held[5] += pairs
+            continue
+        if held:
+            yield held[0], held[1], held[3], held[4] + K - 1, held[5]
+        held = [who, size, diagonal, first, last, list(pairs)]
+    if held:
+        yield held[0], held[1], held[3], held[4] + K - 1, held[5]
+
+
+def verified(spans: Iterable[tuple]) -> Iterator[tuple]:
+    """(who, first word, last word, coverage) of the spans that cover enough of their template."""
+    for who, size, first, last, pairs in spans:
+        if len({p + j for _, p in pairs for j in range(K)}) < SHARE * size:
+            continue
+        share = covered(pairs) / size
+        if share >= SHARE:
+            yield who, first, last, share
 
 
 def covered(pairs: list[tuple[int, int]]) -> int:
@@ -190,23 +205,25 @@ def spans(docs: DataFrame, key: list[str], text: str = "text", templates: list[t
     votes = grams.join(_template_grams(docs.sparkSession, templates or TEMPLATES), ["gram", *WORDS])
     votes = votes.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*quoted(*key), "template", "label", "size", "diagonal")
     votes = votes.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set(F.struct("at", "place")).alias("pairs"))
-    votes = votes.groupBy(*quoted(*key), "template", "label", "size").agg(F.collect_list(F.struct("diagonal", "first", "last", "pairs")).alias("matches"))
+    votes = votes.repartition(*quoted(*key), "template").sortWithinPartitions(*quoted(*key), "template", "first", "diagonal")
 
     def run(batches):
-        for batch in batches:
-            rows, out = [], ([], [], [], [])
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "size", "matches")]
-            for i, (label, size, matches) in enumerate(zip(*columns)):
-                for first, last, pairs in merged([(m["diagonal"], m["first"], m["last"], [(p["at"], p["place"]) for p in m["pairs"]]) for m in matches], size):
-                    if len({p + j for _, p in pairs for j in range(K)}) < SHARE * size:
-                        continue
-                    share = covered(pairs) / size
-                    if share >= SHARE:
-                        rows.append(i)
-                        for column, value in zip(out, (label, first, last, share)):
-                            column.append(value)
-            arrays = [batch.column(i).take(pa.array(rows, pa.int32())) for i in range(len(key))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=[*key, "label", "first", "last", "coverage"])
+        kinds: list[pa.DataType] = []
+
+        def rows():
+            for batch in batches:
+                kinds[:] = [column.type for column in batch.columns[: len(key)]]
+                who = zip(*(batch.column(i).to_pylist() for i in [*range(len(key)), batch.schema.get_field_index("template"), batch.schema.get_field_index("label")]))
+                size, diagonal, first, last, pairs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("size", "diagonal", "first", "last", "pairs"))
+                for row in zip(who, size, diagonal, first, last, pairs):
+                    yield *row[:5], [(p["at"], p["place"]) for p in row[5]]
+
+        found = verified(merged(rows()))
+        while some := list(islice(found, 1_000)):
+            who, first, last, share = zip(*some)
+            keys = list(zip(*who))
+            arrays = [pa.array(values, kind) for values, kind in zip(keys[: len(key)], kinds)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(keys[-1], pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(share, pa.float64())], names=[*key, "label", "first", "last", "coverage"])
 
     return votes.mapInArrow(run, f"{ddl(docs.select(*quoted(*key)))}, label string, first bigint, last bigint, coverage double")
 

@@ -318,7 +318,35 @@ def test_license_scan_against_common_subsequences(spark):
             assert not found[i] or labels, text
 
 
-def test_decontamination_by_blocks_tells_rows_apart(spark):
+def test_license_spans_of_a_text_that_repeats_templates(spark):
+    """Copies of a template end to end, in several batches of votes: each gives its own span, and no task holds more than one."""
+    label, said = license_scan.TEMPLATES[8]
+    size = len(said.replace("/", " ").split())
+    text = " ".join([said] * 300 + WORDS + [license_scan.TEMPLATES[4][1]] * 50)
+    rows = spark.createDataFrame([(1, text), (None, said), (2, None)], "doc_id bigint, text string")
+    spans = license_scan.spans(rows, ["doc_id"], templates=[license_scan.TEMPLATES[8]]).collect()
+    long = sorted((r["first"], r["last"]) for r in spans if r["doc_id"] == 1)
+    assert long == [(i * size, (i + 1) * size - 1) for i in range(300)] and all(r["label"] == label and r["coverage"] == 1.0 for r in spans)
+    assert [(r["first"], r["last"]) for r in spans if r["doc_id"] is None] == [(0, size - 1)]
+    assert [r["labels"] for r in license_scan.scan(rows).orderBy("doc_id").collect()] == ["mit", "cc-by,mit", ""]
+
+
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_large_benchmark_equals_the_broadcast_one(spark, monkeypatch, hot):
+    """Windows of thousands of items, some shared by many items or many documents, ids null and repeated, short items."""
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", hot)
+    deal = random.Random(21)
+    prompt = " ".join(deal.choices(WORDS, k=15))
+    items = [(i if i % 11 else None, f"{prompt if i % 3 == 0 else ''} " + " ".join(deal.choices(WORDS, k=deal.randrange(0, 40))) + f" item{i}") for i in range(300)]
+    texts = [prompt + " and more"] * 20 + [" ".join(deal.choices(WORDS, k=5)) + " " + " ".join(deal.choice(items)[1].split()[: deal.randrange(1, 30)]).upper() for _ in range(80)]
+    rows = spark.createDataFrame([(i % 7 or None, t) for i, t in enumerate([*texts, None, "", "x " * 200])], "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame([*items, items[0], (5, None), (6, "..")], "item_id bigint, text string")
+    whole = lambda **how: sorted(map(str, decontaminate.find(rows, bench, **how).collect()))
+    assert whole() == whole(block_words=50)
+    assert sum("contaminated=True" in r for r in whole()) > 20
+
+
+def test_decontamination_of_a_large_benchmark_tells_rows_apart(spark):
     bench = spark.createDataFrame([(i, PROSE[i]) for i in range(6)], "item_id bigint, text string")
     rows = spark.createDataFrame([(7, PROSE[0]), (7, PROSE[2] + " some more"), (None, PROSE[4]), (7, PROSE[0]), (8, None)], "n_words bigint, text string")
     one = decontaminate.find(rows, bench, keep=["text"])
