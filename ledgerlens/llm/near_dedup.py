@@ -180,6 +180,18 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
+def fine_bins(h: np.ndarray) -> bytes:
+    """How many hashes there are, then counts of FINE bins, a byte each: every pair brings two of them through the shuffle."""
+    counts = np.bincount((h >> np.uint64(32)).astype(np.int64) % FINE, minlength=FINE)
+    return np.array([len(h)], np.int64).tobytes() + counts.clip(max=255).astype(np.uint8).tobytes()
+
+
+def fine_near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets with these fine bins (as bytes) may link; counts cut off are nearer, so no pair is lost."""
+    n, a, b = int(x[:8].view(np.int64)[0]) + int(y[:8].view(np.int64)[0]), x[8:], y[8:]
+    return int((np.maximum(a, b) - np.minimum(a, b)).sum()) * DOWN <= (DOWN - 2 * UP) * n
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a checkpoint) of similarity 4/5 or more, by the shingles of their whole texts; a first step looks at fine bins."""
 
@@ -191,8 +203,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for i, h in enumerate(shingles(batch.column(1))):
-                    found = np.bincount((h >> np.uint64(32)).astype(np.int64) % FINE, minlength=FINE).astype(np.int32) if fine else h
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([found.tobytes()], pa.binary())], names=["set", "h"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([fine_bins(h) if fine else h.tobytes()], pa.binary())], names=["set", "h"])
 
         found = map_texts(texts, run, "set bigint, h binary")
         return found.select(F.col("set").alias("a"), F.col("h").alias("x")), found.select(F.col("set").alias("b"), F.col("h").alias("y"))
@@ -201,9 +212,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.int32 if fine else np.uint64) for v in (x, y))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8 if fine else np.uint64) for v in (x, y))
                 if fine:
-                    keep.append(int(np.abs(x - y).sum()) * DOWN <= (DOWN - 2 * UP) * int(x.sum() + y.sum()))
+                    keep.append(fine_near(x, y))
                 else:
                     keep.append(len(np.intersect1d(x, y, assume_unique=True)) * DOWN >= UP * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm._graph import components
+from ledgerlens.llm._graph import components, forest
 from ledgerlens.llm._spark import cut, ddl, in_chunks, join_dealt, map_texts, positional, quoted, renamed
 
 #: Words of a shingle, seed of its hash, differing bits of a link.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-#: Reference fingerprints, fingerprints of a chunk, and runs whose pairs are compared at once.
-PIVOTS, BUCKET, SMALL = 32, 4_096, 16
+#: Reference fingerprints, fingerprints of a chunk, and of a bucket whose pairs are compared at once (twice the room of block_masks).
+PIVOTS, BUCKET, SMALL = 32, 4_096, 128
 #: Bytes of text split into words at a time.
 WINDOW = 1 << 20
 
@@ -127,7 +127,7 @@ def near_pairs(fp: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.nd
 
 
 def bucket_links(fp: np.ndarray, table: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets (rows from each start to the next; a last entry ends them), each in the order of the table's first row; those of large ones as a forest."""
+    """Links within buckets (rows from each start to the next; a last entry ends them), each in the order of the table's first row, as forests."""
     first = table[0]
     size = np.diff(starts)
     end = np.repeat(starts[1:], size)
@@ -140,6 +140,8 @@ def bucket_links(fp: np.ndarray, table: np.ndarray, starts: np.ndarray, distance
             break
         near = near_pairs(fp, table, rows, rows + step, distance)
         found.append((fp[rows[near]], fp[rows[near] + step]))
+    if found:
+        found = [forest(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))]
     for i in np.flatnonzero(size > SMALL):
         rest = np.arange(starts[i], starts[i + 1])
         while len(rest) > 1:
@@ -170,6 +172,8 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE) -> DataFrame:
         held = np.zeros((2 + len(PIVOT_COLUMNS), 0), np.int64)
 
         def out(rows):
+            if not rows.shape[1]:  # a batch of one bucket ends none
+                return
             key = rows[0]
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             several = np.repeat(np.diff(starts) > 1, np.diff(starts))

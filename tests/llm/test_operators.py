@@ -529,6 +529,22 @@ def test_line_dedup_of_short_repeats(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in left} == {0: texts[0], 1: "\nMenus\n  \nx", 2: "  \nnew", 3: "a line of over twenty characters", 4: None}
 
 
+def test_near_duplicates_fine_bins(monkeypatch):
+    from ledgerlens.llm import near_dedup
+
+    deal = np.random.default_rng(2)
+    h = np.unique(deal.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    assert len(near_dedup.fine_bins(h)) <= near_dedup.FINE + 8  # every pair brings two through the shuffle
+    for bins in (near_dedup.FINE, 16):  # in 16 bins the counts are cut off
+        monkeypatch.setattr(near_dedup, "FINE", bins)
+        for n, shared in ((900, 800), (1_800, 1_600), (9_000, 8_000), (300, 267), (9, 8), (1, 1), (0, 0)):  # 4/5 or a little more
+            x, y = (np.frombuffer(near_dedup.fine_bins(np.sort(a)), np.uint8) for a in (h[:n], h[n - shared : 2 * n - shared]))
+            assert near_dedup.fine_near(x, y)
+    monkeypatch.undo()
+    x, y = (np.frombuffer(near_dedup.fine_bins(a), np.uint8) for a in (h[:900], h[900:1_800]))
+    assert not near_dedup.fine_near(x, y)
+
+
 def test_pipeline_near_duplicates_by_jaccard(spark, monkeypatch):
     from ledgerlens.llm import near_dedup
 
@@ -563,6 +579,32 @@ def test_pipeline_near_duplicates_by_jaccard(spark, monkeypatch):
     assert corpus_pipeline.drop_near_duplicates(spark, rows.where("doc_id < 0"), DATA).count() == 0
 
 
+def test_simhash_bucket_over_several_batches(spark):
+    deal = np.random.default_rng(8)
+    fp = deal.integers(0, 1 << 48, 700, dtype=np.uint64) << np.uint64(16)  # all in one bucket of the last sixteen bits
+    flips = [np.bitwise_or.reduce(np.uint64(1) << deal.integers(0, 64, k, dtype=np.uint64)) for k in deal.integers(1, 4, 200)]
+    fp = np.unique(np.concatenate((fp, fp[:200] ^ np.array(flips, np.uint64), fp[:20] ^ np.uint64(7 << 40))))
+    parent = {int(x): int(x) for x in fp.view(np.int64)}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for x in fp:
+        for y in fp[np.bitwise_count(fp ^ x) <= 3]:
+            a, b = sorted((root(int(x.view(np.int64))), root(int(y.view(np.int64)))))
+            parent[b] = a
+    rows = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp bigint")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for batch in ("100", "10000"):
+            spark.conf.set(name, batch)
+            found = simhash_dedup.components(simhash_dedup.links(rows, rows.count())).collect()
+            assert {r["node"]: r["root"] for r in found} == {x: root(x) for x in parent if root(x) != x}
+    finally:
+        spark.conf.set(name, before)
+
+
 def brute_lines(rows):
     """(doc_id, text) without repeated and nearly repeated lines, and without documents of which only space is left."""
     seen, kept = [], []
