@@ -72,15 +72,17 @@ def join_dealt(rows: DataFrame, table: DataFrame, on: list[str], spread: list[st
     return rows.join(table.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))), [*on, "_part"], how).drop("_part")
 
 
-#: Rows of an Arrow batch of texts: both sides of a Python worker hold whole batches.
-TEXT_ROWS = 2_000
+#: Rows and bytes of an Arrow batch of texts (one row at least): both sides of a Python worker hold whole batches.
+TEXT_ROWS, TEXT_BYTES = 2_000, 2 << 20
 
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow for tables with texts; from then on the session's batches have TEXT_ROWS rows at most."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
+    """df.mapInArrow for tables with texts; from then on the session's batches have TEXT_ROWS rows at most, and end once they have TEXT_BYTES."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        set_to = conf.get(name).lower().removesuffix("b")  # a size with another unit than bytes is replaced
+        if not (set_to.isdigit() and 0 < int(set_to) <= most):
+            conf.set(name, str(most))
     named, names = positional(df)  # mapInArrow can't tell columns whose names have dots
     return named.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
 

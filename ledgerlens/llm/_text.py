@@ -111,26 +111,39 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM) -> t
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    up = np.full(n + 1, _ODD, np.uint64)
-    down = np.full(n + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+#: Steps of the powers of the inverse between two that are kept, and numbers whose sums are made at a time.
+_STEP, _BLOCK = 1 << 10, 1 << 16
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    powers = np.full(n + 1, factor, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers, dtype=np.uint64)
 
 
 class Powers:
-    """Powers of the odd factor and of its inverse, made where they are used: a pickled one is empty."""
+    """Powers of the odd factor and of its inverse, made where they are used: a pickled one is empty.
+
+    A worker keeps them as long as it lives, so of the inverse's only each _STEP-th and the first ones are.
+    """
 
     def __init__(self):
-        self.up, self.down = _powers(1)
+        self.inverse = pow(int(_ODD), -1, 1 << 64)
+        self.first = _powers(self.inverse, _STEP - 1)
+        self.up = self.far = np.ones(1, np.uint64)
 
     def __reduce__(self):
         return Powers, ()
 
     def cover(self, n: int) -> None:
         if len(self.up) <= n:
-            self.up, self.down = _powers(max(n, 2 * PIECE + (1 << 16)))
+            n = max(n, PIECE + (1 << 16))
+            self.up = _powers(int(_ODD), n)
+            self.far = _powers(pow(self.inverse, _STEP, 1 << 64), n // _STEP)
+
+    def down(self, places: np.ndarray) -> np.ndarray:
+        """Powers of the inverse, for places that are covered."""
+        return self.far[places // _STEP] * self.first[places % _STEP]
 
 
 _powers_made = Powers()
@@ -143,22 +156,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums from which `span_hash` takes the hash of any span of the odd numbers given."""
+def prefix_sums(values: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Sums from which `span_hash` takes the hash of any span of the odd numbers given, or that the table has for the values."""
     _powers_made.cover(len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers_made.up[: len(values)], dtype=np.uint64, out=sums[1:])
+    for lo in range(0, len(values), _BLOCK):
+        some = values[lo : lo + _BLOCK] if table is None else table[values[lo : lo + _BLOCK]]
+        some = some * _powers_made.up[lo : lo + len(some)]
+        some[:1] += sums[lo : lo + 1]
+        np.cumsum(some, dtype=np.uint64, out=sums[lo + 1 : lo + 1 + len(some)])
     return sums
 
 
 def prefix_hash(low: np.ndarray) -> np.ndarray:
     """Sums from which `span_hash` takes the hash of any byte span."""
-    return prefix_sums(_BYTE[low])
+    return prefix_sums(low, _BYTE)
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal spans have equal hashes wherever they stand."""
-    h = (sums[ends] - sums[starts]) * _powers_made.down[starts]
+    h = (sums[ends] - sums[starts]) * _powers_made.down(starts)
     return mix(h + (ends - starts).astype(np.uint64) * _MIX2)
 
 

@@ -68,15 +68,16 @@ class Vocabulary:
         for text, i in self.added.items():
             self.bytes[i] = text.encode()
         self.byte_ids = {b: ids[c] for c, b in letters.items() if c in ids}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        # each worker holds these tables: the rank of a merge by its pair, and by token the first merge that makes it (left, right, rank)
+        self.across: dict[int, int] = {}
+        self.made = np.full((len(self.bytes), 3), -1, np.int32)
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-        self.made: dict[int, tuple[int, int, int]] = {}
-        for (a, b), (rank, i) in self.ranks.items():
-            self.made.setdefault(i, (a, b, rank))
+            known = self.across.setdefault(ids[a] << 20 | ids[b], rank)
+            if known == rank and self.made[ids[a + b], 2] < 0:
+                self.made[ids[a + b]] = ids[a], ids[b], rank
         self.by_bytes = {self.bytes[i]: i for i in self.byte_ids.values()}
-        self.by_bytes |= {self.bytes[i]: i for _, i in self.ranks.values()}
+        self.by_bytes |= {self.bytes[i]: i for i in np.flatnonzero(self.made[:, 2] >= 0).tolist()}
         self.sizes = list(map(len, self.bytes))
         # a trie of the tokens read from their ends: the child of a node by a byte, and each node's token
         self.backwards: dict[int, int] = {}
@@ -97,7 +98,7 @@ class Vocabulary:
         A piece comes with the rank of the merge that takes it in; the token itself has none.
         """
         pieces = [(token, NEVER)]
-        while (made := self.made.get(token)) is not None:
+        while (made := self.made[token].tolist())[2] >= 0:
             token = made[side]
             pieces.append((token, made[2]))
         return pieces[::-1]
@@ -116,7 +117,7 @@ class Transducer:
         self.lookahead = sufficient_lookahead(vocabulary)
         self.begun: dict[bytes, int] = {}  # the last tokens of short beginnings of pretokens
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self.across = {a << 20 | b: rank for (a, b), (rank, _) in vocabulary.ranks.items()}
+        self.across = vocabulary.across
         self._fits: dict[int, bool] = {}
 
     def fits(self, left: int, right: int) -> bool:

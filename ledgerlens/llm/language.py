@@ -102,7 +102,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
     most = quota([n for n, _ in sizes.values()], sample)
     shares = [(x, max(int((1 << 40) * most / n), least + 1)) for x, (n, least) in sizes.items() if n > most]  # one text at least
     if shares:
-        chosen = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _most bigint"))
+        chosen = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"lang": pa.array([x for x, _ in shares], pa.string()), "_most": pa.array([n for _, n in shares], pa.int64())})))  # of rows, executors would start a second Python daemon
         labelled = labelled.join(chosen, "lang", "left").where(F.col("_most").isNull() | (draw < F.col("_most")))
     labelled = labelled.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 

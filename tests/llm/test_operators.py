@@ -1,8 +1,10 @@
 """Operators against brute force, on small tables with nulls, empty texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import pickle
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import _text, bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, simhash_dedup, toxicity, url_filter
+from ledgerlens.llm import _spark, _text, bpe_stream, decontaminate, hash_search, html_text, language, license_scan, line_dedup, simhash_dedup, toxicity, url_filter
 from ledgerlens.llm.queries import QUERIES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -706,5 +708,50 @@ def test_functions_for_executors_stay_small():
         assert len(cloudpickle.dumps(functions)) < 100_000, module
 
 
+def test_batches_of_texts_have_a_bound(spark):
+    """Long texts: 2,000 of them were one batch of 64 MB."""
+    texts = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("a b "), 25_000).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    total, size = _spark.map_texts(texts, run, "n bigint, size bigint").agg(F.sum("n"), F.max("size")).first()
+    assert total == 300 and size <= _spark.TEXT_BYTES + 200_000
+
+
+def test_hashing_a_megabyte_holds_little():
+    """The sums are 8 MB; the powers that a worker keeps were 35."""
+    data = np.random.default_rng(3).integers(0, 256, 1 << 20, dtype=np.uint8)
+    _text._powers_made.__init__()
+    tracemalloc.start()
+    sums = _text.prefix_hash(data)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 20e6 and most < 30e6
+    starts = np.random.default_rng(4).integers(0, (1 << 20) - 300, 200)
+    for at, n in zip(starts.tolist(), range(200)):
+        h = sum(int(_text._BYTE[b]) * pow(int(_text._ODD), i, 1 << 64) for i, b in enumerate(data[at : at + n]))
+        want = _text.mix(np.array([(h + n * int(_text._MIX2)) % (1 << 64)], np.uint64))
+        assert _text.span_hash(sums, np.array([at]), np.array([at + n])) == want
+
+
+def test_vocabulary_of_a_worker_is_small():
+    sent = pickle.dumps(vars(bpe_stream.Vocabulary(tokenizer_path())))
+    tracemalloc.start()
+    held = pickle.loads(sent)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(held["across"]) == 50_000 and size < 36e6  # 47 MB with pairs and merges as tuples
+
+
+def test_languages_drawn_need_no_second_python_daemon(spark, monkeypatch):
+    """createDataFrame of rows makes an RDD of Python's, whose workers have a daemon of their own."""
+    rows = spark.createDataFrame([(f"the cat sat on mat {i}", "en") for i in range(50)], "text string, lang string").cache()
+    rows.count()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert language.fit(rows, sample=10).languages == ["en"]
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
