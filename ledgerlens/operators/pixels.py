@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Largest angle and step in degrees, pixels of a bin of offsets, ink that a page must have.
 MOST, STEP, BIN, LEAST_INK = 10.0, 0.5, 2, 100
+#: Runs of a list, and of a block of pages; cells a run in which votes are counted directly, beyond which they are sorted.
+PACK, BLOCK, DENSE = 256, 16_384, 32
 # Side of the window and what a pixel may be darker than its mean.
 WINDOW, DARKER = 31, 10
 #: Side of the cells in which tiles are looked for.
@@ -27,15 +29,86 @@ def skew(runs: DataFrame, page: str = "doc_id", most: float = MOST, step: float
     its middle. The angle whose votes are the most uneven (the largest sum of squares) wins: lines of
     text then fall into few offsets. Ties go to the smaller angle, first to the negative one; a page
     with less ink than LEAST_INK pixels has the angle 0.
+
+    Only runs are shuffled, packed in lists by page; the pages of a task go by in order, each angle's
+    votes of a block of them are counted at once, and of a page that goes on only its votes are held.
     """
     n = round(most / step)
-    angles = F.array(*[F.struct(F.lit(i * step).alias("angle"), F.lit(math.cos(math.radians(i * step))).alias("c"), F.lit(math.sin(math.radians(i * step))).alias("s")) for i in range(-n, n + 1)])
-    voting = runs.select(page, "y", ((F.col("x0") + F.col("x1")) / 2).alias("x"), (F.col("x1") - F.col("x0") + 1).alias("w"), F.explode(angles).alias("a"))
-    offset = F.floor((F.col("y") * F.col("a.c") - F.col("x") * F.col("a.s")) / BIN)
-    votes = voting.groupBy(page, F.col("a.angle").alias("angle"), offset.alias("offset")).agg(F.sum("w").alias("w"))
-    sharp = votes.groupBy(page, "angle").agg(F.sum(F.col("w") * F.col("w")).alias("sharp"), F.sum("w").alias("ink"))
-    best = F.min(F.struct((-F.col("sharp")).alias("sharp"), F.abs("angle").alias("size"), "angle", "ink")).alias("b")
-    return sharp.groupBy(page).agg(best).select(page, F.when(F.col("b.ink") >= LEAST_INK, F.col("b.angle")).otherwise(0.0).alias("angle"))
+    turns = [(i * step, math.cos(math.radians(i * step)), math.sin(math.radians(i * step))) for i in sorted(range(-n, n + 1), key=lambda i: (abs(i), i))]
+    kinds = dict(runs.dtypes)
+    given = runs.select(F.col(page).alias("page"), "y", "x0", "x1")
+    packed = given.mapInArrow(_packed, f"page {kinds[page]}, " + ", ".join(f"{c} array<{kinds[c]}>" for c in ("y", "x0", "x1")))
+    together = packed.repartition("page").sortWithinPartitions("page")
+
+    def run(batches):
+        held = None  # the last page, which may go on: its key, sharpness, votes and ink so far
+        for keys, at, y, x0, x1 in (part for batch in batches for part in _parts(batch)):
+            x, w = (x0 + x1) / 2, x1 - x0 + 1
+            on = held is not None and held[0].equals(keys.slice(0, 1))
+            if held is not None and not on:
+                yield _angles(*held[:2], held[3], turns)
+            there = ~np.isnan(w)
+            ink = np.bincount(at[there], w[there], len(keys))
+            there &= ~np.isnan(y)
+            sharp, votes = _sharpness(at[there], y[there], x[there], w[there], len(keys), turns, held[2] if on else None)
+            ink[0] += held[3][0] if on else 0
+            yield _angles(keys.slice(0, len(keys) - 1), sharp[:-1], ink[:-1], turns)
+            held = keys.slice(len(keys) - 1), sharp[-1:], votes, ink[-1:]
+        if held is not None:
+            yield _angles(*held[:2], held[3], turns)
+
+    return together.mapInArrow(run, f"page {kinds[page]}, angle double").withColumnRenamed("page", page)
+
+
+def _packed(batches):
+    """A page's runs as lists, PACK at most of one batch."""
+    for batch in batches:
+        codes = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        batch, codes = batch.take(pa.array(order)), codes[order]
+        starts = np.union1d(np.flatnonzero(np.diff(codes, prepend=-1)), np.arange(0, len(codes), PACK))
+        offsets = pa.array(np.append(starts, len(codes)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts)), *(pa.ListArray.from_arrays(offsets, c) for c in batch.columns[1:])], names=batch.schema.names)
+
+
+def _parts(batch: pa.RecordBatch):
+    """Of about BLOCK runs at a time: the pages' keys, and the page's place, y, x0 and x1 of each run."""
+    sizes = batch.column(1).value_lengths().to_numpy()
+    starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BLOCK, prepend=-1))
+    for i, j in zip(starts, [*starts[1:], len(sizes)]):
+        part = batch.slice(i, j - i)
+        codes = part.column(0).dictionary_encode("encode").indices.to_numpy()
+        firsts = np.flatnonzero(np.diff(codes, prepend=-1))
+        yield part.column(0).take(pa.array(firsts)), np.repeat(codes.astype(np.int64), sizes[i:j]), *(c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in part.columns[1:])
+
+
+def _sharpness(at: np.ndarray, y: np.ndarray, x: np.ndarray, w: np.ndarray, pages: int, turns: list, held: list | None) -> tuple[np.ndarray, list]:
+    """The sum of squares of the votes of each page at each angle, and the last page's offsets and votes; held: those that the first has already."""
+    sharp, last = np.zeros((pages, len(turns))), []
+    for a, (_, c, s) in enumerate(turns):
+        offset, weight, of = np.floor((y * c - x * s) / BIN), w, at
+        if held is not None:
+            offset, weight, of = np.concatenate([held[a][0], offset]), np.concatenate([held[a][1], w]), np.concatenate([np.zeros(len(held[a][0]), np.int64), at])
+        low = offset.min() if len(offset) else 0.0
+        span = int(offset.max() - low) + 1 if len(offset) else 1
+        key = (offset - low).astype(np.int64) + of * span
+        if pages * span <= DENSE * len(key):
+            votes = np.bincount(key, weight, pages * span).reshape(pages, span)
+            sharp[:, a] = np.einsum("ij,ij->i", votes, votes)
+            there = np.flatnonzero(votes[-1])
+            last.append((there + low, votes[-1][there]))
+        else:
+            key, where = np.unique(key, return_inverse=True)
+            votes, mine = np.bincount(where, weight, len(key)), key >= (pages - 1) * span
+            sharp[:, a] = np.bincount(key // span, votes * votes, pages)
+            last.append((key[mine] - (pages - 1) * span + low, votes[mine]))
+    return sharp, last
+
+
+def _angles(keys: pa.Array, sharp: np.ndarray, ink: np.ndarray, turns: list) -> pa.RecordBatch:
+    angles = np.array([t[0] for t in turns])
+    found = np.where(ink >= LEAST_INK, angles[sharp.argmax(axis=1)], 0.0)
+    return pa.RecordBatch.from_arrays([keys, pa.array(found)], names=["page", "angle"])
 
 
 def local_threshold(tiles: DataFrame, page: str = "doc_id", window: int = WINDOW, darker: float = DARKER) -> DataFrame:

@@ -207,6 +207,26 @@ def test_skew_of_odd_pages(spark):
     assert pixels.skew(spark.createDataFrame([], "doc_id string, y int, x0 int, x1 int")).count() == 0
 
 
+def test_skew_counts_votes_without_a_row_for_each(spark):
+    rng = np.random.default_rng(4)
+    drawn = {None: 90, "few": 3, "wide": 40, **{f"p{i}": 60 for i in range(50)}, "long": 40_000}  # the last one goes on over several blocks
+    runs = [(p, int(y) * (10_000 if p == "wide" else 1), int(x), int(x + w)) for p, n in drawn.items() for y, x, w in zip(rng.integers(0, 400, n), rng.integers(0, 300, n), rng.integers(0, 9, n))]
+    odd = [("p1", None, 0, 5), ("p1", 3, None, 5), ("empty", None, 0, None), ("few", None, 0, 200)]
+    want = {"empty": 0.0}
+    for p in drawn:
+        y, x0, x1 = (np.array(c, float) for c in list(zip(*[r for r in runs if r[0] == p]))[1:])
+        ink = (x1 - x0 + 1).sum() + (201 if p == "few" else 0)
+        sharp = {}
+        for i in range(-20, 21):
+            offset = np.floor((y * np.cos(np.radians(i / 2)) - (x0 + x1) / 2 * np.sin(np.radians(i / 2))) / 2)
+            sharp[i] = (np.bincount(np.unique(offset, return_inverse=True)[1], x1 - x0 + 1) ** 2).sum()
+        want[p] = min(sharp, key=lambda i: (-sharp[i], abs(i), i)) / 2 if ink >= 100 else 0.0
+    mixed = [(runs + odd)[i] for i in rng.permutation(len(runs) + len(odd))]
+    found = pixels.skew(spark.createDataFrame(mixed, "doc_id string, y int, x0 int, x1 int"))
+    assert {r["doc_id"]: r["angle"] for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
 def test_thresholds_are_the_same_however_tiles_are_cut(spark):
     page = np.random.default_rng(2).integers(0, 256, (40, 300)).astype(np.uint8)
     reach = 4
