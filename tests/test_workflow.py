@@ -2,9 +2,11 @@
 
 import datetime as dt
 import glob
+import json
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,40 @@ def test_job_life_is_the_same_after_restarts(spark, tmp_path):
     assert run("whole", [first + then, last]) == found
 
 
+def test_job_state_is_asked_for_by_bucket():
+    calls, timers, state = [], set(), {}
+
+    class Value:
+        exists = lambda self: bool(state)
+        get = lambda self: calls.append("get") or state["now"]
+        update = lambda self, row: calls.append("update") or state.update(now=row)
+        clear = lambda self: state.clear()
+
+    class Handle:
+        getValueState = lambda self, *_: Value()
+        registerTimer = timers.add
+        deleteTimer = timers.remove
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    life = lifecycle.Lifecycle(100)
+    life.init(Handle())
+    said = lambda *events: iter([pd.DataFrame({"event": [json.dumps(e) for e in events]})])
+    told = lambda frames: {r.job_id: (r.status, r.processed, r.version) for f in frames for r in f.itertuples()}
+    made = [{"job_id": str(j), "kind": "created", "ms": j, "total_files": 20} for j in range(50)]
+    sent = [{"job_id": str(j), "kind": "file", "ms": j, "archivo": f"f{i % 20}", "estado": "OK"} for j in range(40) for i in range(30)]
+    assert told(life.handleInputRows((7,), said(*made, *sent), None)) == {str(j): ("done", 20, 1) if j < 40 else ("queued", 0, 1) for j in range(50)}
+    assert len(calls) <= 4 and timers == {100}
+    assert told(life.handleInputRows((7,), said({"job_id": "0", "kind": "ended", "ms": 500, "error": "x"}), None)) == {"0": ("failed", 20, 2)} and timers == {101}
+    timers.clear()
+    assert told(life.handleExpiredTimer((7,), At(110), At(101))) == {str(j): ("expired", 20, 2) for j in range(1, 10)} and timers == {110}
+    timers.clear()
+    assert len(told(life.handleExpiredTimer((7,), At(10_000), At(110)))) == 31 and not timers and len(json.loads(state["now"][0])) == 10
+    assert told(life.handleInputRows((7,), said({"job_id": "5", "kind": "file", "ms": 900, "archivo": None}), None)) == {"5": ("processing", 0, 1)}
+
+
 def names(path):
     return {f.split("_bucket=")[1] for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
 
