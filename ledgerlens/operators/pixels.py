@@ -1,4 +1,4 @@
-"""Skew of pages by votes of their ink, and local thresholds from summed-area tables of tiles.
+"""Skew of pages by votes of their ink, and local thresholds from summed-area tables of bands of tiles.
 
 Tables have a column that tells pages apart.
 """
@@ -18,8 +18,8 @@ MOST, STEP, BIN, LEAST_INK = 10.0, 0.5, 2, 100
 PACK, BLOCK, DENSE = 256, 16_384, 32
 # Side of the window and what a pixel may be darker than its mean.
 WINDOW, DARKER = 31, 10
-#: Side of the cells in which tiles are looked for.
-CELL = 256
+#: Rows of a band of a page in which thresholds are found, and pixels across that are worked on at a time.
+BAND, ACROSS = 256, 2_048
 
 
 def skew(runs: DataFrame, page: str = "doc_id", most: float = MOST, step: float = STEP) -> DataFrame:
@@ -115,57 +115,92 @@ def local_threshold(tiles: DataFrame, page: str = "doc_id", window: int = WINDOW
     """tiles with `light`: 255 for each pixel brighter than the mean of the window around it less `darker`, else 0.
 
     tiles: x0, y0, width, height and pixels (one byte each, row by row), cut anywhere, but so that no
-    pixel of a page is in two. Each tile gets the tiles that its halo of half a window meets; sums of
-    windows come from a table of sums over it, four of its entries each, whatever the window. Windows
-    at a page's edge have the pixels that there are. A tile without pixels, or with another number of
-    bytes than its sides tell, gives null.
+    pixel of a page is in two. Pages are worked on in bands of rows: each tile's rows go to the bands
+    that they are in or are half a window from, and only these rows. Sums of windows come from a table
+    of sums over a band, four of its entries each, whatever the window; what bands give of a tile is
+    put together. Windows at a page's edge have the pixels that there are. A tile without pixels, or
+    with another number of bytes than its sides tell, gives null.
     """
     reach = window // 2
     box = ["x0", "y0", "width", "height"]
-    tiles = tiles.withColumn("_tile", F.struct(*box))
-    cells = lambda low, high: F.sequence(F.floor(low / CELL), F.floor(high / CELL))
-
-    def spread(grow: int) -> DataFrame:
-        """Tiles by the cells that they meet, grown to all sides."""
-        x, y = cells(F.col("x0") - grow, F.col("x0") + F.col("width") - 1 + grow), cells(F.col("y0") - grow, F.col("y0") + F.col("height") - 1 + grow)
-        known = tiles.where("width > 0 and height > 0").select(page, *box, F.explode(x).alias("cx"), *(["pixels"] if not grow else []), y.alias("ys"))
-        return known.select("*", F.explode("ys").alias("cy")).drop("ys")
-
-    there = spread(0).withColumnsRenamed({c: f"of_{c}" for c in box})
-    met = spread(reach).join(there, [page, "cx", "cy"])
-    near = (F.col("of_x0") <= F.col("x0") + F.col("width") - 1 + reach) & (F.col("x0") - reach <= F.col("of_x0") + F.col("of_width") - 1) & (F.col("of_y0") <= F.col("y0") + F.col("height") - 1 + reach) & (F.col("y0") - reach <= F.col("of_y0") + F.col("of_height") - 1)
-    parts = met.where(near & (F.octet_length("pixels") == F.col("of_width") * F.col("of_height"))).groupBy(page, *box).agg(F.collect_set(F.struct("of_x0", "of_y0", "of_width", "of_height", "pixels")).alias("parts"))  # tiles that touch a tile's halo
-    kinds = f"key {dict(tiles.dtypes)[page]}, x0 bigint, y0 bigint, width bigint, height bigint, light binary"
+    known = tiles.where((F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("pixels") == F.col("width") * F.col("height")) & F.col("x0").isNotNull() & F.col(page).isNotNull())
+    # a band's middle is at a multiple of BAND, so that a page's first rows need no band above it
+    band = lambda y: F.floor((y + BAND // 2) / BAND)
+    low, high = F.col("y0") - reach, F.col("y0") + F.col("height") - 1 + reach
+    spread = known.select(F.col(page).alias("page"), *[F.col(c).cast("bigint") for c in box], "pixels", F.explode(F.sequence(band(low), band(high))).alias("band"))
+    edge = F.col("band") * BAND - BAND // 2
+    first = F.greatest(F.col("y0"), edge - reach)
+    count = F.least(F.col("y0") + F.col("height"), edge + BAND + reach) - first
+    rows = spread.select("page", "band", *box, first.alias("first"), F.substring("pixels", ((first - F.col("y0")) * F.col("width") + 1).cast("int"), (count * F.col("width")).cast("int")).alias("pixels"))
+    together = rows.repartition("page", "band").sortWithinPartitions("page", "band", "x0", "y0")
+    kind = dict(tiles.dtypes)[page]
 
     def run(batches):
+        held = None  # the rows of the band that may go on
         for batch in batches:
-            keys = batch.column(0)
-            rows = [c.to_pylist() for c in batch.columns[1:]]
-            out = [_light(x, y, w, h, found, reach, darker) for x, y, w, h, found in zip(*rows)]
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(out, pa.binary())], names=["key", "x0", "y0", "width", "height", "light"])
-
-    light = parts.mapInArrow(run, kinds).withColumnRenamed("key", page)
-    return tiles.drop("_tile").join(light, [page, *box], "left")
-
-
-def _light(x: int, y: int, w: int, h: int, parts: list[dict], reach: int, darker: float) -> bytes | None:
-    value = np.zeros((h + 2 * reach, w + 2 * reach))
-    there = np.zeros_like(value)
-    left, top = x - reach, y - reach
-    for p in parts:
-        pixels = np.frombuffer(p["pixels"], np.uint8).reshape(p["of_height"], p["of_width"])
-        x0, x1 = max(left, p["of_x0"]), min(left + value.shape[1], p["of_x0"] + p["of_width"])
-        y0, y1 = max(top, p["of_y0"]), min(top + value.shape[0], p["of_y0"] + p["of_height"])
-        value[y0 - top : y1 - top, x0 - left : x1 - left] = pixels[y0 - p["of_y0"] : y1 - p["of_y0"], x0 - p["of_x0"] : x1 - p["of_x0"]]
-        there[y0 - top : y1 - top, x0 - left : x1 - left] = 1
-    own = value[reach : reach + h, reach : reach + w]
-    if not there[reach : reach + h, reach : reach + w].all():
-        return None
-    side = 2 * reach + 1
-
-    def windows(a: np.ndarray) -> np.ndarray:
-        sums = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
-        sums[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
-        return sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side]
-
-    return np.where(own * windows(there) > windows(value) - darker * windows(there), 255, 0).astype(np.uint8).tobytes()
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            starts = _starts(rows)
+            if starts[-1]:
+                yield _bands(rows.slice(0, starts[-1]), starts, reach, darker)
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield _bands(held, [0, held.num_rows], reach, darker)
+
+    light = together.mapInArrow(run, f"page {kind}, band bigint, x0 bigint, y0 bigint, width bigint, height bigint, light binary")
+    whole = light.groupBy("page", *box).agg(F.array_sort(F.collect_set(F.struct("band", "light"))).alias("parts"))
+    joined = F.when(F.size("parts") == 1, F.get("parts", F.lit(0))["light"]).otherwise(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["light"])), "")))
+    whole = whole.select(F.col("page").alias(page), *box, joined.alias("light"))
+    return tiles.join(whole.hint("merge"), [page, *box], "left")  # tiles come to much more than their tables' files tell: none is broadcast
+
+
+def _starts(rows: pa.RecordBatch) -> list[int]:
+    """Where the first two columns change, from 0 on."""
+    codes = [np.diff(rows.column(k).dictionary_encode().indices.to_numpy(), prepend=-1) != 0 for k in (0, 1)]
+    return np.flatnonzero(codes[0] | codes[1]).tolist()
+
+
+def _bands(rows: pa.RecordBatch, starts: list[int], reach: int, darker: float) -> pa.RecordBatch:
+    """What is light of the tiles in their bands; rows: page, band, x0, y0, width, height, first and pixels of their rows in it or within reach."""
+    band, *columns = (c.to_pylist() for c in rows.columns[1:])
+    light = [x for i, j in zip(starts, starts[1:]) for x in _band(band[i] * BAND - BAND // 2, *(c[i:j] for c in columns), reach, darker)]
+    found = pa.RecordBatch.from_arrays([*rows.columns[:6], pa.array(light, pa.binary())], names=[*rows.schema.names[:6], "light"])
+    return found.filter(found.column(6).is_valid())
+
+
+def _band(low: int, x0: list, y0: list, width: list, height: list, first: list, pixels: list, reach: int, darker: float) -> list[bytes | None]:
+    spans = [(max(y, low), min(y + h, low + BAND)) for y, h in zip(y0, height)]
+    top, bottom = min(a for a, _ in spans), max(b for _, b in spans)
+    if bottom <= top:  # other bands' rows only
+        return [None] * len(x0)
+    parts = [np.frombuffer(p, np.uint8).reshape(-1, w) for p, w in zip(pixels, width)]
+    out = [np.empty((b - a, w), np.uint8) if b > a else None for w, (a, b) in zip(width, spans)]
+    meet: dict[int, list[int]] = {}  # tiles by the parts of the band that their halo meets, each ACROSS pixels wide
+    for i, (x, w) in enumerate(zip(x0, width)):
+        for part in range((x - reach) // ACROSS, (x + w - 1 + reach) // ACROSS + 1):
+            meet.setdefault(part, []).append(i)
+    for part, those in meet.items():
+        left, right = max(part * ACROSS, min(x0[i] for i in those)), min((part + 1) * ACROSS, max(x0[i] + width[i] for i in those))
+        if right <= left:
+            continue
+        value = np.zeros((bottom - top + 2 * reach, right - left + 2 * reach))
+        there = np.zeros_like(value)
+        for i in those:
+            y, x, to_y, to_x = max(first[i], top - reach), max(x0[i], left - reach), min(first[i] + len(parts[i]), bottom + reach), min(x0[i] + width[i], right + reach)
+            if to_y > y and to_x > x:
+                at = slice(y - top + reach, to_y - top + reach), slice(x - left + reach, to_x - left + reach)
+                value[at] = parts[i][y - first[i] : to_y - first[i], x - x0[i] : to_x - x0[i]]
+                there[at] = 1
+        n = _windows(there, reach)
+        bright = value[reach : reach + bottom - top, reach : reach + right - left] * n > _windows(value, reach) - darker * n
+        for i in those:
+            (a, b), x, to_x = spans[i], max(x0[i], left), min(x0[i] + width[i], right)
+            if b > a and to_x > x:
+                out[i][:, x - x0[i] : to_x - x0[i]] = np.where(bright[a - top : b - top, x - left : to_x - left], 255, 0)
+    return [x if x is None else x.tobytes() for x in out]
+
+
+def _windows(a: np.ndarray, reach: int) -> np.ndarray:
+    """The sums of the windows around the pixels that are `reach` from all edges."""
+    side, sums = 2 * reach + 1, np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+    sums[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
+    return sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side]

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import boxes, metrics, pixels, search_index, template_index, templates
+from ledgerlens.plans import workflow
 from ledgerlens.sources import books, files, keyed, shared
 from ledgerlens.streaming import lifecycle
 
@@ -282,3 +283,27 @@ def test_thresholds_are_the_same_however_tiles_are_cut(spark):
             assert bytes(r["light"]) == want[r["y0"] : r["y0"] + r["height"], r["x0"] : r["x0"] + r["width"]].tobytes()
         else:
             assert r["light"] is None
+
+
+def test_thresholds_of_large_and_scattered_pages(spark):
+    page, reach = np.random.default_rng(3).integers(0, 256, (700, 4_500)).astype(np.uint8), 4
+    sums = lambda a: np.pad(a, ((reach + 1, reach), (reach + 1, reach))).cumsum(axis=0).cumsum(axis=1)
+    around = lambda t, n=2 * reach + 1: t[n:, n:] - t[:-n, n:] - t[n:, :-n] + t[:-n, :-n]
+    n = around(sums(np.ones(page.shape, int)))
+    want = np.where(page * n > around(sums(page.astype(int))) - 10 * n, 255, 0).astype(np.uint8)
+    down, across = [0, 100, 128, 130, 500, 700], [0, 2_047, 2_050, 4_500]
+    cuts = [(y0, y1, x0, x1) for y0, y1 in zip(down, down[1:]) for x0, x1 in zip(across, across[1:])]
+    rows = [("a", x0, y0, x1 - x0, y1 - y0, page[y0:y1, x0:x1].tobytes()) for y0, y1, x0, x1 in cuts]
+    rows += [("a", 10**9, 690, 1, 1, b"z"), ("b", -300, -700, 2, 700, page[:, :2].tobytes()), (None, 0, 0, 1, 1, b"z"), ("b", None, 0, 1, 1, b"z")]
+    tiles = spark.createDataFrame(rows, "doc_id string, x0 long, y0 long, width long, height long, pixels binary").repartition(4)
+    found = {tuple(r)[:4]: r["light"] for r in pixels.local_threshold(tiles, window=9).select("doc_id", "x0", "y0", "width", "light").collect()}
+    assert len(found) == len(rows) and found["a", 10**9, 690, 1] == b"\xff" and found[None, 0, 0, 1] is None and found["b", None, 0, 1] is None
+    for y0, y1, x0, x1 in cuts:
+        assert bytes(found["a", x0, y0, x1 - x0]) == want[y0:y1, x0:x1].tobytes()
+    edge = around(sums(np.ones((700, 2), int)))
+    assert bytes(found["b", -300, -700, 2]) == np.where(page[:, :2] * edge > around(sums(page[:, :2].astype(int))) - 10 * edge, 255, 0).astype(np.uint8).tobytes()
+
+
+def test_no_tile_is_broadcast(spark):
+    found = workflow.local_thresholds(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
