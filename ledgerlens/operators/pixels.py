@@ -42,7 +42,7 @@ def skew(runs: DataFrame, page: str = "doc_id", most: float = MOST, step: float
 
     def run(batches):
         held = None  # the last page, which may go on: its key, sharpness, votes and ink so far
-        for keys, at, y, x0, x1 in (part for batch in batches for part in _parts(batch)):
+        for keys, at, y, x0, x1 in (part for batch in filter(len, batches) for part in _parts(batch)):
             x, w = (x0 + x1) / 2, x1 - x0 + 1
             on = held is not None and held[0].equals(keys.slice(0, 1))
             if held is not None and not on:
@@ -62,7 +62,7 @@ def skew(runs: DataFrame, page: str = "doc_id", most: float = MOST, step: float
 
 def _packed(batches):
     """A page's runs as lists, PACK at most of one batch."""
-    for batch in batches:
+    for batch in filter(len, batches):
         codes = batch.column(0).dictionary_encode("encode").indices.to_numpy()
         order = np.argsort(codes, kind="stable")
         batch, codes = batch.take(pa.array(order)), codes[order]
@@ -137,7 +137,7 @@ def local_threshold(tiles: DataFrame, page: str = "doc_id", window: int = WINDOW
 
     def run(batches):
         held = None  # the rows of the band that may go on
-        for batch in batches:
+        for batch in filter(len, batches):
             rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
             starts = _starts(rows)
             if starts[-1]:

@@ -234,6 +234,68 @@ def test_red_boxes(spark):
     assert found == {1: (138, 108, 324, 174), 3: (88, 0, 342, 112), 4: (288, 188, 312, 124)}
 
 
+def by_flooding(image, least_area, aspect):
+    """The box of the pixels that hang together, also at corners."""
+    found, left = [], set(zip(*np.nonzero(image)))
+    while left:
+        some, todo = [], [left.pop()]
+        while todo:
+            some.append(todo.pop())
+            near = {(some[-1][0] + i, some[-1][1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        rows = {}
+        for y, x in some:
+            rows.setdefault(y, []).append(x)
+        spans = [max(rows[y]) - min(rows[y]) for y in sorted(rows)]
+        x, w = min(map(min, rows.values())), max(map(max, rows.values())) - min(map(min, rows.values())) + 1
+        area = sum(spans) - (spans[0] + spans[-1]) / 2
+        if area >= least_area and aspect[0] <= w / len(spans) <= aspect[1]:
+            found.append((-area, min(rows), x, w, len(spans)))
+    return tuple(min(found)[i] for i in (2, 1, 3, 4)) if found else None
+
+
+def test_red_boxes_of_any_shape(spark):
+    keep = lambda rows: shared.stored(rows, "boxes")
+    rng, runs, want, high, wide = np.random.default_rng(7), [], {}, 40, 60
+    for page in range(120):
+        image = np.zeros((high, wide), bool)
+        for _ in range(rng.integers(1, 9)):
+            y, x = rng.integers(0, high), rng.integers(0, wide)
+            image[y : y + rng.integers(1, 12), x : x + rng.integers(1, 25)] = True
+        image &= rng.random(image.shape) < 0.9
+        runs += [(page, int(y), int(x), int(x)) for y, x in zip(*np.nonzero(image))]
+        grown = np.zeros_like(image)
+        for y, x in zip(*np.nonzero(image)):
+            grown[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2] = True
+        want[page] = by_flooding(grown, 20, (0.5, 3.5))
+    dots = [(500, 8 * i, 8 * j, 8 * j) for i in range(135) for j in range(130)]  # more rectangles than a task works on by itself
+    runs += dots + [(500, y, 2_000, 2_199) for y in range(300, 400)] + [(1, 50, 0, 9), (2, 5, 61, 70)]  # two are outside their pages
+    want[500] = (1_999, 299, 202, 102)
+    assert len(dots) > boxes.MOST
+    rows = spark.createDataFrame([(*runs[i], 5, 200, 200) for i in rng.permutation(len(runs))], "doc_id int, y int, x0 int, x1 int, hue int, saturation int, value int")
+    sizes = spark.createDataFrame([(p, *((wide, high) if p < 500 else (2_500, 1_200))) for p in want], "doc_id int, width int, height int")
+    found = boxes.red_boxes(rows.repartition(5), sizes, keep, least_area=20, aspect=(0.5, 3.5), padding=0, reach=1)
+    assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == {p: box for p, box in want.items() if box}
+
+
+def test_runs_become_rectangles_where_they_are(spark):
+    runs = spark.range(40_000).selectExpr("cast(id div 200 as int) as doc_id", "cast(id % 200 as int) as y", "5 as x0", "90 as x1")
+    found = boxes.rectangles(runs.coalesce(1))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() <= 210 and found.selectExpr("sum(y1 - y0 + 1)").first()[0] == 40_000
+
+
+def test_rectangles_of_long_pages_go_through():
+    batch = lambda keys: pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(range(len(keys)), pa.int64())] * 6], names=["page", "x0", "x1", "y0", "y1", "width", "height"])
+    n = boxes.MOST
+    keys = [1] * 5 + [2] * (n + 1) + [None] * 3 + [3] * n + [4] * (2 * n) + [5] * 2
+    for size in (n // 3, 2 * n, len(keys)):
+        out = [b for b in boxes._pages((batch(keys[i : i + size]) for i in range(0, len(keys), size)), 10**9, (1, 2))]
+        through = [k for b in out for k, x in zip(b.column(0).to_pylist(), b.column(7).to_pylist()) if x is None]
+        assert through == [2] * (n + 1) + [4] * (2 * n)
+
+
 def test_skew_of_odd_pages(spark):
     rows = [("flat", y, x, x + 9) for y in (10, 50, 90) for x in range(0, 600, 30)]
     rows += [("steep", 100 + round(x * np.tan(np.radians(7.5))) + y, x, x + 3) for y in (0, 40, 80) for x in range(0, 600, 25)]
