@@ -297,8 +297,8 @@ def test_red_boxes_of_any_shape(spark):
 
 
 def test_runs_become_rectangles_where_they_are(spark):
-    runs = spark.range(40_000).selectExpr("cast(id div 200 as int) as doc_id", "cast(id % 200 as int) as y", "5 as x0", "90 as x1")
-    found = boxes.rectangles(runs.coalesce(1))
+    runs = spark.range(0, 40_000, 1, 4).selectExpr("cast(id div 200 as int) as doc_id", "cast(id % 200 as int) as y", "5 as x0", "90 as x1")
+    found = boxes.rectangles(runs)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() <= 210 and found.selectExpr("sum(y1 - y0 + 1)").first()[0] == 40_000
 
